@@ -75,10 +75,11 @@ P["scored"] = sql_scored("{evt}", extra=", event_no")
 P["signals"] = f"""
 SELECT s.*,
   {sql_mode('conformal_p', 'log')} AS u_conformal_log,
-  CASE WHEN parse_ok THEN -({sql_clip('anomaly_score')} * log2({sql_clip('anomaly_score')})
-    + (1.0::DOUBLE - {sql_clip('anomaly_score')}) * log2(1.0::DOUBLE - {sql_clip('anomaly_score')}))
+  CASE WHEN parse_ok THEN round(-({sql_clip('anomaly_score')} * log2({sql_clip('anomaly_score')})
+    + (1.0::DOUBLE - {sql_clip('anomaly_score')}) * log2(1.0::DOUBLE - {sql_clip('anomaly_score')})), 9)
     ELSE 1.0::DOUBLE END AS u_token_entropy,
-  sqrt(greatest(anomaly_score * (1.0::DOUBLE - anomaly_score), 0.0::DOUBLE)) AS u_verdict_var,
+  CASE WHEN anomaly_score IS NOT NULL THEN round(sqrt(greatest(anomaly_score * (1.0::DOUBLE - anomaly_score),
+    0.0::DOUBLE)), 9) END AS u_verdict_var,
   CASE WHEN parse_ok THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS u_abstention
 FROM {{scored}} s
 """

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INF = float("inf")
 
@@ -30,7 +31,9 @@ def or_null(c: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    """Hold a number inside ``[lo, hi]``; a missing one stays missing."""
+    lo, hi = F.lit(float(lo)), F.lit(float(hi))
+    return F.when(c < lo, lo).when((c > hi) & ~F.isnan(c), hi).otherwise(c)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -177,7 +180,7 @@ def widen(bound: Column, centre: Column, sd: Column, sign: int) -> Column:
     return F.when(finite(bound) & finite(sd), wide).otherwise(bound)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of a z statistic; used on report rows only."""
     return z.map(lambda v: None if v is None or math.isnan(v)

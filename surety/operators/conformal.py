@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from surety.functions.columns import (INF, calibration_sd, check_delta, conformal_rank, finite,
                                       pvalue_uncertainty, uniform, widen)
 from surety.plans.joins import attach_cells, attach_groups, bounded, require_none
-from surety.plans.ranking import POOLED, order_statistics, ranked_cells
+from surety.plans.ranking import POOLED, order_statistics, ranked_cells, ranked_parts
 
 SCORE, GROUP, ROW = "anomaly_score", "category", "image_id"
 
@@ -73,14 +73,14 @@ def pool_counts(test: DataFrame, pools: Mapping[str, DataFrame], score: str = SC
     union = keyed[0]
     for part in keyed[1:]:
         union = union.unionByName(part)
-    ranking = ranked_cells(union, [group], score,
-                           {"n": F.lit(1), **{p: F.col(f"_{p}") for p in names}})
+    ranking, parts = ranked_parts(union, [group], score,
+                                  {"n": F.lit(1), **{p: F.col(f"_{p}") for p in names}})
     counted = ranking.select(
         group, score, "n",
         *[(F.col(f"{p}_total") - F.col(f"{p}_before")).alias(f"{p}_ge") for p in names],
         *[(F.col(f"{p}_before") + F.col(p)).alias(f"{p}_le") for p in names],
         *[F.col(p).alias(f"{p}_eq") for p in names])
-    out = attach_cells(test, counted, [group, score])
+    out = attach_cells(test, counted, parts, [group, score])
     union_sizes = (union.where(finite(F.col(score))).groupBy(group)
                    .agg(*[F.sum(f"_{p}").alias(f"{p}_n") for p in names]))
     out = attach_groups(out, union_sizes, [group])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from surety.functions.columns import INF, finite, two_sided_p
 from surety.operators.metrics import class_sums, rank_metrics_of
 from surety.plans.joins import attach_cells
-from surety.plans.ranking import POOLED, average_rank, prefix_sums, ranked_cells, with_pooled
+from surety.plans.ranking import (average_rank, prefix_sums, ranked_cells, ranked_parts,
+                                   with_pooled)
 from surety.plans.resample import auroc_draws, percentile_interval
 from surety.session import materialise
 
@@ -89,7 +90,7 @@ def delong(aligned: DataFrame, group: Sequence[str], label: str = "label") -> Da
     rows = aligned.where(finite(F.col("score_a")) & finite(F.col("score_b")))
     for side in "ab":
         score = f"score_{side}"
-        ranking = ranked_cells(rows, group, score, class_sums(F.col(label)))
+        ranking, parts = ranked_parts(rows, group, score, class_sums(F.col(label)))
         neg, neg_total = F.col("n") - F.col("n_pos"), F.col("n_total") - F.col("n_pos_total")
         wins = (F.col("n_before") - F.col("n_pos_before") + neg / F.lit(2.0)) / neg_total
         losses = (F.lit(1.0) - (F.col("n_pos_before") + F.col("n_pos") / F.lit(2.0))
@@ -98,7 +99,7 @@ def delong(aligned: DataFrame, group: Sequence[str], label: str = "label") -> Da
             *group, score, "n",
             F.when(neg_total > 0, wins).alias(f"_win_{side}"),
             F.when(F.col("n_pos_total") > 0, losses).alias(f"_loss_{side}"))
-        rows = attach_cells(rows, placed, [*group, score])
+        rows = attach_cells(rows, placed, parts, [*group, score])
         rows = rows.withColumn(f"v_{side}", F.when(F.col(label) == 1, F.col(f"_win_{side}"))
                                .otherwise(F.col(f"_loss_{side}"))).drop(
             f"_win_{side}", f"_loss_{side}")
@@ -155,15 +156,12 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     group = list(group)
     rows = df.where(finite(F.col(x)) & finite(F.col(y)))
     for column, rank in ((x, "_rx"), (y, "_ry")):
-        ranking = ranked_cells(rows, group, column, {"n": F.lit(1)})
-        rows = attach_cells(rows, ranking.select(*group, column, "n",
-                                                 average_rank().alias(rank)), [*group, column])
+        ranking, parts = ranked_parts(rows, group, column, {"n": F.lit(1)})
+        ranks = ranking.select(*group, column, "n", average_rank().alias(rank))
+        rows = attach_cells(rows, ranks, parts, [*group, column])
     stats = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_r"),
         F.countDistinct("_rx").alias("_dx"), F.countDistinct("_ry").alias("_dy"))
     known = (F.col("n") >= 3) & (F.col("_dx") > 1) & (F.col("_dy") > 1)
     return stats.select(*group, "n", F.when(known, F.col("_r")).alias("rho"))
 
-
-__all__ = ["POOLED", "align_scorers", "bootstrap_auroc", "delong", "holm", "overlap_counts",
-           "paired_bootstrap", "scorer_comparison", "spearman"]

@@ -14,10 +14,10 @@ LOG_T = (math.log(1e-2), math.log(1e2))
 
 
 def fit_temperature(df: DataFrame, score: str = "anomaly_score", label: str = "label",
-                    points: int = 41, rounds: int = 6) -> float:
+                    points: int = 21, rounds: int = 7) -> float:
     """Minimise the negative log-likelihood of ``sigmoid(logit(p) / T)`` over ``T``.
 
-    Each round evaluates a grid of ``ln T`` as columns of one aggregation, then narrows the
+    Each round evaluates a grid of ``ln T`` in one aggregation, then narrows the
     grid to the cells around the best point. Rows are collapsed to distinct scores first.
     """
     base = (df.where(finite(F.col(score))).groupBy(score)
@@ -29,16 +29,16 @@ def fit_temperature(df: DataFrame, score: str = "anomaly_score", label: str = "l
             raise ValueError("temperature scaling needs both classes present")
         lo, hi = LOG_T
         best = 0.0
+        p = clip(logistic(F.col("_z") / F.exp("_log_t")), 1e-12, 1.0 - 1e-12)
+        loss = F.sum(-(F.col("_pos") * F.log(p)
+                       + (F.col("_n") - F.col("_pos")) * F.log(F.lit(1.0) - p)))
         for _ in range(rounds):
             grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-            losses = []
-            for t in grid:
-                p = clip(logistic(F.col("_z") / F.lit(math.exp(t))), 1e-12, 1.0 - 1e-12)
-                losses.append(F.sum(-(F.col("_pos") * F.log(p)
-                                      + (F.col("_n") - F.col("_pos")) * F.log(F.lit(1.0) - p))))
-            values = base.agg(*losses).first()
-            i = min(range(points), key=lambda j: values[j])
-            best = grid[i]
+            temperatures = F.explode(F.array(*[F.lit(t) for t in grid]))
+            rows = (base.withColumn("_log_t", temperatures).groupBy("_log_t")
+                    .agg(loss.alias("_loss")).collect())    # one row per grid point
+            best = min(rows, key=lambda r: (r["_loss"], r["_log_t"]))["_log_t"]
+            i = grid.index(best)
             lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, points - 1)]
         return math.exp(best)
     finally:

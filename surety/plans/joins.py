@@ -34,21 +34,22 @@ def attach_groups(rows: DataFrame, table: DataFrame, keys: Sequence[str],
     return rows.join(bounded(table), list(keys), how)
 
 
-def attach_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str], n: str = "n",
-                 how: str = "left", salt_by: Sequence[str] | None = None) -> DataFrame:
+def attach_cells(rows: DataFrame, cells: DataFrame, parts: DataFrame, keys: Sequence[str],
+                 n: str = "n", how: str = "left",
+                 salt_by: Sequence[str] | None = None) -> DataFrame:
     """Join values computed per distinct ``keys`` back onto the rows they came from.
 
-    ``cells`` has one row per key with its row count ``n``. Keys that hold a large share of
-    the rows are salted: their rows are spread by a hash and the matching cell is repeated
-    once per salt. At most ``HOT_SHARE`` keys can be hot, so that list is small by definition.
+    ``cells`` has one row per key with its row count ``n``; ``parts`` is the materialised
+    table it was computed from. Keys that hold a large share of the rows are salted: their
+    rows are spread by a hash and the matching cell is repeated once per salt. At most
+    ``HOT_SHARE`` keys can be hot, so that list is small by definition.
     """
     keys = list(keys)
-    cells = materialise(cells)
-    peak, total = cells.agg(F.max(n), F.sum(n)).first()
+    peak, total = parts.agg(F.max(n), F.sum(n)).first()
     threshold = max(HOT_ROWS, (total or 0) // HOT_SHARE)
     if (peak or 0) <= threshold:
         return rows.join(cells.drop(n), keys, how)
-    hot = cells.where(F.col(n) > threshold).select(*keys, F.lit(True).alias("_hot"))
+    hot = parts.where(F.col(n) > threshold).select(*keys, F.lit(True).alias("_hot"))
     if salt_by is None:
         salt_by = [f.name for f in rows.schema.fields
                    if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]

@@ -55,7 +55,12 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
 
     ``order`` must identify a row within its group.
     """
-    parts = ranged(df, group, order, descending)
+    return prefix_of(ranged(df, group, order, descending), group, order, sums, descending)
+
+
+def prefix_of(parts: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str],
+              descending: bool = False) -> DataFrame:
+    """:func:`prefix_sums` of rows that :func:`ranged` has already partitioned."""
     ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     within = (Window.partitionBy(*group, PID).orderBy(*ordering)
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -77,9 +82,16 @@ def cells(df: DataFrame, group: Sequence[str], value: str,
 
 
 def ranked_cells(df: DataFrame, group: Sequence[str], value: str,
-                 sums: Mapping[str, Column], descending: bool = False) -> DataFrame:
-    """:func:`cells` with ``<s>_before`` and ``<s>_total`` for every sum."""
-    return prefix_sums(cells(df, group, value, sums), group, [value], list(sums), descending)
+                 sums: Mapping[str, Column]) -> DataFrame:
+    """:func:`cells` with ``<s>_before`` and ``<s>_total`` for every sum, in ascending order."""
+    return ranked_parts(df, group, value, sums)[0]
+
+
+def ranked_parts(df: DataFrame, group: Sequence[str], value: str,
+                 sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """:func:`ranked_cells` together with the materialised cells it was computed from."""
+    parts = ranged(cells(df, group, value, sums), group, [value])
+    return prefix_of(parts, group, [value], list(sums)), parts
 
 
 def with_pooled(df: DataFrame, column: str = "category", name: str = "group") -> DataFrame:
