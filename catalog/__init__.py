@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["calibration", "evaluation"]
+MODULES = ["calibration", "evaluation", "tables", "vectors", "images", "trust"]
 
 
 def load():

@@ -14,6 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 VIEWS: dict[str, str] = {}
+#: Views whose text differs between the engines: array building and unnesting.
+DUCK_VIEWS: dict[str, str] = {}
 
 VIEWS["evt"] = """
 SELECT concat('e', CAST(event_id AS STRING)) AS image_id, event_type AS category, label,
@@ -121,7 +123,7 @@ FROM {embeddings}
 VIEWS["gen"] = """
 SELECT concat('g', CAST(conv_id AS STRING)) AS image_id, CAST(turn AS INT) AS sample_idx,
   CASE WHEN (conv_id + turn) % 11 = 0 THEN text ELSE
-    concat('OBSERVATION:', chr(10), substr(text, 1 + CAST(turn % 2 AS INT), length(text)), chr(10),
+    concat('OBSERVATION:', chr(10), text, chr(10),
     'DEFECT_TYPE:', chr(10),
     CASE (conv_id + turn) % 4 WHEN 0 THEN 'crack' WHEN 1 THEN 'Cracked' WHEN 2 THEN 'hole' ELSE 'NONE' END,
     chr(10), 'DEFECT_LOCATION:', chr(10),
@@ -153,6 +155,97 @@ SELECT concat('/data/', category, '/ground_truth/',
 FROM {evt} WHERE label = 1 AND event_no % 4 = 2
 """
 
+# Text templates: the mean vector of every fifth vector of a label.
+VIEWS["txt"] = """
+SELECT concat('c', CAST(label % 5 AS STRING)) AS category,
+  CASE WHEN label >= 5 THEN 'anomaly' ELSE 'normal' END AS polarity, template_idx,
+  transform(array_sort(collect_list(struct(i, m))), x -> x.m) AS embedding
+FROM (SELECT label, CAST(vec_id % 5 AS INT) AS template_idx, i, avg(CAST(x AS DOUBLE)) AS m
+      FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS i, x GROUP BY 1, 2, 3) t
+GROUP BY label, template_idx
+"""
+DUCK_VIEWS["txt"] = """
+SELECT concat('c', CAST(label % 5 AS STRING)) AS category,
+  CASE WHEN label >= 5 THEN 'anomaly' ELSE 'normal' END AS polarity, template_idx,
+  list(m ORDER BY i) AS embedding
+FROM (SELECT label, CAST(vec_id % 5 AS INT) AS template_idx, i, avg(x) AS m
+      FROM (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+              generate_subscripts(embedding, 1) AS i FROM {embeddings}) e GROUP BY 1, 2, 3) t
+GROUP BY label, template_idx
+"""
+
+# Nine 16-dimensional windows per image, on the 9-box grid of a 32 x 32 image.
+VIEWS["win"] = """
+SELECT image_id, category, label, split, window_idx,
+  struct(x0 AS l, y0 AS t, x0 + 16 AS r, y0 + 16 AS b) AS box,
+  slice(embedding, 6 * window_idx + 1, 16) AS embedding
+FROM (SELECT *, 8 * (window_idx % 3) AS x0, CAST(8 * floor(window_idx / 3) AS INT) AS y0
+      FROM {emb} LATERAL VIEW explode(sequence(0, 8)) w AS window_idx) t
+"""
+DUCK_VIEWS["win"] = """
+SELECT image_id, category, label, split, window_idx, x0, y0,
+  list_slice(embedding, 6 * window_idx + 1, 6 * window_idx + 16) AS embedding
+FROM (SELECT *, 8 * (window_idx % 3) AS x0, 8 * (window_idx // 3) AS y0
+      FROM (SELECT *, unnest(range(9)) AS window_idx FROM {emb}) w) t
+"""
+
+# Tokens of each generation with log-probabilities of the two verdicts.
+VIEWS["tok"] = """
+SELECT concat(image_id, '-', CAST(sample_idx AS STRING)) AS gen_id, pos, token,
+  array(-0.1D * ((conv_id + pos) % 7 + 1), -0.3D * (pos % 5 + 1)) AS yes_logprobs,
+  array(-0.2D * ((conv_id * 3 + pos) % 5 + 1), -0.25D * (turn % 3 + 1)) AS no_logprobs
+FROM {gen} LATERAL VIEW posexplode(split(text, '[ \\\\n]+')) e AS pos, token
+"""
+DUCK_VIEWS["tok"] = """
+SELECT gen_id, pos, token, [-0.1::DOUBLE * ((conv_id + pos) % 7 + 1), -0.3::DOUBLE * (pos % 5 + 1)] AS yes_logprobs,
+  [-0.2::DOUBLE * ((conv_id * 3 + pos) % 5 + 1), -0.25::DOUBLE * (turn % 3 + 1)] AS no_logprobs
+FROM (SELECT concat(image_id, '-', CAST(sample_idx AS STRING)) AS gen_id, conv_id, turn,
+        unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
+      FROM (SELECT *, regexp_split_to_array(text, '[ \\n]+') AS w FROM {gen}) g) t
+"""
+
+# 32 x 32 masks: an 8 x 8 block per anomalous image, and a second 2 x 2 block for every third.
+_MASK = """CASE WHEN label = 1 AND ((r >= 4 + vec_id % 16 AND r < 12 + vec_id % 16
+    AND c >= 4 + sh AND c < 12 + sh) OR (vec_id % 3 = 0 AND r >= 29 AND r < 31 AND c >= 29 AND c < 31))
+  THEN 1 ELSE 0 END"""
+_SHIFT = "CAST(floor(vec_id / CAST(16 AS DOUBLE)) AS BIGINT) % 16"
+VIEWS["masks"] = f"""
+SELECT image_id, 32 AS h, 32 AS w, transform(sequence(0, 1023), i ->
+  CAST({_MASK.replace("r ", "CAST(floor(i / 32) AS INT) ").replace("c ", "(i % 32) ")} AS TINYINT)) AS mask
+FROM (SELECT *, {_SHIFT} AS sh FROM {{emb}}) t WHERE label = 1
+"""
+VIEWS["maps"] = """
+SELECT image_id, category, label, vec_id, k.map_kind, 32 AS h, 32 AS w,
+  transform(sequence(0, 1023), i -> CASE k.map_kind
+    WHEN 'bank' THEN CAST((vec_id * 31 + CAST(floor(i / 32) AS INT) * 17 + (i % 32) * 13) % 97 AS DOUBLE) / 97D
+    ELSE CAST((vec_id * 7 + CAST(floor(i / 32) AS INT) * 5 + (i % 32) * 29) % 89 AS DOUBLE) / 89D END
+    + CASE k.map_kind WHEN 'bank' THEN 0.5D ELSE 0.2D END * coalesce(m.mask[i], 0)) AS values
+FROM {emb} LEFT JOIN {masks} m USING (image_id)
+  LATERAL VIEW explode(array('bank', 'text')) k AS map_kind
+"""
+# The same in pixel rows.
+DUCK_VIEWS["pix"] = f"""
+SELECT *, CAST((vec_id * 31 + r * 17 + c * 13) % 97 AS DOUBLE) / 97::DOUBLE + 0.5::DOUBLE * m AS vb,
+  CAST((vec_id * 7 + r * 5 + c * 29) % 89 AS DOUBLE) / 89::DOUBLE + 0.2::DOUBLE * m AS vt
+FROM (SELECT *, {_MASK} AS m FROM (
+  SELECT *, i // 32 AS r, i % 32 AS c FROM (
+    SELECT image_id, category, label, split, vec_id, {_SHIFT} AS sh, unnest(range(1024)) AS i FROM {{emb}}) a) b) t
+"""
+
+# Records with a stated location and a plain decision.
+VIEWS["claims"] = """
+SELECT image_id, category, label, vec_id, 'boundary' AS conformal_mode, (vec_id % 29 <> 3) AS parse_ok,
+  anomaly_score, CASE WHEN anomaly_score > 0.5 THEN 1 ELSE 0 END AS conformal_pred,
+  (CASE WHEN anomaly_score > 0.5 THEN 1 ELSE 0 END) = label AS correct,
+  CAST((vec_id * 53) % 211 AS DOUBLE) / CAST(211 AS DOUBLE) AS u_a,
+  CAST((vec_id * 29 + label * 40) % 173 AS DOUBLE) / CAST(173 AS DOUBLE) AS u_conformal,
+  CASE vec_id % 8 WHEN 0 THEN 'upper left corner' WHEN 1 THEN 'Top-right area' WHEN 2 THEN 'along the edge'
+    WHEN 3 THEN 'across the entire surface' WHEN 4 THEN 'in the center' WHEN 5 THEN 'NONE'
+    WHEN 6 THEN 'somewhere odd' ELSE 'bottom' END AS predicted_location
+FROM (SELECT *, CAST((vec_id * 37) % 101 AS DOUBLE) / CAST(101 AS DOUBLE) * CAST(0.6 AS DOUBLE)
+        + CAST(0.3 AS DOUBLE) * label AS anomaly_score FROM {emb}) t
+"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -178,7 +271,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cte(body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """``body`` preceded by the WITH clauses of every view it names as ``{view}``."""
-    texts = {**VIEWS, **(extra or {})}
+    texts = {**VIEWS, **DUCK_VIEWS, **(extra or {})}
     order: list[str] = []
 
     def visit(name: str) -> None:
