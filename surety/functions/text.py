@@ -47,14 +47,17 @@ CANONICAL_DEFECT = {
 }
 
 
+WHITE = " \t\n\r\f\x0b"
+
+
 def strip(c: Column, extra: str = "") -> Column:
-    """Remove white space (and the characters in ``extra``) from both ends."""
-    return F.regexp_replace(c, rf"^[\s{extra}]+|[\s{extra}]+$", "")
+    """Remove white space (and the characters in ``extra``) from both ends, in linear time."""
+    return F.btrim(c, F.lit(WHITE + extra))
 
 
 def clean_field(c: Column) -> Column:
     """A field value without markdown stars, with white space collapsed."""
-    bare = strip(F.regexp_replace(strip(c), r"^\*+|\*+$", ""))
+    bare = strip(F.btrim(strip(c), F.lit("*")))
     return strip(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -69,7 +72,8 @@ def parse_vote(text: Column) -> Column:
     YES or NO.
     """
     labelled = F.upper(F.regexp_extract(text, VERDICT, 1))
-    last = F.upper(strip(F.regexp_extract(text, r"(?s)([^\r\n]*\S[^\r\n]*)\s*\z", 1), "*."))
+    lines = F.rtrim(F.translate(text, "\r", "\n"), F.lit(WHITE))
+    last = F.upper(strip(F.substring_index(lines, "\n", -1), "*."))
     verdict = F.when(labelled != "", labelled).otherwise(last)
     return F.when(verdict == "YES", 1).when(verdict == "NO", 0)
 

@@ -48,10 +48,13 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
     left = queries.select(*keys, *row, F.col(vector).alias("_v")).join(small, keys).select(
         *keys, *row, "_v", F.pmod(F.xxhash64(*row), F.col("_nq")).cast("int").alias("_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_block"))
+    # Renamed, because the bank is usually a part of the query table.
+    right_keys = [f"_bank_{c}" for c in keys]
     right = bank.select(*keys, F.col(bank_row).alias("_id"), F.col(vector).alias("_b")).join(
         small, keys).select(
-        *keys, "_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_chunk"))
+        *[F.col(c).alias(n) for c, n in zip(keys, right_keys)], F.col("_b").alias("_b"),
+        F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int").alias("_bank_block"),
+        F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_bank_chunk"))
     schema = T.StructType([*[left.schema[c] for c in row],
                            T.StructField("_top", T.ArrayType(T.DoubleType()))])
 
@@ -66,7 +69,7 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
         return out
 
     pairs = left.groupBy(*keys, "_block", "_chunk").cogroup(
-        right.groupBy(*keys, "_block", "_chunk")).applyInPandas(compare, schema)
+        right.groupBy(*right_keys, "_bank_block", "_bank_chunk")).applyInPandas(compare, schema)
     if (widest or 0) > 1:
         pairs = pairs.groupBy(*row).agg(F.flatten(F.collect_list("_top")).alias("_top"))
     best = F.slice(F.sort_array("_top", asc=False), 1, k)

@@ -135,9 +135,11 @@ def entailment_clusters(samples: DataFrame, pairs: DataFrame, threshold: float =
                 leaders.append(i)
         return frame.assign(cluster=clusters)[[f.name for f in schema]]
 
+    # Renamed, because the pairs usually come from the samples themselves.
+    scores = pairs.select(F.col(key).alias("_key"), *[
+        F.col(c).alias(c) for c in ("premise", "hypothesis", "entail")])
     return samples.select(*columns).groupBy(key).cogroup(
-        pairs.select(key, "premise", "hypothesis", "entail").groupBy(key)).applyInPandas(
-        assign, schema)
+        scores.groupBy("_key")).applyInPandas(assign, schema)
 
 
 def label_entropy(df: DataFrame, key: str, labels: Sequence[str], name: str = "entropy",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surety.plans.ranking import PID, ranged
+from surety.session import materialise
 
 #: Largest weight matrix (cells x replicates) held at once by a task.
 BLOCK = 2_000_000
@@ -154,7 +155,6 @@ def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int,
     long = _per_replicate(_pair_sums(parts, group, value, n_boot, seed), group,
                           ["_p", "_n", "_u"])
     if with_ap or key is not None:
-        from surety.session import materialise
         long = materialise(long)
     before = (Window.partitionBy(*group, "rep").orderBy(PID)
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -196,7 +196,8 @@ def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value:
         F.coalesce(F.sum("_n").over(after), F.lit(0.0)).alias("_na"))
     above = above.groupBy(*group, PID).agg(
         F.array_sort(F.collect_list(F.struct("rep", "_pa", "_na"))).alias("_s")).select(
-        *group, PID, F.col("_s._pa").alias("_pa"), F.col("_s._na").alias("_na"))
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*group, PID])],
+        F.col("_s._pa").alias("_pa"), F.col("_s._na").alias("_na"))
     schema = T.StructType([*_fields(parts, group),
                            T.StructField("_a", T.ArrayType(T.DoubleType()))])
 
@@ -214,8 +215,8 @@ def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value:
         head = [frame[c].iloc[0] for c in group]
         return pd.DataFrame([[*head, total]], columns=[*group, "_a"])
 
-    sums_by_part = parts.groupBy(*group, PID).cogroup(above.groupBy(*group, PID)).applyInPandas(
-        sums, schema)
+    sums_by_part = parts.groupBy(*group, PID).cogroup(
+        above.groupBy(*[f"_k{i}" for i in range(len(group) + 1)])).applyInPandas(sums, schema)
     return (sums_by_part.select(*group, F.posexplode("_a").alias("rep", "_v"))
             .groupBy(*group, "rep").agg(F.sum("_v").alias("_ap")))
 
