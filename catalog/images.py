@@ -133,13 +133,13 @@ X = {
       (0, 'corner', 0, 14, 0, 14), (1, 'quadrant', 0, 14, 18, 32), (2, 'edge', 0, 32, 0, 32), (3, 'surface', 0, 32, 0, 32),
       (4, 'quadrant', 9, 23, 9, 23), (5, 'none', 0, 32, 0, 32), (6, 'unparsed', 0, 32, 0, 32), (7, 'quadrant', 18, 32, 0, 32))
       b(k, kind, r0, r1, c0, c1) ON b.k = c.vec_id % 8""",
-    "region": """SELECT b.image_id, b.category, b.label, b.conformal_pred, b.anomaly_score, b.kind, b.loc, a.v, a.m, a.seen,
+    "claimreg": """SELECT b.image_id, b.category, b.label, b.conformal_pred, b.anomaly_score, b.kind, b.loc, a.v, a.m, a.seen,
       CASE WHEN NOT b.loc THEN true WHEN b.kind = 'edge' THEN a.r < 6 OR a.r >= 26 OR a.c < 6 OR a.c >= 26
         ELSE a.r >= b.r0 AND a.r < b.r1 AND a.c >= b.c0 AND a.c < b.c1 END AS inside
       FROM {bands} b JOIN {att} a ON a.image_id = b.image_id""",
     "ground": """SELECT image_id, any_value(category) AS category, any_value(anomaly_score) AS anomaly_score, any_value(kind) AS claim_kind,
       any_value(loc) AS claim_localized, count(CASE WHEN inside AND seen THEN 1 END)::DOUBLE / nullif(count(CASE WHEN inside OR seen THEN 1 END), 0) AS claim_iou,
-      avg(CASE WHEN inside THEN v END) AS claim_inside_mean, avg(CASE WHEN NOT inside THEN v END) AS claim_outside_mean FROM {region} GROUP BY image_id""",
+      avg(CASE WHEN inside THEN v END) AS claim_inside_mean, avg(CASE WHEN NOT inside THEN v END) AS claim_outside_mean FROM {claimreg} GROUP BY image_id""",
 }
 
 
@@ -267,7 +267,7 @@ X["flags"] = """SELECT image_id, category, label, conformal_pred, iou,
   CASE WHEN conformal_pred = 0 THEN 'none' WHEN label = 0 THEN 'a_positive_on_good' WHEN iou < 0.05::DOUBLE THEN 'b_wrong_region' ELSE 'grounded' END AS halluc_case
   FROM (SELECT image_id, any_value(category) AS category, any_value(label) AS label, any_value(conformal_pred) AS conformal_pred,
     count(CASE WHEN reg AND m = 1 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN reg OR m = 1 THEN 1 END), 0) AS iou
-    FROM (SELECT *, CASE WHEN loc THEN inside ELSE seen END AS reg FROM {region}) q GROUP BY image_id) z"""
+    FROM (SELECT *, CASE WHEN loc THEN inside ELSE seen END AS reg FROM {claimreg}) q GROUP BY image_id) z"""
 X["ffan"] = "SELECT * FROM " + sql_fan("{flags}") + " f"
 _RATE = """count(CASE WHEN halluc_case <> 'none' THEN 1 END) AS n_positive,
   round(count(CASE WHEN halluc_case IN ('a_positive_on_good', 'b_wrong_region') THEN 1 END)::DOUBLE / nullif(count(CASE WHEN halluc_case <> 'none' THEN 1 END), 0), 9) AS hr,

@@ -1 +1,260 @@
-"""."""
+"""Fusion, shift sweeps, held-out signal choice, the report bundle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.calibration import pool
+from catalog.evaluation import SIGNALS, r9, signal_records
+from catalog.parts import P, sql_auroc, sql_curve, sql_mode, sql_scored, sql_u01
+from catalog.registry import query
+from catalog.tables import scratch
+from surety.operators import conformal, fusion, report, shift
+
+CONFIG = fusion.FusionConfig(("u_a", "u_conformal"), weights={"u_conformal": 2.0})
+
+
+def fusion_rows(v):
+    """Claims with a consistency and a hallucination column made from their ids."""
+    return v("claims").withColumns({
+        "cmcs": (F.col("vec_id") * 41) % 307 / F.lit(307.0),
+        "halluc": (F.col("vec_id") * 13 + F.col("label")) % 10 < 2})
+
+
+def _rank(value: str) -> str:
+    return (f"(rank() OVER (PARTITION BY category ORDER BY {value}) + (count(*) OVER (PARTITION BY category, {value}) - 1) / 2.0::DOUBLE)"
+            f" / count(*) OVER (PARTITION BY category)")
+
+
+def _log(x: str) -> str:
+    return f"ln(least(greatest({x}, 1e-6::DOUBLE), 1.0::DOUBLE))"
+
+
+FU = {"fr": "SELECT *, (vec_id * 41) % 307 / 307.0::DOUBLE AS cmcs, (vec_id * 13 + label) % 10 < 2 AS halluc FROM {claims}",
+      "ff": f"""SELECT *, 1.0::DOUBLE - {_rank('u_a')} AS fa, 1.0::DOUBLE - {_rank('u_conformal')} AS fc, {_rank('cmcs')} AS fm,
+        CASE WHEN halluc THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS fh FROM {{fr}}""",
+      "ft": f"""SELECT *, fa * fc * fm * fh AS product,
+        exp(({_log('fa')} + 2 * {_log('fc')} + {_log('fm')} + {_log('fh')}) / 5.0::DOUBLE) AS wgm,
+        exp((2 * {_log('fc')} + {_log('fm')} + {_log('fh')}) / 4.0::DOUBLE) AS no_a,
+        exp(({_log('fa')} + {_log('fm')} + {_log('fh')}) / 3.0::DOUBLE) AS no_c,
+        exp(({_log('fa')} + 2 * {_log('fc')} + {_log('fh')}) / 4.0::DOUBLE) AS no_m,
+        exp(({_log('fa')} + 2 * {_log('fc')} + {_log('fm')}) / 4.0::DOUBLE) AS no_h FROM {{ff}}"""}
+
+
+@query("f1_trust_factors", """SELECT image_id, round(fa, 9) AS f_u_a, round(fc, 9) AS f_u_conformal, round(fm, 9) AS f_cmcs, fh AS f_halluc FROM {ff}""", FU)
+def _(v):
+    rows, _present = fusion.factors(fusion_rows(v), CONFIG)
+    return r9(rows.select("image_id", "f_u_a", "f_u_conformal", "f_cmcs", "f_halluc"),
+              "f_u_a", "f_u_conformal", "f_cmcs")
+
+
+@query("f2_product_trust", "SELECT image_id, round(product, 9) AS trust_proposal_product FROM {ft}", FU)
+def _(v):
+    out = fusion.trust_scores(fusion_rows(v), CONFIG)
+    return r9(out.select("image_id", "trust_proposal_product"), "trust_proposal_product")
+
+
+@query("f3_weighted_geometric", "SELECT image_id, round(wgm, 9) AS trust_weighted_geometric FROM {ft}", FU)
+def _(v):
+    out = fusion.trust_scores(fusion_rows(v), CONFIG)
+    return r9(out.select("image_id", "trust_weighted_geometric"), "trust_weighted_geometric")
+
+
+@query("f4_logistic_trust")
+def _(v):
+    rows = fusion_rows(v)
+    fitted = fusion.LogisticTrust(CONFIG).fit(rows.withColumn("synthetic_anomaly", F.col("label")))
+    return fitted.transform(rows).select("image_id", F.round("trust_logistic", 6).alias("trust"))
+
+
+def _curves(options: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT image_id, correct, parse_ok, '{name}' AS grp, round({expr}, 12) AS u FROM {{ft}}"
+        for name, expr in options.items())
+
+
+_COMBINE = {**FU, "fl": _curves({
+    "proposal_product": "1.0::DOUBLE - product", "weighted_geometric": "1.0::DOUBLE - wgm",
+    "single:u_a": "u_a", "single:u_conformal": "u_conformal"}),
+    "fcurve": sql_curve("{fl}", "grp", "u")}
+
+
+@query("f5_combiner_comparison", """SELECT grp AS combiner, round(avg(risk), 6) AS aurc, round(avg(risk) - avg(oracle), 6) AS eaurc, false AS uses_labels,
+  round(1.0::DOUBLE - min_by(risk, k) FILTER (coverage >= 0.8::DOUBLE), 6) AS "acc@cov0.8" FROM {fcurve} GROUP BY grp""", _COMBINE)
+def _(v):
+    out = fusion.compare_combiners(fusion_rows(v), CONFIG).drop("cov@risk0.05")
+    return out.select("combiner", F.round("aurc", 6).alias("aurc"),
+                      F.round("eaurc", 6).alias("eaurc"), "uses_labels",
+                      F.round(F.col("`acc@cov0.8`"), 6).alias("acc@cov0.8"))
+
+
+@query("f5_combiner_comparison_logistic")
+def _(v):
+    rows = fusion_rows(v)
+    return fusion.compare_combiners(rows, CONFIG, rows.withColumn("synthetic_anomaly",
+                                                                  F.col("label")))
+
+
+_DROP = {**FU, "fl": _curves({
+    "(none)": "1.0::DOUBLE - wgm", "u_a": "1.0::DOUBLE - no_a", "u_conformal": "1.0::DOUBLE - no_c",
+    "cmcs": "1.0::DOUBLE - no_m", "halluc": "1.0::DOUBLE - no_h"}),
+    "dcurve": sql_curve("{fl}", "grp", "u"),
+    "ds": "SELECT grp, avg(risk) AS aurc, avg(risk) - avg(oracle) AS eaurc FROM {dcurve} GROUP BY grp"}
+
+
+@query("f6_leave_one_out", """SELECT grp AS dropped, CASE WHEN grp = '(none)' THEN 4 ELSE 3 END AS n_factors, round(aurc, 6) AS aurc, round(eaurc, 6) AS eaurc,
+  round(aurc - (SELECT aurc FROM {ds} WHERE grp = '(none)'), 6) AS delta_aurc,
+  grp = '(none)' OR aurc > (SELECT aurc FROM {ds} WHERE grp = '(none)') AS justified FROM {ds}""", _DROP)
+def _(v):
+    out = fusion.leave_one_out(fusion_rows(v), CONFIG)
+    return out.withColumns({n: F.round(n, 6) for n in ("aurc", "eaurc", "delta_aurc")})
+
+
+@query("p21_baseline_mode_guard", """SELECT category, max(conformal_mode) AS mode, false AS refused FROM {claims} GROUP BY category""")
+def _(v):
+    rows = fusion_rows(v)
+    fusion.check_modes(rows, CONFIG)
+    try:
+        fusion.check_modes(rows.withColumn("conformal_mode", F.lit("entropy")), CONFIG)
+    except ValueError:
+        return rows.groupBy("category").agg(F.max("conformal_mode").alias("mode")).withColumn(
+            "refused", F.lit(False))
+    raise AssertionError("a baseline mode was not refused")
+
+
+SW = {
+    **P,
+    "swscored": sql_scored("{sweep}", where="true", extra=", corruption, severity")
+    .replace("SELECT image_id, category, label, parse_ok, anomaly_score , corruption, severity, 1 FROM {cal}",
+             "SELECT image_id, category, label, parse_ok, anomaly_score, NULL, NULL, 1 FROM {cal}"),
+    "swrows": f"SELECT *, {sql_mode('conformal_p', 'log')} AS u_conformal_log, concat(corruption, '|', CAST(severity AS VARCHAR)) AS cell FROM {{swscored}}",
+    "swauc": sql_auroc("{swrows}", "cell", "anomaly_score", "label"),
+    "swlong": """SELECT image_id, correct, concat(cell, '|u_conformal') AS grp, round(u_conformal, 12) AS u FROM {swrows}
+      UNION ALL SELECT image_id, correct, concat(cell, '|u_conformal_log'), round(u_conformal_log, 12) FROM {swrows}""",
+    "swcurve": sql_curve("{swlong}", "grp", "u", abstain="false"),
+    "swarea": "SELECT grp, avg(risk) AS aurc FROM {swcurve} GROUP BY grp",
+    "cells": """SELECT corruption, severity, r.cell, count(*) AS n, max(a.auroc) AS auroc, avg(CAST(correct AS INT)) AS accuracy,
+      avg(CASE WHEN label = 0 THEN CASE WHEN anomaly_score IS NOT NULL AND conformal_pred = 0 THEN 1 ELSE 0 END END) AS coverage_on_normals,
+      avg(u_conformal) AS mean_u_conformal, avg(u_conformal_log) AS mean_u_conformal_log
+      FROM {swrows} r JOIN {swauc} a ON a.cell = r.cell GROUP BY 1, 2, 3""",
+}
+SWEEP_SIGNALS = ["u_conformal", "u_conformal_log"]
+
+
+def sweep_table(v):
+    rows = shift.calibrate_cells(pool(v), v("sweep"))
+    # Rounded like the oracle, so that equal uncertainties tie in both engines.
+    rows = conformal.uncertainty_modes(rows, ["log"]).withColumns(
+        {u: F.round(u, 12) for u in SWEEP_SIGNALS})
+    return shift.evaluate_cells(rows, SWEEP_SIGNALS)
+
+
+_CELL_COLUMNS = ["auroc", "accuracy", "coverage_on_normals", "mean_u_conformal",
+                 "mean_u_conformal_log", "aurc_u_conformal", "aurc_u_conformal_log"]
+
+
+@query("d1_shift_cells", """SELECT corruption, severity, n, round(auroc, 6) AS auroc, round(accuracy, 6) AS accuracy,
+  round(coverage_on_normals, 6) AS coverage_on_normals, round(mean_u_conformal, 6) AS mean_u_conformal, round(mean_u_conformal_log, 6) AS mean_u_conformal_log,
+  round(a.aurc, 6) AS aurc_u_conformal, round(b.aurc, 6) AS aurc_u_conformal_log
+FROM {cells} c JOIN {swarea} a ON a.grp = concat(c.cell, '|u_conformal') JOIN {swarea} b ON b.grp = concat(c.cell, '|u_conformal_log')""", SW)
+def _(v):
+    out = sweep_table(v).drop("auroc_ci_lo", "auroc_ci_hi")
+    return out.withColumns({c: F.round(c, 6) for c in _CELL_COLUMNS})
+
+
+@query("d1_shift_cells_intervals")
+def _(v):
+    rows = shift.calibrate_cells(pool(v), v("sweep"))
+    return shift.evaluate_cells(rows, ["u_conformal"], n_boot=100)
+
+
+SW["mono"] = """SELECT corruption, signal, severity, auroc, value FROM (
+    SELECT k.corruption, 0 AS severity, c.auroc, c.mean_u_conformal AS a, c.mean_u_conformal_log AS b FROM {cells} c,
+      (SELECT DISTINCT corruption FROM {cells} WHERE corruption <> 'none') k WHERE c.corruption = 'none'
+    UNION ALL SELECT corruption, severity, auroc, mean_u_conformal, mean_u_conformal_log FROM {cells} WHERE corruption <> 'none') z,
+  LATERAL (SELECT unnest(['u_conformal', 'u_conformal_log']) AS signal, unnest([a, b]) AS value) s"""
+
+
+def _mid(x: str) -> str:
+    return (f"rank() OVER (PARTITION BY corruption, signal ORDER BY {x}) + (count(*) OVER (PARTITION BY corruption, signal, {x}) - 1) / 2.0::DOUBLE")
+
+
+SW["rho"] = f"""SELECT corruption, signal, CASE WHEN count(DISTINCT rv) > 1 THEN corr(rs, rv) END AS ru, CASE WHEN count(DISTINCT ra) > 1 THEN corr(rs, ra) END AS rau,
+  max_by(auroc, severity) - min_by(auroc, severity) AS da, max_by(value, severity) - min_by(value, severity) AS du
+  FROM (SELECT *, {_mid('severity')} AS rs, {_mid('round(value, 12)')} AS rv, {_mid('round(auroc, 12)')} AS ra FROM {{mono}}) q GROUP BY 1, 2"""
+
+
+@query("d2_sweep_monotonicity", """SELECT corruption, signal, round(ru, 6) AS spearman_severity_vs_uncertainty, round(rau, 6) AS spearman_severity_vs_auroc,
+  round(da, 6) AS delta_auroc_at_s5, round(du, 6) AS delta_uncertainty_at_s5 FROM {rho}""", SW)
+def _(v):
+    out = shift.monotonicity(rounded_sweep(v), SWEEP_SIGNALS).drop("rho_undefined",
+                                                                   "silent_failure")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
+
+
+def rounded_sweep(v):
+    """Cell means rounded, so that unchanged cells tie exactly."""
+    return sweep_table(v).withColumns({c: F.round(c, 12) for c in _CELL_COLUMNS})
+
+
+@query("d3_silent_failure", """SELECT corruption, signal, ru IS NULL AS rho_undefined, da < -0.02::DOUBLE AND (ru IS NULL OR ru < 0.5) AS silent_failure FROM {rho}""", SW)
+def _(v):
+    return shift.monotonicity(rounded_sweep(v), SWEEP_SIGNALS).select(
+        "corruption", "signal", "rho_undefined", "silent_failure")
+
+
+@query("w10_scaled_sweep_curves", """SELECT severity, signal, round(value, 6) AS value, round(CASE WHEN hi - lo > 1e-12 THEN (value - lo) / (hi - lo) ELSE 0 END, 6) AS scaled
+FROM (SELECT *, min(value) OVER (PARTITION BY signal) AS lo, max(value) OVER (PARTITION BY signal) AS hi FROM (
+  SELECT severity, 'u_conformal' AS signal, avg(mean_u_conformal) AS value FROM {cells} WHERE corruption <> 'none' GROUP BY 1
+  UNION ALL SELECT severity, 'u_conformal_log', avg(mean_u_conformal_log) FROM {cells} WHERE corruption <> 'none' GROUP BY 1) q) z""", SW)
+def _(v):
+    out = shift.scaled_curves(sweep_table(v), SWEEP_SIGNALS)
+    return out.withColumns({c: F.round(c, 6) for c in ("value", "scaled")})
+
+
+_HALF = {**P, "halves": f"""SELECT *, CASE WHEN rn <= round_even(0.5::DOUBLE * n, 0) THEN 'select' ELSE 'report' END AS bakeoff_half FROM (
+  SELECT *, row_number() OVER (PARTITION BY category, label ORDER BY {sql_u01("'0'", 'image_id')}, image_id) AS rn,
+    count(*) OVER (PARTITION BY category, label) AS n FROM {{signals}}) q"""}
+
+
+def halved(v):
+    return report.assign_halves(signal_records(v))
+
+
+@query("w6_select_report_split", "SELECT image_id, bakeoff_half FROM {halves}", _HALF)
+def _(v):
+    rows = v("evt").where(F.col("split") == "test")
+    return report.assign_halves(rows).select("image_id", "bakeoff_half")
+
+
+_HALF["half0"] = "SELECT *, 1 - CAST(correct AS INT) AS wrong FROM {halves} WHERE conformal_pred = 0"
+_HALF["hlong"] = " UNION ALL ".join(
+    f"SELECT concat(bakeoff_half, '|{s}') AS grp, {s} AS value, wrong FROM {{half0}}" for s in SIGNALS)
+_HALF["hauc"] = sql_auroc("{hlong}", "grp", "value", "wrong")
+_HALF["hs"] = "SELECT split_part(grp, '|', 1) AS half, split_part(grp, '|', 2) AS signal, auroc FROM {hauc}"
+
+
+@query("w7_winner_selection", """SELECT s.signal AS selected_signal, round(s.auroc, 9) AS select_auroc, round(r.auroc, 9) AS report_auroc, round(s.auroc - r.auroc, 9) AS selection_optimism
+FROM (SELECT * FROM {hs} WHERE half = 'select' AND auroc IS NOT NULL ORDER BY auroc DESC, signal DESC LIMIT 1) s JOIN {hs} r ON r.signal = s.signal AND r.half = 'report'""", _HALF)
+def _(v):
+    table = report.bakeoff(halved(v), SIGNALS, n_boot=0)
+    out = report.winner(table).drop("report_ci_lo", "report_ci_hi")
+    return r9(out, "select_auroc", "report_auroc", "selection_optimism")
+
+
+@query("s17_report_bundle", """
+SELECT 'abstention' AS table_name, count(DISTINCT category) + 1 AS n_rows FROM {signals}
+UNION ALL SELECT 'calibration', count(DISTINCT category) + 1 FROM {signals}
+UNION ALL SELECT 'detection', count(DISTINCT category) + 2 FROM {signals}
+UNION ALL SELECT 'estimators', 5 UNION ALL SELECT 'selective', 5""", P)
+def _(v):
+    """The bundle is written as CSV and its tables are counted from the files."""
+    folder = scratch(v, "report")
+    tables = report.build_report(signal_records(v), folder, n_boot=0)
+    out = None
+    for name in sorted(set(tables) - {"error_prediction"}):
+        part = v.spark.read.option("header", True).csv(f"{folder}/{name}").agg(
+            F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+

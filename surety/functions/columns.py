@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +20,15 @@ MODES = ("symmetric", "entropy", "boundary", "log")
 CONFIDENCE = {"HIGH": 1.0, "MEDIUM": 0.5, "LOW": 0.0}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is evaluated once per row.
+
+    Spark evaluates an expression inside a lambda again for every array element, also when it
+    does not depend on the element. Binding it outside keeps array work linear.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(c: Column) -> Column:
     """True for a present, finite number."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(INF))
@@ -112,19 +121,17 @@ def norm(v: Column) -> Column:
 def l2_normalise(v: Column) -> Column:
     """Unit-length copy of a vector; a vector of length below 1e-8 is divided by 1e-8."""
     length = F.greatest(norm(v), F.lit(1e-8))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return let(length, lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def array_mean(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), F.size(v))
 
 
 def array_std(v: Column) -> Column:
     """Population standard deviation of an array (two passes over the array)."""
-    mean = array_mean(v)
-    squares = F.aggregate(F.transform(v, lambda x: (x - mean) * (x - mean)),
-                          F.lit(0.0), lambda acc, x: acc + x)
-    return F.sqrt(squares / F.size(v))
+    return let(v, lambda a: let(array_mean(a), lambda mean: F.sqrt(F.try_divide(F.aggregate(
+        a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)), F.size(a)))))
 
 
 def array_range(v: Column) -> Column:
@@ -136,21 +143,24 @@ def spread(v: Column, stat: str) -> Column:
     if stat not in ("std", "range"):
         raise KeyError(f"unknown stat {stat!r}; 'std' or 'range'")
     kept = F.filter(v, finite)
-    return F.when(F.size(kept) > 0, array_std(kept) if stat == "std" else array_range(kept))
+    return let(kept, lambda a: F.when(
+        F.size(a) > 0, array_std(a) if stat == "std" else array_range(a)))
 
 
 def array_quantile(v: Column, q: float) -> Column:
     """Linearly interpolated quantile of an array."""
-    ordered = F.array_sort(v)
-    position = F.lit(float(q)) * (F.size(v) - 1)
-    lo = F.element_at(ordered, (F.floor(position) + 1).cast("int")).cast("double")
-    hi = F.element_at(ordered, (F.ceil(position) + 1).cast("int")).cast("double")
-    return F.when(F.size(v) > 0, lo + (hi - lo) * (position - F.floor(position)))
+    def interpolated(ordered: Column) -> Column:
+        position = F.lit(float(q)) * (F.size(ordered) - 1)
+        lo = F.element_at(ordered, (F.floor(position) + 1).cast("int")).cast("double")
+        hi = F.element_at(ordered, (F.ceil(position) + 1).cast("int")).cast("double")
+        return F.when(F.size(ordered) > 0, lo + (hi - lo) * (position - F.floor(position)))
+
+    return let(F.array_sort(v), interpolated)
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(v), lambda top: top + F.log(F.aggregate(
+        v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def conformal_rank(n: Column, delta: float) -> Column:

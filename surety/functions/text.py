@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from surety.functions.columns import let
+
 # The layout of a structured answer.
 VERDICT = r"(?i)ANSWER:\s*\**\s*(YES|NO)"
 OBSERVATION = r"(?is)OBSERVATION:\s*(.+?)(?=DEFECT_TYPE:|ANSWER:|\z)"
@@ -113,17 +115,26 @@ def _band(text: Column, terms: dict[str, tuple[float, float]]) -> Column:
 def location_claim(text: Column) -> Column:
     """Struct of a spatial claim: kind, row band, column band and whether it narrows anything."""
     low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s/-]", " ")
-    low = strip(F.regexp_replace(low, r"\s+", " "))
-    rows, cols = _band(low, ROW_TERMS), _band(low, COL_TERMS)
-    corner = _any(low, CORNER_TERMS)
-    kind = (F.when(low.isin(*NONE_TERMS), "none").when(corner, "corner")
-            .when(rows.isNotNull() | cols.isNotNull(), "quadrant")
-            .when(_any(low, EDGE_TERMS), "edge").when(_any(low, SURFACE_TERMS), "surface")
-            .otherwise("unparsed"))
+    return let(strip(F.regexp_replace(low, r"\s+", " ")), _claim)
+
+
+def _claim(low: Column) -> Column:
+    bands = F.struct(_band(low, ROW_TERMS).alias("r"), _band(low, COL_TERMS).alias("c"))
     whole = F.array(F.lit(0.0), F.lit(1.0))
-    default = F.when(kind == "corner", F.array(F.lit(LOW[0]), F.lit(LOW[1]))).otherwise(whole)
-    banded = kind.isin("corner", "quadrant")
-    r = F.when(banded, F.coalesce(rows, default)).otherwise(whole)
-    c = F.when(banded, F.coalesce(cols, default)).otherwise(whole)
-    return F.struct(kind.alias("kind"), r[0].alias("r0"), r[1].alias("r1"), c[0].alias("c0"),
-                    c[1].alias("c1"), kind.isin(*LOCALISED).alias("is_localized"))
+    corner = F.array(F.lit(LOW[0]), F.lit(LOW[1]))
+
+    def kind(b: Column) -> Column:
+        return (F.when(low.isin(*NONE_TERMS), "none").when(_any(low, CORNER_TERMS), "corner")
+                .when(b["r"].isNotNull() | b["c"].isNotNull(), "quadrant")
+                .when(_any(low, EDGE_TERMS), "edge").when(_any(low, SURFACE_TERMS), "surface")
+                .otherwise("unparsed"))
+
+    def limits(b: Column, k: Column) -> Column:
+        default = F.when(k == "corner", corner).otherwise(whole)
+        banded = k.isin("corner", "quadrant")
+        r = F.when(banded, F.coalesce(b["r"], default)).otherwise(whole)
+        c = F.when(banded, F.coalesce(b["c"], default)).otherwise(whole)
+        return F.struct(k.alias("kind"), r[0].alias("r0"), r[1].alias("r1"), c[0].alias("c0"),
+                        c[1].alias("c1"), k.isin(*LOCALISED).alias("is_localized"))
+
+    return let(bands, lambda b: let(kind(b), lambda k: limits(b, k)))

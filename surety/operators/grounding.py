@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surety.functions.columns import array_quantile, clip, or_null, ratio
+from surety.functions.columns import array_quantile, clip, let, or_null, ratio
 from surety.functions.text import location_claim
-from surety.operators.signals import pct_rank
+from surety.operators.signals import pct_ranks
 from surety.plans.joins import attach_groups, require_none
 from surety.plans.ranking import quantiles, ranked_cells, with_pooled
+from surety.session import materialise
 
 #: IoU thresholds of the sensitivity table (fixed values).
 IOU_THRESHOLDS = (0.0, 0.01, 0.05, 0.1, 0.2, 0.3)
@@ -24,25 +25,28 @@ ARMS = ("language_grounding", "global_spatial")
 
 def claim_mask(claim: Column, values: Column, size: Column, edge_width: float = 0.18) -> Column:
     """Boolean array of the pixels a claim covers, on the grid of ``values``."""
-    edge = F.greatest(F.bround(size * F.lit(edge_width)), F.lit(1.0)).cast("int")
-    r0, c0 = (claim["r0"] * size).cast("int"), (claim["c0"] * size).cast("int")
-    r1, c1 = F.ceil(claim["r1"] * size), F.ceil(claim["c1"] * size)
+    limits = F.struct(
+        claim["kind"].alias("kind"), size.alias("size"),
+        F.greatest(F.bround(size * F.lit(edge_width)), F.lit(1.0)).cast("int").alias("edge"),
+        (claim["r0"] * size).cast("int").alias("r0"), F.ceil(claim["r1"] * size).alias("r1"),
+        (claim["c0"] * size).cast("int").alias("c0"), F.ceil(claim["c1"] * size).alias("c1"))
 
-    def covered(_v: Column, i: Column) -> Column:
-        r, c = F.floor(i / size), i % size
-        frame = (r < edge) | (r >= size - edge) | (c < edge) | (c >= size - edge)
-        band = (r >= r0) & (r < r1) & (c >= c0) & (c < c1)
-        return (F.when(claim["kind"] == "none", F.lit(False))
-                .when(claim["kind"] == "edge", frame).otherwise(band))
+    def covered(k: Column, i: Column) -> Column:
+        r, c = F.floor(i / k["size"]), i % k["size"]
+        last = k["size"] - k["edge"]
+        frame = (r < k["edge"]) | (r >= last) | (c < k["edge"]) | (c >= last)
+        band = (r >= k["r0"]) & (r < k["r1"]) & (c >= k["c0"]) & (c < k["c1"])
+        return (F.when(k["kind"] == "none", F.lit(False))
+                .when(k["kind"] == "edge", frame).otherwise(band))
 
-    return F.transform(values, covered)
+    return let(limits, lambda k: F.transform(values, lambda _v, i: covered(k, i)))
 
 
 def attended_region(values: Column, top_frac: float = 0.05) -> Column:
     """Boolean array of the top-scoring share of the map; ties at the cut are kept."""
     k = F.greatest(F.bround(F.size(values) * F.lit(top_frac)), F.lit(1.0)).cast("int")
     cut = F.element_at(F.sort_array(values, asc=False), k)
-    return F.transform(values, lambda v: v >= cut)
+    return let(cut, lambda c: F.transform(values, lambda v: v >= c))
 
 
 def count_true(v: Column) -> Column:
@@ -104,13 +108,15 @@ def cmcs(records: DataFrame, maps: DataFrame, arm: str = "language_grounding",
     out = out.withColumn("spatial_score", spatial_evidence(F.col("values"), quantile))
     if arm == "language_grounding":
         out = claim_grounding(out, top_frac=top_frac, edge_width=edge_width)
-    out = out.drop("values", "h")
-    out = pct_rank(out, "anomaly_score", [group], "s_sem_rank")
-    out = pct_rank(out, "spatial_score", [group], "s_spatial_rank")
+    # The maps are not needed any more: keep their summaries rather than read them again.
+    out = materialise(out.drop("values", "h"))
+    names = {"anomaly_score": "s_sem_rank", "spatial_score": "s_spatial_rank"}
+    if arm == "language_grounding":
+        names["claim_contrast"] = "_contrast"
+    out = pct_ranks(out, names, [group])
     agreement = F.lit(1.0) - F.abs(F.col("s_sem_rank") - F.col("s_spatial_rank"))
     if arm == "global_spatial":
         return out.withColumns({"cmcs": agreement, "cmcs_arm": F.lit(arm)})
-    out = pct_rank(out, "claim_contrast", [group], "_contrast")
     half = F.lit(0.5)
     return out.withColumns({
         "cmcs": half * F.coalesce("_contrast", half) + half * agreement,

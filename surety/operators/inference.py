@@ -160,7 +160,8 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
         ranks = ranking.select(*group, column, "n", average_rank().alias(rank))
         rows = attach_cells(rows, ranks, parts, [*group, column])
     stats = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_r"),
+        F.count(F.lit(1)).alias("n"), F.try_divide(
+            F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_r"),
         F.countDistinct("_rx").alias("_dx"), F.countDistinct("_ry").alias("_dy"))
     known = (F.col("n") >= 3) & (F.col("_dx") > 1) & (F.col("_dy") > 1)
     return stats.select(*group, "n", F.when(known, F.col("_r")).alias("rho"))

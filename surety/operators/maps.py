@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surety.functions.columns import let
 from surety.operators.neighbours import knn_distance
 from surety.operators.scoring import score_mean_embedding
 
@@ -22,18 +23,20 @@ def window_boxes(size: Column, scales: Sequence[float] = (0.5, 0.3333),
 
     The last row and column are moved to the edge. Sizes round half to even.
     """
-    parts = []
-    for scale in scales:
-        w = F.greatest(F.bround(size * F.lit(float(scale))), F.lit(16)).cast("int")
+    def boxes(w: Column, tops: Column) -> Column:
+        return F.flatten(F.transform(tops, lambda t: F.transform(
+            tops, lambda x: F.struct(x.alias("l"), t.alias("t"), (x + w).alias("r"),
+                                     (t + w).alias("b")))))
+
+    def grid(w: Column) -> Column:
         step = F.greatest(F.bround(w * F.lit(float(stride))), F.lit(1)).cast("int")
         last = (size - w).cast("int")
         tops = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), step)
-        tops = F.when(F.element_at(tops, -1) != last, F.concat(tops, F.array(last))).otherwise(
-            tops)
-        parts.append(F.flatten(F.transform(tops, lambda t, tops=tops, w=w: F.transform(
-            tops, lambda x, t=t, w=w: F.struct(x.alias("l"), t.alias("t"),
-                                               (x + w).alias("r"), (t + w).alias("b"))))))
-    return F.concat(*parts).cast(f"array<{BOX}>")
+        return let(F.when(F.element_at(tops, -1) != last, F.concat(tops, F.array(last)))
+                   .otherwise(tops), lambda t: boxes(w, t))
+
+    sides = [F.greatest(F.bround(size * F.lit(float(s))), F.lit(16)).cast("int") for s in scales]
+    return F.concat(*[let(w, grid) for w in sides]).cast(f"array<{BOX}>")
 
 
 def window_grid(images: DataFrame, size: str = "size",

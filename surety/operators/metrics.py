@@ -11,6 +11,7 @@ from surety.functions.columns import clip, ratio
 from surety.plans.joins import attach_groups
 from surety.plans.ranking import POOLED, cells, quantiles, ranked_cells, with_pooled
 from surety.plans.resample import auroc_draws, percentile_interval
+from surety.session import materialise
 
 SCORE, LABEL = "anomaly_score", "label"
 
@@ -236,6 +237,7 @@ def error_prediction_table(records: DataFrame, signals: Sequence[str],
             else F.lit(None).cast("int"))
     base = records.select(*by, F.col(group).cast("string").alias("_group"), pred.alias("_pred"),
                           wrong.alias("_wrong"), F.array(*values).alias("_values"))
+    base = materialise(base)    # read twice below, and often costly to derive
 
     def scoped(df: DataFrame) -> DataFrame:
         scopes = F.array_compact(F.array(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surety.functions.columns import array_mean, let
 from surety.plans.joins import BROADCAST_ROWS
 from surety.session import materialise
 
@@ -73,6 +74,5 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
     if (widest or 0) > 1:
         pairs = pairs.groupBy(*row).agg(F.flatten(F.collect_list("_top")).alias("_top"))
     best = F.slice(F.sort_array("_top", asc=False), 1, k)
-    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
-    found = pairs.select(*row, (F.lit(1.0) - mean).alias(name))
+    found = pairs.select(*row, (F.lit(1.0) - let(best, array_mean)).alias(name))
     return queries.select(*keys, *row).join(found, row, "left")

@@ -12,6 +12,7 @@ from surety.operators.conformal import MondrianConformal
 from surety.operators.inference import bootstrap_auroc, spearman
 from surety.operators.metrics import auroc
 from surety.operators.selective import area_summary, risk_coverage, signals_long
+from surety.session import materialise
 
 CELL = ["corruption", "severity"]
 
@@ -27,6 +28,10 @@ def calibrate_cells(clean_cal: DataFrame, cells: DataFrame, delta: float = 0.05,
 def evaluate_cells(rows: DataFrame, signals: Sequence[str], n_boot: int = 0, seed: int = 0,
                    row: str = "image_id") -> DataFrame:
     """One row per cell: detection, accuracy, coverage, and each signal's mean and AURC."""
+    sizes = ["set_size"] if "set_size" in rows.columns else []
+    # Three aggregations read these columns; deriving them once is cheaper.
+    rows = materialise(rows.select(*CELL, row, "label", "anomaly_score", "conformal_pred",
+                                   "correct", *signals, *sizes))
     s = F.col("anomaly_score")
     normal = F.col("label") == 0
     kept = finite(s) & (F.col("conformal_pred") == 0)
@@ -77,7 +82,7 @@ def monotonicity(sweep: DataFrame, signals: Sequence[str],
 
     ``signals`` are tracked through their ``mean_`` columns and ``extra`` columns as they are.
     """
-    full = with_clean_row(sweep).withColumn("severity", F.col("severity").cast("double"))
+    full = with_clean_row(materialise(sweep)).withColumn("severity", F.col("severity").cast("double"))
     tracked = {s: F.col(f"mean_{s}") for s in signals} | {c: F.col(c) for c in extra}
     long = full.select("corruption", "severity", "auroc", F.explode(F.array(*[
         F.struct(F.lit(n).alias("signal"), c.cast("double").alias("value"))
