@@ -55,11 +55,11 @@ def attach_cells(rows: DataFrame, cells: DataFrame, parts: DataFrame, keys: Sequ
                    if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
     spread = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS))
     salted = (rows.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+              .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("bigint")))
               .drop("_hot"))
-    repeated = (cells.withColumn(
-        "_salt", F.explode(F.when(F.col(n) > threshold, F.sequence(F.lit(0), F.lit(SALTS - 1)))
-                           .otherwise(F.array(F.lit(0)))).cast("bigint")).drop(n))
+    all_salts = F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])
+    salts = F.when(F.col(n) > threshold, all_salts).otherwise(F.slice(all_salts, 1, 1))
+    repeated = cells.withColumn("_salt", F.explode(salts)).drop(n)
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

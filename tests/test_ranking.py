@@ -89,8 +89,6 @@ def test_hot_key_join_gives_the_same_rows(spark, monkeypatch):
     ranking, parts = ranked_parts(df, ["category"], "s", {"n": F.lit(1)})
     cells = ranking.select("category", "s", "n", "n_before")
     plain = sorted(map(tuple, attach_cells(df, cells, parts, ["category", "s"]).collect()))
-    monkeypatch.setattr(joins, "HOT_ROWS", 20)
-    monkeypatch.setattr(joins, "HOT_SHARE", 1)
     monkeypatch.setattr(joins, "HOT_ROWS", 50)
     monkeypatch.setattr(joins, "HOT_SHARE", 8)
     salted = attach_cells(df, cells, parts, ["category", "s"])
