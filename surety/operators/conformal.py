@@ -7,32 +7,32 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions.columns import (INF, calibration_sd, check_delta, conformal_rank, finite,
                                       pvalue_uncertainty, uniform, widen)
 from surety.plans.joins import attach_cells, attach_groups, bounded, require_none
-from surety.plans.ranking import POOLED, order_statistics, ranked_cells, ranked_parts
+from surety.plans.ranking import (POOLED, first_rows, order_statistics, ranked_cells,
+                                   ranked_parts)
 
 SCORE, GROUP, ROW = "anomaly_score", "category", "image_id"
 
 
 def calibration_pool(cal: DataFrame, score: str = SCORE, group: str = GROUP,
-                     n_cal: int | None = None, seed: int = 0, row: str = ROW) -> DataFrame:
+                     n_cal: int | None = None, seed: int = 0, row: str = ROW,
+                     check: bool = True) -> DataFrame:
     """Finite scores of normal rows, optionally a seeded draw of ``n_cal`` rows per group.
 
     An anomalous row raises: calibration must not see anomalies.
     """
-    if "label" in cal.columns:
+    if check and "label" in cal.columns:
         require_none(cal.where(F.col("label") != 0).select(group, "label"),
                      "conformal calibration must use normal-only data")
     pool = cal.where(finite(F.col(score)))
     if n_cal is not None:
-        # A rank filter, so each map task forwards at most n_cal rows per group.
-        order = Window.partitionBy(group).orderBy(uniform(seed, row), row)
-        pool = (pool.withColumn("_draw", F.row_number().over(order))
-                .where(F.col("_draw") <= n_cal).drop("_draw"))
+        pool = first_rows(pool.withColumn("_u", uniform(seed, row)), [group], ["_u", row],
+                          n_cal).drop("_u")
     return pool
 
 
@@ -81,9 +81,8 @@ def pool_counts(test: DataFrame, pools: Mapping[str, DataFrame], score: str = SC
         *[(F.col(f"{p}_before") + F.col(p)).alias(f"{p}_le") for p in names],
         *[F.col(p).alias(f"{p}_eq") for p in names])
     out = attach_cells(test, counted, parts, [group, score])
-    union_sizes = (union.where(finite(F.col(score))).groupBy(group)
-                   .agg(*[F.sum(f"_{p}").alias(f"{p}_n") for p in names]))
-    out = attach_groups(out, union_sizes, [group])
+    sizes = parts.groupBy(group).agg(*[F.sum(p).alias(f"{p}_n") for p in names])
+    out = attach_groups(out, sizes, [group])
     s = F.col(score)
     inside = finite(s)
     for p in names:
@@ -131,9 +130,11 @@ class MondrianConformal:
     pool: DataFrame | None = field(default=None, repr=False)
     fitted: DataFrame | None = field(default=None, repr=False)
 
-    def fit(self, cal: DataFrame, n_cal: int | None = None) -> MondrianConformal:
+    def fit(self, cal: DataFrame, n_cal: int | None = None,
+            check: bool = True) -> MondrianConformal:
         """Keep the calibration pool and its ``(group, n_cal, threshold)`` table."""
-        self.pool = calibration_pool(cal, self.score, self.group, n_cal, self.seed, self.row)
+        self.pool = calibration_pool(cal, self.score, self.group, n_cal, self.seed, self.row,
+                                     check)
         self.fitted = bounded(
             thresholds(self.pool, [self.delta], self.score, [self.group]).drop("delta"))
         return self
@@ -171,9 +172,9 @@ def calibrate(records: DataFrame, delta: float = 0.05, score: str = SCORE, group
     "normal", as in the reference behaviour.
     """
     cal = records.where((F.col("split") == "train") & (F.col("label") == 0))
-    if not cal.limit(1).count():
+    model = MondrianConformal(delta, randomized, seed, score, group).fit(cal, n_cal, check=False)
+    if not model.fitted.limit(1).count():
         raise ValueError("no normal training records to calibrate on")
-    model = MondrianConformal(delta, randomized, seed, score, group).fit(cal, n_cal)
     out = model.transform(records.where(F.col("split") == "test"), mode, tau, strict)
     return out.withColumn("correct", F.col("conformal_pred") == F.col("label")), model
 
@@ -299,10 +300,8 @@ def n_cal_sensitivity(cal: DataFrame, test: DataFrame, deltas: Sequence[float] =
     if sizes:
         draws = pool.select(group, score, row).withColumn(
             "rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-        order = Window.partitionBy("rep", group).orderBy(
-            uniform((F.lit(seed) + F.col("rep")), row), row)
-        draws = (draws.withColumn("_draw", F.row_number().over(order))
-                 .where(F.col("_draw") <= max(sizes))
+        draws = draws.withColumn("_u", uniform(F.lit(seed) + F.col("rep"), row))
+        draws = (first_rows(draws, ["rep", group], ["_u", row], max(sizes), "_draw")
                  .withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
                  .where(F.col("_draw") <= F.col("size")))
         limits = thresholds(draws, deltas, score, ["size", "rep", group])

@@ -20,6 +20,9 @@ def bootstrap_auroc(df: DataFrame, group: Sequence[str], score: str = "anomaly_s
                     label: str = "label", n_boot: int = 1000, seed: int = 0,
                     alpha: float = 0.05, with_ap: bool = False) -> DataFrame:
     """Point value and percentile interval of AUROC (and AUPR) per group."""
+    if not group:
+        return bootstrap_auroc(df.withColumn("_all", F.lit(0)), ["_all"], score, label, n_boot,
+                               seed, alpha, with_ap).drop("_all")
     group = list(group)
     ranking = ranked_cells(df, group, score, class_sums(F.col(label)))
     out = rank_metrics_of(ranking, group)
@@ -54,6 +57,9 @@ def paired_bootstrap(aligned: DataFrame, group: Sequence[str], n_boot: int = 100
                      seed: int = 0, alpha: float = 0.05, row: str = "image_id",
                      label: str = "label") -> DataFrame:
     """Interval and two-sided p-value of ``AUROC(a) - AUROC(b)`` on the same resamples."""
+    if not group:
+        return paired_bootstrap(aligned.withColumn("_all", F.lit(0)), ["_all"], n_boot, seed,
+                                alpha, row, label).drop("_all")
     group = list(group)
     long = aligned.select(
         *group, row, label, F.explode(F.array(

@@ -85,10 +85,11 @@ def pro_curve(maps: DataFrame, group: Sequence[str], n_thresholds: int = 200,
         F.max(F.array_max("values")).cast("double").alias("_hi"),
         F.min(F.array_min("values")).cast("double").alias("_lo"))
     ranges = ranges.where(F.col("_hi") > F.col("_lo"))
-    rows = attach_groups(maps, ranges, group, "inner").withColumn(
-        "_labels", region_labels("mask", "h", "w"))
+    if "labels" not in maps.columns:
+        maps = regions(maps)
+    rows = attach_groups(maps, ranges, group, "inner")
     pixels = rows.select(*group, row, "_hi", "_lo", F.explode(F.arrays_zip(
-        F.col("values").alias("v"), F.col("_labels").alias("region"))).alias("_p")).select(
+        F.col("values").alias("v"), F.col("labels").alias("region"))).alias("_p")).select(
         *group, row, "_hi", "_lo", F.col("_p.v").cast("double").alias("v"), "_p.region")
     near = F.ceil((F.col("_hi") - F.col("v")) / (F.col("_hi") - F.col("_lo")) * steps).cast("int")
     v = F.col("v")
@@ -137,7 +138,8 @@ def pixel_table(maps: DataFrame, masks: DataFrame, group: str = "category",
                 row: str = "image_id") -> DataFrame:
     """Pixel AUROC and PRO per map kind, for each group and pooled."""
     keys = ["map_kind", "group"]
-    rows = with_pooled(with_masks(maps, masks, row), group)
+    # Regions are found once, before the rows are fanned out to the pooled group.
+    rows = with_pooled(regions(with_masks(maps, masks, row)), group)
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return (n.join(pixel_auroc(rows, keys).drop("n_pixels"), keys, "left")
             .join(pro_score(rows, keys, row=row), keys, "left")

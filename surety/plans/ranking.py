@@ -137,3 +137,26 @@ def quantiles(ranking: DataFrame, group: Sequence[str], value: str,
 def average_rank(n: str = "n") -> Column:
     """Mean rank of a tie group from an ascending :func:`ranked_cells`."""
     return F.col(f"{n}_before") + (F.col(n) + F.lit(1.0)) / F.lit(2.0)
+
+
+#: Largest rank filter that Spark also applies before the shuffle (its default limit).
+RANK_FILTER = 1000
+
+
+def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int,
+               position: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group, optionally with their 1-based ``position``.
+
+    A small ``n`` is a rank filter: each map task forwards at most ``n`` rows per group. A
+    larger one is read off distributed prefix sums, so a dominant group is never in one task.
+    """
+    name = position or "_position"
+    if n <= RANK_FILTER:
+        window = Window.partitionBy(*group).orderBy(*order)
+        out = df.withColumn(name, F.row_number().over(window))
+    else:
+        ranked = prefix_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"])
+        out = ranked.withColumn(name, F.col("_one_before") + 1).drop(
+            "_one", "_one_before", "_one_total")
+    out = out.where(F.col(name) <= n)
+    return out if position else out.drop(name)

@@ -6,11 +6,12 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions.columns import uniform
 from surety.plans.joins import attach_groups
+from surety.plans.ranking import first_rows
 
 # Image suffixes and index columns.
 SUFFIXES = (".png", ".jpg", ".jpeg", ".JPG", ".PNG", ".bmp")
@@ -96,11 +97,8 @@ def take_per_folder(index: DataFrame, subset: Subset) -> DataFrame:
     if subset.n is None:
         return index
     keys = ["category", "split", "defect_type"]
-    order = Window.partitionBy(*keys).orderBy(uniform(subset.seed, *keys, "image_id"),
-                                              "image_id")
-    # A rank filter: each map task forwards at most n images per folder.
-    return (index.withColumn("_r", F.row_number().over(order))
-            .where(F.col("_r") <= subset.n).drop("_r"))
+    drawn = index.withColumn("_u", uniform(subset.seed, *keys, "image_id"))
+    return first_rows(drawn, keys, ["_u", "image_id"], subset.n).drop("_u")
 
 
 def build_index(paths: DataFrame, masks: DataFrame | None = None,
@@ -140,9 +138,7 @@ def build_index(paths: DataFrame, masks: DataFrame | None = None,
 def synthetic_pool(index: DataFrame, n: int, group: str = "category",
                    row: str = "image_id") -> DataFrame:
     """The first ``2n`` rows of each group, every second one marked for synthesis."""
-    order = Window.partitionBy(group).orderBy(row)
-    # A rank filter: each map task forwards at most 2n rows per group.
-    return (index.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * n)
+    return (first_rows(index, [group], [row], 2 * n, "_r")
             .withColumns({"synthetic_anomaly": ((F.col("_r") - 1) % 2).cast("int"),
                           "split": F.lit("synthetic")}).drop("_r"))
 

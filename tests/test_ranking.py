@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surety.plans import joins
 from surety.plans.joins import attach_cells
-from surety.plans.ranking import prefix_sums, quantiles, ranged, ranked_cells, ranked_parts
+from surety.plans.ranking import first_rows, prefix_sums, quantiles, ranged, ranked_cells, ranked_parts
 from surety.plans.resample import auroc_draws, poisson_weights
 from surety.operators.inference import holm, paired_bootstrap, spearman
 from surety.operators.metrics import calibration_errors, rank_metrics
@@ -97,6 +97,16 @@ def test_hot_key_join_gives_the_same_rows(spark, monkeypatch):
                       .collect())) == plain
 
 
+def test_large_first_rows_match_the_rank_filter(spark, monkeypatch):
+    df = frame(spark, rows())
+    few = sorted(r["image_id"] for r in first_rows(df, ["category"], ["s", "image_id"], 40)
+                 .collect())
+    monkeypatch.setattr("surety.plans.ranking.RANK_FILTER", 1)
+    many = first_rows(df, ["category"], ["s", "image_id"], 40, "p")
+    assert many.columns == [*df.columns, "p"]
+    assert sorted(r["image_id"] for r in many.collect()) == few
+
+
 def test_ece_of_constant_scores(spark):
     data = [(str(i), "g", int(i < 3), 0.5) for i in range(10)]
     r = calibration_errors(frame(spark, data), ["category"], score="s").first()
