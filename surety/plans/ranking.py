@@ -156,7 +156,5 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int
         out = df.withColumn(name, F.row_number().over(window))
     else:
         ranked = prefix_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"])
-        out = ranked.withColumn(name, F.col("_one_before") + 1).drop(
-            "_one", "_one_before", "_one_total")
-    out = out.where(F.col(name) <= n)
-    return out if position else out.drop(name)
+        out = ranked.withColumn(name, F.col("_one_before") + 1)
+    return out.where(F.col(name) <= n).select(*df.columns, *([name] if position else []))
