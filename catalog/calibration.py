@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.parts import D, P, sql_clip, sql_fan, sql_mode, sql_rank, sql_scored, sql_thr, sql_u01
+from catalog.parts import P, sql_fan, sql_mode, sql_rank, sql_scored, sql_thr, sql_u01
 from catalog.registry import Inputs, query
 from surety.functions.columns import (MODES, calibration_sd, pvalue_uncertainty, widen)
 from surety.operators import conformal, prediction_sets, temperature
-from surety.plans.joins import attach_groups, require_none
-from surety.plans.ranking import ranked_cells
+from surety.plans.joins import require_none
 
 DELTAS = [0.01, 0.05, 0.1, 0.2]
 
