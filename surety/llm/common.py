@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surety.session import materialise
 
@@ -28,6 +29,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` with one more column at its end."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(f"`{name}` {kind}").fields])
+
+
 def utf8_steps(texts: pa.Array, budget: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into runs of rows of about ``budget`` bytes.
 
@@ -52,7 +58,8 @@ def utf8_steps(texts: pa.Array, budget: int = STEP_BYTES) -> Iterator[tuple[int,
         first = end
 
 
-def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+              schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; batches without rows are passed over."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import arrow_map, components, free_name, local_roots, sorted_runs, stream_groups, whole_text
+from surety.llm.common import arrow_map, components, free_name, local_roots, schema_with, sorted_runs, stream_groups, whole_text
 from surety.session import materialise
 
 SHINGLE_WORDS = 3
@@ -179,6 +179,6 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         values = np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, fp])
 
-    marked = arrow_map(docs, run, docs.schema.add(fp, "bigint")).withColumns({
+    marked = arrow_map(docs, run, schema_with(docs, fp, "bigint")).withColumns({
         keys[0]: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), keys[1]: F.col("doc_id").isNull()})
     return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
