@@ -34,7 +34,20 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 30_000
 #: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` lists the latest."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
 
 
 class ChunkEncoder:
@@ -52,7 +65,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
@@ -64,7 +77,6 @@ class ChunkEncoder:
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(codes), np.uint32, total)
-        self.known.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.used += total
@@ -72,19 +84,22 @@ class ChunkEncoder:
     def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
             self.forget()
-        chunked = [None if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list(set().union(*(c for c in chunked if c)).difference(self.known))
-        if new:
-            self.learn(new)
-        find = self.known.__getitem__
-        for text, chunks in zip(texts, chunked):
-            if chunks is None:
+        plain = [b"" if b"<|" in t else t for t in texts]
+        counts = [t.count(b" ") + t.count(b"\n") + 1 for t in plain]
+        chunks = b" ".join(plain).lower().replace(b"\n", b" ").split(b" ")
+        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        borders = ends[np.cumsum(counts) - 1].tolist()
+        for text, use, a, b in zip(texts, plain, [0, *borders], borders):
+            if use or not text:
+                yield ids[a:b]
+            else:
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-                continue
-            which = np.fromiter(map(find, chunks), np.int64, len(chunks))
-            sizes = self.size[which]
-            ends = np.cumsum(sizes)
-            yield self.flat[np.repeat(self.start[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
 @lru_cache(maxsize=1)
