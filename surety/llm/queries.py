@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import minhash, packing, quality, simhash
+from surety.llm import minhash, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,23 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def span_list(spans: str):
+    """``kind:start:end`` of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def spans_of(spans: str, kind: str):
+    """``n_<kind>``: how many of the spans are of that kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+@query
+def op9_skip_chain_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs))
+    return found.select("doc_id", *[spans_of("base", k) for k in pii.KINDS], F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return minhash.fingerprint_next(table(spark, sf_dir, "documents"))
