@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import minhash, packing, pii, quality, simhash, suffix_dedup
+from surety.llm import minhash, packing, pii, quality, secrets, simhash, suffix_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,12 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op2_line_field_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +58,20 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.train(docs))
+    names = F.array(*map(F.lit, secrets.KINDS))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint") for kind in range(3)]
+    return found.select("doc_id", *[c.alias(f"n_{k}") for c, k in zip(counts, secrets.KINDS)],
+                        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def span_list(spans: str):
     """``kind:start:end`` of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
