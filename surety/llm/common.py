@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.session import materialise
+from surety.session import checkpoint_dir, materialise
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -70,6 +72,40 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+class Scratch:
+    """Tables written to the shared checkpoint folder in place of long lineages.
+
+    A chain of many sorts would leave all its shuffles and tables on disk until the end.
+    ``drop`` deletes tables that are read no more, and lets Spark's cleaner remove the shuffle
+    files behind them; a lost executor only ever goes back to the latest table.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Let go of plans that nothing refers to, and so of their shuffle files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def sorted_runs(key: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values in ``key``, with its length at the end."""
     if not len(key):

@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from surety.llm.common import arrow_map, free_name, sorted_runs, utf8_steps, whole_text
+from surety.llm.common import Scratch, arrow_map, free_name, sorted_runs, stream_groups, utf8_steps, whole_text
 from surety.llm.minhash import mix
 from surety.session import materialise
 
@@ -212,7 +213,7 @@ def _first_of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.sort(first)))
 
 
-def regions(texts: DataFrame) -> DataFrame:
+def regions(scratch: Scratch, texts: DataFrame) -> DataFrame:
     """``(seg, tid, start, data)``: the stretches of the distinct texts that can hold a repeat.
 
     ``texts`` has ``tid`` (a hash of the text) and ``text``. Copies are thinned out before anything
@@ -226,7 +227,7 @@ def regions(texts: DataFrame) -> DataFrame:
     cut = (once.join(places, "tid").select("tid", "text", "places")
            .mapInArrow(_cut_regions, "tid bigint, start int, data binary"))
     # A hot text may be split over tasks by adaptive execution; each region stays once.
-    return materialise(cut.withColumn("seg", F.xxhash64("tid", "start")).dropDuplicates(["seg"]))
+    return scratch.keep(cut.withColumn("seg", F.xxhash64("tid", "start")).dropDuplicates(["seg"]))
 
 
 # --- phrases -----------------------------------------------------------------------------------
@@ -305,19 +306,20 @@ def _phrases(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 # --- difference cover --------------------------------------------------------------------------
 
-def ordered(df: DataFrame, keys: Sequence[str], run: Sequence[str] = (), flag: str | None = None) -> DataFrame:
-    """Sort globally and add ``pos``, the place in the order, starting at 0.
+def ordered(scratch: Scratch, df: DataFrame, keys: Sequence[str], run: Sequence[str] = (), flag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sort globally; returns the stored rows and a view of them that adds ``pos``, the place in the order.
 
-    With ``run``: also ``name``, the place of the first row of the same values in these leading
-    keys. With ``flag``: also ``zeros``, the number of earlier rows whose flag is 0. Rows are
-    range-partitioned by ``keys``, numbered inside each partition as they pass, and stored; one
-    summary row for each partition is added up in the driver.
+    With ``run``: also ``name``, the place of the first row of the same values in these columns,
+    and ``lone``, whether no neighbour has them. With ``flag``: also ``zeros``, the number of
+    earlier rows whose flag is 0. Rows are range-partitioned by ``keys``, numbered inside each
+    partition as they pass, and stored; one summary row for each partition is added up in the
+    driver.
     """
     names = df.columns
-    added = "_pid int, _at bigint, _run bigint, _zeros bigint"
 
-    def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, at, zeros, run_start, last = TaskContext.get().partitionId(), 0, 0, 0, None
+        held: pa.RecordBatch | None = None      # the latest row, while it is alone in its run
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -327,42 +329,60 @@ def ordered(df: DataFrame, keys: Sequence[str], run: Sequence[str] = (), flag: s
             values = [batch.column(c).to_numpy() for c in run]
             for v in values:
                 opens[1:] |= v[1:] != v[:-1]
-            now = tuple(int(v[0]) for v in values)
-            opens[0] = now != last
+            opens[0] = tuple(int(v[0]) for v in values) != last
             start = np.maximum.accumulate(np.where(opens, place, run_start))
+            before = np.zeros(n, np.int64)
             if flag:
                 is_zero = (batch.column(flag).to_numpy() == 0).astype(np.int64)
                 before = zeros + np.cumsum(is_zero) - is_zero
                 zeros += int(is_zero.sum())
-            else:
-                before = np.zeros(n, np.int64)
+            lone = opens & np.append(opens[1:], True)
             last, run_start, at = tuple(int(v[-1]) for v in values), int(start[-1]), at + n
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(place), pa.array(start), pa.array(before)],
-                names=[*names, "_pid", "_at", "_run", "_zeros"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    rows = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run_rows, f"{schema}, {added}"))
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(place), pa.array(start), pa.array(before), pa.array(lone)],
+                names=[*names, "_pid", "_at", "_run", "_zeros", "_lone"])
+            if held is not None:
+                yield held if opens[0] else held.set_column(len(names) + 4, "_lone", pa.array([False]))
+                held = None
+            if run and lone[-1]:
+                held = out.slice(n - 1)
+                out = out.slice(0, n - 1)
+            yield out
+        if held is not None:
+            yield held
+
+    added = T._parse_datatype_string("_pid int, _at bigint, _run bigint, _zeros bigint, _lone boolean")
+    rows = scratch.keep(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                        .mapInArrow(number, T.StructType([*df.schema.fields, *added.fields])))
     ends = F.struct(*run) if run else F.lit(0)
     zero = F.sum((F.col(flag) == 0).cast("bigint")) if flag else F.lit(0)
     parts = rows.groupBy("_pid").agg(
         F.count("*").alias("n"), zero.alias("z"), F.min_by(ends, "_at").alias("head"),
         F.max_by(ends, "_at").alias("tail"), F.max("_run").alias("tail_run")).orderBy("_pid").collect()
-    table, before, zeros, tail, tail_name = [], 0, 0, None, 0
-    for p in parts:
-        head_name = tail_name if run and p["head"] == tail else before
-        table.append((p["_pid"], before, zeros, head_name))
-        if p["tail_run"] > 0 or not table or head_name == before:
-            tail_name = before + p["tail_run"]
-        tail, before, zeros = p["tail"], before + p["n"], zeros + p["z"]
+    table: list[list] = []
+    before = zeros = tail_name = 0
+    for k, p in enumerate(parts):
+        goes_on = bool(run) and k > 0 and p["head"] == parts[k - 1]["tail"]
+        head_name = tail_name if goes_on else before
+        if goes_on:
+            table[-1][5] = True
+        table.append([p["_pid"], before, zeros, head_name, goes_on, False, p["n"] - 1])
+        tail_name = before + p["tail_run"] if p["tail_run"] else head_name
+        before, zeros = before + p["n"], zeros + p["z"]
     # One row for each partition: a bound that does not follow the rows.
-    offsets = df.sparkSession.createDataFrame(table, "_pid int, _before bigint, _z bigint, _head bigint")
-    out = rows.join(F.broadcast(offsets), "_pid").withColumn("pos", F.col("_before") + F.col("_at"))
+    offsets = df.sparkSession.createDataFrame(
+        table, "_pid int, _before bigint, _z bigint, _head bigint, _joins boolean, _goes boolean, _end bigint")
+    view = rows.join(F.broadcast(offsets), "_pid").withColumn("pos", F.col("_before") + F.col("_at"))
+    more = ["pos"]
     if run:
-        out = out.withColumn("name", F.when(F.col("_run") == 0, F.col("_head")).otherwise(F.col("_before") + F.col("_run")))
+        met = (F.col("_joins") & (F.col("_run") == 0)) | (F.col("_goes") & (F.col("_at") == F.col("_end")))
+        view = view.withColumn("name", F.when(F.col("_run") == 0, F.col("_head")).otherwise(F.col("_before") + F.col("_run")))
+        view = view.withColumn("lone", F.col("_lone") & ~met)
+        more += ["name", "lone"]
     if flag:
-        out = out.withColumn("zeros", F.col("_z") + F.col("_zeros"))
-    return out.select(*names, "pos", *(["name"] if run else []), *(["zeros"] if flag else []))
+        view = view.withColumn("zeros", F.col("_z") + F.col("_zeros"))
+        more.append("zeros")
+    return rows, view.select(*names, *more)
 
 
 def _following(column: str, step: int, by: Window) -> Column:
@@ -371,79 +391,121 @@ def _following(column: str, step: int, by: Window) -> Column:
     return F.coalesce(F.when(there, F.lead(column, step).over(by)), F.lit(0).cast("bigint"))
 
 
-def suffix_order(rows: DataFrame, reach: int = 1) -> DataFrame:
-    """Sort keys ``(seg, i, k1, k2, k3)`` of all suffixes of the strings ``rows``.
+def suffix_order(scratch: Scratch, rows: DataFrame, reach: int = 1) -> DataFrame:
+    """Sort keys ``k1, k2, k3`` of all suffixes of the strings ``rows``; ``seg, i, core`` are kept.
 
-    ``rows`` has ``seg, i, c, c1, c2, need``: characters at consecutive ``i`` of string ``seg``, the
-    two that follow, and how many phrases of the suffix have to decide its order (a character
-    stands for ``reach`` phrases). Suffixes equal in all those phrases may come in any order.
+    ``rows`` has ``seg, i, c, c1, c2, need, core``: characters at consecutive ``i`` of string
+    ``seg``, the two that follow, how many phrases of the suffix have to decide its order (a
+    character stands for ``reach`` phrases), and a number that is carried along. Suffixes equal in
+    all those phrases may come in any order.
     """
     by = Window.partitionBy("seg").orderBy("i")
-    sampled = rows.where("i % 3 <> 0").select("seg", "i", "c", "c1", "c2", "need")
-    named = ordered(sampled, ["c", "c1", "c2", "seg", "i"], ["c", "c1", "c2"]).select(
-        "seg", "i", "pos", "name", (F.col("need") > 3 * reach).alias("open"), "need")
-    if named.where("open").limit(1).count():
-        named = _recurse(materialise(named), 3 * reach)
-    ranks = named.select("seg", "i", (F.col("pos") + 1).alias("rank"))
+    stored, named = ordered(scratch, rows.where("i % 3 <> 0"), ["c", "c1", "c2", "seg", "i"], ["c", "c1", "c2"])
+    named = named.withColumn("open", F.col("need") > 3 * reach)
+    better = _recurse(scratch, named, 3 * reach) if named.where("open").limit(1).count() else None
+    ranks = named.select("seg", "i", "c", "c1", "core", "pos")
+    if better is not None:
+        ranks = ranks.join(better, ["seg", "i"], "left").withColumn("pos", F.coalesce("better", "pos")).drop("better")
     # Characters and ranks of one string meet here: one shuffle by string.
-    chars = rows.select("seg", "i", "c", "c1", F.lit(None).cast("bigint").alias("rank"))
-    both = chars.unionByName(ranks.select("seg", "i", F.lit(None).cast("bigint").alias("c"),
-                                          F.lit(None).cast("bigint").alias("c1"), "rank"))
-    joined = both.groupBy("seg", "i").agg(F.max("c").alias("c"), F.max("c1").alias("c1"), F.max("rank").alias("rank"))
-    rich = materialise(joined.repartition("seg").withColumns({
-        "r1": _following("rank", 1, by), "r2": _following("rank", 2, by), "kind": (F.col("i") % 3).cast("int")}))
-    first = ordered(rich.where("kind < 2").select("c", "r1", "kind", "seg", "i"), ["c", "r1", "kind", "seg", "i"], flag="kind")
-    second = ordered(rich.where("kind <> 1").select("c", "c1", "r2", "kind", "seg", "i"),
-                     ["c", "c1", "r2", "kind", "seg", "i"], flag="kind")
+    both = ranks.select("seg", "i", "c", "c1", "core", (F.col("pos") + 1).alias("rank")).unionByName(
+        rows.where("i % 3 = 0").select("seg", "i", "c", "c1", "core", F.lit(None).cast("bigint").alias("rank")))
+    rich = scratch.keep(both.select("*", _following("rank", 1, by).alias("r1"), _following("rank", 2, by).alias("r2"),
+                                    (F.col("i") % 3).cast("int").alias("kind")))
+    scratch.drop(stored, *([better] if better is not None else []))
+    stored_1, first = ordered(scratch, rich.where("kind < 2").select("c", "r1", "kind", "seg", "i", "core"),
+                              ["c", "r1", "kind", "seg", "i"], flag="kind")
+    stored_2, second = ordered(scratch, rich.where("kind <> 1").select("c", "c1", "r2", "kind", "seg", "i"),
+                               ["c", "c1", "r2", "kind", "seg", "i"], flag="kind")
     # Samples that come before a suffix of class 0 are counted in both merges and added up.
-    zero = (first.where("kind = 0").select("seg", "i", (F.col("pos") - F.col("zeros")).alias("n"), F.col("zeros").alias("z"))
-            .unionByName(second.where("kind = 0").select("seg", "i", (F.col("pos") - F.col("zeros")).alias("n"),
-                                                         F.lit(None).cast("bigint").alias("z")))
-            .groupBy("seg", "i").agg(F.sum("n").alias("k1"), F.max("z").alias("k3")))
-    return (zero.select("seg", "i", "k1", F.lit(0).alias("k2"), "k3")
-            .unionByName(ranks.select("seg", "i", (F.col("rank") - 1).alias("k1"), F.lit(1).alias("k2"),
-                                      F.lit(0).cast("bigint").alias("k3"))))
+    earlier = (F.col("pos") - F.col("zeros")).alias("n")
+    none = F.lit(None).cast("bigint")
+    zero = (first.where("kind = 0").select("seg", "i", earlier, F.col("zeros").alias("z"), "core")
+            .unionByName(second.where("kind = 0").select("seg", "i", earlier, none.alias("z"), none.alias("core")))
+            .groupBy("seg", "i").agg(F.sum("n").alias("k1"), F.max("z").alias("k3"), F.max("core").alias("core")))
+    out = scratch.keep(
+        zero.select("seg", "i", "k1", F.lit(0).alias("k2"), "k3", "core").unionByName(
+            rich.where("kind > 0").select("seg", "i", (F.col("rank") - 1).alias("k1"), F.lit(1).alias("k2"),
+                                          F.lit(0).cast("bigint").alias("k3"), "core")))
+    scratch.drop(rich, stored_1, stored_2)
+    return out
 
 
-def _recurse(named: DataFrame, reach: int) -> DataFrame:
-    """Order the samples that share a name which does not reach far enough by the names after it."""
+def _recurse(scratch: Scratch, named: DataFrame, reach: int) -> DataFrame:
+    """``(seg, i, better)``: places of samples that share a name too short, by the names after it."""
     step = Window.partitionBy("seg", F.col("i") % 3).orderBy("i")
-    led = (F.lag("open").over(step) & (F.lag("i", 1).over(step) == F.col("i") - 3))
-    used = named.withColumn("used", F.col("open") | F.coalesce(led, F.lit(False))).where("used")
-    inner = materialise(used.select(
+    led = F.lag("open").over(step) & (F.lag("i", 1).over(step) == F.col("i") - 3)
+    used = named.select("seg", "i", "name", "open", "need").withColumn("led", F.coalesce(led, F.lit(False))).where("open or led")
+    inner = scratch.keep(used.select(
         F.xxhash64("seg", F.col("i") % 3).alias("inner_seg"), F.floor(F.col("i") / 3).cast("int").alias("inner_i"),
         "seg", "i", "name", "open", "need"))
     by = Window.partitionBy("seg").orderBy("i")
     string = inner.select(F.col("inner_seg").alias("seg"), F.col("inner_i").alias("i"), (F.col("name") + 1).alias("c"),
-                          F.when(F.col("open"), F.col("need")).otherwise(0).alias("need"))
-    string = materialise(string.withColumns({"c1": _following("c", 1, by), "c2": _following("c", 2, by)}))
-    inside = ordered(suffix_order(string, reach), ["k1", "k2", "k3", "seg", "i"]).select(
-        F.col("seg").alias("inner_seg"), F.col("i").alias("inner_i"), F.col("pos").alias("inside"))
-    placed = inner.where("open").join(inside, ["inner_seg", "inner_i"])
+                          F.when(F.col("open"), F.col("need")).otherwise(0).alias("need"), F.lit(0).cast("bigint").alias("core"))
+    string = scratch.keep(string.withColumns({"c1": _following("c", 1, by), "c2": _following("c", 2, by)}))
+    order = suffix_order(scratch, string, reach)
+    stored, inside = ordered(scratch, order.select("seg", "i", "k1", "k2", "k3"), ["k1", "k2", "k3", "seg", "i"])
+    placed = inner.where("open").join(inside.select(F.col("seg").alias("inner_seg"), F.col("i").alias("inner_i"),
+                                                    F.col("pos").alias("inside")), ["inner_seg", "inner_i"])
     lowest = placed.groupBy("name").agg(F.min("inside").alias("lowest"))
-    better = placed.join(lowest, "name").select(
-        "seg", "i", (F.col("name") + F.col("inside") - F.col("lowest")).alias("better"))
-    return named.join(better, ["seg", "i"], "left").withColumn("pos", F.coalesce("better", "pos")).drop("better")
+    out = scratch.keep(placed.join(lowest, "name").select(
+        "seg", "i", (F.col("name") + F.col("inside") - F.col("lowest")).alias("better")))
+    scratch.drop(inner, string, order, stored)
+    return out
 
 
 # --- repeats -----------------------------------------------------------------------------------
 
-def classes(parts: DataFrame) -> DataFrame:
+def classes(scratch: Scratch, parts: DataFrame) -> DataFrame:
     """``(seg, i, class)`` of all cuts that stand next to one with the same core in suffix order."""
-    phrases = materialise(arrow_map(parts.select("seg", "data"), _phrases,
-                                    "seg bigint, i int, c bigint, c1 bigint, c2 bigint, core bigint, need int"))
-    order = suffix_order(phrases.select("seg", "i", "c", "c1", "c2", "need"))
-    rows = (order.unionByName(phrases.where("core <> 0").select("seg", "i", "core"), allowMissingColumns=True)
-            .groupBy("seg", "i").agg(*[F.max(c).alias(c) for c in ("k1", "k2", "k3", "core")])
-            .select("seg", "i", "k1", "k2", "k3", F.coalesce("core", F.lit(0).cast("bigint")).alias("core")))
-    placed = ordered(rows, ["k1", "k2", "k3", "seg", "i"], ["core"]).where("core <> 0")
-    placed = placed.select("seg", "i", F.col("name").alias("class"))
-    shared = placed.groupBy("class").count().where("count > 1").select("class")
-    return placed.join(shared, "class").select("seg", "i", "class")
+    phrases = scratch.keep(arrow_map(parts.select("seg", "data"), _phrases,
+                                     "seg bigint, i int, c bigint, c1 bigint, c2 bigint, core bigint, need int"))
+    order = suffix_order(scratch, phrases)
+    scratch.drop(phrases)
+    stored, placed = ordered(scratch, order, ["k1", "k2", "k3", "seg", "i"], ["core"])
+    scratch.drop(order)
+    found = scratch.keep(placed.where("core <> 0 and not lone").select("seg", "i", F.col("name").alias("class")))
+    scratch.drop(stored)
+    return found
+
+
+#: What is asked about a string: whether it occurs elsewhere; that it does; nothing any more.
+ASK, TELL, PASS = 0, 1, 2
+
+
+def _asked_once(key: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-aggregation of one batch: ``(rows, keys to deal them by, kind)``.
+
+    Of each key one row goes to where all rows of the key meet. Where the batch itself has the key
+    twice, or knows it, that row tells so and the others need no answer.
+    """
+    order = np.argsort(key, kind="stable")
+    starts = sorted_runs(key[order])
+    if not len(key):
+        return order, key, np.zeros(0, np.int8)
+    size = np.diff(starts)
+    sure = (size > 1) | np.logical_or.reduceat(known[order], starts[:-1])
+    kind = np.full(len(key), PASS, np.int8)
+    kind[starts[:-1]] = np.where(sure, TELL, ASK)
+    deal = key[order].copy()
+    passing = np.flatnonzero(kind == PASS)
+    deal[passing] = mix(deal[passing] + passing.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return order, deal, kind
+
+
+def _answers(table: pa.Table) -> np.ndarray:
+    """For whole groups of rows by ``key``: 0 alone, 1 the first of several, 2 another of several."""
+    key, kind = table.column("key").to_numpy(), table.column("kind").to_numpy()
+    answer = np.full(len(key), 2, np.int8)
+    at = np.flatnonzero(kind != PASS)
+    if len(at):
+        starts = sorted_runs(key[at])
+        several = (np.diff(starts) > 1) | np.logical_or.reduceat(kind[at] == TELL, starts[:-1])
+        answer[at[starts[:-1]]] = several
+    return answer
 
 
 def _around(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """``(class, around, windows, tid, lo)`` for the listed cuts of each region that start windows."""
+    """``(key, kind, class, windows, tid, lo, seg)`` for the listed cuts of each region that start windows."""
     out: list[list] = [[] for _ in range(6)]
     tids, starts, segs = (batch.column(c).to_numpy() for c in ("tid", "start", "seg"))
     for first, end, data in _in_steps(batch):
@@ -454,19 +516,27 @@ def _around(batch: pa.RecordBatch) -> pa.RecordBatch:
             group = np.array([c["class"] for c in cuts], np.int64)
             at, group = at[p.windows[at] > 0], group[p.windows[at] > 0]
             lo, n = p.first[at], p.windows[at]
-            for column, value in zip(out, (group, p.rolling.between(lo, lo + n - 1 + LENGTH).view(np.int64), n,
-                                           np.full(len(at), tids[first + k]), starts[first + k] + lo - p.offsets[k],
-                                           np.full(len(at), segs[first + k]))):
+            surround = p.rolling.between(lo, lo + n - 1 + LENGTH) + mix(group.astype(np.uint64))
+            for column, value in zip(out, (surround, group, n, np.full(len(at), tids[first + k]),
+                                           starts[first + k] + lo - p.offsets[k], np.full(len(at), segs[first + k]))):
                 column.append(value)
-    arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-    kinds = [np.int64, np.int64, np.int32, np.int64, np.int32, np.int64]
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(k)) for a, k in zip(arrays, kinds)],
-                                      names=["class", "around", "windows", "tid", "lo", "seg"])
+    key, *rest = (np.concatenate(c) for c in out)
+    order, deal, kind = _asked_once(key.astype(np.uint64), np.zeros(len(key), bool))
+    kinds = [np.int64, np.int32, np.int64, np.int32, np.int64]
+    return pa.RecordBatch.from_arrays([_signed(deal), pa.array(kind), *(pa.array(a[order].astype(k)) for a, k in zip(rest, kinds))],
+                                      names=["key", "kind", "class", "windows", "tid", "lo", "seg"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_around` with the answer to each as ``state``."""
+    for table in stream_groups(batches, "key"):
+        answer = pa.array(_answers(table))
+        yield from table.select(["class", "windows", "tid", "lo", "seg"]).append_column("state", answer).combine_chunks().to_batches()
 
 
 def _single_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """``(class, window, tid, at, known)``: every window of the listed cuts."""
-    out: list[list] = [[] for _ in range(5)]
+    """``(key, kind, tid, at)``: every window of the listed cuts; those already known only tell."""
+    out: list[list] = [[] for _ in range(4)]
     tids, starts = batch.column("tid").to_numpy(), batch.column("start").to_numpy()
     for first, end, data in _in_steps(batch):
         offsets = np.cumsum([0, *map(len, data)])
@@ -474,46 +544,76 @@ def _single_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         for k, cuts in enumerate(batch.column("cuts").slice(first, end - first).to_pylist()):
             n = np.array([c["windows"] for c in cuts], np.int64)
             lo = np.array([c["lo"] for c in cuts], np.int64) - starts[first + k] + offsets[k]
+            group = mix(np.array([c["class"] for c in cuts], np.int64).astype(np.uint64))
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            for column, value in zip(out, (np.repeat([c["class"] for c in cuts], n), rolling.between(at, at + LENGTH).view(np.int64),
-                                           np.full(len(at), tids[first + k]), at - offsets[k] + starts[first + k],
-                                           np.repeat([c["known"] for c in cuts], n))):
+            for column, value in zip(out, (rolling.between(at, at + LENGTH) + np.repeat(group, n), np.full(len(at), tids[first + k]),
+                                           at - offsets[k] + starts[first + k], np.repeat([c["known"] for c in cuts], n))):
                 column.append(value)
-    arrays = [np.concatenate(c) for c in out]
-    kinds = [np.int64, np.int64, np.int64, np.int32, bool]
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(k)) for a, k in zip(arrays, kinds)],
-                                      names=["class", "window", "tid", "at", "known"])
+    key, tid, at, known = (np.concatenate(c) for c in out)
+    order, deal, kind = _asked_once(key, known.astype(bool))
+    tid, at, known = tid[order], at[order], known[order].astype(bool)
+    # Known windows need no answer: only those that tell others stay, and hold no place of their own.
+    stay = ~(known & (kind == PASS))
+    return pa.RecordBatch.from_arrays([_signed(deal[stay]), pa.array(kind[stay]), pa.array(tid[stay].astype(np.int64)),
+                                       pa.array(np.where(known, -1, at)[stay].astype(np.int32))], names=["key", "kind", "tid", "at"])
+
+
+def _found_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(tid, a, b)`` of the windows that occur twice."""
+    for table in stream_groups(batches, "key"):
+        at = table.column("at").to_numpy()
+        hit = (_answers(table) > 0) & (at >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(table.column("tid").to_numpy()[hit]), pa.array(at[hit]), pa.array(at[hit] + np.int32(LENGTH))],
+                                         names=["tid", "a", "b"])
+
+
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(tid, spans)`` with touching spans joined, from rows sorted by ``tid, a``."""
+    for table in stream_groups(batches, "tid"):
+        tid, a, b = (table.column(c).to_numpy().astype(np.int64) for c in ("tid", "a", "b"))
+        starts = sorted_runs(tid)
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        shift = owner * (int(b.max()) + 2)              # one number line for all texts
+        reach = np.maximum.accumulate(b + shift)
+        opens = np.ones(len(a), bool)
+        opens[1:] = a[1:] + shift[1:] > reach[:-1]
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(a)) - 1
+        span = pa.StructArray.from_arrays([pa.array(a[first].astype(np.int32)), pa.array((reach[last] - shift[last]).astype(np.int32))], ["a", "b"])
+        border = np.searchsorted(owner[first], np.arange(len(starts))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(tid[starts[:-1]]), pa.ListArray.from_arrays(pa.array(border), span)], names=["tid", "spans"])
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """``(tid, spans)``: stretches ``(a, b)`` of each distinct text that are repeated somewhere.
+    """``(tid, spans)``: maximal stretches ``(a, b)`` of each distinct text that are repeated somewhere.
 
     ``texts`` has ``tid`` and ``text``, one row for every document.
     """
-    parts = regions(texts)
-    listed = classes(parts).groupBy("seg").agg(F.collect_list(F.struct("i", "class")).alias("cuts"))
-    around = materialise(arrow_map(parts.join(listed, "seg").select("seg", "tid", "start", "data", "cuts"), _around,
-                                   "class bigint, around bigint, windows int, tid bigint, lo int, seg bigint"))
-    same = ["class", "around", "windows"]
-    groups = materialise(around.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("seg", "lo")).alias("one")))
-    whole = around.join(groups.where("n > 1").select(*same), same, "left_semi").select(
-        "tid", F.col("lo").alias("a"), (F.col("lo") + F.col("windows") - 1 + LENGTH).alias("b"))
-    unsettled = (groups.groupBy("class").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-                 .where("kinds > 1 and least = 1").select("class"))
-    ask = (groups.join(unsettled, "class", "left_semi")
-           .groupBy(F.col("one.seg").alias("seg"))
-           .agg(F.collect_list(F.struct(F.col("one.lo").alias("lo"), "windows", "class", (F.col("n") > 1).alias("known"))).alias("cuts")))
-    windows = arrow_map(parts.join(ask, "seg").select("tid", "start", "data", "cuts"), _single_windows,
-                        "class bigint, window bigint, tid bigint, at int, known boolean")
-    windows = materialise(windows)
-    hit = (windows.groupBy("class", "window").agg(F.count("*").alias("n"), F.max("known").alias("any_known"))
-           .where("n > 1 or any_known").select("class", "window"))
-    single = windows.where("not known").join(hit, ["class", "window"], "left_semi").select(
-        "tid", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+    scratch = Scratch(texts.sparkSession)
+    parts = regions(scratch, texts)
+    scratch.tidy()
+    found = classes(scratch, parts)
+    listed = found.groupBy("seg").agg(F.collect_list(F.struct("i", "class")).alias("cuts"))
+    around = arrow_map(parts.join(listed, "seg").select("seg", "tid", "start", "data", "cuts"), _around,
+                       "key bigint, kind tinyint, class bigint, windows int, tid bigint, lo int, seg bigint")
+    around = scratch.keep(around.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _settle, "class bigint, windows int, tid bigint, lo int, seg bigint, state tinyint"))
+    scratch.drop(found)
+    whole = around.where("state > 0").select("tid", F.col("lo").alias("a"), (F.col("lo") + F.col("windows") - 1 + LENGTH).alias("b"))
+    apart = around.where("state < 2")
+    unsettled = (apart.groupBy("class").agg(F.count("*").alias("kinds"), F.min("state").alias("least"))
+                 .where("kinds > 1 and least = 0").select("class"))
+    ask = (apart.join(unsettled, "class", "left_semi").groupBy("seg")
+           .agg(F.collect_list(F.struct("lo", "windows", "class", (F.col("state") > 0).alias("known"))).alias("cuts")))
+    single = (arrow_map(parts.join(ask, "seg").select("tid", "start", "data", "cuts"), _single_windows,
+                        "key bigint, kind tinyint, tid bigint, at int")
+              .repartition("key").sortWithinPartitions("key").mapInArrow(_found_windows, "tid bigint, a int, b int"))
     copies = (texts.groupBy("tid").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("b"))
               .where(f"n > 1 and b >= {LENGTH}").select("tid", F.lit(0).alias("a"), "b"))
-    return (whole.unionByName(single).unionByName(copies)
-            .groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    out = materialise(whole.unionByName(single).unionByName(copies).repartition("tid").sortWithinPartitions("tid", "a")
+                      .mapInArrow(_merge_spans, "tid bigint, spans array<struct<a:int,b:int>>"))
+    scratch.drop(parts, around)
+    return out
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -36,6 +36,8 @@ DAMPING = 0.85
 ROUNDS = 10
 CHECKPOINT_ROUNDS = 5
 THRESHOLD = 1.0
+#: Pages of one host are dealt to so many tasks; the host's row is repeated for each.
+SALTS = 16
 #: Decimals kept of masses before they are compared, so that the order of sums has no effect.
 DECIMALS = 9
 
@@ -143,8 +145,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
         F.coalesce("trust", F.lit(0.0)).alias(names["trust"]), F.coalesce("distrust", F.lit(0.0)).alias(names["distrust"]))
     rule = F.col(names["rule"])
     by_host = F.when((F.col(names["distrust"]) >= threshold) & (F.col(names["distrust"]) > F.col(names["trust"])), "block").otherwise("allow")
+    salt = free_name(pages, "_salt")
+    known = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    marked = marked.withColumn(salt, F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int"))
     rest = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "trust", "distrust")]
-    return (marked.join(known, host)
+    return (marked.join(known, [host, salt])
             .withColumn(names["rule"], deciding(F.col(path), F.col(names["rules"])))
             .select(*rest, F.col(host).alias("host"), F.col(path).alias("path"), rule["rule"].alias("rule"),
                     F.coalesce(rule["verdict"], by_host).alias("verdict"),

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from surety.llm import suffix_dedup
+from surety.llm.common import Scratch
 
 
 def brute(rows, length=suffix_dedup.LENGTH):
@@ -72,8 +73,8 @@ def test_recursion_orders_like_plain_sort(spark):
     strings[50] = [1] * 40
     need = 12
     rows = [(s, i, c, *(cs[i + 1:i + 3] + [0, 0])[:2], need) for s, cs in strings.items() for i, c in enumerate(cs)]
-    df = spark.createDataFrame(rows, "seg bigint, i int, c bigint, c1 bigint, c2 bigint, need int")
-    got = [(r["seg"], r["i"]) for r in suffix_dedup.suffix_order(df).orderBy("k1", "k2", "k3").collect()]
+    df = spark.createDataFrame(rows, "seg bigint, i int, c bigint, c1 bigint, c2 bigint, need int").selectExpr("*", "0L as core")
+    got = [(r["seg"], r["i"]) for r in suffix_dedup.suffix_order(Scratch(spark), df).orderBy("k1", "k2", "k3").collect()]
     prefixes = [tuple(strings[s][i:i + need]) for s, i in got]
     assert prefixes == sorted(prefixes)
     assert len(set(got)) == len(rows)
