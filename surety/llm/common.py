@@ -72,6 +72,19 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` lists the latest."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder in place of long lineages.
 

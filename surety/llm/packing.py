@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import sorted_runs, stream_groups, whole_text
+from surety.llm.common import Numbers, sorted_runs, stream_groups, whole_text
 from surety.session import materialise
 
 CAPACITY = 4096
@@ -37,19 +37,6 @@ SHARD_PIECES = 30_000
 CACHE_CHUNKS = 1_000_000
 
 
-class Numbers(dict):
-    """Numbers keys in the order in which they are first asked for; ``new`` lists the latest."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        number = self[key] = len(self)
-        self.new.append(key)
-        return number
-
-
 class ChunkEncoder:
     """Ids of whole texts, with the ids of each blank-separated chunk remembered.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import embedding_dedup, minhash, packing, pii, quality, secrets, simhash, suffix_dedup, url_filters
+from surety.llm import embedding_dedup, minhash, packing, pii, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op4_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_sentencepiece_transducer(spark, sf_dir):
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op7_inverted_multi_index(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
