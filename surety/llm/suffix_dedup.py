@@ -8,14 +8,15 @@ text is first made short without losing a repeat:
 1. *Regions.* A window of ``LENGTH`` bytes always holds the smallest hash of its 100-byte strings,
    wherever it stands. Only text around such a chosen string that occurs twice can hold a repeat.
 2. *Phrases.* Regions are cut at the smallest hash of every 50 neighbouring 20-byte strings. Equal
-   windows are cut alike, and what stands between two cuts (25 bytes on average, 50 at most) is one
-   character of the string to be sorted. A window's *first cut* is the smallest hash in its first
+   windows are cut alike, and what stands between two cuts is a phrase (25 bytes on average, 50 at
+   most). At each cut the string to be sorted has one character, the phrases from there on that
+   hold ``CHARACTER`` bytes. A window's *first cut* is the smallest hash in its first
    50 positions; from there on equal windows share at least ``CORE`` bytes of whole phrases.
 3. *Difference cover.* The suffixes at positions 1 and 2 modulo 3 are sorted by triples of
-   phrases, the triples are named by their order, and where a triple is shorter than the core, the
-   names are sorted recursively (names that reach far enough are discarded from the recursion).
-   The suffixes at 0 modulo 3 are then merged in: compared with class 1 by (phrase, rank of the
-   next), with class 2 by (phrase, phrase, rank of the one after).
+   characters, the triples are named by their order, and where a triple is shorter than the core,
+   the names are sorted recursively (names that reach far enough are discarded from the recursion).
+   The suffixes at 0 modulo 3 are then merged in: compared with class 1 by (character, rank of the
+   next), with class 2 by (character, character, rank of the one after).
 4. *Adjacent prefixes.* Suffixes with the same core stand side by side. Each such class holds all
    windows that can be equal. A cut whose whole surroundings occur twice settles all its windows
    at once; the windows of the others are compared one by one inside their class.
@@ -52,6 +53,8 @@ SEED = 100
 GRAM, SPREAD = 20, 50
 #: Bytes of whole phrases that equal windows share from their first cut on, at least.
 CORE = LENGTH - GRAM - 2 * SPREAD - SPREAD + 3
+#: Bytes of whole phrases that one character of the sorted string holds, at least.
+CHARACTER = 24
 
 _STEP = 0x9E3779B97F4A7C15
 _VALUE = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
@@ -251,25 +254,34 @@ class Parse:
         self.number = np.arange(len(self.cut)) - begin[self.text]
         self.stop = (begin + count)[self.text]                  # end of the region's cuts
 
+    def _reach(self, size: int) -> np.ndarray:
+        """For each cut, the number of the first cut ``size`` bytes on or more, or its region's end."""
+        return np.minimum(np.searchsorted(self.cut, self.cut + size), self.stop)
+
     def core(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each cut's core and its number of phrases.
+        """Hash of each cut's core, 0 where the region ends before, and the characters that hold it.
 
-        Where the region ends before, the hash is 0 and all phrases count, the end as one more. So
-        whether a name reaches far enough is the same for all suffixes that have it.
+        Where the region ends before, the characters up to the end count. So how many are needed is
+        the same for all suffixes that begin with these characters.
         """
-        end = np.searchsorted(self.cut, self.cut + CORE)
+        end = self._reach(CORE)
         has = end < self.stop
         key = np.zeros(len(self.cut), np.uint64)
         key[has] = self.rolling.between(self.cut[has], self.cut[end[has]]) | np.uint64(1)
-        at = np.arange(len(self.cut))
-        return key, np.where(has, end - at, self.stop - at + 1)
+        return key, np.searchsorted(self._reach(CHARACTER), end) - np.arange(len(self.cut)) + 1
 
     def characters(self) -> np.ndarray:
-        """A positive number for each phrase; two columns more for those that follow, 0 past the end."""
+        """A positive number for each character; two rows more for those that follow, 0 past the end.
+
+        A character is the phrases from a cut on that hold ``CHARACTER`` bytes, or the rest of the
+        region and its end.
+        """
         n = len(self.cut)
-        after = np.append(self.cut[1:], self.offsets[-1])
-        after = np.where(np.arange(n) + 1 < self.stop, after, self.offsets[self.text + 1])
-        c = ((self.rolling.between(self.cut, after) >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
+        end = self._reach(CHARACTER)
+        ended = end == self.stop
+        after = np.where(ended, self.offsets[self.text + 1], self.cut[np.minimum(end, n - 1)]) if n else end
+        c = self.rolling.between(self.cut, after) + ended * np.uint64(0xD1B54A32D192ED03)
+        c = ((c >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
         out = np.zeros((3, n), np.int64)
         for k in range(3):
             has = np.arange(n) + k < self.stop
@@ -395,9 +407,9 @@ def suffix_order(scratch: Scratch, rows: DataFrame, reach: int = 1) -> DataFrame
     """Sort keys ``k1, k2, k3`` of all suffixes of the strings ``rows``; ``seg, i, core`` are kept.
 
     ``rows`` has ``seg, i, c, c1, c2, need, core``: characters at consecutive ``i`` of string
-    ``seg``, the two that follow, how many phrases of the suffix have to decide its order (a
-    character stands for ``reach`` phrases), and a number that is carried along. Suffixes equal in
-    all those phrases may come in any order.
+    ``seg``, the two that follow, how many characters of the original string have to decide the
+    suffix's order (one here stands for ``reach`` of them), and a number that is carried along.
+    Suffixes equal in all those characters may come in any order.
     """
     by = Window.partitionBy("seg").orderBy("i")
     stored, named = ordered(scratch, rows.where("i % 3 <> 0"), ["c", "c1", "c2", "seg", "i"], ["c", "c1", "c2"])
@@ -440,15 +452,15 @@ def _recurse(scratch: Scratch, named: DataFrame, reach: int) -> DataFrame:
         "seg", "i", "name", "open", "need"))
     by = Window.partitionBy("seg").orderBy("i")
     string = inner.select(F.col("inner_seg").alias("seg"), F.col("inner_i").alias("i"), (F.col("name") + 1).alias("c"),
-                          F.when(F.col("open"), F.col("need")).otherwise(0).alias("need"), F.lit(0).cast("bigint").alias("core"))
+                          F.when(F.col("open"), F.col("need")).otherwise(0).alias("need"), F.col("name").alias("core"))
     string = scratch.keep(string.withColumns({"c1": _following("c", 1, by), "c2": _following("c", 2, by)}))
     order = suffix_order(scratch, string, reach)
-    stored, inside = ordered(scratch, order.select("seg", "i", "k1", "k2", "k3"), ["k1", "k2", "k3", "seg", "i"])
-    placed = inner.where("open").join(inside.select(F.col("seg").alias("inner_seg"), F.col("i").alias("inner_i"),
-                                                    F.col("pos").alias("inside")), ["inner_seg", "inner_i"])
-    lowest = placed.groupBy("name").agg(F.min("inside").alias("lowest"))
-    out = scratch.keep(placed.join(lowest, "name").select(
-        "seg", "i", (F.col("name") + F.col("inside") - F.col("lowest")).alias("better")))
+    # Suffixes of one name stand together here; their places in the run become places in the name.
+    stored, inside = ordered(scratch, order, ["k1", "k2", "k3", "seg", "i"], ["core"])
+    inside = inside.select(F.col("seg").alias("inner_seg"), F.col("i").alias("inner_i"),
+                           (F.col("core") + F.col("pos") - F.col("name")).alias("better"))
+    out = scratch.keep(inner.where("open").select("inner_seg", "inner_i", "seg", "i").join(inside, ["inner_seg", "inner_i"])
+                       .select("seg", "i", "better"))
     scratch.drop(inner, string, order, stored)
     return out
 
