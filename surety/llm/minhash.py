@@ -65,14 +65,14 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WO
     first[1:] &= ~solid[:-1] | (text_of[1:] != text_of[:-1])
     at = np.flatnonzero(first)
     if len(at):
-        # Position in the word picks the power; words longer than 64 bytes reuse powers in turn
-        # with another multiplier, so that order still matters.
+        # The position in the word picks the power; from byte 64 on powers come again, and what
+        # they give is mixed with the round, so that order still matters.
         start = np.zeros(len(raw), np.int64)
         start[at] = at
         place = np.arange(len(raw)) - np.maximum.accumulate(start)
         value = _VALUE[_LOWER[raw]] * _POWERS[place & 63]
-        if len(place) and int(place[solid].max(initial=0)) > 63:
-            value = mix(value + (place >> 6).astype(np.uint64))
+        far = np.flatnonzero(place > 63)
+        value[far] = mix(value[far] + (place[far] >> 6).astype(np.uint64))
         value[~solid] = 0
         word = mix(np.add.reduceat(value, at))
     else:
