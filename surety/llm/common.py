@@ -16,6 +16,8 @@ from surety.session import checkpoint_dir, materialise
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of rows that a mapped function gets at once.
+SLICE_BYTES = 8 << 20
 
 
 def whole_text(column: str = "text") -> Column:
@@ -60,13 +62,20 @@ def utf8_steps(texts: pa.Array, budget: int = STEP_BYTES) -> Iterator[tuple[int,
         first = end
 
 
-def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+def slices(batch: pa.RecordBatch, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``budget`` bytes each."""
+    rows = max(1, int(batch.num_rows * budget / max(batch.nbytes, 1)))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
+def arrow_map(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; batches without rows are passed over."""
+    """``mapInArrow`` with a function of about ``SLICE_BYTES`` of rows; it never gets an empty slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch)
+            for part in slices(batch):
+                out = per_slice(part)
                 if out is not None and out.num_rows:
                     yield out
     return df.mapInArrow(run, schema)

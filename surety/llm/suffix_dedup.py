@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.llm.common import Scratch, arrow_map, free_name, sorted_runs, stream_groups, utf8_steps, whole_text
+from surety.llm.common import Scratch, arrow_map, free_name, slices, sorted_runs, stream_groups, utf8_steps, whole_text
 from surety.llm.minhash import mix
 from surety.session import materialise
 
@@ -189,7 +189,7 @@ def _repeated_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions ``(tid, start, data)`` from rows ``(tid, text, places)``; a text that comes again is left out."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         tids, starts, data = [], [], []
         texts = batch.column(1).cast(pa.binary())
         for row, tid in enumerate(batch.column(0).to_pylist()):
@@ -197,7 +197,7 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             seen.add(tid)
             text = texts[row].as_py()
-            place = np.unique(np.array(batch.column(2)[row].as_py(), np.int64))
+            place = np.sort(batch.column(2)[row].values.to_numpy().astype(np.int64))
             begin = np.maximum(place - (LENGTH - SEED), 0)
             end = np.minimum(place + LENGTH, len(text))
             opens = np.ones(len(place), bool)
@@ -516,22 +516,29 @@ def _answers(table: pa.Table) -> np.ndarray:
     return answer
 
 
+def _listed(batch: pa.RecordBatch, first: int, end: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The cuts listed for some regions: the region of each, and its fields."""
+    lists = batch.column("cuts").slice(first, end - first)
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(end - first), np.diff(lists.offsets.to_numpy()))
+    return owner, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
 def _around(batch: pa.RecordBatch) -> pa.RecordBatch:
     """``(key, kind, class, windows, tid, lo, seg)`` for the listed cuts of each region that start windows."""
     out: list[list] = [[] for _ in range(6)]
     tids, starts, segs = (batch.column(c).to_numpy() for c in ("tid", "start", "seg"))
     for first, end, data in _in_steps(batch):
         p = Parse(data)
-        begin = np.searchsorted(p.text, np.arange(len(data)))
-        for k, cuts in enumerate(batch.column("cuts").slice(first, end - first).to_pylist()):
-            at = begin[k] + np.array([c["i"] for c in cuts], np.int64)
-            group = np.array([c["class"] for c in cuts], np.int64)
-            at, group = at[p.windows[at] > 0], group[p.windows[at] > 0]
-            lo, n = p.first[at], p.windows[at]
-            surround = p.rolling.between(lo, lo + n - 1 + LENGTH) + mix(group.astype(np.uint64))
-            for column, value in zip(out, (surround, group, n, np.full(len(at), tids[first + k]),
-                                           starts[first + k] + lo - p.offsets[k], np.full(len(at), segs[first + k]))):
-                column.append(value)
+        owner, cuts = _listed(batch, first, end)
+        at = np.searchsorted(p.text, np.arange(len(data)))[owner] + cuts["i"]
+        used = p.windows[at] > 0
+        owner, at, group = owner[used], at[used], cuts["class"][used]
+        lo, n = p.first[at], p.windows[at]
+        surround = p.rolling.between(lo, lo + n - 1 + LENGTH) + mix(group.astype(np.uint64))
+        for column, value in zip(out, (surround, group, n, tids[first:end][owner],
+                                       starts[first:end][owner] + lo - p.offsets[owner], segs[first:end][owner])):
+            column.append(value)
     key, *rest = (np.concatenate(c) for c in out)
     order, deal, kind = _asked_once(key.astype(np.uint64), np.zeros(len(key), bool))
     kinds = [np.int64, np.int32, np.int64, np.int32, np.int64]
@@ -553,21 +560,21 @@ def _single_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
     for first, end, data in _in_steps(batch):
         offsets = np.cumsum([0, *map(len, data)])
         rolling = Rolling(np.frombuffer(b"".join(data), np.uint8))
-        for k, cuts in enumerate(batch.column("cuts").slice(first, end - first).to_pylist()):
-            n = np.array([c["windows"] for c in cuts], np.int64)
-            lo = np.array([c["lo"] for c in cuts], np.int64) - starts[first + k] + offsets[k]
-            group = mix(np.array([c["class"] for c in cuts], np.int64).astype(np.uint64))
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            for column, value in zip(out, (rolling.between(at, at + LENGTH) + np.repeat(group, n), np.full(len(at), tids[first + k]),
-                                           at - offsets[k] + starts[first + k], np.repeat([c["known"] for c in cuts], n))):
-                column.append(value)
+        owner, cuts = _listed(batch, first, end)
+        n = cuts["windows"].astype(np.int64)
+        shift = offsets[owner] - starts[first:end][owner]
+        at = np.repeat(cuts["lo"] + shift - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        group = mix(cuts["class"].astype(np.uint64))
+        for column, value in zip(out, (rolling.between(at, at + LENGTH) + np.repeat(group, n), np.repeat(tids[first:end][owner], n),
+                                       (at - np.repeat(shift, n)).astype(np.int32), np.repeat(cuts["known"].astype(bool), n))):
+            column.append(value)
     key, tid, at, known = (np.concatenate(c) for c in out)
-    order, deal, kind = _asked_once(key, known.astype(bool))
-    tid, at, known = tid[order], at[order], known[order].astype(bool)
+    order, deal, kind = _asked_once(key, known)
+    tid, at, known = tid[order], at[order], known[order]
     # Known windows need no answer: only those that tell others stay, and hold no place of their own.
     stay = ~(known & (kind == PASS))
-    return pa.RecordBatch.from_arrays([_signed(deal[stay]), pa.array(kind[stay]), pa.array(tid[stay].astype(np.int64)),
-                                       pa.array(np.where(known, -1, at)[stay].astype(np.int32))], names=["key", "kind", "tid", "at"])
+    return pa.RecordBatch.from_arrays([_signed(deal[stay]), pa.array(kind[stay]), pa.array(tid[stay]),
+                                       pa.array(np.where(known, np.int32(-1), at)[stay])], names=["key", "kind", "tid", "at"])
 
 
 def _found_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
