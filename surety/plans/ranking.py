@@ -9,10 +9,15 @@ third of all rows is a single cell.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surety.functions.columns import finite
 from surety.session import materialise
@@ -23,14 +28,15 @@ POOLED = "POOLED"
 
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str],
            descending: bool = False) -> DataFrame:
-    """Range-partition on ``(group, order)`` and store the partition number in ``_pid``.
+    """Range-partition and sort on ``(group, order)``; the partition number is in ``_pid``.
 
     The result is materialised: the boundaries are sampled, so the partition number must be
-    read back rather than computed a second time.
+    read back rather than computed a second time. The stored partitions keep their order.
     """
     keys = [F.col(c).asc() for c in group]
     keys += [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    return materialise(df.repartitionByRange(*keys).withColumn(PID, F.spark_partition_id()))
+    dealt = df.repartitionByRange(*keys).withColumn(PID, F.spark_partition_id())
+    return materialise(dealt.sortWithinPartitions(*keys))
 
 
 def partition_offsets(parts: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -53,24 +59,77 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
                 descending: bool = False) -> DataFrame:
     """Add ``<s>_before`` (sum over strictly earlier rows of the group) and ``<s>_total``.
 
-    ``order`` must identify a row within its group.
+    ``order`` must identify a row within its group. A NULL in ``group`` is a value like others.
     """
-    return prefix_of(ranged(df, group, order, descending), group, order, sums, descending)
+    return prefix_of(ranged(df, group, order, descending), group, sums)
 
 
-def prefix_of(parts: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str],
-              descending: bool = False) -> DataFrame:
+def _group_starts(batch: pa.RecordBatch, group: Sequence[str]) -> np.ndarray:
+    """Positions at which another group begins; NULL equals NULL."""
+    opens = np.zeros(batch.num_rows, dtype=bool)
+    for name in group:
+        codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        opens[1:] |= codes[1:] != codes[:-1]
+    opens[0] = True
+    return np.append(np.flatnonzero(opens), batch.num_rows)
+
+
+def running_sums(parts: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Add ``_<s>_local``: sums over the earlier rows of the group in the same range partition.
+
+    Rows come as :func:`ranged` stored them. Each batch is summed as it passes, and only the sums
+    of the group at hand are carried to the next one, so nothing is shuffled or sorted again.
+    """
+    floats = {f.name: isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+              for f in parts.schema.fields if f.name in sums}
+    added = [T.StructField(f"_{s}_local", T.DoubleType() if floats[s] else T.LongType())
+             for s in sums]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = _group_starts(batch, group)
+            lengths = np.diff(edges)
+            head = tuple(batch.column(g)[0].as_py() for g in group)
+            columns = []
+            for s in sums:
+                values = batch.column(s).cast(pa.float64() if floats[s] else pa.int64())
+                values = values.fill_null(0).to_numpy(zero_copy_only=False)
+                start = carried[s] if head == last else 0
+                if floats[s]:
+                    # Summed group by group, so that no group feels the size of another's sum.
+                    before = np.empty(len(values))
+                    for a, b in zip(edges[:-1], edges[1:]):
+                        before[a] = start if a == 0 else 0.0
+                        np.cumsum(values[a:b - 1], out=before[a + 1:b])
+                        before[a + 1:b] += before[a]
+                else:
+                    running = np.cumsum(values) - values
+                    before = running - np.repeat(running[edges[:-1]], lengths)
+                    before[:lengths[0]] += start
+                carried[s] = before[-1] + values[-1]
+                columns.append(pa.array(before))
+            last = tuple(batch.column(g)[batch.num_rows - 1].as_py() for g in group)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *columns],
+                names=[*batch.schema.names, *[f"_{s}_local" for s in sums]])
+
+    return parts.mapInArrow(run, T.StructType([*parts.schema.fields, *added]))
+
+
+def prefix_of(parts: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """:func:`prefix_sums` of rows that :func:`ranged` has already partitioned."""
-    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    within = (Window.partitionBy(*group, PID).orderBy(*ordering)
-              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = partition_offsets(parts, group, sums)
-    local = parts.withColumns(
-        {f"_{s}_local": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
-    joined = local.join(offsets, [*group, PID])
+    keys = [*group, PID]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = running_sums(parts, group, sums).join(offsets, same)
     return joined.withColumns(
         {f"{s}_before": F.col(f"_{s}_local") + F.col(f"_{s}_offset") for s in sums}
-    ).drop(PID, *[f"_{s}_local" for s in sums], *[f"_{s}_offset" for s in sums])
+    ).drop(PID, *[f"_of_{k}" for k in keys], *[f"_{s}_local" for s in sums],
+           *[f"_{s}_offset" for s in sums])
 
 
 def cells(df: DataFrame, group: Sequence[str], value: str,
@@ -91,7 +150,7 @@ def ranked_parts(df: DataFrame, group: Sequence[str], value: str,
                  sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """:func:`ranked_cells` together with the materialised cells it was computed from."""
     parts = ranged(cells(df, group, value, sums), group, [value])
-    return prefix_of(parts, group, [value], list(sums)), parts
+    return prefix_of(parts, group, list(sums)), parts
 
 
 def with_pooled(df: DataFrame, column: str = "category", name: str = "group") -> DataFrame:
@@ -139,22 +198,14 @@ def average_rank(n: str = "n") -> Column:
     return F.col(f"{n}_before") + (F.col(n) + F.lit(1.0)) / F.lit(2.0)
 
 
-#: Largest rank filter that Spark also applies before the shuffle (its default limit).
-RANK_FILTER = 1000
-
-
 def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int,
                position: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group, optionally with their 1-based ``position``.
 
-    A small ``n`` is a rank filter: each map task forwards at most ``n`` rows per group. A
-    larger one is read off distributed prefix sums, so a dominant group is never in one task.
+    The position is read off distributed prefix sums for every ``n``, so a dominant group is
+    never in one task. A NULL in ``group`` is a group like others.
     """
     name = position or "_position"
-    if n <= RANK_FILTER:
-        window = Window.partitionBy(*group).orderBy(*order)
-        out = df.withColumn(name, F.row_number().over(window))
-    else:
-        ranked = prefix_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"])
-        out = ranked.withColumn(name, F.col("_one_before") + 1)
+    ranked = prefix_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"])
+    out = ranked.withColumn(name, F.col("_one_before") + 1)
     return out.where(F.col(name) <= n).select(*df.columns, *([name] if position else []))

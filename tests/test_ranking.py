@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from surety.plans import joins
 from surety.plans.joins import attach_cells
-from surety.plans.ranking import first_rows, prefix_sums, quantiles, ranged, ranked_cells, ranked_parts
+from surety.plans.ranking import (first_rows, prefix_sums, quantiles, ranged, ranked_cells,
+                                   ranked_parts, running_sums)
 from surety.plans.resample import auroc_draws, poisson_weights
 from surety.operators.inference import holm, paired_bootstrap, spearman
 from surety.operators.metrics import calibration_errors, rank_metrics
@@ -97,14 +98,31 @@ def test_hot_key_join_gives_the_same_rows(spark, monkeypatch):
                       .collect())) == plain
 
 
-def test_large_first_rows_match_the_rank_filter(spark, monkeypatch):
+def test_first_rows_of_any_size_are_one_path(spark):
     df = frame(spark, rows())
-    few = sorted(r["image_id"] for r in first_rows(df, ["category"], ["s", "image_id"], 40)
-                 .collect())
-    monkeypatch.setattr("surety.plans.ranking.RANK_FILTER", 1)
-    many = first_rows(df, ["category"], ["s", "image_id"], 40, "p")
-    assert many.columns == [*df.columns, "p"]
-    assert sorted(r["image_id"] for r in many.collect()) == few
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r["s"] is not None, r["s"] or 0, r["image_id"])):
+        want.setdefault(r["category"], []).append(r["image_id"])
+    few = first_rows(df, ["category"], ["s", "image_id"], 40, "p")
+    assert few.columns == [*df.columns, "p"]
+    got = sorted((r["category"], r["p"], r["image_id"]) for r in few.collect())
+    assert got == sorted((g, k + 1, i) for g, ids in want.items() for k, i in enumerate(ids[:40]))
+
+
+def test_first_rows_keep_null_groups_at_every_size(spark):
+    data = [(str(i), None if i % 5 == 0 else "g", i % 7 / 7.0) for i in range(50)]
+    df = spark.createDataFrame(data, "image_id string, category string, s double")
+    small, large = (first_rows(df, ["category"], ["s", "image_id"], n, "p") for n in (1000, 1001))
+    assert small.schema == large.schema
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    assert small.count() == 50 and small.where("category is null").agg({"p": "max"}).first()[0] == 10
+
+
+def test_running_sums_need_no_second_shuffle(spark):
+    df = frame(spark, rows()).withColumn("w", F.col("s") * 0.1)
+    parts = ranged(df, ["category"], ["s", "image_id"])
+    plan = running_sums(parts, ["category"], ["w"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
 
 
 def test_ece_of_constant_scores(spark):
