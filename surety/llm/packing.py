@@ -17,6 +17,7 @@ the input other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,7 @@ END_ID = 1
 SHARD_PIECES = 30_000
 #: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_CHUNKS = 1_000_000
+MARKS = (b".", b",")
 
 
 class ChunkEncoder:
@@ -48,7 +50,10 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        # A task has one core; threads of the tokenizer's own would only wait for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids[0] for m in MARKS}
         self.forget()
 
     def forget(self) -> None:
@@ -56,17 +61,40 @@ class ChunkEncoder:
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self) -> None:
+        """Encode the chunks that were numbered since the last call.
+
+        A word with a full stop or comma behind an ASCII letter is the word and the mark: letters
+        and marks never share a token.
+        """
+        new, self.known.new = self.known.new, []
+        marked = [c for c in new if c[-1:] in MARKS and c[-2:-1].isalpha()]
+        stems = np.fromiter(map(self.known.__getitem__, (c[:-1] for c in marked)), np.int64, len(marked))
+        skip = set(marked)
+        plain = [c for c in new if c not in skip] + self.known.new
+        self.known.new = []
         codes = [c.ids for c in self.tokenizer.encode_batch_fast(
-            [c.decode() for c in chunks], add_special_tokens=False)]
+            [c.decode() for c in plain], add_special_tokens=False)]
         size = np.fromiter(map(len, codes), np.int64, len(codes))
+        self._store(plain, size, np.fromiter(chain.from_iterable(codes), np.uint32, int(size.sum())))
+        size = self.size[stems] + 1
+        ends = np.cumsum(size)
         total = int(size.sum())
-        while self.used + total > len(self.flat):
+        at = np.minimum(np.repeat(self.start[stems] - (ends - size), size) + np.arange(total), len(self.flat) - 1)
+        ids = self.flat[at]
+        ids[ends - 1] = [self.marks[c[-1:]] for c in marked]
+        self._store(marked, size, ids)
+
+    def _store(self, chunks: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(codes), np.uint32, total)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.used += total
+        self.flat[self.used:self.used + len(ids)] = ids
+        if len(self.known) > len(self.start):
+            room = len(self.known) - len(self.start) + (1 << 16)
+            self.start, self.size = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (self.start, self.size))
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.start[number], self.size[number] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
 
     def batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
@@ -76,8 +104,7 @@ class ChunkEncoder:
         chunks = b" ".join(plain).lower().replace(b"\n", b" ").split(b" ")
         which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         if self.known.new:
-            self.learn(self.known.new)
-            self.known.new = []
+            self.learn()
         sizes = self.size[which]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
