@@ -62,8 +62,8 @@ SELECT image_id, split FROM (SELECT *, row_number() OVER (PARTITION BY category,
   ORDER BY {sql_u01("'42'", 'category', 'split', 'defect_type', 'image_id')}, image_id) AS rn FROM {{idx}}) q
 WHERE rn <= CASE WHEN split = 'test' THEN 20 ELSE 50 END""", _INDEX)
 def _(v):
-    out = index.build_index(v("paths"), subset=index.Subset.parse("n_per_folder=20"),
-                            cal_subset=index.Subset.parse("n_per_folder=50"))
+    out = index.build_index(v("paths"), test_per_folder=20,
+                            other_per_folder=50)
     return out.select("image_id", "split")
 
 

@@ -63,8 +63,8 @@ def _(v):
 @query("f4_logistic_trust")
 def _(v):
     rows = fusion_rows(v)
-    fitted = fusion.LogisticTrust(CONFIG).fit(rows.withColumn("synthetic_anomaly", F.col("label")))
-    return fitted.transform(rows).select("image_id", F.round("trust_logistic", 6).alias("trust"))
+    fitted = fusion.fit_logistic(rows, CONFIG, label="label")
+    return fusion.score_logistic(rows, CONFIG, fitted).select("image_id", F.round("trust_logistic", 6).alias("trust"))
 
 
 def _curves(options: dict[str, str]) -> str:

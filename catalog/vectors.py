@@ -43,7 +43,7 @@ def rounded_array(name):
 
 
 @query("p1_l2_normalise", """
-SELECT image_id, list_transform(e, lambda x: round(x / greatest(sqrt(list_dot_product(e, e)), 1e-8::DOUBLE), 9)) AS unit,
+SELECT image_id, list_transform(e, lambda x: round(x / greatest(sqrt(list_dot_product(e, e)), 1e-8::DOUBLE), 9) + 0.0::DOUBLE) AS unit,
   round(sqrt(list_dot_product(e, e)), 9) AS norm
 FROM (SELECT image_id, list_transform(e, lambda x: x * (vec_id % 7)) AS e FROM {embd}) q""", V)
 def _(v):

@@ -328,13 +328,12 @@ def cross_dataset_coverage(source_cal: DataFrame, source_test: DataFrame,
     """Coverage of source thresholds on another dataset, per delta.
 
     Only target groups with source calibration data take part, unless ``pool_groups`` merges
-    everything into one group. Merging applies to the calibration pool and the target alone;
-    the source test rows keep their groups, so their coverage is unknown (zero) then.
+    the calibration pool and the target into one group. The source test rows keep their groups,
+    none of which has thresholds then, so the source coverage is zero.
     """
     if pool_groups:
         source_cal = source_cal.withColumn(group, F.lit("POOL"))
         target_test = target_test.withColumn(group, F.lit("POOL"))
-        source_test = source_test.withColumn(group, F.lit("POOL"))
     pool = calibration_pool(source_cal, score, group)
     shared = target_test.join(bounded(pool.select(group).distinct()), group, "left_semi")
     if not shared.limit(1).count():

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surety.functions.columns import array_mean, let
-from surety.plans.joins import BROADCAST_ROWS
-from surety.session import materialise
+from surety.plans.joins import bounded
 
 #: Vectors per side of one block comparison.
 BLOCK = 4096
@@ -41,18 +40,17 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
     keys, row = list(keys), list(row)
     n_query = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
     n_bank = bank.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    grid = materialise(n_query.join(n_bank, keys).select(
+    grid = bounded(n_query.join(n_bank, keys).select(
         *keys, F.ceil(F.col("_nq") / block).cast("int").alias("_nq"),
         F.ceil(F.col("_nb") / block).cast("int").alias("_nb")))
-    n_groups, widest = grid.agg(F.count(F.lit(1)), F.max("_nb")).first()
-    small = F.broadcast(grid) if n_groups <= BROADCAST_ROWS else grid
-    left = queries.select(*keys, *row, F.col(vector).alias("_v")).join(small, keys).select(
+    widest = grid.agg(F.max("_nb")).first()[0]
+    left = queries.select(*keys, *row, F.col(vector).alias("_v")).join(grid, keys).select(
         *keys, *row, "_v", F.pmod(F.xxhash64(*row), F.col("_nq")).cast("int").alias("_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_block"))
     # Renamed, because the bank is usually a part of the query table.
     right_keys = [f"_bank_{c}" for c in keys]
     right = bank.select(*keys, F.col(bank_row).alias("_id"), F.col(vector).alias("_b")).join(
-        small, keys).select(
+        grid, keys).select(
         *[F.col(c).alias(n) for c, n in zip(keys, right_keys)], F.col("_b").alias("_b"),
         F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int").alias("_bank_block"),
         F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_bank_chunk"))

@@ -16,13 +16,18 @@ def text_table(text: DataFrame, group: str = "category") -> DataFrame:
 
     Templates are a handful of vectors per group.
     """
-    def vectors(polarity: str):
-        return F.transform(F.array_sort(F.collect_list(F.when(
-            F.col("polarity") == polarity, F.struct("template_idx", "embedding")))),
-            lambda x: x["embedding"])
+    def templates(polarity: str):
+        return F.array_sort(F.collect_list(F.when(
+            F.col("polarity") == polarity, F.struct("template_idx", "embedding"))))
 
-    return text.groupBy(group).agg(vectors("normal").alias("t_normal"),
-                                   vectors("anomaly").alias("t_anomaly"))
+    both = text.groupBy(group).agg(templates("normal").alias("_n"), templates("anomaly").alias("_a"))
+
+    def field(side: str, name: str):
+        return F.transform(side, lambda x: x[name])
+
+    return both.select(group, field("_n", "embedding").alias("t_normal"),
+                       field("_a", "embedding").alias("t_anomaly"),
+                       (field("_n", "template_idx") == field("_a", "template_idx")).alias("t_paired"))
 
 
 def _mean_vector(templates):
@@ -54,14 +59,20 @@ def score_mean_embedding(df: DataFrame, text: DataFrame, tau: float, group: str
 
 def template_scores(df: DataFrame, text: DataFrame, tau: float, group: str = "category",
                     vector: str = "embedding") -> DataFrame:
-    """Attach ``tpl`` (probability per template pair) and ``tplraw`` (cosine margin)."""
+    """Attach ``tpl`` (probability per template pair) and ``tplraw`` (cosine margin).
+
+    The polarities are paired by ``template_idx``; a group in which one lacks a partner raises.
+    """
     out = attach_groups(df, text_table(text, group), [group])
     v = F.col(vector)
-    margins = F.zip_with("t_normal", "t_anomaly", lambda n, a: dot(v, a) - dot(v, n))
+    margins = F.when(F.col("t_paired").isNull() | F.col("t_paired"), F.zip_with(
+        "t_normal", "t_anomaly", lambda n, a: dot(v, a) - dot(v, n))).otherwise(F.raise_error(
+            F.concat(F.lit("templates without a partner in group "), F.col(group).cast("string"))
+        ).cast("array<double>"))
     return (out.withColumn("tplraw", margins)
             .withColumn("tpl", F.transform("tplraw", lambda m: anomaly_probability(
                 F.lit(0.0), m, tau)))
-            .drop("t_normal", "t_anomaly"))
+            .drop("t_normal", "t_anomaly", "t_paired"))
 
 
 def score_index(index: DataFrame, embeddings: DataFrame, text: DataFrame, tau: float = 0.01,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surety.session import materialise
+
 SHARD_KEYS = ["model_tag", "category", "split", "kind", "corruption", "severity", "extra"]
 EMBEDDING_SCHEMA = T.StructType([
     T.StructField("image_id", T.StringType()),
@@ -42,7 +44,23 @@ class EmbeddingStore:
         return fs.exists(target)
 
     def save(self, df: DataFrame, **keys) -> None:
-        """Append embeddings; shard keys come from ``keys`` or from columns of ``df``."""
+        """Write embeddings; shard keys come from ``keys`` or from columns of ``df``.
+
+        Shards that ``df`` holds are replaced, so a job that runs again leaves no second copy;
+        other shards stay as they are.
+        """
+        self._write(df, keys, "overwrite")
+
+    def top_up(self, df: DataFrame, **keys) -> None:
+        """Append the rows of ``df`` whose image its shard does not hold yet."""
+        out = self._shaped(df, keys)
+        if self.exists():
+            out = out.join(self._table().select("image_id", *SHARD_KEYS),
+                           ["image_id", *SHARD_KEYS], "left_anti")
+        # The table is read and appended to, so the rows are fixed first.
+        self._write(materialise(out), {}, "append")
+
+    def _shaped(self, df: DataFrame, keys: dict) -> DataFrame:
         defaults = {"corruption": "none", "severity": 0, "extra": ""}
         columns = {}
         for name in SHARD_KEYS:
@@ -57,9 +75,14 @@ class EmbeddingStore:
         if out.where(F.col("image_id").isNull() | F.col("embedding").isNull()).limit(1).count():
             raise ValueError("every image needs an id and an embedding")
         # An empty partition value would be read back as NULL.
-        out = out.withColumn("extra", F.when(F.col("extra") != "", F.col("extra"))
-                             .otherwise(F.lit("-")))
-        out.write.mode("append").partitionBy(*SHARD_KEYS).parquet(self.path)
+        return out.withColumn("extra", F.when(F.col("extra") != "", F.col("extra"))
+                              .otherwise(F.lit("-")))
+
+    def _write(self, df: DataFrame, keys: dict, mode: str) -> None:
+        # Rows of a shard come together, large shards in several files of a common size.
+        dealt = self._shaped(df, keys).hint("rebalance", *SHARD_KEYS)
+        (dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*SHARD_KEYS).parquet(self.path))
 
     def _select(self, keys: dict) -> DataFrame:
         table = self._table()

@@ -257,13 +257,9 @@ def test_records_round_trip_and_rules(spark, tmp_path):
 
 
 def test_subsets(spark):
-    assert index.Subset.parse("n_per_folder=5").tag == "n5" and index.Subset.parse(None).tag == "full"
-    with pytest.raises(ValueError):
-        index.Subset.parse("some")
     paths = spark.createDataFrame([(f"/d/cat/{s}/{f}/{i}.png",) for s, f in (
         ("train", "good"), ("test", "good"), ("test", "scratch")) for i in range(9)], "path string")
-    five = index.Subset.parse("n_per_folder=5")
-    got = index.build_index(paths, subset=five).groupBy("split").count().collect()
+    got = index.build_index(paths, test_per_folder=5).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in got} == {"train": 9, "test": 10}
     with pytest.raises(FileNotFoundError):
         index.build_index(paths, categories=["absent"])
@@ -279,8 +275,11 @@ def test_embedding_store_tops_up(spark, tmp_path):
         store.load(**keys)
     store.save(idx.limit(2), **keys)
     assert not store.covers(idx, **keys) and store.missing(idx, **keys).count() == 3
-    store.save(store.missing(idx, **keys), **keys)
+    store.top_up(idx, **keys)
     assert store.covers(idx, **keys) and store.load(**keys).count() == 5
+    store.save(idx, **keys)
+    store.save(idx.limit(3), model_tag="m", category="b", split="test", kind="image")
+    assert store.load(**keys).count() == 5 and store.load(model_tag="m").count() == 8
 
 
 def test_outcomes(spark):

@@ -90,10 +90,9 @@ def test_hot_key_join_gives_the_same_rows(spark, monkeypatch):
     ranking, parts = ranked_parts(df, ["category"], "s", {"n": F.lit(1)})
     cells = ranking.select("category", "s", "n", "n_before")
     plain = sorted(map(tuple, attach_cells(df, cells, parts, ["category", "s"]).collect()))
-    monkeypatch.setattr(joins, "HOT_ROWS", 50)
-    monkeypatch.setattr(joins, "HOT_SHARE", 8)
+    monkeypatch.setattr(joins, "SHARE_ROWS", 50)
     salted = attach_cells(df, cells, parts, ["category", "s"])
-    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert "_shares" in salted._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, salted.select("category", "s", "image_id", "label", "n_before")
                       .collect())) == plain
 
@@ -109,6 +108,26 @@ def test_first_rows_of_any_size_are_one_path(spark):
     assert got == sorted((g, k + 1, i) for g, ids in want.items() for k, i in enumerate(ids[:40]))
 
 
+def test_broadcast_is_bounded_by_bytes(spark):
+    wide = spark.range(10).selectExpr("id", "array_repeat(array_repeat(1.0D, 100), 20) as v")
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(joins.bounded(wide)) and not hinted(joins.bounded(wide, 100_000))
+    size = wide.agg(F.sum(joins.row_bytes(wide.schema))).first()[0]
+    assert 160_000 < size < 200_000
+
+
+def test_missing_keys_keep_their_rows(spark):
+    data = [(str(i), None if i % 4 == 0 else "g", None if i % 3 == 0 else (float("nan") if i % 7 == 0 else 0.5)) for i in range(40)]
+    df = spark.createDataFrame(data, "image_id string, category string, s double")
+    ranking, parts = ranked_parts(df, ["category"], "s", {"n": F.lit(1)})
+    out = attach_cells(df, ranking.select("category", "s", "n", "n_before"), parts, ["category", "s"])
+    assert out.count() == 40
+    matched = sum(1 for _, c, s in data if c is not None and s is not None and s == s)
+    assert out.where("n_before is not null").count() == matched
+
+
 def test_first_rows_keep_null_groups_at_every_size(spark):
     data = [(str(i), None if i % 5 == 0 else "g", i % 7 / 7.0) for i in range(50)]
     df = spark.createDataFrame(data, "image_id string, category string, s double")
