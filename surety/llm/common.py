@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from surety.session import checkpoint_dir, materialise
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Bytes of rows that a mapped function gets at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def whole_text(column: str = "text") -> Column:

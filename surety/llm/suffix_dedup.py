@@ -42,7 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.llm.common import Scratch, arrow_map, free_name, slices, sorted_runs, stream_groups, utf8_steps, whole_text
+from surety.llm.common import (STEP_BYTES, Scratch, arrow_map, free_name, slices, sorted_runs, stream_groups, utf8_steps,
+                               whole_text)
 from surety.llm.minhash import mix
 from surety.session import materialise
 
@@ -69,7 +70,7 @@ class Rolling:
     def __init__(self, raw: np.ndarray) -> None:
         n = len(raw)
         if len(Rolling._powers) < n + 1:
-            size = max(n + 1, 1 << 20)
+            size = max(n + 1, 2 * STEP_BYTES)
             Rolling._powers = np.cumprod(np.full(size, _STEP, np.uint64), dtype=np.uint64)
             Rolling._inverse = np.cumprod(np.full(size, pow(_STEP, -1, 1 << 64), np.uint64), dtype=np.uint64)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -289,7 +290,7 @@ class Parse:
         return out
 
 
-def _in_steps(batch: pa.RecordBatch, budget: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def _in_steps(batch: pa.RecordBatch, budget: int = STEP_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     data = batch.column("data").to_pylist()
     first, size = 0, 0
     for i, d in enumerate(data):
