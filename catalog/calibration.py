@@ -275,25 +275,25 @@ _LOGIT = "ln({c} / (1.0::DOUBLE - {c}))".replace(
     "{c}", "least(greatest(anomaly_score, 1e-9::DOUBLE), 1.0::DOUBLE - 1e-9::DOUBLE)")
 
 
-@query("c15_temperature", f"""
-SELECT 'no better neighbour' AS verdict, 'labels' AS fitted_on,
-  count(*) AS n FROM {{evt}} WHERE anomaly_score IS NOT NULL""")
+def _losses(grid: str) -> str:
+    """Mean negative log-likelihood of ``sigmoid(z / exp(t))`` at every ``t`` of a grid."""
+    return f"""SELECT t, avg(-(label * ln(p) + (1 - label) * ln(1.0::DOUBLE - p))) AS loss FROM (SELECT label, t, least(greatest(
+      1.0::DOUBLE / (1.0::DOUBLE + exp(-z / exp(t))), 1e-12::DOUBLE), 1.0::DOUBLE - 1e-12::DOUBLE) AS p FROM {{z}}, {grid}) q GROUP BY t"""
+
+
+@query("c15_temperature", "SELECT round(min(loss), 6) AS loss, (SELECT count(*) FROM {z}) AS n FROM {fine}", {
+    "z": f"SELECT label, {_LOGIT} AS z FROM {{evt}} WHERE anomaly_score IS NOT NULL",
+    "coarse": _losses("(SELECT unnest(range(-46, 47)) * 0.1::DOUBLE AS t) g"),
+    "top": "SELECT arg_min(t, loss) AS t FROM {coarse}",
+    "fine": _losses("(SELECT t + unnest(range(-100, 101)) * 0.001::DOUBLE AS t FROM {top}) g")})
 def _(v):
-    """The fitted temperature has no better neighbour at +-1% and +-5%."""
+    """The likelihood at the fitted temperature, against the best of a fine grid."""
     from surety.functions.columns import clip, finite, logistic, logit
     records = v("evt").where(finite(F.col("anomaly_score")))
     t = temperature.fit_temperature(records)
-    scales = {"best": 1.0, "lo1": 0.99, "hi1": 1.01, "lo5": 0.95, "hi5": 1.05}
-    losses = {}
-    for name, scale in scales.items():
-        p = clip(logistic(logit(F.col("anomaly_score")) / F.lit(t * scale)), 1e-12, 1 - 1e-12)
-        losses[name] = F.avg(-(F.col("label") * F.log(p)
-                               + (1 - F.col("label")) * F.log(F.lit(1.0) - p)))
-    best = F.least(*[F.col(k) for k in losses])
-    return records.agg(F.count(F.lit(1)).alias("n"),
-                       *[c.alias(k) for k, c in losses.items()]).select(
-        F.when(F.col("best") == best, "no better neighbour").otherwise("improvable")
-        .alias("verdict"), F.lit("labels").alias("fitted_on"), "n")
+    p = clip(logistic(logit(F.col("anomaly_score")) / F.lit(t)), 1e-12, 1 - 1e-12)
+    loss = F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(F.lit(1.0) - p)))
+    return records.agg(F.round(loss, 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
 @query("c15_temperature_applied", f"""
@@ -320,6 +320,19 @@ def _(v):
         "source_ci_lo", "source_ci_hi", "target_ci_lo", "target_ci_hi", "target_undercovers")
 
 
+# All target rows against one pool of all groups; the source rows keep their groups and match none.
+@query("c17_cross_dataset_pooled", """
+SELECT d.delta, round(1.0::DOUBLE - d.delta, 9) AS nominal, 0.0::DOUBLE AS source_coverage,
+  round(sum(CASE WHEN r.anomaly_score <= d.threshold THEN 1 ELSE 0 END)::DOUBLE / count(*), 9) AS target_coverage
+FROM (SELECT * FROM {evt_b} WHERE split = 'test' AND label = 0) r, {pooled_thr} d GROUP BY d.delta""", {
+    **_SWEEP, "pooled_thr": """SELECT delta, coalesce(max(CASE WHEN rn = CAST(ceil((n + 1) * (1.0::DOUBLE - delta)) AS BIGINT) THEN s END), 'inf'::DOUBLE) AS threshold
+      FROM (SELECT anomaly_score AS s, row_number() OVER (ORDER BY anomaly_score) AS rn, count(*) OVER () AS n FROM {cal}) r, {deltas} GROUP BY delta"""})
+def _(v):
+    out = conformal.cross_dataset_coverage(pool(v), test(v), test(v, "evt_b"), DELTAS, n_boot=200, pool_groups=True)
+    return _rounded(out, "nominal", "source_coverage", "target_coverage").select(
+        "delta", "nominal", F.coalesce("source_coverage", F.lit(0.0)).alias("source_coverage"), "target_coverage")
+
+
 _MODES = ", ".join(f"round({sql_mode('conformal_p', m)}, 9) AS u_conformal_{m}" for m in MODES)
 
 

@@ -61,16 +61,25 @@ def _(v):
         F.round(F.avg("window_score"), 9).alias("mean_score"))
 
 
+# Text vectors of a window's length: all 64 numbers, folded onto 16 by adding.
+_FOLD = ("SELECT category, polarity, template_idx, list_transform(range(1, 17), lambda j: embedding[j]::DOUBLE + embedding[j + 16] + embedding[j + 32]"
+         " + embedding[j + 48]) AS embedding FROM {txt}")
+T16 = {**M, "txt16": _FOLD, "tm16": V["tmean"].replace("{txt}", "{txt16}"),
+       "tsim": f"""SELECT w.image_id, w.category, w.window_idx, w.x0, w.y0,
+         1.0::DOUBLE / (1.0::DOUBLE + exp(-(list_dot_product(w.e, a.e) - list_dot_product(w.e, n.e)) / {TAU}::DOUBLE)) AS s
+         FROM {{wd}} w JOIN {{tm16}} n ON n.category = w.category AND n.polarity = 'normal'
+         JOIN {{tm16}} a ON a.category = w.category AND a.polarity = 'anomaly'"""}
+T16["tpainted"] = M["painted"].replace("{wsim}", "{tsim}")
+T16["tsmall"] = M["small"].replace("{painted}", "{tpainted}")
+
+
 def window_text(v):
-    return v("txt").withColumn("embedding", F.slice("embedding", 1, 16))
+    e = F.col("embedding")
+    return v("txt").withColumn("embedding", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: sum(
+        (F.element_at(e, j + 16 * k).cast("double") for k in (1, 2, 3)), F.element_at(e, j).cast("double"))))
 
 
-@query("k3_text_window_scores", f"""
-SELECT w.image_id, w.window_idx, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(list_dot_product(w.e, a.e) - list_dot_product(w.e, n.e)) / {TAU}::DOUBLE)), 9) AS window_score
-FROM {{wd}} w JOIN {{tm16}} n ON n.category = w.category AND n.polarity = 'normal'
-JOIN {{tm16}} a ON a.category = w.category AND a.polarity = 'anomaly'""",
-       {**M, "tm16": V["tmean"].replace("unnest(embedding)", "unnest(list_slice(embedding, 1, 16))")
-        .replace("generate_subscripts(embedding, 1)", "generate_subscripts(list_slice(embedding, 1, 16), 1)")})
+@query("k3_text_window_scores", "SELECT image_id, window_idx, round(s, 9) AS window_score FROM {tsim}", T16)
 def _(v):
     out = maps.text_window_scores(v("win"), window_text(v), TAU)
     return r9(out.select("image_id", F.col("window_idx").cast("bigint").alias("window_idx"),
@@ -109,19 +118,22 @@ def _(v):
     return out.select("image_id", F.transform("values", lambda x: F.round(x, 9)).alias("values"))
 
 
-@query("k7_map_stage", """SELECT category, count(DISTINCT image_id) AS n_maps, round(avg(v), 9) AS mean_value FROM {small} GROUP BY category""", M)
+@query("k7_map_stage", """
+SELECT category, 'bank' AS map_kind, count(DISTINCT image_id) AS n_maps, round(avg(v), 9) AS mean_value FROM {small} GROUP BY category
+UNION ALL SELECT category, 'text', count(DISTINCT image_id), round(avg(v), 9) FROM {tsmall} GROUP BY category""", T16)
 def _(v):
     out = maps.build_maps(v("win"), train_windows(v), window_text(v), 32, OUT, tau=TAU)
-    kept = out.where(F.col("map_kind") == "bank").select(
-        "category", "image_id", F.explode("values").alias("v"))
-    return kept.groupBy("category").agg(
+    cells = out.select("category", "map_kind", "image_id", F.explode("values").alias("v"))
+    return cells.groupBy("category", "map_kind").agg(
         F.countDistinct("image_id").alias("n_maps"), F.round(F.avg("v"), 9).alias("mean_value"))
 
 
-@query("k7_map_stage_kinds")
+@query("k7_map_stage_kinds", f"""
+SELECT image_id, 'bank' AS map_kind, {OUT} AS h, {OUT} AS w, round(max(v), 9) AS top FROM {{small}} GROUP BY image_id
+UNION ALL SELECT image_id, 'text', {OUT}, {OUT}, round(max(v), 9) FROM {{tsmall}} GROUP BY image_id""", T16)
 def _(v):
     out = maps.build_maps(v("win"), train_windows(v), window_text(v), 32, OUT, tau=TAU)
-    return out.select("image_id", "map_kind", "h", "w", F.array_max("values").alias("top"))
+    return out.select("image_id", "map_kind", "h", "w", F.round(F.array_max("values"), 9).alias("top"))
 
 
 X = {

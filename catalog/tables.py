@@ -89,7 +89,7 @@ def _(v):
     return out.na.fill("", ["defect_type", "path"])
 
 
-@query("s6_write_records")
+@query("s6_write_records", f"SELECT category, split, count(*) AS n FROM ({_CORE}) q GROUP BY 1, 2")
 def _(v):
     path = records.write_records(core(v), f"{scratch(v, 'written')}/records")
     return v.spark.read.parquet(path).groupBy("category", "split").agg(
@@ -112,7 +112,7 @@ def _(v):
         records.finalize(again, RUN)).drop("event_no"))
 
 
-@query("s8_empty_records")
+@query("s8_empty_records", f"SELECT split, count(*) AS n FROM ({_CORE}) q GROUP BY 1")
 def _(v):
     """The empty frame takes part in a concatenation and adds nothing."""
     return records.empty_records(v.spark).unionByName(
@@ -339,7 +339,14 @@ def _(v):
         F.round("overall_mean_auroc", 4).alias("overall_mean_auroc"))
 
 
-@query("u0_declarations")
+_DECLARED = {f"u_{n}": (k, *signals.NOTES[n], b) for n, (k, b) in signals.KINDS.items()}
+_DECLARED["u_conformal"] = signals.DERIVED
+
+
+@query("u0_declarations", " UNION ALL ".join(
+    "SELECT '{n}' AS signal, {0} AS kind, {1} AS inputs, {2} AS failure_modes, {b} AS is_baseline, count({c}) AS n_values FROM {{signals}}".format(
+        *["'" + x.replace("'", "''") + "'" for x in _DECLARED[n][:3]], n=n, b=str(_DECLARED[n][3]).lower(), c=c)
+    for n, c in (("u_abstention", "u_abstention"), ("u_conformal", "u_conformal"), ("u_verdict_var", "u_verdict_var"), ("u_token_entropy", "*"))), P)
 def _(v):
     rows = signals.attach_signals(scored(v), ["abstention", "verdict_var", "token_entropy"])
     present = signals.signal_columns(rows)

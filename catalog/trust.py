@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.calibration import pool
@@ -9,6 +11,7 @@ from catalog.evaluation import SIGNALS, r9, signal_records
 from catalog.parts import P, sql_auroc, sql_curve, sql_mode, sql_scored, sql_u01
 from catalog.registry import query
 from catalog.tables import scratch
+from surety.functions.columns import MODES
 from surety.operators import conformal, fusion, report, shift
 
 CONFIG = fusion.FusionConfig(("u_a", "u_conformal"), weights={"u_conformal": 2.0})
@@ -110,16 +113,23 @@ def _(v):
     return out.withColumns({n: F.round(n, 6) for n in ("aurc", "eaurc", "delta_aurc")})
 
 
-@query("p21_baseline_mode_guard", """SELECT category, max(conformal_mode) AS mode, false AS refused FROM {claims} GROUP BY category""")
+@query("p21_baseline_mode_guard", """SELECT m.mode, m.mode IN ('symmetric', 'entropy') AS refused, m.mode IN ('symmetric', 'entropy') AND NOT m.allowed AS refused_strictly, n
+FROM (SELECT unnest(['symmetric', 'entropy', 'boundary', 'log']) AS mode, false AS allowed) m, (SELECT count(*) AS n FROM {claims}) c""")
 def _(v):
+    """Every mode is offered to the guard, with and without leave for baseline signals."""
     rows = fusion_rows(v)
-    fusion.check_modes(rows, CONFIG)
-    try:
-        fusion.check_modes(rows.withColumn("conformal_mode", F.lit("entropy")), CONFIG)
-    except ValueError:
-        return rows.groupBy("category").agg(F.max("conformal_mode").alias("mode")).withColumn(
-            "refused", F.lit(False))
-    raise AssertionError("a baseline mode was not refused")
+
+    def refused(mode, config):
+        try:
+            fusion.check_modes(rows.withColumn("conformal_mode", F.lit(mode)), config)
+        except ValueError:
+            return True
+        return False
+
+    allowed = replace(CONFIG, allow_baseline_signals=True)
+    table = v.spark.createDataFrame([(m, refused(m, CONFIG), refused(m, CONFIG) and not refused(m, allowed)) for m in MODES],
+                                    "mode string, refused boolean, refused_strictly boolean")
+    return table.join(rows.agg(F.count(F.lit(1)).alias("n")))
 
 
 SW = {

@@ -387,16 +387,59 @@ def _(v):
               "anomaly_score")
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_THRESHOLD = 0.97
+#: Samples with the unit vector of their letter counts, their greedy clusters, and those by entailment.
+_CL = {**G,
+  "said": """SELECT image_id, sample_idx, vote, lower(trim(CASE WHEN length(observation) > 0 THEN observation ELSE text END)) AS t,
+    row_number() OVER (PARTITION BY image_id ORDER BY sample_idx) AS rn FROM {gp} WHERE vote IS NOT NULL""",
+  "lv": f"""SELECT image_id, sample_idx, vote, rn, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-8::DOUBLE)) AS v
+    FROM (SELECT *, [{', '.join(f"(length(t) - length(replace(t, '{x}', '')))::DOUBLE" for x in _LETTERS)}] AS c FROM {{said}}) q""",
+  "gc": f"""SELECT image_id, rn, [v] AS leaders, 0 AS cluster FROM {{lv}} WHERE rn = 1
+    UNION ALL SELECT image_id, rn, CASE WHEN hit > 0 THEN leaders ELSE list_append(leaders, v) END, CASE WHEN hit > 0 THEN hit - 1 ELSE len(leaders) END
+    FROM (SELECT n.image_id, n.rn, n.v, g.leaders, coalesce(list_position(list_transform(g.leaders, lambda l: list_dot_product(l, n.v) >= {_THRESHOLD}), true), 0) AS hit
+      FROM {{gc}} g JOIN {{lv}} n ON n.image_id = g.image_id AND n.rn = g.rn + 1) z""",
+  "cl": "SELECT l.image_id, l.sample_idx, l.vote, CAST(g.cluster AS BIGINT) AS cluster FROM {lv} l JOIN {gc} g ON g.image_id = l.image_id AND g.rn = l.rn",
+  "said_words": "SELECT image_id, rn, list_distinct(string_split_regex(t, '\\W+')) AS w FROM {said}",
+  "mutual": """SELECT a.image_id, a.rn, list(least(len(list_intersect(a.w, b.w))::DOUBLE / len(a.w), len(list_intersect(a.w, b.w))::DOUBLE / len(b.w)) ORDER BY b.rn) AS m
+    FROM {said_words} a JOIN {said_words} b ON b.image_id = a.image_id GROUP BY a.image_id, a.rn""",
+  "ec": """SELECT image_id, rn, [rn] AS leaders, 0 AS cluster FROM {mutual} WHERE rn = 1
+    UNION ALL SELECT image_id, rn, CASE WHEN list_max(s) >= 0.5 THEN leaders ELSE list_append(leaders, rn) END,
+      CASE WHEN list_max(s) >= 0.5 THEN list_position(s, list_max(s)) - 1 ELSE len(leaders) END
+    FROM (SELECT n.image_id, n.rn, g.leaders, list_transform(g.leaders, lambda l: n.m[l]) AS s
+      FROM {ec} g JOIN {mutual} n ON n.image_id = g.image_id AND n.rn = g.rn + 1) z""",
+  "ent": """SELECT image_id, CAST(sum(c) AS BIGINT) AS n, CASE WHEN sum(c) = 1 THEN 0.0::DOUBLE ELSE
+    greatest((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)), 0) END AS entropy
+    FROM (SELECT image_id, cluster, count(*) AS c FROM {cl} GROUP BY 1, 2) q GROUP BY image_id""",
+  "jent": """SELECT image_id, CAST(sum(c) AS BIGINT) AS n, CASE WHEN sum(c) = 1 THEN 0.0::DOUBLE ELSE
+    greatest((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)), 0) END AS entropy
+    FROM (SELECT image_id, vote, cluster, count(*) AS c FROM {cl} GROUP BY 1, 2, 3) q GROUP BY image_id"""}
+
+
 def samples(v):
-    return semantic.hashed_text_vector(semantic.valid_samples(gens.parse(v("gen"))))
+    """Valid samples with the unit vector of the letter counts of what they say."""
+    said = semantic.valid_samples(gens.parse(v("gen")))
+    t = F.lower("said")
+    counts = F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    return said.withColumn("vector", l2_normalise(counts))
+
 
+def clustered(v):
+    return semantic.greedy_clusters(samples(v), _THRESHOLD)
 
-@query("g1_semantic_clusters")
+
+@query("g1_semantic_clusters", "SELECT image_id, sample_idx, vote, cluster FROM {cl}", _CL, recursive=True)
 def _(v):
-    return semantic.greedy_clusters(samples(v))
+    return clustered(v)
 
 
-@query("g1_entailment_clusters")
+@query("g1_hashed_text_clusters")
+def _(v):
+    return semantic.greedy_clusters(semantic.hashed_text_vector(semantic.valid_samples(gens.parse(v("gen")))))
+
+
+@query("g1_entailment_clusters", """SELECT s.image_id, s.sample_idx, s.vote, CAST(e.cluster AS BIGINT) AS cluster
+FROM {said} s JOIN {ec} e ON e.image_id = s.image_id AND e.rn = s.rn""", _CL, recursive=True)
 def _(v):
     """Entailment scores from word overlap: the share of the premise's words that recur."""
     said = materialise(semantic.valid_samples(gens.parse(v("gen"))).withColumn(
@@ -411,30 +454,14 @@ def _(v):
     return semantic.entailment_clusters(said, pairs)
 
 
-# A cluster label every engine can compute: the first letter of the defect.
-_CL = {**G, "cl": "SELECT image_id, sample_idx, vote, lower(substr(defect_type, 1, 2)) AS cluster FROM {gp} WHERE vote IS NOT NULL",
-       "ent": """SELECT image_id, CAST(sum(c) AS BIGINT) AS n, CASE WHEN sum(c) = 1 THEN 0.0::DOUBLE ELSE
-         greatest((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)), 0) END AS entropy
-         FROM (SELECT image_id, cluster, count(*) AS c FROM {cl} GROUP BY 1, 2) q GROUP BY image_id""",
-       "jent": """SELECT image_id, CAST(sum(c) AS BIGINT) AS n, CASE WHEN sum(c) = 1 THEN 0.0::DOUBLE ELSE
-         greatest((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(sum(c)), 0) END AS entropy
-         FROM (SELECT image_id, vote, cluster, count(*) AS c FROM {cl} GROUP BY 1, 2, 3) q GROUP BY image_id"""}
-
-
-def labelled(v):
-    rows = gens.parse(v("gen")).where(F.col("vote").isNotNull())
-    return rows.select("image_id", "sample_idx", "vote",
-                       F.lower(F.substring("defect_type", 1, 2)).alias("cluster"))
-
-
-@query("g2_cluster_entropy", "SELECT image_id, n, round(entropy, 9) AS entropy FROM {ent}", _CL)
+@query("g2_cluster_entropy", "SELECT image_id, n, round(entropy, 9) AS entropy FROM {ent}", _CL, recursive=True)
 def _(v):
-    return r9(semantic.cluster_entropy(labelled(v)), "entropy")
+    return r9(semantic.cluster_entropy(clustered(v)), "entropy")
 
 
-@query("g3_joint_entropy", "SELECT image_id, n, round(entropy, 9) AS entropy FROM {jent}", _CL)
+@query("g3_joint_entropy", "SELECT image_id, n, round(entropy, 9) AS entropy FROM {jent}", _CL, recursive=True)
 def _(v):
-    return r9(semantic.joint_entropy(labelled(v)), "entropy")
+    return r9(semantic.joint_entropy(clustered(v)), "entropy")
 
 
 _CANON = """CASE lower(defect_type) WHEN 'cracked' THEN 'crack' WHEN '' THEN 'none' ELSE lower(defect_type) END"""
@@ -453,18 +480,26 @@ def _(v):
 
 
 @query("u9_semantic_entropy", """SELECT i.image_id, round(coalesce(e.entropy, 1.0::DOUBLE), 9) AS u_semantic_entropy
-FROM (SELECT DISTINCT image_id FROM {gp}) i LEFT JOIN {ent} e ON e.image_id = i.image_id""", _CL)
+FROM (SELECT DISTINCT image_id FROM {gp}) i LEFT JOIN {ent} e ON e.image_id = i.image_id""", _CL, recursive=True)
+def _(v):
+    rows = gens.vote_aggregate(gens.parse(v("gen")))
+    out = signals.attach_signals(rows, ["semantic_entropy"], {"semantic_entropy": {"clusters": clustered(v)}})
+    return r9(out.select("image_id", "u_semantic_entropy"), "u_semantic_entropy")
+
+
+@query("u9_semantic_entropy_joint", """SELECT i.image_id, round(coalesce(e.entropy, 1.0::DOUBLE), 9) AS u_semantic_entropy
+FROM (SELECT DISTINCT image_id FROM {gp}) i LEFT JOIN {jent} e ON e.image_id = i.image_id""", _CL, recursive=True)
 def _(v):
     rows = gens.vote_aggregate(gens.parse(v("gen")))
-    out = semantic.semantic_entropy(rows, labelled(v))
+    out = semantic.semantic_entropy(rows, clustered(v), joint=True)
     return r9(out.select("image_id", "u_semantic_entropy"), "u_semantic_entropy")
 
 
 @query("u9_semantic_entropy_clustered")
 def _(v):
     rows = gens.vote_aggregate(gens.parse(v("gen")))
-    out = semantic.semantic_entropy(rows, semantic.greedy_clusters(samples(v)), joint=True)
-    return out.select("image_id", "u_semantic_entropy")
+    hashed = semantic.hashed_text_vector(semantic.valid_samples(gens.parse(v("gen"))))
+    return semantic.semantic_entropy(rows, semantic.greedy_clusters(hashed), joint=True).select("image_id", "u_semantic_entropy")
 
 
 @query("u11_verbalized_confidence", """

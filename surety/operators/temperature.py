@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions.columns import clip, finite, logistic, logit
@@ -29,15 +29,16 @@ def fit_temperature(df: DataFrame, score: str = "anomaly_score", label: str = "l
             raise ValueError("temperature scaling needs both classes present")
         lo, hi = LOG_T
         best = 0.0
-        p = clip(logistic(F.col("_z") / F.exp("_log_t")), 1e-12, 1.0 - 1e-12)
-        loss = F.sum(-(F.col("_pos") * F.log(p)
-                       + (F.col("_n") - F.col("_pos")) * F.log(F.lit(1.0) - p)))
+
+        def loss(log_t: float) -> Column:
+            p = clip(logistic(F.col("_z") / F.lit(math.exp(log_t))), 1e-12, 1.0 - 1e-12)
+            return F.sum(-(F.col("_pos") * F.log(p)
+                           + (F.col("_n") - F.col("_pos")) * F.log(F.lit(1.0) - p)))
+
         for _ in range(rounds):
             grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-            temperatures = F.explode(F.array(*[F.lit(t) for t in grid]))
-            rows = (base.withColumn("_log_t", temperatures).groupBy("_log_t")
-                    .agg(loss.alias("_loss")).collect())    # one row per grid point
-            best = min(rows, key=lambda r: (r["_loss"], r["_log_t"]))["_log_t"]
+            losses = base.agg(*[loss(t).alias(f"l{i}") for i, t in enumerate(grid)]).first()
+            best = grid[min(range(points), key=lambda i: (losses[i], i))]
             i = grid.index(best)
             lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, points - 1)]
         return math.exp(best)
