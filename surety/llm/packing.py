@@ -35,7 +35,7 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 30_000
 #: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 MARKS = (b".", b",")
 
 
