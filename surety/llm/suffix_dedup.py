@@ -18,8 +18,9 @@ text is first made short without losing a repeat:
    The suffixes at 0 modulo 3 are then merged in: compared with class 1 by (character, rank of the
    next), with class 2 by (character, character, rank of the one after).
 4. *Adjacent prefixes.* Suffixes with the same core stand side by side. Each such class holds all
-   windows that can be equal. A cut whose whole surroundings occur twice settles all its windows
-   at once; the windows of the others are compared one by one inside their class.
+   windows that can be equal; the bytes that all windows of a cut share divide it further. A cut
+   whose whole surroundings occur twice settles all its windows at once; the windows of the others
+   are compared one by one inside their part of the class.
 
 All sorts are range-partitioned with ties split by position, so a passage that a third of the
 documents share is spread over many tasks. Equal texts are sorted once. Strings are compared by
@@ -54,6 +55,8 @@ SEED = 100
 GRAM, SPREAD = 20, 50
 #: Bytes of whole phrases that equal windows share from their first cut on, at least.
 CORE = LENGTH - GRAM - 2 * SPREAD - SPREAD + 3
+#: Bytes from a cut on that all of its windows hold.
+RIGHT = LENGTH - SPREAD + 1
 #: Bytes of whole phrases that one character of the sorted string holds, at least.
 CHARACTER = 24
 
@@ -536,8 +539,11 @@ def _around(batch: pa.RecordBatch) -> pa.RecordBatch:
         used = p.windows[at] > 0
         owner, at, group = owner[used], at[used], cuts["class"][used]
         lo, n = p.first[at], p.windows[at]
-        surround = p.rolling.between(lo, lo + n - 1 + LENGTH) + mix(group.astype(np.uint64))
-        for column, value in zip(out, (surround, group, n, tids[first:end][owner],
+        # All windows of a cut hold the RIGHT bytes behind it: they divide the class further.
+        cut = p.cut[at]
+        group = p.rolling.between(cut, cut + RIGHT) + mix(group.astype(np.uint64))
+        surround = p.rolling.between(lo, lo + n - 1 + LENGTH) + mix(group)
+        for column, value in zip(out, (surround, group.view(np.int64), n, tids[first:end][owner],
                                        starts[first:end][owner] + lo - p.offsets[owner], segs[first:end][owner])):
             column.append(value)
     key, *rest = (np.concatenate(c) for c in out)
