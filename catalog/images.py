@@ -336,7 +336,8 @@ def pixel_rows(v):
 
 @query("m19_pixel_auroc", """SELECT split_part(k, '|', 1) AS map_kind, split_part(k, '|', 2) AS "group", n AS n_pixels, round(auroc, 9) AS pixel_auroc FROM {pauc}""", PX)
 def _(v):
-    return r9(pixel.pixel_auroc(pixel_rows(v), ["map_kind", "group"]), "pixel_auroc")
+    rows = pixel.with_masks(v("maps"), v("masks"))
+    return r9(pixel.pixel_auroc(rows, ["map_kind"], "category"), "pixel_auroc")
 
 
 @query("m20_pro", """SELECT split_part(k, '|', 1) AS map_kind, split_part(k, '|', 2) AS "group", round(pro, 9) AS pro FROM {prov}""", PX)

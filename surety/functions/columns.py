@@ -195,3 +195,22 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of a z statistic; used on report rows only."""
     return z.map(lambda v: None if v is None or math.isnan(v)
                  else math.erfc(abs(v) / math.sqrt(2.0)))
+
+
+def on_grid(values: Column, from_h: Column, from_w: Column, h: Column, w: Column) -> Column:
+    """A flat image brought to another size by the nearest pixel centre; NULL stays NULL.
+
+    Without ``from_h`` and ``from_w`` the image has to have the size asked for.
+    """
+    from_h, from_w = F.coalesce(from_h, h), F.coalesce(from_w, w)
+
+    def nearest(p: Column) -> Column:
+        r = F.floor((F.floor(p / w) + F.lit(0.5)) * from_h / h)
+        c = F.floor((p % w + F.lit(0.5)) * from_w / w)
+        return F.get(values, (r * from_w + c).cast("int"))
+
+    cells = F.sequence(F.lit(0), (h * w).cast("int") - 1)
+    fits = F.size(values) == from_h * from_w
+    return F.when(fits & (from_h == h) & (from_w == w), values).when(
+        fits, F.transform(cells, nearest)).when(
+        values.isNotNull(), F.raise_error(F.lit("an image does not have the size it claims")).cast("array<tinyint>"))

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surety.functions.columns import array_quantile, clip, let, or_null, ratio
+from surety.functions.columns import array_quantile, clip, let, on_grid, or_null, ratio
 from surety.functions.text import location_claim
+from surety.operators.pixel import sized
 from surety.operators.signals import pct_ranks
 from surety.plans.joins import attach_groups, require_none
 from surety.plans.ranking import quantiles, ranked_cells, with_pooled
@@ -188,8 +189,11 @@ def hallucination_flags(records: DataFrame, maps: DataFrame, masks: DataFrame,
     attended region when the claim narrows nothing) must overlap the true mask; below the IoU
     threshold it is case (b). Without a mask or map it cannot be verified.
     """
-    out = (records.join(maps.select(row, "h", "values"), row, "left")
-           .join(masks.select(row, F.col("mask").alias("_mask")), row, "left"))
+    out = (records.join(maps.select(row, "h", "w", "values"), row, "left")
+           .join(sized(masks, row), row, "left"))
+    # A mask of another size is brought to the map's grid (nearest pixel).
+    out = out.withColumn("_mask", on_grid(F.col("_mask"), F.col("_mh"), F.col("_mw"), F.col("h"),
+                                          F.col("w")))
     if location not in out.columns:
         out = out.withColumn(location, F.lit(""))
     out = out.withColumn("_claim", location_claim(F.col(location)))
@@ -204,7 +208,7 @@ def hallucination_flags(records: DataFrame, maps: DataFrame, masks: DataFrame,
     verifiable = F.col("_mask").isNotNull() & F.col("values").isNotNull()
     iou = (F.when(~positive, F.lit(None)).when(normal, F.lit(0.0))
            .when(verifiable, region_iou(region, truth)))
-    out = out.withColumn("gt_iou", iou.cast("double")).drop("values", "h", "_mask", "_claim")
+    out = out.withColumn("gt_iou", iou.cast("double")).drop("values", "h", "w", "_mh", "_mw", "_mask", "_claim")
     return flag_cases(out.withColumn("_positive", positive), iou_threshold).drop("_positive")
 
 

@@ -10,48 +10,104 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.operators.metrics import auroc
+from surety.functions.columns import on_grid
+from surety.operators.metrics import rank_metrics_of
 from surety.plans.joins import attach_groups
-from surety.plans.ranking import with_pooled
+from surety.plans.ranking import cells, ranked_cells, with_pooled
+from surety.session import materialise
+
+
+def sized(masks: DataFrame, row: str) -> DataFrame:
+    """``_mask, _mh, _mw`` of each mask; the size is NULL where the table does not state it."""
+    def side(name: str) -> Column:
+        return F.col(name).cast("int") if name in masks.columns else F.lit(None).cast("int")
+
+    return masks.select(row, F.col("mask").cast("array<tinyint>").alias("_mask"),
+                        side("h").alias("_mh"), side("w").alias("_mw"))
 
 
 def with_masks(maps: DataFrame, masks: DataFrame, row: str = "image_id") -> DataFrame:
-    """Maps with their mask; an image without one has an all-zero mask."""
-    empty = F.transform("values", lambda v: F.lit(0).cast("tinyint"))
-    return maps.join(masks.select(row, F.col("mask").alias("_mask")), row, "left").withColumn(
-        "mask", F.coalesce(F.col("_mask").cast("array<tinyint>"), empty)).drop("_mask")
-
-
-def pixel_auroc(maps: DataFrame, group: Sequence[str]) -> DataFrame:
-    """AUROC over all pixels of a group. Exact: pixels collapse to distinct scores first."""
-    pixels = maps.select(*group, F.explode(F.arrays_zip("values", "mask")).alias("_p")).select(
-        *group, F.col("_p.values").cast("double").alias("score"),
-        (F.col("_p.mask") > 0).cast("int").alias("label"))
-    return auroc(pixels, group, "score", "label").select(
+    """Maps with ``mask`` and ``labels``, the region number of each pixel.
+
+    A mask of another size is brought to the map's grid (nearest pixel). Regions are found once
+    for each mask and stored; an image without a mask has zeros and is never labelled.
+    """
+    grids = maps.select(row, "h", "w").distinct()
+    given = sized(masks, row).withColumnsRenamed({"_mask": "_given"})
+    fitted = given.join(grids, row).select(row, "h", "w", on_grid(
+        F.col("_given"), F.col("_mh"), F.col("_mw"), F.col("h"), F.col("w")).alias("mask"))
+    labelled = materialise(regions(fitted).select(
+        row, "h", "w", F.col("mask").alias("_mask"), F.col("labels").alias("_labels")))
+
+    def zeros(kind: str) -> Column:
+        return F.transform("values", lambda v: F.lit(0).cast(kind))
+
+    return (maps.join(labelled, [row, "h", "w"], "left")
+            .withColumn("mask", F.coalesce("_mask", zeros("tinyint")))
+            .withColumn("labels", F.coalesce("_labels", zeros("int"))).drop("_mask", "_labels"))
+
+
+def pixel_auroc(maps: DataFrame, group: Sequence[str], pooled: str | None = None) -> DataFrame:
+    """AUROC over all pixels of a group. Exact: pixels collapse to distinct scores first.
+
+    With ``pooled``, a column, each of its values is a ``group`` and so is all of them together;
+    the collapsed scores are counted for both, not the pixels.
+    """
+    pixels = maps.select(*group, *([pooled] if pooled else []),
+                         F.explode(F.arrays_zip("values", "mask")).alias("_p")).withColumns({
+        "score": F.col("_p.values").cast("double"), "_pos": (F.col("_p.mask") > 0).cast("int")})
+    group = list(group)
+    sums = {"n": F.lit(1), "n_pos": F.col("_pos")}
+    if pooled:
+        cells_ = cells(pixels, [*group, pooled], "score", sums)
+        pixels, group = with_pooled(cells_, pooled), [*group, "group"]
+        sums = {"n": F.col("n"), "n_pos": F.col("n_pos")}
+    return rank_metrics_of(ranked_cells(pixels, group, "score", sums), group).select(
         *group, F.col("n").alias("n_pixels"), F.col("auroc").alias("pixel_auroc"))
 
 
+def _region_numbers(inside: np.ndarray) -> np.ndarray:
+    """4-connected regions of one image, numbered in scan order.
+
+    Works on horizontal runs: runs of neighbouring rows that share a column are united, so the
+    time is linear in the pixels however long or winding a region is.
+    """
+    h, w = inside.shape
+    step = np.diff(np.pad(inside, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    parent = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1)).tolist()
+    lo, hi = start.tolist(), end.tolist()
+    for r in range(1, h):
+        above, here = first[r - 1], first[r]
+        while above < first[r] and here < first[r + 1]:
+            if lo[above] < hi[here] and lo[here] < hi[above]:
+                a, b = root(above), root(here)
+                parent[max(a, b)] = min(a, b)
+            if hi[above] < hi[here]:
+                above += 1
+            else:
+                here += 1
+    roots = np.array([root(i) for i in range(len(row))], dtype=np.int64)
+    number = np.unique(roots, return_inverse=True)[1] + 1
+    out = np.zeros((h, w), dtype=np.int32)
+    out[inside] = np.repeat(number, end - start)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def region_labels(mask: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """4-connected region number of each pixel of a mask (0 is background), in scan order."""
-    out = []
-    for values, h, w in zip(mask, height, width):
-        inside = np.asarray(values).reshape(int(h), int(w)) > 0
-        far = inside.size
-        label = np.where(inside, np.arange(far).reshape(inside.shape), far)
-        while True:
-            # The smallest pixel number spreads over each region.
-            padded = np.pad(label, 1, constant_values=far)
-            near = np.minimum.reduce([padded[:-2, 1:-1], padded[2:, 1:-1],
-                                      padded[1:-1, :-2], padded[1:-1, 2:]])
-            spread = np.where(inside, np.minimum(label, near), far)
-            if np.array_equal(spread, label):
-                break
-            label = spread
-        numbers = np.unique(label[inside])
-        out.append(np.where(inside, np.searchsorted(numbers, label) + 1, 0)
-                   .ravel().astype(np.int32))
-    return pd.Series(out)
+    return pd.Series([_region_numbers(np.asarray(m).reshape(int(h), int(w)) > 0).ravel()
+                      for m, h, w in zip(mask, height, width)])
 
 
 def regions(masks: DataFrame) -> DataFrame:
@@ -138,9 +194,9 @@ def pixel_table(maps: DataFrame, masks: DataFrame, group: str = "category",
                 row: str = "image_id") -> DataFrame:
     """Pixel AUROC and PRO per map kind, for each group and pooled."""
     keys = ["map_kind", "group"]
-    # Regions are found once, before the rows are fanned out to the pooled group.
-    rows = with_pooled(regions(with_masks(maps, masks, row)), group)
+    maps = with_masks(maps, masks, row)
+    rows = with_pooled(maps, group)
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (n.join(pixel_auroc(rows, keys).drop("n_pixels"), keys, "left")
+    return (n.join(pixel_auroc(maps, ["map_kind"], group).drop("n_pixels"), keys, "left")
             .join(pro_score(rows, keys, row=row), keys, "left")
             .withColumnRenamed("group", "category"))

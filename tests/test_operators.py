@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from surety.functions.text import location_claim, parse_generation
 from surety.operators import (browse, fusion, generations, grounding, maps, pixel, report,
-                              selective, semantic, shift, signals)
+                              scoring, selective, semantic, shift, signals)
 from surety.operators.neighbours import knn_distance
 from surety.sources import index, records, stores
 
@@ -311,3 +311,70 @@ def test_report_interval_brackets_the_point(spark):
             assert r["aupr_ci_lo"] <= r["aupr_ci_hi"]
 
 
+
+
+def test_regions_of_winding_shapes():
+    def plain(inside):
+        label = np.zeros(inside.shape, int)
+        n = 0
+        for r, c in zip(*np.nonzero(inside)):
+            if label[r, c]:
+                continue
+            n += 1
+            stack = [(r, c)]
+            while stack:
+                i, j = stack.pop()
+                if 0 <= i < inside.shape[0] and 0 <= j < inside.shape[1] and inside[i, j] and not label[i, j]:
+                    label[i, j] = n
+                    stack += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+        return label
+
+    rng = np.random.default_rng(5)
+    spiral = np.zeros((21, 21), bool)
+    spiral[::2] = True
+    spiral[1::4, -1] = spiral[3::4, 0] = True
+    for image in [spiral, spiral.T, np.ones((3, 4), bool), np.zeros((2, 2), bool),
+                  *[rng.random((rng.integers(1, 12), rng.integers(1, 12))) < p for p in (0.3, 0.5, 0.6, 0.8) for _ in range(15)]]:
+        assert (pixel._region_numbers(image) == plain(image)).all()
+
+
+def test_masks_of_another_size(spark):
+    small = np.zeros((4, 4), int)
+    small[1:3, 1:3] = 1
+    large = np.kron(small, np.ones((2, 2), int))
+    maps_ = spark.createDataFrame([("a", "c", 4, 4, [float(x) for x in small.ravel()]), ("b", "c", 4, 4, [0.0] * 16)],
+                                  "image_id string, category string, h int, w int, values array<double>")
+    masks = spark.createDataFrame([("a", 8, 8, large.ravel().tolist())], "image_id string, h int, w int, mask array<tinyint>")
+    rows = {r["image_id"]: r for r in pixel.with_masks(maps_, masks).collect()}
+    assert rows["a"]["mask"] == small.ravel().tolist() == rows["a"]["labels"] and not any(rows["b"]["labels"])
+    records = spark.createDataFrame([("a", 1, 1)], "image_id string, label int, conformal_pred int")
+    out = grounding.hallucination_flags(records, maps_, masks, top_frac=0.25, use_claim=False).first()
+    assert out["gt_iou"] == pytest.approx(1.0) and out["halluc_case"] == "grounded"
+    broken = masks.withColumn("h", F.lit(7))
+    with pytest.raises(Exception, match="size it claims"):
+        pixel.with_masks(maps_, broken).collect()
+
+
+def test_template_without_reference_keeps_the_others(spark):
+    ref = spark.createDataFrame([("g", [1.0, None, 3.0]), ("g", [3.0, None, 7.0])], "category string, tplraw array<double>")
+    df = spark.createDataFrame([("g", [2.0, 9.0, 9.0])], "category string, tplraw array<double>")
+    out = signals.prompt_std_z(df, signals.template_reference(ref, check=False)).first()
+    # Templates 0 and 2: z = 0 and 2, spread 1; template 1 has no reference and is left out.
+    assert out["u_prompt_std_z"] == pytest.approx(1.0)
+
+
+def test_unpaired_templates_raise(spark):
+    text = spark.createDataFrame([("g", "normal", 0, [1.0, 0.0]), ("g", "normal", 1, [0.0, 1.0]), ("g", "anomaly", 0, [0.5, 0.5])],
+                                 "category string, polarity string, template_idx int, embedding array<double>")
+    df = spark.createDataFrame([("a", "g", [1.0, 0.0])], "image_id string, category string, embedding array<double>")
+    with pytest.raises(Exception, match="without a partner"):
+        scoring.template_scores(df, text, 0.1).collect()
+
+
+def test_clusters_do_not_depend_on_the_path(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"i{k}", j, 1, (v / np.linalg.norm(v)).tolist()) for k in range(3) for j, v in enumerate(rng.random((40, 4)))]
+    df = spark.createDataFrame(rows, "image_id string, sample_idx int, vote int, vector array<double>")
+    one = sorted(map(tuple, semantic.greedy_clusters(df, 0.9).collect()))
+    rounds = sorted(map(tuple, semantic.greedy_clusters(df, 0.9, limit=5, round_size=4).collect()))
+    assert one == rounds and len({r[3] for r in one}) > 3
