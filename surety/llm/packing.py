@@ -217,13 +217,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     """Add ``sequence_id`` and ``offset`` to a table of :func:`pieces`.
 
     ``sequence_id`` is the shard number times 2**32 plus the bin within the shard. The table is
-    materialised first, so that its rows are counted and dealt from the same files.
+    materialised first, so that its rows are counted, numbered and dealt from the same files. Only
+    keys and lengths are dealt into shards; token ids meet their places in a join by row number.
     """
     parts = materialise(parts)
     shards = max(1, math.ceil(parts.count() / shard_pieces))
-    dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
-    names = parts.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    wide = [c for c in parts.columns if c not in keys]
+    rows = parts.withColumn("_row", F.monotonically_increasing_id())
+    narrow = rows.drop(*wide)
+    names = narrow.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in stream_groups(batches, "_shard"):
@@ -235,8 +238,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
                 part = part.select(names).append_column("sequence_id", pa.array(bins + (int(shard[a]) << 32)))
                 yield from part.append_column("offset", pa.array(offsets)).to_batches()
 
-    return (dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "length", "doc_id", "piece", "ids_crc32")
-            .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
+    placed = (narrow.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
+              .repartition(shards, "_shard").sortWithinPartitions("_shard", "length", "doc_id", "piece", "ids_crc32")
+              .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
+    if not wide:
+        return placed.drop("_row")
+    return rows.join(placed.select("_row", "sequence_id", "offset"), "_row").drop("_row")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
