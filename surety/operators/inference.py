@@ -24,10 +24,10 @@ def bootstrap_auroc(df: DataFrame, group: Sequence[str], score: str = "anomaly_s
         return bootstrap_auroc(df.withColumn("_all", F.lit(0)), ["_all"], score, label, n_boot,
                                seed, alpha, with_ap).drop("_all")
     group = list(group)
-    ranking = ranked_cells(df, group, score, class_sums(F.col(label)))
+    ranking, parts = ranked_parts(df, group, score, class_sums(F.col(label)))
     out = rank_metrics_of(ranking, group)
     names = ["auroc", "aupr"] if with_ap else ["auroc"]
-    draws = auroc_draws(ranking, group, score, n_boot, seed, with_ap=with_ap)
+    draws = auroc_draws(parts, group, score, n_boot, seed, with_ap=with_ap, dealt=True)
     for name in names:
         out = out.join(percentile_interval(draws, group, name, alpha), group, "left")
     return out if with_ap else out.drop("aupr")
@@ -93,10 +93,12 @@ def delong(aligned: DataFrame, group: Sequence[str], label: str = "label") -> Da
     scorers' components is needed.
     """
     group = list(group)
-    rows = aligned.where(finite(F.col("score_a")) & finite(F.col("score_b")))
+    base = aligned.where(finite(F.col("score_a")) & finite(F.col("score_b")))
+    rows = base
     for side in "ab":
         score = f"score_{side}"
-        ranking, parts = ranked_parts(rows, group, score, class_sums(F.col(label)))
+        # Both sides are ranked from the base rows, so no join is computed twice.
+        ranking, parts = ranked_parts(base, group, score, class_sums(F.col(label)))
         neg, neg_total = F.col("n") - F.col("n_pos"), F.col("n_total") - F.col("n_pos_total")
         wins = (F.col("n_before") - F.col("n_pos_before") + neg / F.lit(2.0)) / neg_total
         losses = (F.lit(1.0) - (F.col("n_pos_before") + F.col("n_pos") / F.lit(2.0))
@@ -160,15 +162,16 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     NULL with fewer than three pairs or when either side is constant.
     """
     group = list(group)
-    rows = df.where(finite(F.col(x)) & finite(F.col(y)))
+    base = df.where(finite(F.col(x)) & finite(F.col(y)))
+    rows = base
     for column, rank in ((x, "_rx"), (y, "_ry")):
-        ranking, parts = ranked_parts(rows, group, column, {"n": F.lit(1)})
+        ranking, parts = ranked_parts(base, group, column, {"n": F.lit(1)})
         ranks = ranking.select(*group, column, "n", average_rank().alias(rank))
         rows = attach_cells(rows, ranks, parts, [*group, column])
     stats = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.try_divide(
             F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_r"),
-        F.countDistinct("_rx").alias("_dx"), F.countDistinct("_ry").alias("_dy"))
-    known = (F.col("n") >= 3) & (F.col("_dx") > 1) & (F.col("_dy") > 1)
+        (F.min("_rx") < F.max("_rx")).alias("_dx"), (F.min("_ry") < F.max("_ry")).alias("_dy"))
+    known = (F.col("n") >= 3) & F.col("_dx") & F.col("_dy")
     return stats.select(*group, "n", F.when(known, F.col("_r")).alias("rho"))
 

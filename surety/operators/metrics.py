@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from surety.functions.columns import clip, ratio
 from surety.plans.joins import attach_groups
-from surety.plans.ranking import POOLED, cells, quantiles, ranked_cells, with_pooled
+from surety.plans.ranking import (POOLED, cells, quantiles, ranked_cells, ranked_parts,
+                                   with_pooled)
 from surety.plans.resample import auroc_draws, percentile_interval
 from surety.session import materialise
 
@@ -93,22 +94,22 @@ def nll(df: DataFrame, group: Sequence[str], score: str = SCORE,
         (F.sum(_nll(score)) / F.sum("n")).alias("nll"))
 
 
-def _bins(ranking: DataFrame, group: Sequence[str], score: str, n_bins: int,
-          adaptive: bool) -> DataFrame:
-    """Sums per ``(group, bin)``: rows, positives and score total.
+def _bins(values: DataFrame, group: Sequence[str], score: str, n_bins: int,
+          ranking: DataFrame | None) -> DataFrame:
+    """Sums per ``(group, bin)`` of distinct ``values``: rows, positives and score total.
 
-    Adaptive edges are exact quantiles with duplicates removed; the last edge belongs to the
-    last bin.
+    With a ``ranking`` the edges are exact quantiles with duplicates removed; the last edge
+    belongs to the last bin.
     """
     probabilities = [i / n_bins for i in range(n_bins + 1)]
-    if adaptive:
+    if ranking is not None:
         edges = quantiles(ranking, group, score,
                           {f"_e{i}": q for i, q in enumerate(probabilities)})
         edges = edges.select(*group, F.array_distinct(F.array(
             *[F.col(f"_e{i}") for i in range(n_bins + 1)])).alias("_edges"))
-        binned = attach_groups(ranking, edges, group, "inner")
+        binned = attach_groups(values, edges, group, "inner")
     else:
-        binned = ranking.withColumn("_edges", F.array(*[F.lit(q) for q in probabilities]))
+        binned = values.withColumn("_edges", F.array(*[F.lit(q) for q in probabilities]))
     p = F.col(score)
     place = F.size(F.filter("_edges", lambda e: e <= p)) - 1
     last = F.greatest(F.size("_edges") - 2, F.lit(0))
@@ -118,12 +119,20 @@ def _bins(ranking: DataFrame, group: Sequence[str], score: str, n_bins: int,
                  F.sum(p * F.col("n")).alias("_p")))
 
 
+def _binned(df: DataFrame, group: Sequence[str], score: str, label: str, n_bins: int,
+            adaptive: bool) -> DataFrame:
+    """Bins of a frame; only adaptive edges need the values in order."""
+    if not adaptive:
+        return _bins(_score_cells(df, group, score, label), group, score, n_bins, None)
+    ranking, parts = ranked_parts(df, group, score, class_sums(F.col(label)))
+    return _bins(parts, group, score, n_bins, ranking)
+
+
 def reliability_curve(df: DataFrame, group: Sequence[str], n_bins: int = 15,
                       adaptive: bool = True, score: str = SCORE,
                       label: str = LABEL) -> DataFrame:
     """Mean score, empirical frequency and row count of every non-empty bin."""
-    ranking = ranked_cells(df, group, score, class_sums(F.col(label)))
-    return _bins(ranking, group, score, n_bins, adaptive).select(
+    return _binned(df, group, score, label, n_bins, adaptive).select(
         *group, "bin", (F.col("_p") / F.col("n")).alias("mean_predicted"),
         (F.col("n_pos") / F.col("n")).alias("empirical_frequency"), F.col("n").alias("bin_count"))
 
@@ -142,9 +151,8 @@ def calibration_errors(df: DataFrame, group: Sequence[str], n_bins: int = 15,
 
     With all scores equal there is one bin, whose gap is ``|mean label - mean score|``.
     """
-    ranking = ranked_cells(df, group, score, class_sums(F.col(label)))
     name = "adaptive" if adaptive else "equalwidth"
-    return _bin_errors(_bins(ranking, group, score, n_bins, adaptive), group, name, min_bin)
+    return _bin_errors(_binned(df, group, score, label, n_bins, adaptive), group, name, min_bin)
 
 
 def calibration_table(records: DataFrame, n_bins: int = 15, group: str = "category",
@@ -152,12 +160,13 @@ def calibration_table(records: DataFrame, n_bins: int = 15, group: str = "catego
     """ECE (adaptive and equal-width), MCE, Brier and NLL per group and pooled."""
     fanned = with_pooled(records.select(group, score, label), group)
     rows = fanned.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    ranking = ranked_cells(fanned, ["group"], score, class_sums(F.col(label)))
-    adaptive = _bin_errors(_bins(ranking, ["group"], score, n_bins, True), ["group"],
+    # Only the adaptive edges need the order; all else reads the stored distinct scores.
+    ranking, parts = ranked_parts(fanned, ["group"], score, class_sums(F.col(label)))
+    adaptive = _bin_errors(_bins(parts, ["group"], score, n_bins, ranking), ["group"],
                            "adaptive", 5)
-    equal = _bin_errors(_bins(ranking, ["group"], score, n_bins, False), ["group"],
+    equal = _bin_errors(_bins(parts, ["group"], score, n_bins, None), ["group"],
                         "equalwidth", 5).drop("mce_equalwidth")
-    proper = ranking.groupBy("group").agg(
+    proper = parts.groupBy("group").agg(
         (F.sum(_brier(score)) / F.sum("n")).alias("brier"),
         (F.sum(_nll(score)) / F.sum("n")).alias("nll"))
     return (rows.join(adaptive, "group", "left").join(equal, "group", "left")
@@ -174,9 +183,9 @@ def detection_table(records: DataFrame, n_boot: int = 1000, seed: int = 0,
     rows = fanned.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col(label) == 1, 1)).alias("n_anomalous"))
-    ranking = ranked_cells(fanned, ["group"], score, class_sums(F.col(label)))
+    ranking, parts = ranked_parts(fanned, ["group"], score, class_sums(F.col(label)))
     table = rows.join(rank_metrics_of(ranking, ["group"]).drop("n", "n_pos"), "group", "left")
-    table = _with_intervals(table, ranking, ["group"], score, ["auroc", "aupr"], n_boot, seed)
+    table = _with_intervals(table, parts, ["group"], score, ["auroc", "aupr"], n_boot, seed)
     columns = ["group", "n", "n_anomalous", "auroc", "auroc_ci_lo", "auroc_ci_hi",
                "aupr", "aupr_ci_lo", "aupr_ci_hi"]
     none = F.lit(None).cast("double")
@@ -188,13 +197,13 @@ def detection_table(records: DataFrame, n_boot: int = 1000, seed: int = 0,
     return table.select(*columns).unionByName(mean.select(*columns))
 
 
-def _with_intervals(table: DataFrame, ranking: DataFrame, group: list[str], value: str,
+def _with_intervals(table: DataFrame, parts: DataFrame, group: list[str], value: str,
                     names: list[str], n_boot: int, seed: int) -> DataFrame:
     """Attach ``<name>_ci_lo/hi``; NULL when ``n_boot`` is 0."""
     if n_boot <= 0:
         return table.withColumns({f"{m}_ci_{end}": F.lit(None).cast("double")
                                   for m in names for end in ("lo", "hi")})
-    draws = auroc_draws(ranking, group, value, n_boot, seed, with_ap="aupr" in names)
+    draws = auroc_draws(parts, group, value, n_boot, seed, with_ap="aupr" in names, dealt=True)
     for m in names:
         table = table.join(percentile_interval(draws, group, m), group, "left")
     return table
@@ -263,14 +272,16 @@ def error_prediction_table(records: DataFrame, signals: Sequence[str],
     fanned = scoped(collapsed).where(
         ~(baseline & (F.col("scope") == F.col("_group"))))
     keys = [*by, "signal", "scope"]
-    ranking = ranked_cells(fanned, keys, "value", {"n": F.col("n"), "n_pos": F.col("n_pos")})
-    points = rank_metrics_of(ranking, keys).select(*keys, "auroc")
+    ranking, parts = ranked_parts(fanned, keys, "value",
+                                  {"n": F.col("n"), "n_pos": F.col("n_pos")})
+    # A few rows, read for the table and for the baseline level.
+    points = materialise(rank_metrics_of(ranking, keys).select(*keys, "auroc"))
     # A signal without a single finite value still gets its rows, with an unknown AUROC.
     listed = names + (["BASELINE:score", "BASELINE:1-score"] if score in records.columns else [])
     frame = sizes.withColumn("signal", F.explode(F.array(*[F.lit(s) for s in listed])))
     scope_is_group = ~((F.col("scope") == POOLED) | F.col("scope").startswith("pred="))
     frame = frame.where(~(baseline & scope_is_group)).join(points, keys, "left")
-    frame = _with_intervals(frame, ranking, keys, "value", ["auroc"], n_boot, seed)
+    frame = _with_intervals(frame, parts, keys, "value", ["auroc"], n_boot, seed)
     one = F.lit(0).alias("_all")
     level = (points.where(baseline & (F.col("scope") == POOLED))
              .groupBy(*by, one).agg(F.max("auroc").alias("_level")))

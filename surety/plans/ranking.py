@@ -64,7 +64,7 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
     return prefix_of(ranged(df, group, order, descending), group, sums)
 
 
-def _group_starts(batch: pa.RecordBatch, group: Sequence[str]) -> np.ndarray:
+def group_starts(batch: pa.RecordBatch, group: Sequence[str]) -> np.ndarray:
     """Positions at which another group begins; NULL equals NULL."""
     opens = np.zeros(batch.num_rows, dtype=bool)
     for name in group:
@@ -90,7 +90,7 @@ def running_sums(parts: DataFrame, group: Sequence[str], sums: Sequence[str]) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            edges = _group_starts(batch, group)
+            edges = group_starts(batch, group)
             lengths = np.diff(edges)
             head = tuple(batch.column(g)[0].as_py() for g in group)
             columns = []

@@ -10,15 +10,17 @@ pass that average precision needs, draws the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from surety.plans.ranking import PID, ranged
+from surety.plans.ranking import PID, group_starts, ranged
 from surety.session import materialise
 
 #: Largest weight matrix (cells x replicates) held at once by a task.
@@ -96,41 +98,68 @@ def _pair_sums(parts: DataFrame, group: list[str], value: str, n_boot: int,
     schema = T.StructType([*_fields(parts, group), T.StructField(PID, T.IntegerType()),
                            T.StructField("_edge", T.DoubleType()), T.StructField("_p", array),
                            T.StructField("_n", array), T.StructField("_u", array)])
-    columns = [f.name for f in schema]
-
-    def sums(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(value, kind="stable")
-        values = frame[value].to_numpy()
-        ends = (values[0], values[-1])
-        p_all, n_all, u_all = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
-        edge = {v: [np.zeros(n_boot), np.zeros(n_boot)] for v in ends}
-        tie_value, tie_p, tie_n = None, np.zeros(n_boot), np.zeros(n_boot)
-        for block in _blocks(frame, n_boot):
-            pos, neg = _draw(block, n_boot, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, sums = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = group_starts(batch, [*group, PID])
+            for a, b in zip(edges[:-1], edges[1:]):
+                piece = batch.slice(a, b - a)
+                mine = [piece.column(c)[0].as_py() for c in [*group, PID]]
+                if mine != head:
+                    if sums is not None:
+                        yield sums.rows(head, schema)
+                    head, sums = mine, _PairSums(n_boot, seed)
+                sums.add(piece, value)
+        if sums is not None:
+            yield sums.rows(head, schema)
+
+    return parts.mapInArrow(run, schema)
+
+
+class _PairSums:
+    """Running class weights and pair counts of values that come in ascending order."""
+
+    def __init__(self, n_boot: int, seed: int) -> None:
+        self.n_boot, self.seed = n_boot, seed
+        self.pos, self.neg, self.pairs = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        self.first: list | None = None      # value, weights of the smallest value
+        self.tie: list | None = None        # the same of the value at hand
+
+    def add(self, piece: pa.RecordBatch, value: str) -> None:
+        frame = piece.select([value, "_key", "n", "n_pos"]).to_pandas()
+        for block in _blocks(frame, self.n_boot):
+            pos, neg = _draw(block, self.n_boot, self.seed)
             v = block[value].to_numpy()
             starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            pos, neg, v = (np.add.reduceat(pos, starts), np.add.reduceat(neg, starts), v[starts])
-            if tie_value is not None and v[0] == tie_value:
-                # The tie continues from the block before: half of the cross pairs each way.
-                u_all += 0.5 * (tie_p * neg[0] + pos[0] * tie_n) - pos[0] * tie_n
-                tie_p, tie_n = tie_p + pos[0], tie_n + neg[0]
-            below = np.cumsum(neg, axis=0) - neg + n_all
-            u_all += (pos * (below + 0.5 * neg)).sum(axis=0)
-            p_all, n_all = p_all + pos.sum(axis=0), n_all + neg.sum(axis=0)
-            for end in edge:
-                hit = v == end
-                edge[end][0] += pos[hit].sum(axis=0)
-                edge[end][1] += neg[hit].sum(axis=0)
-            if tie_value is None or v[-1] != tie_value:
-                tie_value, tie_p, tie_n = v[-1], pos[-1].copy(), neg[-1].copy()
-        head = [frame[c].iloc[0] for c in group] + [int(frame[PID].iloc[0])]
-        rows = [[*head, None, p_all, n_all, u_all]]
-        rows += [[*head, float(v), p, n, np.zeros(n_boot)] for v, (p, n) in edge.items()]
-        out = pd.DataFrame(rows, columns=columns)
-        out["_edge"] = out["_edge"].astype("float64")
-        return out
-
-    return parts.groupBy(*group, PID).applyInPandas(sums, schema)
+            pos, neg, v = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts), v[starts]
+            tie_goes_on = self.tie is not None and v[0] == self.tie[0]
+            if tie_goes_on:
+                # Half of the cross pairs each way; those below were all counted as beaten.
+                self.pairs += 0.5 * (self.tie[1] * neg[0] - pos[0] * self.tie[2])
+            below = np.cumsum(neg, axis=0) - neg + self.neg
+            self.pairs += (pos * (below + 0.5 * neg)).sum(axis=0)
+            self.pos, self.neg = self.pos + pos.sum(axis=0), self.neg + neg.sum(axis=0)
+            if self.first is None:
+                self.first = [v[0], pos[0].copy(), neg[0].copy()]
+            elif tie_goes_on and self.first[0] == v[0]:
+                self.first = [v[0], self.first[1] + pos[0], self.first[2] + neg[0]]
+            if tie_goes_on and len(v) == 1:
+                self.tie = [v[0], self.tie[1] + pos[0], self.tie[2] + neg[0]]
+            else:
+                self.tie = [v[-1], pos[-1].copy(), neg[-1].copy()]
+
+    def rows(self, head: list, schema: T.StructType) -> pa.RecordBatch:
+        zero = np.zeros(self.n_boot)
+        out = [[*head, None, self.pos, self.neg, self.pairs]]
+        ends = {float(end[0]): end for end in (self.first, self.tie)}
+        out += [[*head, v, end[1], end[2], zero] for v, end in ends.items()]
+        kinds = to_arrow_schema(schema)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], kinds.field(i).type) for i in range(len(kinds))],
+            names=kinds.names)
 
 
 def _per_replicate(df: DataFrame, group: list[str], names: Sequence[str]) -> DataFrame:
@@ -140,18 +169,21 @@ def _per_replicate(df: DataFrame, group: list[str], names: Sequence[str]) -> Dat
 
 
 def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int, seed: int = 0,
-                key: str | None = None, with_ap: bool = False) -> DataFrame:
+                key: str | None = None, with_ap: bool = False, dealt: bool = False) -> DataFrame:
     """One row per group and replicate with ``auroc`` (and ``aupr`` when asked).
 
     ``cells`` has ``n`` and ``n_pos`` per row. Without ``key`` the cells are distinct values.
     With ``key`` rows are single observations whose weight follows that key, so two scorers of
     the same images get the same resample; equal values may then span partitions, which the
-    edge rows put right.
+    edge rows put right. ``dealt`` says that the cells are as ``ranking.ranged`` stored them.
     """
     group = list(group)
     keyed = cells.withColumn("_key", F.xxhash64(key) if key else F.xxhash64(*group, value))
-    order = [value] if key is None else [value, "_key"]
-    parts = ranged(keyed.select(*group, value, "_key", "n", "n_pos"), group, order)
+    columns = [*group, value, "_key", "n", "n_pos"]
+    if dealt:
+        parts = keyed.select(*columns, PID)
+    else:
+        parts = ranged(keyed.select(*columns), group, [value] if key is None else [value, "_key"])
     long = _per_replicate(_pair_sums(parts, group, value, n_boot, seed), group,
                           ["_p", "_n", "_u"])
     if with_ap or key is not None:
