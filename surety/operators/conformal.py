@@ -168,8 +168,8 @@ def calibrate(records: DataFrame, delta: float = 0.05, score: str = SCORE, group
               strict: bool = True) -> tuple[DataFrame, MondrianConformal]:
     """Calibrate on normal training rows and decide every test row.
 
-    ``correct`` compares the decision with the label; an abstention counts as the decision
-    "normal", as in the reference behaviour.
+    ``correct`` compares the decision with the label. A row without a score is never flagged, so
+    it counts as the decision "normal" and is correct exactly when its label is 0.
     """
     cal = records.where((F.col("split") == "train") & (F.col("label") == 0))
     model = MondrianConformal(delta, randomized, seed, score, group).fit(cal, n_cal, check=False)

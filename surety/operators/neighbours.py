@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surety.functions.columns import array_mean, let
+from surety.plans import joins
 from surety.plans.joins import bounded
 
 #: Vectors per side of one block comparison.
 BLOCK = 4096
+#: Decimals kept of a similarity.
+DECIMALS = 12
 
 
 def _matrix(column: pd.Series, unit: bool) -> np.ndarray:
@@ -30,14 +33,21 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
                  block: int = BLOCK) -> DataFrame:
     """``1 - mean`` of the ``k`` largest cosine similarities to the bank of the same keys.
 
-    Both sides of a key group are cut into blocks of about ``block`` vectors by a hash, and
-    each task compares one block pair and keeps only the ``k`` best similarities per query, so
-    a group of any size is spread over many tasks and no pair of vectors is ever a row. With
-    fewer than ``k`` bank vectors all of them count; a group without a bank gives NULL.
+    A bank of at most ``joins.BROADCAST_BYTES`` (counted first) is sent to every task, and the
+    queries stream past it: nothing is shuffled. For a larger one, both sides of a key group are
+    cut into blocks of about ``block`` vectors by a hash, and each task compares one block pair and
+    keeps only the ``k`` best similarities per query, so a group of any size is spread over many
+    tasks and no pair of vectors is ever a row. Similarities are rounded to ``DECIMALS``, so both
+    ways give the same distances. With fewer than ``k`` bank vectors all of them count; a group
+    without a bank gives NULL.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     keys, row = list(keys), list(row)
+    held = bank.select(*keys, F.col(vector).alias("_b"))
+    size = held.agg(F.sum(joins.row_bytes(held.schema))).first()[0] or 0
+    if size <= joins.BROADCAST_BYTES:
+        return _past_the_bank(queries, held, keys, k, row, vector, unit, name, block)
     n_query = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
     n_bank = bank.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
     grid = bounded(n_query.join(n_bank, keys).select(
@@ -62,7 +72,7 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
         if not len(q) or not len(b):
             out["_top"] = [[] for _ in range(len(q))]
             return out
-        sims = _matrix(q["_v"], unit) @ _matrix(b["_b"], unit).T
+        sims = np.round(_matrix(q["_v"], unit) @ _matrix(b["_b"], unit).T, DECIMALS)
         keep = min(k, sims.shape[1])
         out["_top"] = list(np.partition(sims, -keep, axis=1)[:, -keep:])
         return out
@@ -74,3 +84,38 @@ def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: in
     best = F.slice(F.sort_array("_top", asc=False), 1, k)
     found = pairs.select(*row, (F.lit(1.0) - let(best, array_mean)).alias(name))
     return queries.select(*keys, *row).join(found, row, "left")
+
+
+def _past_the_bank(queries: DataFrame, bank: DataFrame, keys: list[str], k: int, row: list[str],
+                   vector: str, unit: bool, name: str, block: int) -> DataFrame:
+    """:func:`knn_distance` with the whole bank in every task; its size has been checked."""
+    collected = bank.toPandas()
+    groups = {key if isinstance(key, tuple) else (key,): _matrix(part["_b"], unit)
+              for key, part in (collected.groupby(keys) if len(collected) else ())}
+    known = bank.sparkSession.sparkContext.broadcast(groups)
+    schema = T.StructType([*[queries.schema[c] for c in [*keys, *row]],
+                           T.StructField(name, T.DoubleType())])
+
+    def distances(vectors: pd.Series, reference: np.ndarray) -> np.ndarray:
+        q = _matrix(vectors, unit)
+        top = np.zeros((len(q), 0))
+        for first in range(0, len(reference), block):
+            sims = np.round(q @ reference[first:first + block].T, DECIMALS)
+            top = np.hstack([top, sims])
+            if top.shape[1] > k:
+                top = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
+        # Added up from the largest on, as the column function does.
+        return 1.0 - np.cumsum(-np.sort(-top, axis=1), axis=1)[:, -1] / top.shape[1]
+
+    def run(frames):
+        for frame in frames:
+            out = frame[[*keys, *row]].copy()
+            out[name] = np.nan
+            for key, part in frame.groupby(keys):
+                reference = known.value.get(key if isinstance(key, tuple) else (key,))
+                if reference is not None:
+                    out.loc[part.index, name] = distances(part["_v"], reference)
+            out[name] = out[name].astype(object).where(out[name].notna(), None)
+            yield out
+
+    return queries.select(*keys, *row, F.col(vector).alias("_v")).mapInPandas(run, schema)

@@ -8,6 +8,7 @@ from surety.functions.text import location_claim, parse_generation
 from surety.operators import (browse, fusion, generations, grounding, maps, pixel, report,
                               scoring, selective, semantic, shift, signals)
 from surety.operators.neighbours import knn_distance
+from surety.plans import joins
 from surety.sources import index, records, stores
 
 
@@ -69,7 +70,9 @@ def test_verdict_follows_the_marker(spark):
     assert generations.verdict_probability(bare).first()["verdict_pos"] == 2
 
 
-def test_knn_blocks_match_brute_force(spark):
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
+def test_knn_blocks_match_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     rng = np.random.default_rng(0)
     q, b = rng.normal(size=(60, 8)), rng.normal(size=(45, 8))
     mk = lambda m, p: spark.createDataFrame(
