@@ -35,6 +35,8 @@ BITS = 8
 SEED = 20_231
 #: Rows that share one range of ids; the number of ranges follows the input.
 RANGE_ROWS = 1024
+#: Ranges at most, which bounds what the driver holds; beyond it ranges get longer and are walked alike.
+MOST_RANGES = 65_536
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def _neighbours(docs: DataFrame, range_rows: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = rows.select(key.alias("key"))
-    ranges = max(1, -(-ids.count() // range_rows))
+    ranges = min(MOST_RANGES, max(1, -(-ids.count() // range_rows)))
     cuts = np.zeros(0, np.int64)
     if ranges > 1:
         # Where exactly the boundaries lie has no effect on results, so a sketch is enough.
