@@ -226,10 +226,8 @@ def _(v):
 @query("u5_manifold_knn", f"""SELECT image_id, round({_rank('round(distance, 9)', 'category')}, 9) AS u_manifold_knn FROM {{knn}}""", K)
 def _(v):
     rows = v("emb")
-    out = signals.manifold_distance(rows.drop("embedding"), rows, bank(v), ranked=False)
-    # Rounded before ranking, so that equal distances tie in both engines.
-    out = signals.pct_rank(r9(out, "u_manifold_knn_raw"), "u_manifold_knn_raw", ["category"],
-                           "u_manifold_knn")
+    # Similarities are rounded inside, so equal distances tie in both engines.
+    out = signals.manifold_distance(rows.drop("embedding"), rows, bank(v), ranked=True)
     return r9(out.select("image_id", "u_manifold_knn"), "u_manifold_knn")
 
 
