@@ -34,6 +34,8 @@ from surety.session import materialise
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 30_000
+#: Tasks at most; beyond it a task packs several shards, one after another.
+MOST_TASKS = 20_000
 #: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_CHUNKS = 700_000
 MARKS = (b".", b",")
@@ -240,7 +242,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
     placed = (narrow.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
-              .repartition(shards, "_shard").sortWithinPartitions("_shard", "length", "doc_id", "piece", "ids_crc32")
+              .repartition(min(shards, MOST_TASKS), "_shard").sortWithinPartitions("_shard", "length", "doc_id", "piece", "ids_crc32")
               .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
     if not wide:
         return placed.drop("_row")
