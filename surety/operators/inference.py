@@ -37,8 +37,9 @@ def align_scorers(a: DataFrame, b: DataFrame, row: str = "image_id",
                   keep: Sequence[str] = ("category", "label"),
                   score: str = "anomaly_score") -> DataFrame:
     """Rows both scorers have, with ``score_a`` and ``score_b``; an empty overlap raises."""
-    both = a.select(row, *keep, F.col(score).alias("score_a")).join(
-        b.select(row, F.col(score).alias("score_b")), row)
+    # Stored, because the overlap is looked at here and read again by whoever asked for it.
+    both = materialise(a.select(row, *keep, F.col(score).alias("score_a")).join(
+        b.select(row, F.col(score).alias("score_b")), row))
     if not both.limit(1).count():
         raise ValueError("the two scorers share no rows")
     return both

@@ -80,17 +80,19 @@ def score_index(index: DataFrame, embeddings: DataFrame, text: DataFrame, tau: f
                 group: str = "category", row: str = "image_id") -> DataFrame:
     """Score every index row from its stored embedding.
 
-    A row without an embedding or a group without text vectors raises. ``embeddings`` holds
-    one shard selection (model, corruption, severity, view), so the same call scores a named
+    A group without text vectors raises at once, a row without an embedding when it is scored:
+    index and embeddings are joined one time only. ``embeddings`` holds one shard selection (model, corruption, severity, view), so the same call scores a named
     view or a corrupted copy.
     """
     if aggregate not in AGGREGATES:
         raise KeyError(f"unknown aggregate {aggregate!r}; one of {AGGREGATES}")
-    require_none(index.join(embeddings, row, "left_anti").select(row),
-                 "an image has no stored embedding")
     require_none(index.select(group).distinct().join(text, group, "left_anti"),
                  "no text embeddings for a group")
-    rows = index.join(embeddings.select(row, "embedding"), row)
+    kind = embeddings.schema["embedding"].dataType
+    missing = F.raise_error(F.concat(F.lit("an image has no stored embedding: "),
+                                     F.col(row).cast("string"))).cast(kind)
+    rows = index.join(embeddings.select(row, "embedding"), row, "left").withColumn(
+        "embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(missing))
     if aggregate == "mean_template" or keep_per_template:
         rows = template_scores(rows, text, tau, group)
     if aggregate == "mean_template":

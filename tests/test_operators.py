@@ -381,3 +381,15 @@ def test_clusters_do_not_depend_on_the_path(spark):
     one = sorted(map(tuple, semantic.greedy_clusters(df, 0.9).collect()))
     rounds = sorted(map(tuple, semantic.greedy_clusters(df, 0.9, limit=5, round_size=4).collect()))
     assert one == rounds and len({r[3] for r in one}) > 3
+
+
+def test_rows_without_embedding_raise_when_scored(spark):
+    text = spark.createDataFrame([("g", "normal", 0, [1.0, 0.0]), ("g", "anomaly", 0, [0.0, 1.0])],
+                                 "category string, polarity string, template_idx int, embedding array<double>")
+    index_ = spark.createDataFrame([("a", "g"), ("b", "g")], "image_id string, category string")
+    emb = spark.createDataFrame([("a", [1.0, 0.0])], "image_id string, embedding array<double>")
+    assert scoring.score_index(index_.where("image_id = 'a'"), emb, text, 0.1).count() == 1
+    with pytest.raises(Exception, match="no stored embedding"):
+        scoring.score_index(index_, emb, text, 0.1).collect()
+    with pytest.raises(ValueError, match="no text"):
+        scoring.score_index(index_.withColumn("category", F.lit("x")), emb, text, 0.1)
