@@ -194,12 +194,14 @@ SW["rho"] = f"""SELECT corruption, signal, CASE WHEN count(DISTINCT rv) > 1 THEN
   FROM (SELECT *, {_mid('severity')} AS rs, {_mid('round(value, 12)')} AS rv, {_mid('round(auroc, 12)')} AS ra FROM {{mono}}) q GROUP BY 1, 2"""
 
 
-@query("d2_sweep_monotonicity", """SELECT corruption, signal, round(ru, 6) AS spearman_severity_vs_uncertainty, round(rau, 6) AS spearman_severity_vs_auroc,
-  round(da, 6) AS delta_auroc_at_s5, round(du, 6) AS delta_uncertainty_at_s5 FROM {rho}""", SW)
+# Adding 0 makes a rounded -0 a plain 0 in both engines.
+@query("d2_sweep_monotonicity", """SELECT corruption, signal, round(ru, 6) + 0.0::DOUBLE AS spearman_severity_vs_uncertainty,
+  round(rau, 6) + 0.0::DOUBLE AS spearman_severity_vs_auroc, round(da, 6) + 0.0::DOUBLE AS delta_auroc_at_s5,
+  round(du, 6) + 0.0::DOUBLE AS delta_uncertainty_at_s5 FROM {rho}""", SW)
 def _(v):
     out = shift.monotonicity(rounded_sweep(v), SWEEP_SIGNALS).drop("rho_undefined",
                                                                    "silent_failure")
-    return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in out.columns[2:]})
 
 
 def rounded_sweep(v):
