@@ -11,6 +11,7 @@ pass that average precision needs, draws the same numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,6 @@ from surety.session import materialise
 
 #: Largest weight matrix (cells x replicates) held at once by a task.
 BLOCK = 2_000_000
-#: Cells up to this many tied rows are drawn by table lookup.
-TABLE_N = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,12 +35,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _poisson_table(n: int) -> np.ndarray:
-    """Cumulative Poisson(n) probabilities, far enough to reach 1 in double."""
-    top = int(n + 12 * np.sqrt(n) + 20)
-    k = np.arange(1, top)
-    logs = np.concatenate([[0.0], np.cumsum(np.log(n / k))]) - n
-    return np.cumsum(np.exp(logs))
+@lru_cache(maxsize=64)
+def _poisson_table(n: int) -> tuple[int, np.ndarray]:
+    """Cumulative Poisson(n) probabilities and the count they begin at.
+
+    Built outwards from the most likely count, as far as a double can tell from 0 and 1, so the
+    table of a tie of any size has a length of its square root.
+    """
+    width = int(40 * np.sqrt(n) + 40)
+    low, high = max(n - width, 0), n + width
+    # log p(k) - log p(n), from the ratio of neighbours.
+    up = np.cumsum(np.log(n / np.arange(n + 1, high + 1)))
+    down = np.cumsum(np.log(np.arange(n, low, -1) / n))[::-1]
+    weights = np.exp(np.concatenate([down, [0.0], up]))
+    return low, np.cumsum(weights / weights.sum())
 
 
 def poisson_weights(keys: np.ndarray, n: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
@@ -56,15 +63,10 @@ def poisson_weights(keys: np.ndarray, n: np.ndarray, n_boot: int, seed: int) ->
             rows = np.flatnonzero(n == size)
             if size <= 0:
                 continue
-            if size > TABLE_N:
-                for r in rows:
-                    out[r] = np.random.Generator(
-                        np.random.Philox(key=int(start[r]))).poisson(size, n_boot)
-                continue
             bits = _mix(start[rows][:, None] + steps[None, :])
             u = (bits >> np.uint64(11)).astype(np.float64) * (2.0 ** -53)
-            table = _poisson_table(int(size))
-            out[rows] = np.searchsorted(table, u.ravel(), side="right").reshape(u.shape)
+            low, table = _poisson_table(int(size))
+            out[rows] = low + np.searchsorted(table, u.ravel(), side="right").reshape(u.shape)
     return out
 
 

@@ -152,7 +152,7 @@ def test_ece_of_constant_scores(spark):
 
 def test_poisson_weights_have_the_right_law():
     keys = np.arange(2000, dtype=np.int64)
-    for n in (1, 7, 200):
+    for n in (1, 7, 64, 65, 200, 100_000):
         w = poisson_weights(keys, np.full(2000, n), 50, 3)
         assert w.mean() == pytest.approx(n, rel=0.03)
         assert w.var() == pytest.approx(n, rel=0.05)
