@@ -9,6 +9,9 @@ The bound of one half is how far the query is from the code's side of the planes
 the cells left out hold no link: the recall that is aimed at is 1. What is found is verified in
 double precision.
 
+Runs of ``PART_CELLS`` neighbouring cells are kept together, so a query that visits several of them
+is sent once; what is kept with a visited cell is verified along with it.
+
 Only vectors of one label are compared. Equal vectors are collapsed first and count with their
 number. A cell's vectors are cut into blocks and its queries into shares, each of bounded size, and
 every pair of a block and a share is a group of its own, so a cell that holds a third of all rows is
@@ -40,6 +43,8 @@ TRAIN_VECTORS = 20_000
 #: Vectors that a cell of the grid should hold on average.
 CELL_VECTORS = 64
 MOST_CODES = 1024
+#: Neighbouring cells that are kept together, about a block of vectors.
+PART_CELLS = 32
 BLOCK, SHARE = 2048, 4096
 
 
@@ -135,6 +140,12 @@ def _placed(index: MultiIndex, query: bool):
         odd = np.flatnonzero(sizes != index.size)
         x = _unit(vectors.take(pa.array(fit_size)).flatten().to_numpy(), index.size) if len(fit_size) else np.zeros((0, index.size))
         at, cell = index.visits(x) if query else (np.arange(len(x)), index.cells(x))
+        if query:
+            # Cells that are kept together are visited together: one copy of the query for all.
+            together = np.unique(at * (1 << 32) + cell // PART_CELLS)
+            at, cell = together >> 32, together & 0xFFFFFFFF
+        else:
+            cell = cell // PART_CELLS
         row = np.concatenate([fit_size[at], odd])
         cells = np.concatenate([cell, -sizes[odd]]).astype(np.int64)
         picked = batch.take(pa.array(row))
