@@ -75,7 +75,7 @@ def attach_cells(rows: DataFrame, cells: DataFrame, parts: DataFrame, keys: Sequ
     if salt_by is None:
         salt_by = [k for k, t in kinds.items()
                    if not isinstance(t, (T.MapType, T.ArrayType, T.StructType))]
-    zero, mark = F.lit(0).cast("bigint"), F.xxhash64(*salt_by)
+    zero, mark = F.lit(0).cast("bigint"), F.xxhash64(*[F.col(f"`{c}`") for c in salt_by])
     salt, shares = zero, F.lit(1).cast("bigint")
     if (parts.agg(F.max(n)).first()[0] or 0) > SHARE_ROWS:
         shares = F.ceil(F.col(n) / F.lit(SHARE_ROWS)).cast("bigint")

@@ -120,7 +120,7 @@ def test_broadcast_is_bounded_by_bytes(spark):
 
 def test_missing_keys_keep_their_rows(spark):
     data = [(str(i), None if i % 4 == 0 else "g", None if i % 3 == 0 else (float("nan") if i % 7 == 0 else 0.5)) for i in range(40)]
-    df = spark.createDataFrame(data, "image_id string, category string, s double")
+    df = spark.createDataFrame(data, "image_id string, category string, s double").withColumn("a.b", F.lit(1))
     ranking, parts = ranked_parts(df, ["category"], "s", {"n": F.lit(1)})
     out = attach_cells(df, ranking.select("category", "s", "n", "n_before"), parts, ["category", "s"])
     assert out.count() == 40
