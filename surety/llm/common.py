@@ -72,9 +72,14 @@ def slices(batch: pa.RecordBatch, budget: int = SLICE_BYTES) -> Iterator[pa.Reco
 def arrow_map(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch | None],
               schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of about ``SLICE_BYTES`` of rows; it never gets an empty slice."""
+    names = df.columns
+    if any("." in c for c in names):
+        # ``mapInArrow`` reads a dot in a column's name as a field of a struct.
+        df = df.toDF(*[f"_{i}" for i in range(len(names))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.rename_columns(names)):
                 out = per_slice(part)
                 if out is not None and out.num_rows:
                     yield out

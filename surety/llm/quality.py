@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The documents whose score reaches ``threshold``, with the columns of ``docs``."""
     out = free_name(docs, "_score")
     scored = score_documents(docs, train(docs, labels), out)
-    return scored.where(F.col(out) >= threshold).select(*docs.columns)
+    return scored.where(F.col(out) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -181,4 +181,4 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     marked = arrow_map(docs, run, schema_with(docs, fp, "bigint")).withColumns({
         keys[0]: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), keys[1]: F.col("doc_id").isNull()})
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

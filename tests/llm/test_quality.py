@@ -67,7 +67,7 @@ def make(rng, n):
 
 def test_held_out_accuracy(spark):
     rows = make(random.Random(3), 600)
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id bigint, text string, score double")
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id bigint, text string, `the.score` double")
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
     field = quality.train(docs, labels)
     scored = {r["doc_id"]: r["_s"] for r in quality.score_documents(docs, field, "_s").collect()}

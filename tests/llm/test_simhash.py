@@ -99,7 +99,7 @@ def test_tiny_tables(spark, rows):
 def test_one_of_each_group_stays(spark):
     rows = make(random.Random(3))
     want = {r[2] for r in brute(rows)}
-    df = spark.createDataFrame([(d, t, "k", i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, _fp string, n_chars int")
+    df = spark.createDataFrame([(d, t, "k", i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, _fp string, `n.chars` int")
     kept = simhash.keep_one(df).collect()
     assert {r["doc_id"] for r in kept} == want and {r["_fp"] for r in kept} == {"k"}
     fps = [fingerprint(r["text"]) for r in kept]
