@@ -3,13 +3,13 @@
 The base spans are fixed patterns: assignments to password-like names, access keys, long
 hexadecimal runs. They always stay. For other long runs of key characters two first-order Markov
 models of characters are compared, one of random strings and one of ordinary identifiers. Both are
-trained from labelled samples: the values in base spans, and the other words, of at most
-``TRAIN_DOCUMENTS`` documents chosen by a hash of their ids. A run is reported if its
+trained on all documents: the values in base spans, and the other words. A run is reported if its
 log-likelihood ratio reaches the prior odds ``PRIOR_ODDS`` against a random string.
 
 All of it is DataFrame operations. A pattern's matches are set off by a separator and the text is
 split there, so the lengths of the parts give every position. Only the table of character pairs
-(at most two rows for each pair) reaches the driver. Each whole text is read once, no rows move.
+(at most two rows for each pair) reaches the driver. Each whole text is read once to train and once
+to label, and only counts of pairs move.
 
 Defined results: NULL text is empty and has no spans; a NULL ``doc_id`` is kept; repeated rows are
 treated alike; without labelled samples all pairs are equally likely and nothing is added; an
@@ -38,7 +38,6 @@ LEAST_RUN = 20
 _RUN = "[A-Za-z0-9+/_=-]"
 #: Words of at least so many characters are samples of ordinary identifiers.
 LEAST_WORD = 8
-TRAIN_DOCUMENTS = 5000
 PRIOR_ODDS = 1000.0
 SMOOTHING = 0.5
 KINDS = ("assign", "access", "hex", "random")
@@ -77,15 +76,12 @@ def base_spans(text: Column) -> Column:
 
 
 def _pairs(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(2)))
+    # Pairs that start at even places, then at odd ones: linear in the length of the word.
+    return F.concat(F.regexp_extract_all(word, F.lit(".."), 0), F.regexp_extract_all(F.substring(word, 2, 1 << 30), F.lit(".."), 0))
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> list[float]:
+def train(docs: DataFrame) -> list[float]:
     """Log ratio (random to ordinary) of each pair of characters, row by row over ``ALPHABET``."""
-    ids = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).join(
-        F.broadcast(ids), "doc_id", "left_semi")
     hexes = rf"[0-9a-f]{{{LEAST_HEX},}}"
     access = rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}"
     text = F.col("text")
@@ -93,9 +89,10 @@ def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> list[float]:
                                F.regexp_extract_all(text, F.lit(hexes), 0)), lambda v: F.length(v) >= LEAST_ASSIGN)
     rest = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, access, hexes), text)
     words = F.regexp_extract_all(rest, F.lit(f"{_RUN}{{{LEAST_WORD},}}"), 0)
-    labelled = sample.select(F.explode(values).alias("word"), F.lit(1).alias("random")).unionByName(
-        sample.select(F.explode(words).alias("word"), F.lit(0).alias("random")))
-    rows = (labelled.where(F.length("word") > 1).select("random", F.explode(_pairs(F.col("word"))).alias("pair"))
+    labelled = F.concat(F.transform(values, lambda v: F.struct(F.lit(1).alias("random"), v.alias("word"))),
+                        F.transform(words, lambda v: F.struct(F.lit(0).alias("random"), v.alias("word"))))
+    rows = (docs.select(whole_text().alias("text")).select(F.explode(labelled).alias("label")).select("label.*")
+            .where(F.length("word") > 1).select("random", F.explode(_pairs(F.col("word"))).alias("pair"))
             .groupBy("random", "pair").count().collect())
     n = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}

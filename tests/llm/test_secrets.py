@@ -1,5 +1,6 @@
 """Base spans against the plain patterns, and the character models."""
 
+import math
 import random
 import re
 
@@ -58,6 +59,23 @@ def test_models_tell_random_from_ordinary(spark):
     assert all(not found[100 + i] for i in range(50))
 
 
+def test_models_count_every_document(spark):
+    rng = random.Random(4)
+    ids = spark.range(5100).withColumn("h", F.xxhash64("id")).orderBy("h", "id")
+    last = {r["id"] for r in ids.collect()[-100:]}      # the only documents with a secret
+    key = {i: "".join(rng.choices(secrets.ALPHABET[:62], k=32)) for i in last}
+    rows = [(i, f"token={key[i]}" if i in last else "ordinary") for i in range(5100)]
+    n, place = len(secrets.ALPHABET), secrets.ALPHABET.index
+    counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
+    for side, words in ((1, key.values()), (0, ["ordinary"] * 5000)):
+        for w in words:
+            for a, b in zip(w, w[1:]):
+                counts[side][place(a)][place(b)] += 1
+    want = [math.log(counts[1][a][b] / sum(counts[1][a])) - math.log(counts[0][a][b] / sum(counts[0][a]))
+            for a in range(n) for b in range(n)]
+    assert secrets.train(spark.createDataFrame(rows, "doc_id bigint, text string")) == pytest.approx(want, abs=1e-9)
+
+
 def test_without_samples_nothing_is_added(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     ratios = secrets.train(empty)
