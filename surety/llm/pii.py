@@ -4,19 +4,20 @@ The base spans are fixed rules for e-mail addresses, IP addresses, card numbers
 They always stay. The field then labels every token of a text that holds a digit or an ``@`` with
 one of these kinds or with none. Its potentials are the shape of the token, the label of the token
 before it (chain), and the label of the latest earlier token that repeats it or looks like it (skip
-edge: same digits, same last seven digits, same letters in any case, same local part). Loopy
-sum-product message passing lets a sure mention of an entity decide about a doubtful one elsewhere
-in the document. Tokens inside base spans are observed with their label. Other tokens whose belief
+edge: same digits, same last seven digits, same letters in any case, same local part). A token
+outside the base spans also has a skip edge to the first token inside one that it repeats or looks
+like, wherever that stands. Loopy sum-product message passing, carried on until messages settle,
+lets a sure mention of an entity decide about a doubtful one elsewhere in the document. Tokens inside base spans are observed with their label. Other tokens whose belief
 in a kind is above ``SURE`` become further spans of that kind.
 
 Training is piecewise: the shape potentials are a softmax regression of the labels that the base
 rules give, the edge potentials are log ratios of joint to independent label frequencies. It uses
-the tokens of at most ``TRAIN_DOCUMENTS`` documents, chosen by a hash of their ids. Labelling reads
-each whole text once and moves no rows.
+the tokens of all documents; only counts of equal shapes and of label pairs are collected. Training
+and labelling each read every whole text once, and only the counts move.
 
 Defined results: NULL text is empty and has no spans; a NULL ``doc_id`` is kept; repeated rows are
-treated alike; each skip edge goes to one earlier token, so a text of very many equal tokens costs
-as much as any other of its length; an empty table gives no rows and learns nothing.
+treated alike; each skip edge of a key goes to one earlier token and one in a base span, so a text
+of very many equal tokens has as many edges as any other of its length; an empty table gives no rows and learns nothing.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from surety.llm.common import arrow_map, utf8_steps, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCUMENTS = 5000
 SURE = 0.9
-ROUNDS = 6
+#: Largest change of a log message that counts as settled, and the round after which changes are halved.
+SETTLED = 1e-6
+CALM = 50
 #: Tokens at most this many code points apart are neighbours on the chain.
 NEAR = 64
 
@@ -93,7 +95,7 @@ class Tokens:
     end: np.ndarray
     shape: np.ndarray       # one row of evidence per token
     given: np.ndarray       # label where a base span covers the token, else -1
-    edges: np.ndarray       # (earlier, later, 0 chain or 1 skip)
+    edges: np.ndarray       # (earlier, later, 0 chain, 1 skip or 2 skip to a base span)
 
 
 #: Evidence of a token: constant, '@', '+' first, letters, three dots, parts up to 255, check digit
@@ -123,6 +125,8 @@ def tokens_of(texts: list[str], raw: np.ndarray, offsets: np.ndarray, spans: lis
     base = point[np.minimum(offsets[:-1], max(len(raw) - 1, 0))] if len(raw) else offsets[:-1]
     numbers, starts, ends, shapes, given, edges = [], [], [], [], [], []
     latest: dict = {}
+    sure: dict = {}
+    known: list[set] = []
     previous = (-1, 0)
     for owner, begin in zip(text_of[at].tolist(), (point[at] - base[text_of[at]]).tolist()):
         text = texts[owner]
@@ -141,7 +145,7 @@ def tokens_of(texts: list[str], raw: np.ndarray, offsets: np.ndarray, spans: lis
         row = np.zeros(SHAPES)
         row[:9] = shape
         row[9 + min(len(digits), _DIGITS_UP_TO)] = 1
-        label = next((k for k, a, b in spans[owner] if a < stop and begin < b), -1)
+        label, a, b = next((x for x in spans[owner] if x[1] < stop and begin < x[2]), (-1, 0, 0))
         node = len(starts)
         if previous[0] == owner and begin - previous[1] <= NEAR:
             edges.append((node - 1, node, 0))
@@ -149,17 +153,29 @@ def tokens_of(texts: list[str], raw: np.ndarray, offsets: np.ndarray, spans: lis
         keys = {("token", token.lower())}
         if len(digits) >= 7:
             keys |= {("digits", digits), ("tail", digits[-7:])}
+        if label > 0 and begin < b <= stop:
+            # A number written in parts is known as a whole by its last token.
+            whole = "".join(c for c in text[a:b] if "0" <= c <= "9")
+            keys |= {("digits", whole), ("tail", whole[-7:])} if len(whole) >= 7 else set()
         if "@" in token:
             keys.add(("local", token.split("@")[0].lower()))
         for mate in {latest[owner, k] for k in keys if (owner, k) in latest}:
             edges.append((mate, node, 1))
         for k in keys:
             latest[owner, k] = node
+            if label >= 0:
+                sure.setdefault((owner, k), node)
+        known.append(keys)
         numbers.append(owner)
         starts.append(begin)
         ends.append(stop)
         shapes.append(row)
         given.append(label)
+    linked = {(a, b) for a, b, kind in edges if kind == 1}
+    for node, (owner, keys) in enumerate(zip(numbers, known)):
+        for mate in {sure[owner, k] for k in keys if (owner, k) in sure} if given[node] < 0 else ():
+            if (pair := (min(mate, node), max(mate, node))) not in linked:
+                edges.append((*pair, 2))
     return Tokens(np.array(numbers, np.int64), np.array(starts, np.int64), np.array(ends, np.int64),
                   np.array(shapes).reshape(-1, SHAPES), np.array(given, np.int64), np.array(edges, np.int64).reshape(-1, 3))
 
@@ -171,24 +187,43 @@ class SkipChainField:
     shape: np.ndarray
     pairs: np.ndarray
 
-    def beliefs(self, t: Tokens, rounds: int = ROUNDS) -> np.ndarray:
-        """Marginals of the labels of each token after ``rounds`` of loopy message passing."""
+    def beliefs(self, t: Tokens) -> np.ndarray:
+        """Marginals of the labels of each token, by loopy message passing until messages settle.
+
+        Each round sends only messages whose sender has changed. Tokens with a given label are
+        observed and take no messages. Evidence can cross a whole text; where messages go on
+        changing, changes are halved, and it ends after twice as many rounds as there are tokens.
+        """
         own = t.shape @ self.shape
         seen = np.flatnonzero(t.given >= 0)
         own[seen] = -50.0
         own[seen, t.given[seen] + 1] = 0.0
         own -= own.max(1, keepdims=True)
         a, b, kind = t.edges.T
-        potential = np.exp(self.pairs)[kind]
-        ahead, back = np.zeros((2, len(a), own.shape[1]))       # log messages a -> b and b -> a
-        for _ in range(rounds if len(a) else 0):
-            total = own.copy()
-            np.add.at(total, b, ahead)
-            np.add.at(total, a, back)
-            ahead, back = (self._send(total[a] - back, potential), self._send(total[b] - ahead, potential.transpose(0, 2, 1)))
+        kind = np.minimum(kind, 1)
+        table = np.exp(np.concatenate([self.pairs, self.pairs.transpose(0, 2, 1)]))
+        source, target, which = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([kind, kind + 2])
+        back = np.roll(np.arange(len(source)), len(a))          # the message the other way
+        open_ = t.given[target] < 0
+        order = np.flatnonzero(open_)[np.argsort(source[open_], kind="stable")]
+        first = np.searchsorted(source[order], np.arange(len(own) + 1))
+        message = np.zeros((len(source), own.shape[1]))         # log messages source -> target
         total = own
-        np.add.at(total, b, ahead)
-        np.add.at(total, a, back)
+        active = order
+        for number in range(2 * len(own) + CALM):
+            change = self._send(total[source[active]] - message[back[active]], table[which[active]]) - message[active]
+            moved = np.abs(change).max(1, initial=0.0) > SETTLED
+            active, change = active[moved], change[moved]
+            if not len(active):
+                break
+            if number >= CALM:
+                change *= 0.5
+            message[active] += change
+            np.add.at(total, target[active], change)
+            nodes = np.unique(target[active])
+            counts = first[nodes + 1] - first[nodes]
+            following = order[np.repeat(first[nodes] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+            active = np.unique(np.concatenate([following, active])) if number >= CALM else following
         p = np.exp(total - total.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -199,51 +234,60 @@ class SkipChainField:
         return np.log(m / m.sum(1, keepdims=True) + 1e-30)
 
 
-def fit_field(shape: np.ndarray, label: np.ndarray, edges: np.ndarray, steps: int = 300, rate: float = 0.1) -> SkipChainField:
-    """Piecewise training on tokens whose ``label`` is 0 (none) or a kind's number plus one."""
+def fit_field(shape: np.ndarray, label: np.ndarray, count: np.ndarray, joint: np.ndarray, steps: int = 300,
+              rate: float = 0.1) -> SkipChainField:
+    """Piecewise training on ``count`` tokens of each shape and ``label``: 0 (none) or a kind's number plus one.
+
+    ``joint`` counts the label pairs of chain and of skip edges.
+    """
     k = len(KINDS) + 1
     weights = np.zeros((SHAPES, k))
     hot = np.eye(k)[label]
     square = np.full((SHAPES, k), 1e-8)
+    share = count[:, None] / max(count.sum(), 1)
     for _ in range(steps if len(label) else 0):
         s = shape @ weights
         p = np.exp(s - s.max(1, keepdims=True))
-        slope = shape.T @ (hot - p / p.sum(1, keepdims=True)) / len(label) - 1e-4 * weights
+        slope = shape.T @ ((hot - p / p.sum(1, keepdims=True)) * share) - 1e-4 * weights
         square += slope ** 2
         weights += rate * slope / np.sqrt(square) * 3
     pairs = np.zeros((2, k, k))
     for kind in (0, 1):
-        e = edges[edges[:, 2] == kind]
-        joint = np.ones((k, k))
-        np.add.at(joint, (label[e[:, 0]], label[e[:, 1]]), 1.0)
-        joint /= joint.sum()
-        pairs[kind] = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
+        both = joint[kind] + 1.0
+        both /= both.sum()
+        pairs[kind] = np.log(both / np.outer(both.sum(1), both.sum(0)))
     return SkipChainField(weights, pairs)
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> SkipChainField:
-    """Fit the field on the tokens of at most ``most`` documents; only token shapes are collected."""
-    ids = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+def train(docs: DataFrame) -> SkipChainField:
+    """Fit the field on the tokens of all documents; only counts are collected.
 
+    A counted key is a shape and its label, or the kind and the labels of an edge.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows: list[list] = [[], [], []]
-        for first, end, raw, offsets in utf8_steps(batch.column(1)):
-            texts = batch.column(1).slice(first, end - first).to_pylist()
+        keys, counts = [], []
+        for first, end, raw, offsets in utf8_steps(batch.column(0)):
+            texts = batch.column(0).slice(first, end - first).to_pylist()
             t = tokens_of(texts, raw, offsets, [base_spans(x) for x in texts])
-            for column, value in zip(rows, (t.shape.astype(np.int8).tobytes(), (t.given + 1).astype(np.int8).tobytes(),
-                                            t.edges.astype(np.int32).tobytes())):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in rows], names=["shape", "label", "edges"])
-
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).join(
-        F.broadcast(ids), "doc_id", "left_semi")
-    rows = sorted(arrow_map(sample, run, "shape binary, label binary, edges binary").collect())
-    shapes = [np.frombuffer(r[0], np.int8).reshape(-1, SHAPES) for r in rows]
-    first = np.cumsum([0, *map(len, shapes)])
-    edges = [np.frombuffer(r[2], np.int32).reshape(-1, 3).astype(np.int64) + [n, n, 0] for r, n in zip(rows, first)]
-    label = np.frombuffer(b"".join(r[1] for r in rows), np.int8).astype(np.int64)
-    return fit_field(np.concatenate([np.zeros((0, SHAPES)), *shapes]), label, np.concatenate([np.zeros((0, 3), np.int64), *edges]))
+            label = t.given + 1
+            # Edges to base spans only serve labelling; the others are those of the text itself.
+            edges = t.edges[t.edges[:, 2] < 2]
+            for rows in (np.column_stack([t.shape, label]), np.column_stack([edges[:, 2], label[edges[:, 0]], label[edges[:, 1]]])):
+                if len(rows):
+                    found, n = np.unique(rows.astype(np.int8), axis=0, return_counts=True)
+                    keys += [r.tobytes() for r in found]
+                    counts += n.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["key", "n"])
+
+    rows = sorted(arrow_map(docs.select(whole_text().alias("text")), run, "key binary, n bigint")
+                  .groupBy("key").agg(F.sum("n").alias("n")).collect())
+    tokens = [(np.frombuffer(r[0], np.int8), r[1]) for r in rows if len(r[0]) > 3]
+    table = np.array([x for x, _ in tokens], np.int64).reshape(-1, SHAPES + 1)
+    joint = np.zeros((2, len(KINDS) + 1, len(KINDS) + 1))
+    for key, n in rows:
+        if len(key) == 3:
+            joint[tuple(key)] += n
+    return fit_field(table[:, :-1].astype(float), table[:, -1], np.array([n for _, n in tokens], float), joint)
 
 
 def find(texts: list[str], raw: np.ndarray, offsets: np.ndarray, field: SkipChainField, sure: float = SURE):

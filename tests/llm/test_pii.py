@@ -103,6 +103,43 @@ def test_base_spans_stay_and_consistency_adds(spark):
     assert {(s["start"], s["end"]) for s in next(r for r in found if r["doc_id"] == 1000)["spans"]} >= {(4, 20)}
 
 
+@pytest.mark.parametrize("sure,bare", [("+1 826 555 4081", "8265554081"), ("a.b@cd.ef", "A.B@")])
+def test_a_sure_mention_reaches_hundreds_of_repeats(sure, bare):
+    k = len(pii.KINDS) + 1
+    shape, pairs = np.zeros((pii.SHAPES, k)), np.zeros((2, k, k))
+    shape[0, 0] = 1.0                       # every token leans to none
+    pairs[1] = 6.0 * np.eye(k)              # repeats share their label
+    field = pii.SkipChainField(shape, pairs)
+    for text in (f"call {sure} or " + f"ring {bare} now " * 300, f"ring {bare} now " * 300 + f"or {sure} ok"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        (base,), (found,) = pii.find([text], raw, np.array([0, len(raw)]), field)
+        assert {text[a:b] for _, a, b in base} == {sure}
+        mentions = [m.span() for m in re.finditer(re.escape(bare), text)]
+        assert {(base[0][0], *m) for m in mentions} <= set(found) and len(mentions) == 300
+
+
+def test_far_evidence_without_a_base_span_settles():
+    k = len(pii.KINDS) + 1
+    n = 300
+    shape = np.zeros((n, pii.SHAPES))
+    shape[:, 0], shape[0, 1] = 1, 1
+    weights = np.zeros((pii.SHAPES, k))
+    weights[1, 4] = 12.0                    # only the first token's shape tells
+    pairs = np.zeros((2, k, k))
+    pairs[1] = 12.0 * np.eye(k)
+    edges = np.array([[i, i + 1, 1] for i in range(n - 1)])
+    t = pii.Tokens(np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), shape, np.full(n, -1), edges)
+    assert pii.SkipChainField(weights, pairs).beliefs(t)[-1, 4] > 0.95
+
+
+def test_training_counts_every_document(spark):
+    last = {r["id"] for r in spark.range(5100).selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()[-100:]}
+    rows = [(i, "mail a@b.cd" if i in last else "12 words") for i in range(5100)]
+    field = pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    t = pii.tokens_of(["x@y.zz"], np.frombuffer(b"x@y.zz", np.uint8), np.array([0, 6]), [[]])
+    assert field.beliefs(t)[0, 1] > 0.9
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a@b.cd, ip 1.2.3.4", "n", 25), (2, "clean", None, None), (3, None, None, 7)],
                                "doc_id bigint, text string, base string, n_chars bigint")
