@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import embedding_dedup, minhash, packing, pii, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, url_filters
+from surety.llm import clustering, embedding_dedup, language, manifest, minhash, packing, pii, quality, secrets, sentencepiece_fst, simhash, suffix_dedup, url_filters
 from surety.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -104,3 +104,21 @@ def op9_skip_chain_pii(spark, sf_dir):
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return minhash.fingerprint_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.verify(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+@query
+def op12_rank_order_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.train(docs.select("doc_id", "text", "lang"))
+    named = language.identify(docs.select("doc_id", "text"), profiles)
+    return named.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_shallot_clustering(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
