@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surety.llm import embedding_dedup, suffix_dedup, url_filters
+from surety.llm import clustering, embedding_dedup, language, manifest, suffix_dedup, url_filters
 
 
 def url_rules_and_trust() -> str:
@@ -87,5 +87,92 @@ def linked_vectors() -> str:
     FROM v JOIN low ON low.rid = v.rid LEFT JOIN n ON n.rid = v.rid"""
 
 
+
+def crc32(value: str) -> str:
+    """crc32 of an integer written in decimal, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_transform(string_split(({value})::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+      lambda crc, d: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, d)), 4294967295))"""
+
+
+def merkle_proofs() -> str:
+    """All levels by recursion; every leaf meets its run at each of them."""
+    k = manifest.FAN_OUT
+    upper, lower = url_filters._UPPER, url_filters._LOWER
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str, tree: str, bottom: str) -> str:
+        return f"""{name} AS (SELECT {tree} AS tree, 0 AS lvl, i, h, n FROM {bottom}
+          UNION ALL SELECT tree, lvl + 1, i // {k}, sha256(string_agg(h, '' ORDER BY i)), (max(n) + {k - 1}) // {k} FROM {name} WHERE n > 1 GROUP BY tree, lvl, i // {k}),
+        {name}_runs AS (SELECT tree, lvl, i // {k} AS r, list(h ORDER BY i) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+    def beside(runs: str, i: str) -> str:
+        at = f"({i} // {k} ** {runs}.lvl::INT)::BIGINT"
+        return f"array_to_string(hs[1:{at} % {k}], '') || '@' || array_to_string(hs[{at} % {k} + 2:], '')"
+
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, {leaf("text")} AS h,
+      CASE WHEN coalesce({crc32("doc_id")} % {manifest.TAMPERED} = 0, false) THEN {leaf(f"translate(text, '{upper}', '{lower}')")} END AS other FROM documents),
+    leaves AS (SELECT *, coalesce('=' || source, '-') AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+      count(*) OVER (PARTITION BY source) AS n FROM d),
+    {levels("low", "name", "leaves")},
+    subroots AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree <> '-', tree) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+    {levels("high", "0", "subroots")},
+    steps AS (SELECT rid, low_runs.lvl AS o, {beside("low_runs", "i")} AS s FROM leaves JOIN low_runs ON tree = name AND r = i // {k} ** (lvl + 1)
+      UNION ALL SELECT rid, 1000 + high_runs.lvl, {beside("high_runs", "b.i")}
+        FROM leaves a JOIN subroots b ON b.name = a.name JOIN high_runs ON r = b.i // {k} ** (lvl + 1)),
+    paths AS (SELECT rid, list(s ORDER BY o) AS p FROM steps GROUP BY rid),
+    folded AS (SELECT a.rid, a.doc_id, a.h AS leaf, b.h AS subroot, (SELECT max(h) FROM high WHERE n = 1) AS root,
+      sha256(replace(array_to_string(coalesce(p, []), ''), '@', '')) AS proof_sha256,
+      list_reduce(coalesce(p, []), lambda node, s: sha256(split_part(s, '@', 1) || node || split_part(s, '@', 2)), coalesce(other, a.h)) AS folded_root
+      FROM leaves a JOIN subroots b ON b.name = a.name LEFT JOIN paths ON paths.rid = a.rid)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+def rank_order_languages() -> str:
+    """N-grams of all words, ranked per language and per document."""
+    size, grams = language.PROFILE, range(1, language.LONGEST + 1)
+    held = f"coalesce({crc32('doc_id')} % 3 = 1, false)"
+    cut = " UNION ALL ".join(f"SELECT rid, substr(w, i::INT, {n}) AS g, c FROM (SELECT *, unnest(range(1, len(w) + {2 - n})) AS i FROM words) q" for n in grams)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, lang, {held} AS held FROM documents),
+    words AS (SELECT rid, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) AS w FROM d) q GROUP BY ALL),
+    counted AS MATERIALIZED (SELECT rid, g, sum(c) AS n FROM ({cut}) q WHERE g <> ' ' GROUP BY ALL),
+    own AS MATERIALIZED (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, g) AS r FROM counted QUALIFY r <= {size}),
+    taught AS (SELECT lang, g, sum(n) AS n FROM counted JOIN d USING (rid) WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND NOT held GROUP BY ALL),
+    known AS MATERIALIZED (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM taught QUALIFY r <= {size}),
+    near AS (SELECT rid, lang, sum({size} - abs(own.r - known.r)) AS near FROM own JOIN known USING (g) GROUP BY ALL),
+    sizes AS (SELECT rid, count(*) AS m FROM own GROUP BY rid),
+    apart AS (SELECT rid, lang, m, {size} * m - coalesce(near, 0) AS far FROM (SELECT * FROM sizes CROSS JOIN (SELECT DISTINCT lang FROM known)) q LEFT JOIN near USING (rid, lang)),
+    best AS (SELECT rid, m, min(far) AS far, arg_min(lang, (far, lang)) AS lang FROM apart GROUP BY ALL)
+    SELECT doc_id, held AS held_out, CASE WHEN b.lang IS NULL OR NOT regexp_matches(text, '\\p{{L}}') THEN '{language.UNKNOWN}' ELSE b.lang END AS lang_pred,
+      CASE WHEN b.lang IS NULL OR NOT regexp_matches(text, '\\p{{L}}') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - far::DOUBLE / (m * {size})::DOUBLE END AS score
+    FROM d LEFT JOIN best b USING (rid)"""
+
+
+def clustered_vectors() -> str:
+    """The rounds one after another, every vector against every centroid."""
+    k, parts = clustering.CENTROIDS, clustering.COMPONENTS
+    apart = f"list_sum(list_transform(range(1, {parts + 1}), lambda j: (v.e[j] - c.e[j]) * (v.e[j] - c.e[j])))::BIGINT"
+    steps = []
+    for r in range(clustering.ROUNDS + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, min(d) AS d, arg_min(k, (d, k)) AS k FROM (SELECT v.rid, c.k, {apart} AS d FROM v, c{r} c) q GROUP BY rid)""")
+        if r < clustering.ROUNDS:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN
+              (SELECT k, list(floor_mean ORDER BY j) AS e FROM (SELECT k, j, (sum(e[j]) - (sum(e[j]) % count(*) + count(*)) % count(*)) // count(*) AS floor_mean
+                FROM a{r} JOIN v USING (rid), range(1, {parts + 1}) t(j) GROUP BY k, j) q GROUP BY k) m ON m.k = c.k)""")
+    last = clustering.ROUNDS
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+      WHERE len(embedding) = {parts} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{clustering.SALT}' || vec_id::VARCHAR) NULLS LAST, e) - 1 AS k, e FROM v QUALIFY k < {k}),
+    {", ".join(steps)}
+    SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+      sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{last} JOIN v USING (rid) JOIN c{last} c USING (k)"""
+
+
 ORACLES = {"op1_url_filters": url_rules_and_trust(), "op4_suffix_array_dedup": repeated_bytes(),
-           "op7_inverted_multi_index": linked_vectors()}
+           "op7_inverted_multi_index": linked_vectors(), "op11_merkle_manifest": merkle_proofs(),
+           "op12_rank_order_language": rank_order_languages(), "op13_shallot_clustering": clustered_vectors()}
