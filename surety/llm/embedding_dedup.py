@@ -215,7 +215,8 @@ def link_counts(vectors: DataFrame, index: MultiIndex, block: int = BLOCK, share
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row of ``rows(vec_id, embedding, label)``."""
     rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding"), F.col("label"))
-    rows = rows.withColumn("node", F.xxhash64("label", "embedding"))
+    # The hash skips NULL components; as NaN they count, and no usable vector has one.
+    rows = rows.withColumn("node", F.xxhash64("label", F.transform("embedding", lambda x: F.coalesce(x, F.lit(float("nan"))))))
     vectors = materialise(distinct_vectors(rows))
     index = fit(vectors, cosine)
     if index is None:

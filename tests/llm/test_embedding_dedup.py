@@ -68,7 +68,8 @@ def test_unusable_rows(spark):
     rows = [(1, None, 0), (2, None, 0), (3, [0.0] * 8, 0), (4, [0.0] * 8, 0), (5, [], 0), (6, [1.0, None] + v[0][2:], 0),
             (7, [1.0, None] + v[0][2:], 0), (8, [float("nan")] + v[0][1:], 0), (9, [float("inf")] + v[0][1:], 0),
             (10, v[0], None), (11, v[0], None), (12, v[0], 0), (None, v[0], 0), (None, v[1], 0), (13, v[0][:4], 0), (14, v[0][:4], 0),
-            (15, v[2], 1), (15, v[2], 1), (16, [-0.0, 1.0], 3), (17, [0.0, 1.0], 3), (18, [5.0], 4), (19, [3.0], 4), (20, [-3.0], 4)]
+            (15, v[2], 1), (15, v[2], 1), (16, [-0.0, 1.0], 3), (17, [0.0, 1.0], 3), (18, [5.0], 4), (19, [3.0], 4), (20, [-3.0], 4),
+            (21, [1.0, 2.0], 5), (22, [1.0, 2.0, None], 5), (23, [None, 1.0, 2.0], 5), (24, [1.0, 2.0, float("nan")], 5)]
     assert run(spark, rows) == brute(rows)
 
 
