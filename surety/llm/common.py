@@ -180,7 +180,8 @@ def components(links: DataFrame) -> DataFrame:
     ``root`` is the smallest node of the component. Alternates large-star and small-star steps
     (each keeps the components and shortens paths) until the links no longer change. Each step
     is checkpointed, so a lost executor replays one step. A node with many neighbours is
-    pre-aggregated before the shuffle, and the join back is one that Spark can split.
+    pre-aggregated before the shuffle; what comes of that is stored, so that the join back
+    shuffles both of its sides and adaptive execution can split the node's links.
     """
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -190,10 +191,11 @@ def components(links: DataFrame) -> DataFrame:
     before = sign(now)
     while before[0]:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = (both.join(low, "a").where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large)
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).where("a <> b"))
         now = materialise(small.select(a, b).distinct())
