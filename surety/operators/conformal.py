@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from surety.functions.columns import (INF, calibration_sd, check_delta, conformal_rank, finite,
                                       pvalue_uncertainty, uniform, widen)
 from surety.plans.joins import attach_cells, attach_groups, bounded, require_none
-from surety.plans.ranking import (POOLED, first_rows, order_statistics, ranked_cells,
-                                   ranked_parts)
+from surety.plans.ranking import POOLED, order_statistics, ranked_cells, ranked_parts
+from surety.plans.sketch import DRAW, draws, first_rows
 
 SCORE, GROUP, ROW = "anomaly_score", "category", "image_id"
 
@@ -291,20 +291,19 @@ def n_cal_sensitivity(cal: DataFrame, test: DataFrame, deltas: Sequence[float] =
                       n_repeats: int = 5) -> DataFrame:
     """Mean and spread of pooled coverage over repeated calibration draws of each size.
 
-    One ranked draw per repeat serves every size; the draws hold at most ``max(n_cals)`` rows
-    per group. All settings are scored against the test rows in one ranking.
+    The draws of all repeats are made in one pass over the pool and hold at most ``max(n_cals)``
+    rows per group; a draw's prefixes serve the smaller sizes. All settings are scored against
+    the test rows in one ranking.
     """
     pool = calibration_pool(cal, score, group)
     sizes = [n for n in n_cals if n is not None]
     limits = None
     if sizes:
-        draws = pool.select(group, score, row).withColumn(
-            "rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-        draws = draws.withColumn("_u", uniform(F.lit(seed) + F.col("rep"), row))
-        draws = (first_rows(draws, ["rep", group], ["_u", row], max(sizes), "_draw")
+        orders = [uniform(F.lit(seed) + F.lit(rep), row) for rep in range(n_repeats)]
+        drawn = (draws(pool.select(group, score, row), [group], orders, row, max(sizes))
                  .withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
-                 .where(F.col("_draw") <= F.col("size")))
-        limits = thresholds(draws, deltas, score, ["size", "rep", group])
+                 .where(F.col(DRAW) <= F.col("size")))
+        limits = thresholds(drawn, deltas, score, ["size", "rep", group])
     if None in list(n_cals):
         full = thresholds(pool, deltas, score, [group]).withColumns(
             {"size": F.lit(-1), "rep": F.lit(0)})

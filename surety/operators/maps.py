@@ -55,18 +55,8 @@ def bank_window_scores(windows: DataFrame, bank: DataFrame, k: int = 1,
     score is 0. Vectors are taken as they are.
     """
     keys = [group, "window_idx"] if positional else [group]
-    bank = bank.withColumn("_bank_id", F.concat_ws("#", row, "window_idx"))
-    rows = [row] if positional else [row, "window_idx"]
-    if positional:
-        # One query row per (image, position): name it so that the row key is unique.
-        queries = windows.withColumn("_q", F.concat_ws("#", row, "window_idx"))
-        scored = knn_distance(queries, bank, keys, max(k, 1), ["_q"], "_bank_id", unit=False,
-                              name="window_score").drop(*keys)
-        out = queries.join(scored, "_q", "left").drop("_q")
-    else:
-        scored = knn_distance(windows, bank, keys, max(k, 1), rows, "_bank_id", unit=False,
-                              name="window_score").drop(*keys)
-        out = windows.join(scored, rows, "left")
+    out = knn_distance(windows, bank, keys, max(k, 1), windows.columns, row, unit=False, name="window_score")
+    out = out.select(*windows.columns, "window_score")
     return out.withColumn("window_score", F.coalesce("window_score", F.lit(0.0)))
 
 
@@ -86,20 +76,42 @@ def resize_weights(size: int, out: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def _painted(boxes: np.ndarray, scores: np.ndarray, size: int) -> np.ndarray:
+    """Mean score of the windows over each pixel, 0 where there is none.
+
+    Each window is four corners of a difference array and prefix sums fill it in. Scores are added
+    up as integers, scaled by a power of two that leaves room for their sum, so that taking a
+    window away again leaves nothing behind. A pixel under a missing score is NaN.
+    """
+    known = np.isfinite(scores)
+    largest = np.abs(scores[known]).max(initial=0.0) * max(len(scores), 1)
+    shift = 61 - int(np.frexp(largest)[1])
+    whole = np.rint(np.ldexp(np.where(known, scores, 0.0), shift)).astype(np.int64)
+    corners = np.zeros((3, size + 1, size + 1), np.int64)
+    left, top, right, bottom = np.clip(boxes, 0, size).T
+    for plane, value in zip(corners, (whole, np.ones(len(scores), np.int64), (~known).astype(np.int64))):
+        for y, x, sign in ((top, left, 1), (top, right, -1), (bottom, left, -1), (bottom, right, 1)):
+            np.add.at(plane, (y, x), sign * value)
+    total, seen, lost = corners.cumsum(axis=1).cumsum(axis=2)[:, :size, :size]
+    dense = np.ldexp(total.astype(np.float64), -shift) / np.maximum(seen, 1)
+    dense[lost > 0] = np.nan
+    return dense
+
+
 def paint(windows: DataFrame, size: int, out_size: int | None = None,
           keys: Sequence[str] = ("image_id",), score: str = "window_score") -> DataFrame:
     """Average the scores of the windows over each pixel; uncovered pixels are 0.
 
     The windows of one image are a fixed small grid, so they are brought together in one row
-    and painted in a vectorised pass. The result is resized to ``out_size``.
+    and painted in time linear in windows plus pixels. The result is resized to ``out_size``.
+    Pixels under a missing score are NaN.
     """
     keys = list(keys)
     out = out_size or size
-    gathered = windows.groupBy(*keys).agg(F.collect_list(
-        F.struct(F.col("window_idx"), F.col("box.l").alias("l"), F.col("box.t").alias("t"),
-                 F.col("box.r").alias("r"), F.col("box.b").alias("b"),
-                 F.col(score).cast("double").alias("s"))).alias("_w")).select(
-        *keys, F.array_sort("_w").alias("_w"))
+    gathered = windows.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct(F.col("window_idx"), F.array("box.l", "box.t", "box.r", "box.b").alias("box"),
+                 F.col(score).cast("double").alias("s")))).alias("_w")).select(
+        *keys, F.flatten("_w.box").alias("_boxes"), F.transform("_w.s", lambda s: F.coalesce(s, F.lit(float("nan")))).alias("_scores"))
     schema = T.StructType([*[gathered.schema[c] for c in keys],
                            T.StructField("h", T.IntegerType()),
                            T.StructField("w", T.IntegerType()),
@@ -109,12 +121,8 @@ def paint(windows: DataFrame, size: int, out_size: int | None = None,
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             painted = []
-            for boxes in frame["_w"]:
-                total, seen = np.zeros((size, size)), np.zeros((size, size))
-                for x in boxes:
-                    total[x["t"]:x["b"], x["l"]:x["r"]] += x["s"]
-                    seen[x["t"]:x["b"], x["l"]:x["r"]] += 1.0
-                dense = total / np.maximum(seen, 1e-8)
+            for boxes, scores in zip(frame["_boxes"], frame["_scores"]):
+                dense = _painted(np.asarray(boxes, np.int64).reshape(-1, 4), np.asarray(scores, float), size)
                 if weights is not None:
                     dense = weights @ dense @ weights.T
                 painted.append(dense.ravel())

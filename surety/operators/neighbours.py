@@ -1,4 +1,11 @@
-"""Exact k-nearest-neighbour distance to a reference bank, block by block."""
+"""Exact k-nearest-neighbour distance to a reference bank, with an index of balls.
+
+Bank and queries of a group are cut into balls around pivots. From the centres and radii of two
+balls follow the least and the largest similarity that any of their vectors can have. What the
+balls with the largest "least" similarities hold ``k`` vectors of is a level that every query of a
+ball reaches; bank balls that cannot come up to it are skipped, exactly. Only the remaining
+pairs of balls are compared, each in a task group of its own, and no pair of vectors is ever a row.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +13,23 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surety.functions.columns import array_mean, let
-from surety.plans import joins
 from surety.plans.joins import bounded
+from surety.plans.sketch import first_rows
+from surety.session import materialise
 
-#: Vectors per side of one block comparison.
+#: Vectors of a ball, about.
 BLOCK = 4096
-#: Decimals kept of a similarity.
-DECIMALS = 12
+#: Candidates for pivots of a group at most; balls of a larger group come in parts.
+PIVOTS = 2048
+#: Queries compared at once.
+STEP = 512
+#: Bounds are widened by this share, far beyond what rounding can do.
+SLACK = 1e-9
 
 
 def _matrix(column: pd.Series, unit: bool) -> np.ndarray:
@@ -27,95 +39,157 @@ def _matrix(column: pd.Series, unit: bool) -> np.ndarray:
     return m
 
 
+def _usable(vector: Column) -> Column:
+    """Vectors without a missing or non-finite component."""
+    return F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))), F.lit(False)) & (F.size(vector) > 0)
+
+
+def _spread(candidates: np.ndarray) -> np.ndarray:
+    """Half of the candidates, each the farthest from those taken before it."""
+    taken = [0]
+    apart = np.linalg.norm(candidates - candidates[0], axis=1)
+    while len(taken) < (len(candidates) + 1) // 2:
+        taken.append(int(np.argmax(apart)))
+        apart = np.minimum(apart, np.linalg.norm(candidates - candidates[taken[-1]], axis=1))
+    return candidates[taken]
+
+
+def _in_balls(rows: DataFrame, keys: list[str], unit: bool, block: int) -> DataFrame:
+    """Add ``_ball``: the nearest pivot of the group, and parts of about ``block`` vectors of it.
+
+    ``rows`` has ``keys``, ``_rn`` and ``_v``. A group of at most ``block`` vectors is one ball. In
+    larger ones the rows first by a hash of their number, four for each block, are candidates, and
+    half of them, each the farthest from those before it, become pivots, so that clusters far apart
+    do not share one. Candidates meet the rows of their group in chunks of a few blocks.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = bounded(sizes.where(F.col("_n") > block))
+    if large.isEmpty():
+        return rows.withColumn("_ball", F.lit(0).cast("bigint"))
+    wanted = F.least(4 * F.ceil(F.col("_n") / block), F.lit(PIVOTS))
+    chunks = F.ceil(F.col("_n") / (4 * block)).cast("int")
+    dealt = rows.join(large, keys)
+    some = first_rows(dealt.withColumn("_hash", F.xxhash64("_rn")), keys, ["_hash", "_rn"], PIVOTS, "_place")
+    pivots = some.where(F.col("_place") <= wanted).select(
+        *[F.col(c).alias(f"_of_{c}") for c in keys], F.col("_v").alias("_p"), "_place",
+        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_of_chunk"))
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("_rn"), chunks).cast("int"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_ball", T.LongType())])
+    names = rows.columns
+
+    def place(part: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        out = part[names].assign(_ball=np.int64(0))
+        if len(part) and len(at):
+            at = _spread(_matrix(at.sort_values("_place")["_p"], unit))
+            ball = [np.argmin((at * at).sum(axis=1) - 2.0 * (_matrix(part["_v"].iloc[a:a + STEP], unit) @ at.T), axis=1)
+                    for a in range(0, len(part), STEP)]
+            out["_ball"] = np.concatenate(ball).astype(np.int64)
+        return out
+
+    placed = materialise(dealt.select(*names, "_chunk").groupBy(*keys, "_chunk").cogroup(
+        pivots.groupBy(*[f"_of_{c}" for c in keys], "_of_chunk")).applyInPandas(place, schema))
+    parts = bounded(placed.groupBy(*keys, "_ball").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_parts")))
+    part = F.pmod(F.xxhash64("_rn"), F.col("_parts"))
+    placed = placed.join(parts, [*keys, "_ball"]).select(
+        *[c for c in names], (F.col("_ball") * (1 << 32) + part).alias("_ball"))
+    small = rows.join(large, keys, "left_anti").withColumn("_ball", F.lit(0).cast("bigint"))
+    return placed.unionByName(small.select(*names, "_ball"))
+
+
+def _outlines(rows: DataFrame, keys: list[str], unit: bool, name: str) -> DataFrame:
+    """Size, centre and radius of every ball, and its shortest and longest vector, as a struct ``name``."""
+    outline = T._parse_datatype_string("n bigint, centre array<double>, radius double, least double, most double")
+    schema = T.StructType([*[rows.schema[c] for c in [*keys, "_ball"]], *outline.fields])
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(frame["_v"], unit)
+        centre, lengths = v.mean(axis=0), np.linalg.norm(v, axis=1)
+        head = [frame[c].iloc[0] for c in [*keys, "_ball"]]
+        return pd.DataFrame([[*head, len(v), centre, np.linalg.norm(v - centre, axis=1).max(), lengths.min(), lengths.max()]],
+                            columns=schema.names)
+
+    out = rows.groupBy(*keys, "_ball").applyInPandas(of, schema)
+    return out.select(*keys, F.struct("_ball", *outline.names).alias(name))
+
+
+def _meetings(queries: DataFrame, bank: DataFrame, keys: list[str], k: int, unit: bool) -> DataFrame:
+    """Pairs of balls that must be compared: ``keys, _query, _bank``.
+
+    With ``d`` between ``nearest`` and ``farthest``, a dot product is ``(|x|**2 + |y|**2 - d**2) / 2``.
+    """
+    both = _outlines(queries, keys, unit, "q").join(_outlines(bank, keys, unit, "b"), keys)
+    q, b = F.col("q"), F.col("b")
+    gap = F.sqrt(F.aggregate(F.zip_with(q["centre"], b["centre"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    slack = F.lit(SLACK) * (F.lit(1.0) + q["most"] * q["most"] + b["most"] * b["most"])
+    met = both.select(*keys, q["_ball"].alias("_query"), b["_ball"].alias("_bank"), b["n"].alias("n"),
+                      (gap + q["radius"] + b["radius"]).alias("farthest"),
+                      F.greatest(gap - q["radius"] - b["radius"], F.lit(0.0)).alias("nearest"), slack.alias("slack"),
+                      (q["least"] * q["least"] + b["least"] * b["least"]).alias("least"),
+                      (q["most"] * q["most"] + b["most"] * b["most"]).alias("most"))
+    met = met.withColumns({
+        "low": (F.col("least") - F.col("farthest") * F.col("farthest")) / 2.0 - F.col("slack"),
+        "high": (F.col("most") - F.col("nearest") * F.col("nearest")) / 2.0 + F.col("slack")})
+    own = Window.partitionBy(*keys, "_query")
+    so_far = F.sum("n").over(own.orderBy(F.col("low").desc(), "_bank"))
+    reached = F.max(F.when(F.col("so_far") >= k, F.col("low"))).over(own)
+    return (met.withColumn("so_far", so_far).withColumn("reached", reached)
+            .where(F.col("reached").isNull() | (F.col("high") >= F.col("reached"))).select(*keys, "_query", "_bank"))
+
+
+def nearest_pairs(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int, unit: bool = True,
+                  block: int = BLOCK) -> DataFrame:
+    """``(_rn, _top, _seen)``: a query's largest similarities in one bank ball, and the ball's size.
+
+    Both sides have ``keys``, a row number ``_rn`` and a usable vector ``_v``.
+    """
+    keys = list(keys)
+    queries, bank = (_in_balls(rows, keys, unit, block) for rows in (queries, bank))
+    queries, bank = materialise(queries), materialise(bank)
+    meetings = bounded(_meetings(queries, bank, keys, k, unit))
+    left = queries.withColumnRenamed("_ball", "_query").join(meetings, [*keys, "_query"])
+    right = bank.withColumnRenamed("_ball", "_bank").join(meetings, [*keys, "_bank"])
+    by = [*keys, "_query", "_bank"]
+    right = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    schema = T.StructType([T.StructField("_rn", T.LongType()), T.StructField("_top", T.ArrayType(T.DoubleType())),
+                           T.StructField("_seen", T.LongType())])
+
+    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[np.ndarray] = []
+        if len(q) and len(b):
+            reference = _matrix(b["_v"], unit)
+            keep = min(k, len(reference))
+            for a in range(0, len(q), STEP):
+                v = _matrix(q["_v"].iloc[a:a + STEP], unit)
+                sims = v @ reference.T
+                top = np.argpartition(sims, len(reference) - keep, axis=1)[:, len(reference) - keep:]
+                # Products of blocks depend on the shape of the block in their last digit; these do not.
+                out += list(np.einsum("id,ikd->ik", v, reference[top]))
+        return pd.DataFrame({"_rn": q["_rn"].to_numpy()[:len(out)], "_top": out, "_seen": np.int64(len(b))})
+
+    return left.groupBy(*by).cogroup(right.groupBy(*[f"_of_{c}" for c in by])).applyInPandas(compare, schema)
+
+
 def knn_distance(queries: DataFrame, bank: DataFrame, keys: Sequence[str], k: int,
                  row: Sequence[str], bank_row: str, vector: str = "embedding",
                  unit: bool = True, name: str = "distance",
                  block: int = BLOCK) -> DataFrame:
     """``1 - mean`` of the ``k`` largest cosine similarities to the bank of the same keys.
 
-    A bank of at most ``joins.BROADCAST_BYTES`` (counted first) is sent to every task, and the
-    queries stream past it: nothing is shuffled. For a larger one, both sides of a key group are
-    cut into blocks of about ``block`` vectors by a hash, and each task compares one block pair and
-    keeps only the ``k`` best similarities per query, so a group of any size is spread over many
-    tasks and no pair of vectors is ever a row. Similarities are rounded to ``DECIMALS``, so both
-    ways give the same distances. With fewer than ``k`` bank vectors all of them count; a group
-    without a bank gives NULL.
+    One result per query row, with ``keys`` and ``row``: rows are told apart by a number, so
+    repeated ids are rows of their own. With fewer than ``k`` bank vectors all of them count; a group
+    without a bank gives NULL, and so does a vector that is NULL or empty or has a missing or
+    non-finite component; such bank vectors take no part. Without ``unit`` vectors are taken as they
+    are and similarities are dot products. ``bank_row`` is not needed any more and only kept for callers.
     """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     keys, row = list(keys), list(row)
-    held = bank.select(*keys, F.col(vector).alias("_b"))
-    size = held.agg(F.sum(joins.row_bytes(held.schema))).first()[0] or 0
-    if size <= joins.BROADCAST_BYTES:
-        return _past_the_bank(queries, held, keys, k, row, vector, unit, name, block)
-    n_query = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    n_bank = bank.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    grid = bounded(n_query.join(n_bank, keys).select(
-        *keys, F.ceil(F.col("_nq") / block).cast("int").alias("_nq"),
-        F.ceil(F.col("_nb") / block).cast("int").alias("_nb")))
-    widest = grid.agg(F.max("_nb")).first()[0]
-    left = queries.select(*keys, *row, F.col(vector).alias("_v")).join(grid, keys).select(
-        *keys, *row, "_v", F.pmod(F.xxhash64(*row), F.col("_nq")).cast("int").alias("_chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_block"))
-    # Renamed, because the bank is usually a part of the query table.
-    right_keys = [f"_bank_{c}" for c in keys]
-    right = bank.select(*keys, F.col(bank_row).alias("_id"), F.col(vector).alias("_b")).join(
-        grid, keys).select(
-        *[F.col(c).alias(n) for c, n in zip(keys, right_keys)], F.col("_b").alias("_b"),
-        F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int").alias("_bank_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).alias("_bank_chunk"))
-    schema = T.StructType([*[left.schema[c] for c in row],
-                           T.StructField("_top", T.ArrayType(T.DoubleType()))])
-
-    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = q[row].copy()
-        if not len(q) or not len(b):
-            out["_top"] = [[] for _ in range(len(q))]
-            return out
-        sims = np.round(_matrix(q["_v"], unit) @ _matrix(b["_b"], unit).T, DECIMALS)
-        keep = min(k, sims.shape[1])
-        out["_top"] = list(np.partition(sims, -keep, axis=1)[:, -keep:])
-        return out
-
-    pairs = left.groupBy(*keys, "_block", "_chunk").cogroup(
-        right.groupBy(*right_keys, "_bank_block", "_bank_chunk")).applyInPandas(compare, schema)
-    if (widest or 0) > 1:
-        pairs = pairs.groupBy(*row).agg(F.flatten(F.collect_list("_top")).alias("_top"))
+    numbered = materialise(queries.select(*dict.fromkeys([*keys, *row]), F.col(vector).alias("_v"))
+                           .withColumn("_rn", F.monotonically_increasing_id()))
+    held = materialise(bank.select(*keys, F.col(vector).alias("_v")).where(_usable(F.col("_v")))
+                       .withColumn("_rn", F.monotonically_increasing_id()))
+    pairs = nearest_pairs(numbered.where(_usable(F.col("_v"))).select(*keys, "_v", "_rn"), held, keys, k, unit, block)
+    tops = pairs.groupBy("_rn").agg(F.flatten(F.collect_list("_top")).alias("_top"))
     best = F.slice(F.sort_array("_top", asc=False), 1, k)
-    found = pairs.select(*row, (F.lit(1.0) - let(best, array_mean)).alias(name))
-    return queries.select(*keys, *row).join(found, row, "left")
-
-
-def _past_the_bank(queries: DataFrame, bank: DataFrame, keys: list[str], k: int, row: list[str],
-                   vector: str, unit: bool, name: str, block: int) -> DataFrame:
-    """:func:`knn_distance` with the whole bank in every task; its size has been checked."""
-    collected = bank.toPandas()
-    groups = {key if isinstance(key, tuple) else (key,): _matrix(part["_b"], unit)
-              for key, part in (collected.groupby(keys) if len(collected) else ())}
-    known = bank.sparkSession.sparkContext.broadcast(groups)
-    schema = T.StructType([*[queries.schema[c] for c in [*keys, *row]],
-                           T.StructField(name, T.DoubleType())])
-
-    def distances(vectors: pd.Series, reference: np.ndarray) -> np.ndarray:
-        q = _matrix(vectors, unit)
-        top = np.zeros((len(q), 0))
-        for first in range(0, len(reference), block):
-            sims = np.round(q @ reference[first:first + block].T, DECIMALS)
-            top = np.hstack([top, sims])
-            if top.shape[1] > k:
-                top = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
-        # Added up from the largest on, as the column function does.
-        return 1.0 - np.cumsum(-np.sort(-top, axis=1), axis=1)[:, -1] / top.shape[1]
-
-    def run(frames):
-        for frame in frames:
-            out = frame[[*keys, *row]].copy()
-            out[name] = np.nan
-            for key, part in frame.groupby(keys):
-                reference = known.value.get(key if isinstance(key, tuple) else (key,))
-                if reference is not None:
-                    out.loc[part.index, name] = distances(part["_v"], reference)
-            out[name] = out[name].astype(object).where(out[name].notna(), None)
-            yield out
-
-    return queries.select(*keys, *row, F.col(vector).alias("_v")).mapInPandas(run, schema)
+    found = tops.select("_rn", (F.lit(1.0) - let(best, array_mean)).alias(name))
+    return numbered.drop("_v").join(found, "_rn", "left").drop("_rn")

@@ -196,16 +196,3 @@ def quantiles(ranking: DataFrame, group: Sequence[str], value: str,
 def average_rank(n: str = "n") -> Column:
     """Mean rank of a tie group from an ascending :func:`ranked_cells`."""
     return F.col(f"{n}_before") + (F.col(n) + F.lit(1.0)) / F.lit(2.0)
-
-
-def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int,
-               position: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group, optionally with their 1-based ``position``.
-
-    The position is read off distributed prefix sums for every ``n``, so a dominant group is
-    never in one task. A NULL in ``group`` is a group like others.
-    """
-    name = position or "_position"
-    ranked = prefix_sums(df.withColumn("_one", F.lit(1)), group, order, ["_one"])
-    out = ranked.withColumn(name, F.col("_one_before") + 1)
-    return out.where(F.col(name) <= n).select(*df.columns, *([name] if position else []))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surety.functions.text import location_claim, parse_generation
-from surety.operators import (browse, fusion, generations, grounding, maps, pixel, report,
+from surety.operators import (browse, fusion, generations, grounding, maps, neighbours, pixel, report,
                               scoring, selective, semantic, shift, signals)
 from surety.operators.neighbours import knn_distance
 from surety.plans import joins
@@ -70,21 +70,58 @@ def test_verdict_follows_the_marker(spark):
     assert generations.verdict_probability(bare).first()["verdict_pos"] == 2
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "image_id string, category string, embedding array<double>")
+
+
+def brute_knn(queries, bank, k, unit):
+    """Distances by id and group, each a sorted list as ids may repeat."""
+    def usable(v):
+        return v and all(x is not None and np.isfinite(x) for x in v)
+
+    def scaled(v):
+        v = np.array(v)
+        return v / max(np.linalg.norm(v), 1e-8) if unit else v
+    out = {}
+    for i, group, v in queries:
+        sims = sorted((float(scaled(v) @ scaled(b)) for _, g, b in bank if g == group and usable(b)), reverse=True)[:k] if usable(v) else []
+        out.setdefault((i, group), []).append(1 - sum(sims) / len(sims) if sims else None)
+    return {key: sorted(v, key=str) for key, v in out.items()}
+
+
 @pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
-def test_knn_blocks_match_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("block", [7, 4096])
+@pytest.mark.parametrize("unit", [True, False])
+def test_knn_matches_brute_force(spark, monkeypatch, limit, block, unit):
+    """Clusters, repeated ids, repeated vectors, NULL, NaN, zero and empty vectors, groups without a bank."""
     monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     rng = np.random.default_rng(0)
-    q, b = rng.normal(size=(60, 8)), rng.normal(size=(45, 8))
-    mk = lambda m, p: spark.createDataFrame(
-        [(f"{p}{i}", "hot", [float(x) for x in v]) for i, v in enumerate(m)],
-        "image_id string, category string, embedding array<double>")
-    out = knn_distance(mk(q, "q"), mk(b, "b"), ["category"], 5, ["image_id"], "image_id", block=10)
-    got = {r["image_id"]: r["distance"] for r in out.collect()}
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    want = 1 - np.sort(unit(q) @ unit(b).T, axis=1)[:, -5:].mean(axis=1)
-    assert len(got) == 60
-    for i, w in enumerate(want):
-        assert got[f"q{i}"] == pytest.approx(w)
+    middles = rng.normal(size=(5, 6)) * 3
+
+    def some(n, prefix, group):
+        return [(f"{prefix}{i}", group, [float(x) for x in middles[i % 5] + rng.normal(size=6) * 0.3]) for i in range(n)]
+    odd = [None, [], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [None] + [1.0] * 5, [0.0] * 6]
+    bank = some(60, "b", "hot") + some(3, "c", "small") + [(f"o{i}", "hot", v) for i, v in enumerate(odd)] + [("r", "hot", [1.0] * 6)] * 9
+    queries = some(50, "q", "hot") + some(4, "s", "small") + some(2, "n", "none") + [("q1", "hot", [1.0] * 6), ("q1", "hot", [1.0] * 6)]
+    queries += [(f"x{i}", "hot", v) for i, v in enumerate(odd)]
+    got = {}
+    for r in knn_distance(vectors(spark, queries), vectors(spark, bank), ["category"], 5, ["image_id"], "image_id", unit=unit, block=block).collect():
+        got.setdefault((r["image_id"], r["category"]), []).append(r["distance"])
+    want = brute_knn(queries, bank, 5, unit)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert sorted(got[key], key=str) == [v if v is None else pytest.approx(v, abs=1e-12) for v in values]
+
+
+def test_knn_skips_balls(spark):
+    """On clustered data less than half of all pairs of vectors is compared."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(20, 16))
+    rows = [(i, "g", [float(x) for x in middles[i % 20] + rng.normal(size=16) * 0.05]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "_rn bigint, category string, _v array<double>")
+    bank, queries = df.where("_rn < 800"), df.where("_rn >= 800")
+    seen = neighbours.nearest_pairs(queries, bank, ["category"], 5, block=40).agg({"_seen": "sum"}).first()[0]
+    assert 5 * 400 < seen < 0.5 * 400 * 800
 
 
 def test_knn_bank_from_the_query_table(spark):

@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from surety.plans import joins
+from surety.plans import joins, sketch
+from surety.functions.columns import uniform
 from surety.plans.joins import attach_cells
-from surety.plans.ranking import (first_rows, prefix_sums, quantiles, ranged, ranked_cells,
+from surety.plans.ranking import (prefix_sums, quantiles, ranged, ranked_cells,
                                    ranked_parts, running_sums)
 from surety.plans.resample import auroc_draws, poisson_weights
+from surety.plans.sketch import first_rows
 from surety.operators.inference import holm, paired_bootstrap, spearman
 from surety.operators.metrics import calibration_errors, rank_metrics
 
@@ -214,3 +216,52 @@ def test_spearman_edge_cases(spark):
         "g string, x double, y double")
     got = {r["g"]: r["rho"] for r in spearman(df, ["g"], "x", "y").collect()}
     assert got["up"] == pytest.approx(1.0) and got["flat"] is None and got["few"] is None
+
+
+def first_of(rows, group, n, key):
+    """First rows of each group in plain Python."""
+    found = {}
+    for r in sorted(rows, key=key):
+        found.setdefault(r[group], []).append(r)
+    return {g: v[:n] for g, v in found.items()}
+
+
+@pytest.mark.parametrize("held", [7, 100_000])
+@pytest.mark.parametrize("n", [1, 5, 2000])
+def test_sketches_hold_the_first_rows(spark, monkeypatch, held, n):
+    """A hot group, ties, NULL and NaN in the order, NULL groups, many groups of one row."""
+    monkeypatch.setattr(sketch, "HELD_ROWS", held)
+    rng = random.Random(8)
+    data = [(i, rng.choice(["hot", "hot", "hot", None, f"g{i}"]), rng.choice([None, float("nan"), 0.25, rng.random()])) for i in range(600)]
+    df = spark.createDataFrame(data, "i int, g string, x double").repartition(7)
+    want = first_of(data, 1, n, lambda r: (0, 0, r[0]) if r[2] is None else (2, 0, r[0]) if r[2] != r[2] else (1, r[2], r[0]))
+    got = {}
+    for r in first_rows(df, ["g"], ["x", "i"], n, "p").collect():
+        got.setdefault(r["g"], []).append((r["p"], r["i"]))
+    assert {g: sorted(v) for g, v in got.items()} == {g: [(k + 1, r[0]) for k, r in enumerate(v)] for g, v in want.items()}
+
+
+def test_first_rows_store_and_range_nothing(spark):
+    """Rows are pruned in the task that reads them; no range partitioning, no stored table."""
+    df = spark.range(0, 5000, 1, 8).selectExpr("id % 3 as g", "hash(id) as h", "id")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = first_rows(df, ["g"], ["h", "id"], 10)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan and plan.count("MapInArrow") == 2
+    assert out.count() == 30
+
+
+def test_draws_of_every_size_in_one_pass(spark):
+    df = spark.range(300).selectExpr("case when id % 10 = 0 then 'rare' else 'hot' end as g", "cast(id as string) as image_id")
+    orders = [uniform(F.lit(rep), "image_id") for rep in range(3)]
+    got = sketch.draws(df, ["g"], orders, "image_id", 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 2
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["rep"], r["g"]), []).append((r[sketch.DRAW], r["image_id"]))
+    for rep in range(3):
+        rows = df.withColumn("u", uniform(rep, "image_id")).collect()
+        for g, want in first_of([tuple(r) for r in rows], 0, 20, lambda r: (r[2], r[1])).items():
+            assert sorted(found[rep, g]) == [(k + 1, r[1]) for k, r in enumerate(want)]
