@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.parts import P, sql_fan, sql_mode, sql_rank, sql_scored, sql_thr, sql_u01
 from catalog.registry import Inputs, query
+from catalog.replicates import binomial_parts
 from surety.functions.columns import (MODES, calibration_sd, pvalue_uncertainty, widen)
 from surety.operators import conformal, prediction_sets, temperature
 from surety.plans.joins import require_none
@@ -145,10 +146,22 @@ def _(v):
         "ci_lo", "ci_hi", "ci_lo_total", "ci_hi_total")
 
 
-@query("c7_coverage_report_intervals")
+def _wide(bound: str, sign: str) -> str:
+    return (f"least(greatest(share {sign} sqrt(abs({bound} - share) * abs({bound} - share) + (1.96::DOUBLE * calib_sd) * (1.96::DOUBLE * calib_sd)), 0.0::DOUBLE), 1.0::DOUBLE)")
+
+
+_COVER_CI = {**_SWEEP, "cover5": "SELECT *, hits::DOUBLE / n_normal_test AS share FROM {cover} WHERE delta = 0.05::DOUBLE",
+             **binomial_parts("{cover5}", "hits", "n_normal_test", 1000, "cov")}
+
+
+@query("c7_coverage_report_intervals", f"""SELECT "group", CAST(n_normal_test AS BIGINT) AS n_normal_test, round(1.0::DOUBLE - delta, 9) AS nominal,
+  round(share, 9) AS empirical_coverage, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, CAST(n_cal AS BIGINT) AS n_cal, round(calib_sd, 9) AS calib_sd,
+  round({_wide('ci_lo', '-')}, 9) AS ci_lo_total, round({_wide('ci_hi', '+')}, 9) AS ci_hi_total, threshold
+FROM {{cover5}} c JOIN {{cov_ci}} i ON i.hits = c.hits AND i.total = c.n_normal_test""", _COVER_CI)
 def _(v):
     model = conformal.MondrianConformal(delta=0.05).fit(pool(v))
-    return conformal.coverage_report(test(v), model, n_boot=1000)
+    out = conformal.coverage_report(test(v), model, n_boot=1000)
+    return _rounded(out, "nominal", "empirical_coverage", "ci_lo", "ci_hi", "calib_sd", "ci_lo_total", "ci_hi_total")
 
 
 @query("c8_calibration_sd", f"""

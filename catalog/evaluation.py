@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from catalog.calibration import scored, test
 from catalog.parts import P, sql_auroc, sql_clip, sql_curve, sql_fan, sql_unpivot
 from catalog.registry import query
-from surety.operators import conformal, inference, metrics, selective, signals
+from catalog.replicates import binomial_parts, paired_parts, sql_key, sql_weights, stratified_parts
+from surety.operators import bootstrap, conformal, inference, metrics, selective, signals
 from surety.plans.ranking import with_pooled
 
 SIGNALS = ["u_conformal", "u_conformal_log", "u_token_entropy", "u_verdict_var", "u_abstention"]
@@ -133,9 +134,20 @@ def _(v):
     return r9(out.select("group", "n", "n_anomalous", "auroc", "aupr"), "auroc", "aupr")
 
 
-@query("m9_detection_table_intervals")
+_CI = ["auroc_ci_lo", "auroc_ci_hi", "aupr_ci_lo", "aupr_ci_hi"]
+_CI_SQL = ", ".join(f"round({c}, 9) AS {c}" for c in _CI)
+_NO_CI = ", ".join(f"NULL::DOUBLE AS {c}" for c in _CI)
+
+
+@query("m9_detection_table_intervals", f"""SELECT * FROM (WITH t AS (SELECT f.grp AS "group", f.n, f.n_anomalous, a.auroc, a.aupr, {_CI_SQL} FROM
+  (SELECT grp, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_anomalous FROM {{fan}} GROUP BY grp) f
+  LEFT JOIN {{auc}} a ON a.grp = f.grp LEFT JOIN {{det_ci}} c ON c.k = f.grp)
+SELECT "group", n, n_anomalous, round(auroc, 9) AS auroc, round(aupr, 9) AS aupr, {', '.join(_CI)} FROM t
+UNION ALL SELECT 'MEAN_OF_CATEGORIES', CAST(sum(n) AS BIGINT), CAST(sum(n_anomalous) AS BIGINT),
+  round(avg(auroc), 9), round(avg(aupr), 9), {_NO_CI} FROM t WHERE "group" <> 'POOLED') z""",
+       {**_AUC, **stratified_parts("{fan}", ["grp"], "anomaly_score", "label", 200, "det")})
 def _(v):
-    return metrics.detection_table(v("evt"), n_boot=200)
+    return r9(metrics.detection_table(v("evt"), n_boot=200), "auroc", "aupr", *_CI)
 
 
 @query("m10_calibration_table", f"""
@@ -190,9 +202,20 @@ def _(v):
                          "excess_over_baseline"), "err_auroc", "excess_over_baseline")
 
 
-@query("m12_error_prediction_intervals")
+_EP_CI = {**_EP, **stratified_parts("{eplong}", ["signal", "scope"], "value", "wrong", 200, "err"), "epci": """
+  SELECT e.signal, e.scope, e.n, e.n_errors, e.err_auroc, c.auroc_ci_lo AS lo, c.auroc_ci_hi AS hi,
+    (SELECT max(err_auroc) FROM {ep} WHERE scope = 'POOLED' AND starts_with(signal, 'BASELINE:')) AS level,
+    e.scope = 'POOLED' AND NOT starts_with(e.signal, 'BASELINE:') AS headline
+  FROM {ep} e LEFT JOIN {err_ci} c ON c.k = concat(e.signal, ':', e.scope)"""}
+
+
+@query("m12_error_prediction_intervals", """SELECT signal, scope, n, n_errors, round(err_auroc, 9) AS err_auroc, round(lo, 9) AS ci_lo, round(hi, 9) AS ci_hi,
+  coalesce(lo > 0.5::DOUBLE, false) AS informative, coalesce(hi < 0.5::DOUBLE, false) AS misleading,
+  round(CASE WHEN headline THEN err_auroc - level END, 9) AS excess_over_baseline,
+  headline AND coalesce(lo > level, false) AS beats_baseline FROM {epci}""", _EP_CI)
 def _(v):
-    return metrics.error_prediction_table(signal_records(v), SIGNALS, n_boot=200)
+    out = metrics.error_prediction_table(signal_records(v), SIGNALS, n_boot=200)
+    return r9(out, "err_auroc", "ci_lo", "ci_hi", "excess_over_baseline")
 
 
 @query("w1_risk_coverage_curve", """
@@ -324,9 +347,19 @@ def _(v):
     return r9(out.drop("z", "p_value", "significant_holm"), "auc_a", "auc_b", "delta")
 
 
-@query("b6_scorer_comparison_significance")
+# The normal tail by Simpson's rule on 2,000 intervals; p-values round to 9 digits.
+_TAIL = """list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+  * exp(-0.5::DOUBLE * (abs(z) * i / 2000) ** 2))) * abs(z) / 6000 * sqrt(2.0::DOUBLE / pi())"""
+_SIGNIFICANT = {**_DELONG, "tested": f"""SELECT *, 1.0::DOUBLE - {_TAIL} AS p FROM (SELECT *, (auc_a - auc_b) / sqrt(var) AS z FROM {{dl}}) q""",
+                "stepped": """SELECT *, row_number() OVER (ORDER BY coalesce(p, 1), "group") AS rk, count(*) OVER () AS m FROM {tested}"""}
+
+
+@query("b6_scorer_comparison_significance", """SELECT "group", 'main' AS scorer_a, 'second' AS scorer_b, n, round(auc_a, 9) AS auc_a, round(auc_b, 9) AS auc_b,
+  round(auc_a - auc_b, 9) AS delta, round(z, 6) AS z, round(p, 9) AS p_value,
+  bool_and(coalesce(p, 1) <= 0.05::DOUBLE / (m - rk + 1)) OVER (ORDER BY rk) AS significant_holm FROM {stepped}""", _SIGNIFICANT)
 def _(v):
-    return inference.scorer_comparison(v("evt"), v("evt_b"), "main", "second")
+    out = inference.scorer_comparison(v("evt"), v("evt_b"), "main", "second")
+    return r9(out, "auc_a", "auc_b", "delta", "p_value").withColumn("z", F.round("z", 6))
 
 
 @query("b7_spearman", """SELECT category, count(*) AS n, round(corr(rx, ry), 9) AS rho FROM (
@@ -340,22 +373,61 @@ def _(v):
     return r9(inference.spearman(rows, ["category"], "anomaly_score", "y"), "rho")
 
 
-@query("b1_bootstrap_auroc")
+@query("b1_bootstrap_auroc", f"""SELECT a.grp AS "group", a.n, a.n_pos, round(a.auroc, 9) AS auroc, round(a.aupr, 9) AS aupr, {_CI_SQL}
+FROM {{auc}} a LEFT JOIN {{boot_ci}} c ON c.k = a.grp""", {**_AUC, **stratified_parts("{fan}", ["grp"], "anomaly_score", "label", 500, "boot")})
 def _(v):
-    return inference.bootstrap_auroc(fanned(v), ["group"], n_boot=500, with_ap=True)
+    return r9(inference.bootstrap_auroc(fanned(v), ["group"], n_boot=500, with_ap=True), "auroc", "aupr", *_CI)
 
 
-@query("b2_bootstrap_mean")
+@query("b2_bootstrap_mean", """SELECT category, CAST(m.hits AS BIGINT) AS hits, n, round(m.hits::DOUBLE / n, 9) AS share, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi
+FROM {means} m JOIN {share_ci} c ON c.hits = m.hits AND c.total = m.n""",
+       {"means": "SELECT category, sum(label) AS hits, count(*) AS n FROM {evt} GROUP BY category", **binomial_parts("{means}", "hits", "n", 1000, "share")})
 def _(v):
     from surety.operators.conformal import binomial_interval
     out = v("evt").groupBy("category").agg(F.sum("label").alias("hits"),
                                            F.count(F.lit(1)).alias("n"))
-    return out.withColumn("ci", binomial_interval(1000, 0)("hits", "n")).select(
+    out = out.withColumn("ci", binomial_interval(1000, 0)("hits", "n")).select(
         "category", "hits", "n", (F.col("hits") / F.col("n")).alias("share"),
         F.col("ci.lo").alias("ci_lo"), F.col("ci.hi").alias("ci_hi"))
+    return r9(out, "share", "ci_lo", "ci_hi")
+
 
+_PAIR = {"aligned": """SELECT a.image_id, a.category, a.label, a.anomaly_score AS score_a, b.anomaly_score AS score_b FROM {evt} a JOIN {evt_b} b ON b.image_id = a.image_id""",
+         "pairfan": "SELECT * FROM " + sql_fan("{aligned}") + " f",
+         "auc_a": sql_auroc("{pairfan}", "grp", "score_a", "label"), "auc_b": sql_auroc("{pairfan}", "grp", "score_b", "label"),
+         **paired_parts("{pairfan}", 200, "pb")}
 
-@query("b3_paired_bootstrap")
+
+@query("b3_paired_bootstrap", """SELECT a.grp AS "group", round(a.auroc - b.auroc, 9) AS diff, round(d.lo, 9) AS diff_ci_lo, round(d.hi, 9) AS diff_ci_hi, d.p_value
+FROM {auc_a} a JOIN {auc_b} b ON b.grp = a.grp LEFT JOIN (SELECT k, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi,
+  least(1.0::DOUBLE, 2.0::DOUBLE * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT))) AS p_value FROM {pb_diff} WHERE diff IS NOT NULL GROUP BY k) d ON d.k = a.grp""", _PAIR)
 def _(v):
     aligned = with_pooled(inference.align_scorers(v("evt"), v("evt_b")))
-    return inference.paired_bootstrap(aligned, ["group"], n_boot=200)
+    return r9(inference.paired_bootstrap(aligned, ["group"], n_boot=200), "diff", "diff_ci_lo", "diff_ci_hi")
+
+
+_METRIC_SQL = {
+    **P, "rows_m": "SELECT category, image_id, label, anomaly_score, CAST(correct AS INT) AS correct, round(u_conformal, 12) AS u_conformal FROM {signals}",
+    "m_rows": f"""SELECT *, {sql_key('category', 'label')} AS key, row_number() OVER (PARTITION BY category, label ORDER BY image_id) - 1 AS t FROM {{rows_m}}""",
+    "m_strata": "SELECT category AS k, label AS cls, count(*) AS n, any_value(key) AS key FROM {m_rows} GROUP BY ALL",
+    "m_w": sql_weights("{m_strata}", 20) + " UNION ALL SELECT category, label, 0, t, 1 FROM {m_rows}",
+    "m_drawn": "SELECT r.*, rep, w FROM {m_rows} r JOIN {m_w} w ON w.k = r.category AND w.cls = r.label AND w.t = r.t",
+    "m_ece": """SELECT category, rep, sum(gap) / sum(n)::DOUBLE AS value FROM (SELECT category, rep, cell, sum(w) AS n, abs(sum(w * label) - sum(w * anomaly_score)) AS gap
+      FROM (SELECT *, least(floor(greatest(least(anomaly_score, 1.0::DOUBLE), 0.0::DOUBLE) * 15), 14) AS cell FROM {m_drawn} WHERE anomaly_score IS NOT NULL) q GROUP BY ALL) z GROUP BY ALL""",
+    "m_brier": """SELECT category, rep, sum(w * (anomaly_score - label) * (anomaly_score - label)) / sum(w)::DOUBLE AS value FROM {m_drawn} WHERE anomaly_score IS NOT NULL GROUP BY ALL""",
+    "m_accuracy": "SELECT category, rep, sum(w * correct) / sum(w)::DOUBLE AS value FROM {m_drawn} GROUP BY ALL",
+    "m_copies": """SELECT category, rep, correct, row_number() OVER (PARTITION BY category, rep ORDER BY u, image_id) AS k, sum(1 - correct) OVER (PARTITION BY category, rep ORDER BY u, image_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM (SELECT *, coalesce(u_conformal, 'inf'::DOUBLE) AS u, unnest(range(0, w)) AS copy FROM {m_drawn}) q""",
+    "m_aurc": "SELECT category, rep, avg(e::DOUBLE / k) AS value FROM {m_copies} GROUP BY ALL",
+    "m_all": " UNION ALL ".join(f"SELECT '{m}' AS metric, * FROM {{m_{m}}}" for m in ("ece", "brier", "accuracy", "aurc")),
+}
+
+
+@query("b1_bootstrap_any_metric", """SELECT category, metric, round(max(CASE WHEN rep = 0 THEN value END), 9) AS value,
+  round(quantile_cont(CASE WHEN rep > 0 THEN value END, 0.025), 9) AS ci_lo, round(quantile_cont(CASE WHEN rep > 0 THEN value END, 0.975), 9) AS ci_hi
+FROM {m_all} GROUP BY category, metric""", _METRIC_SQL)
+def _(v):
+    """Calibration error, Brier score, accuracy and risk-coverage area on the same class-stratified replicates."""
+    rows = signal_records(v).select("category", "image_id", "label", "anomaly_score", "correct", F.round("u_conformal", 12).alias("u_conformal"))
+    wanted = {"ece": bootstrap.ece(), "brier": bootstrap.brier(), "accuracy": bootstrap.coverage("correct"), "aurc": bootstrap.aurc("u_conformal")}
+    return r9(bootstrap.bootstrap(rows, ["category"], wanted, n_boot=20), "value", "ci_lo", "ci_hi")

@@ -10,6 +10,7 @@ from catalog.calibration import pool
 from catalog.evaluation import SIGNALS, r9, signal_records
 from catalog.parts import P, sql_auroc, sql_curve, sql_mode, sql_scored, sql_u01
 from catalog.registry import query
+from catalog.replicates import stratified_parts
 from catalog.tables import scratch
 from surety.functions.columns import MODES
 from surety.operators import conformal, fusion, report, shift
@@ -172,10 +173,16 @@ def _(v):
     return out.withColumns({c: F.round(c, 6) for c in _CELL_COLUMNS})
 
 
-@query("d1_shift_cells_intervals")
+SW_CI = {**SW, **stratified_parts("{swrows}", ["corruption", "severity"], "anomaly_score", "label", 100, "swb")}
+
+
+@query("d1_shift_cells_intervals", """SELECT corruption, severity, n, round(auroc, 6) AS auroc, round(b.auroc_ci_lo, 6) AS auroc_ci_lo, round(b.auroc_ci_hi, 6) AS auroc_ci_hi,
+  round(accuracy, 6) AS accuracy, round(coverage_on_normals, 6) AS coverage_on_normals, round(mean_u_conformal, 6) AS mean_u_conformal, round(a.aurc, 6) AS aurc_u_conformal
+FROM {cells} c JOIN {swarea} a ON a.grp = concat(c.cell, '|u_conformal') LEFT JOIN {swb_ci} b ON b.k = replace(c.cell, '|', ':')""", SW_CI)
 def _(v):
-    rows = shift.calibrate_cells(pool(v), v("sweep"))
-    return shift.evaluate_cells(rows, ["u_conformal"], n_boot=100)
+    rows = shift.calibrate_cells(pool(v), v("sweep")).withColumn("u_conformal", F.round("u_conformal", 12))
+    out = shift.evaluate_cells(rows, ["u_conformal"], n_boot=100)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("corruption", "severity", "n")})
 
 
 SW["mono"] = """SELECT corruption, signal, severity, auroc, value FROM (

@@ -14,6 +14,7 @@ from surety.functions.columns import (INF, calibration_sd, check_delta, conforma
                                       pvalue_uncertainty, uniform, widen)
 from surety.plans.joins import attach_cells, attach_groups, bounded, require_none
 from surety.plans.ranking import POOLED, order_statistics, ranked_cells, ranked_parts
+from surety.plans.replicates import GOLD, mix, seeded, steps
 from surety.plans.sketch import DRAW, draws, first_rows
 
 SCORE, GROUP, ROW = "anomaly_score", "category", "image_id"
@@ -213,6 +214,27 @@ def counts_at_most(rows: DataFrame, limits: DataFrame, score: str, group: str,
         .otherwise(F.coalesce(F.col("n_at_most"), F.lit(0)))).drop("_n_scored")
 
 
+def binomial_draws(hits: int, total: int, n_boot: int, seed: int) -> np.ndarray:
+    """Binomial(total, hits / total) counts by inversion of keyed uniform numbers.
+
+    Probabilities are built outwards from the most likely count, as far as a double can tell from 0.
+    """
+    if hits in (0, total):
+        return np.full(n_boot, hits)
+    width = int(40 * np.sqrt(hits * (1 - hits / total)) + 40)
+    low, high = max(hits - width, 0), min(hits + width, total)
+    odds = hits / (total - hits)
+    up = np.arange(hits, high)
+    down = np.arange(hits, low, -1)
+    log_p = np.concatenate([np.cumsum(np.log(down / (total - down + 1) / odds))[::-1], [0.0],
+                            np.cumsum(np.log((total - up) / (up + 1) * odds))])
+    table = np.cumsum(np.exp(log_p))
+    with np.errstate(over="ignore"):
+        bits = mix(seeded(hits + total * GOLD, seed) + steps(n_boot))
+    u = (bits >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    return low + np.searchsorted(table / table[-1], u, side="right")
+
+
 def binomial_interval(n_boot: int, seed: int, alpha: float = 0.05):
     """Percentile-bootstrap interval of a share, as a pandas UDF over report rows.
 
@@ -227,8 +249,7 @@ def binomial_interval(n_boot: int, seed: int, alpha: float = 0.05):
                 lows.append(None)
                 highs.append(None)
                 continue
-            rng = np.random.default_rng([seed, int(k), int(n)])
-            draws = rng.binomial(int(n), k / n, n_boot) / n
+            draws = binomial_draws(int(k), int(n), n_boot, seed) / n
             lows.append(float(np.quantile(draws, alpha / 2)))
             highs.append(float(np.quantile(draws, 1 - alpha / 2)))
         return pd.DataFrame({"lo": pd.Series(lows, dtype="float64"),

@@ -12,22 +12,26 @@ from surety.operators.metrics import class_sums, rank_metrics_of
 from surety.plans.joins import attach_cells
 from surety.plans.ranking import (average_rank, prefix_sums, ranked_cells, ranked_parts,
                                    with_pooled)
+from surety.plans.replicates import with_weights
 from surety.plans.resample import auroc_draws, percentile_interval
 from surety.session import materialise
 
 
 def bootstrap_auroc(df: DataFrame, group: Sequence[str], score: str = "anomaly_score",
                     label: str = "label", n_boot: int = 1000, seed: int = 0,
-                    alpha: float = 0.05, with_ap: bool = False) -> DataFrame:
-    """Point value and percentile interval of AUROC (and AUPR) per group."""
+                    alpha: float = 0.05, with_ap: bool = False, stratified: bool = True) -> DataFrame:
+    """Point value and percentile interval of AUROC (and AUPR) per group.
+
+    Replicates draw as many rows of each class as there are; without ``stratified`` weights are Poisson.
+    """
     if not group:
         return bootstrap_auroc(df.withColumn("_all", F.lit(0)), ["_all"], score, label, n_boot,
-                               seed, alpha, with_ap).drop("_all")
+                               seed, alpha, with_ap, stratified).drop("_all")
     group = list(group)
     ranking, parts = ranked_parts(df, group, score, class_sums(F.col(label)))
     out = rank_metrics_of(ranking, group)
     names = ["auroc", "aupr"] if with_ap else ["auroc"]
-    draws = auroc_draws(parts, group, score, n_boot, seed, with_ap=with_ap, dealt=True)
+    draws = auroc_draws(parts, group, score, n_boot, seed, stratified, with_ap=with_ap, dealt=True)
     for name in names:
         out = out.join(percentile_interval(draws, group, name, alpha), group, "left")
     return out if with_ap else out.drop("aupr")
@@ -56,17 +60,21 @@ def overlap_counts(a: DataFrame, b: DataFrame, row: str = "image_id") -> DataFra
 
 def paired_bootstrap(aligned: DataFrame, group: Sequence[str], n_boot: int = 1000,
                      seed: int = 0, alpha: float = 0.05, row: str = "image_id",
-                     label: str = "label") -> DataFrame:
-    """Interval and two-sided p-value of ``AUROC(a) - AUROC(b)`` on the same resamples."""
+                     label: str = "label", stratified: bool = True) -> DataFrame:
+    """Interval and two-sided p-value of ``AUROC(a) - AUROC(b)`` on the same resamples.
+
+    Rows are drawn before the scorers part, from all rows of a class, scored or not.
+    """
     if not group:
         return paired_bootstrap(aligned.withColumn("_all", F.lit(0)), ["_all"], n_boot, seed,
-                                alpha, row, label).drop("_all")
+                                alpha, row, label, stratified).drop("_all")
     group = list(group)
-    long = aligned.select(
-        *group, row, label, F.explode(F.array(
+    weighted = materialise(with_weights(aligned.select(*group, row, label, "score_a", "score_b"), [*group, label], row, n_boot, seed, stratified))
+    long = weighted.select(
+        *group, row, label, "_w", F.explode(F.array(
             F.struct(F.lit("a").alias("scorer"), F.col("score_a").alias("score")),
             F.struct(F.lit("b").alias("scorer"), F.col("score_b").alias("score")))).alias("_s"))
-    long = long.select(*group, row, label, "_s.scorer", "_s.score").where(finite(F.col("score")))
+    long = long.select(*group, row, label, "_w", "_s.scorer", "_s.score").where(finite(F.col("score")))
     keys = [*group, "scorer"]
     points = rank_metrics_of(ranked_cells(long, keys, "score", class_sums(F.col(label))), keys)
 
@@ -76,7 +84,7 @@ def paired_bootstrap(aligned: DataFrame, group: Sequence[str], n_boot: int = 100
 
     single = long.withColumns({"n": F.lit(1), "n_pos": F.col(label).cast("int")})
     draws = materialise(difference(
-        auroc_draws(single, keys, "score", n_boot, seed, key=row), [*group, "rep"], "diff"))
+        auroc_draws(single, keys, "score", n_boot, seed, given=row), [*group, "rep"], "diff"))
     ends = percentile_interval(draws, group, "diff", alpha)
     sides = draws.where(F.col("diff").isNotNull()).groupBy(*group).agg(
         F.least(F.lit(1.0), F.lit(2.0) * F.least(

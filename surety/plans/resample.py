@@ -1,17 +1,17 @@
-"""Poisson bootstrap of rank metrics, distributed over score ranges.
-
-A bootstrap replicate gives every row a Poisson(1) weight; a cell of ``n`` tied rows of one
-class gets a Poisson(n) weight, so rows are never repeated once per replicate. Cells are
-range-partitioned by score; each partition computes its share of the Mann-Whitney statistic
-for all replicates at once, and the partitions are combined with the totals of the partitions
-before them. Weights are a hash of (seed, cell, replicate), so a retried task, or the second
-pass that average precision needs, draws the same numbers.
+"""Bootstrap of rank metrics, distributed over score ranges.
+
+A replicate gives every row a weight (``plans.replicates``): by default as many rows of each class as
+there are, else independent Poisson weights. A cell of tied rows of one class takes their
+weights together, so rows are never repeated once per replicate. Cells are range-partitioned by
+score; each partition computes its share of the Mann-Whitney statistic for all replicates at
+once, and the partitions are combined with the totals of the partitions before them. Weights depend
+on the group and on places in its order, so a retried task, or the second pass that average
+precision needs, draws the same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,53 +21,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from surety.plans.ranking import PID, group_starts, ranged
+from surety.plans.ranking import PID, group_starts, partition_offsets, ranged, running_sums
+from surety.plans.replicates import GOLD, NEGATIVE, Multinomial, poisson_weights, text_key, weights_of
 from surety.session import materialise
 
 #: Largest weight matrix (cells x replicates) held at once by a task.
 BLOCK = 2_000_000
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser (a public-domain mixing function)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=64)
-def _poisson_table(n: int) -> tuple[int, np.ndarray]:
-    """Cumulative Poisson(n) probabilities and the count they begin at.
-
-    Built outwards from the most likely count, as far as a double can tell from 0 and 1, so the
-    table of a tie of any size has a length of its square root.
-    """
-    width = int(40 * np.sqrt(n) + 40)
-    low, high = max(n - width, 0), n + width
-    # log p(k) - log p(n), from the ratio of neighbours.
-    up = np.cumsum(np.log(n / np.arange(n + 1, high + 1)))
-    down = np.cumsum(np.log(np.arange(n, low, -1) / n))[::-1]
-    weights = np.exp(np.concatenate([down, [0.0], up]))
-    return low, np.cumsum(weights / weights.sum())
-
-
-def poisson_weights(keys: np.ndarray, n: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    """``len(keys) x n_boot`` Poisson(n) draws, a function of key, replicate and seed only."""
-    keys = np.asarray(keys).astype(np.int64).view(np.uint64)
-    n = np.asarray(n, dtype=np.int64)
-    out = np.zeros((len(keys), n_boot))
-    with np.errstate(over="ignore"):
-        start = _mix(keys + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15))
-        steps = (np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        for size in np.unique(n):
-            rows = np.flatnonzero(n == size)
-            if size <= 0:
-                continue
-            bits = _mix(start[rows][:, None] + steps[None, :])
-            u = (bits >> np.uint64(11)).astype(np.float64) * (2.0 ** -53)
-            low, table = _poisson_table(int(size))
-            out[rows] = low + np.searchsorted(table, u.ravel(), side="right").reshape(u.shape)
-    return out
+#: Where a cell begins in its group and in each class, and their sizes.
+PLACES = ["_at", "_pos_at", "_pos_of", "_neg_at", "_neg_of"]
+
+
+def placed(parts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Cells as ``ranking.ranged`` stored them, with their group's key and :data:`PLACES`."""
+    sums = ["n", "n_pos"]
+    offsets = partition_offsets(parts, group, sums)
+    keys = [*group, PID]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    at = {s: F.col(f"_{s}_local") + F.col(f"_{s}_offset") for s in sums}
+    out = running_sums(parts.select(*group, value, "n", "n_pos", PID), group, sums).join(offsets, same).select(
+        *group, value, F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"), PID,
+        text_key(*group).alias("_key"), at["n"].alias("_at"), at["n_pos"].alias("_pos_at"), F.col("n_pos_total").alias("_pos_of"),
+        (at["n"] - at["n_pos"]).alias("_neg_at"), (F.col("n_total") - F.col("n_pos_total")).alias("_neg_of"))
+    return out.sortWithinPartitions(*group, PID, value)
 
 
 def _blocks(frame: pd.DataFrame, n_boot: int):
@@ -76,21 +54,43 @@ def _blocks(frame: pd.DataFrame, n_boot: int):
         yield frame.iloc[i:i + step]
 
 
-def _draw(block: pd.DataFrame, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    key = block["_key"].to_numpy()
-    n_pos = block["n_pos"].to_numpy()
-    pos = poisson_weights(key, n_pos, n_boot, seed)
-    neg = poisson_weights(key ^ np.int64(0x5851F42D4C957F2D), block["n"].to_numpy() - n_pos,
-                          n_boot, seed)
-    return pos, neg
+class Draws:
+    """Weights of the two classes of a block of cells; ``kind`` says by which law.
+
+    ``stratified`` and ``poisson`` cells come from :func:`placed`; ``given`` cells are single rows that
+    bring their weights along.
+    """
+
+    def __init__(self, kind: str, n_boot: int, seed: int) -> None:
+        self.kind, self.n_boot, self.seed = kind, n_boot, seed
+        self.columns = ["_w", "n_pos"] if kind == "given" else ["_key", "n", "n_pos", *PLACES]
+        self.key: int | None = None
+        self.classes: list[Multinomial] = []
+
+    def __call__(self, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        n_pos = block["n_pos"].to_numpy()
+        if self.kind == "given":
+            w = weights_of(block["_w"], self.n_boot).astype(np.float64)
+            return w * (n_pos > 0)[:, None], w * (n_pos == 0)[:, None]
+        n_neg, key = block["n"].to_numpy() - n_pos, int(block["_key"].iloc[0])
+        if self.kind == "poisson":
+            with np.errstate(over="ignore"):
+                keys = (np.uint64(key) + block["_at"].to_numpy().astype(np.uint64) * np.uint64(GOLD)).view(np.int64)
+            return (poisson_weights(keys, n_pos, self.n_boot, self.seed),
+                    poisson_weights(keys ^ np.int64(NEGATIVE), n_neg, self.n_boot, self.seed))
+        if key != self.key:
+            sizes = block["_pos_of"].iloc[0], block["_neg_of"].iloc[0]
+            self.key, self.classes = key, [Multinomial(k, int(m), self.n_boot, self.seed)
+                                           for k, m in zip((key, key ^ NEGATIVE), sizes)]
+        return tuple(law.weights(block[at].to_numpy(), n).astype(np.float64)
+                     for law, at, n in zip(self.classes, ("_pos_at", "_neg_at"), (n_pos, n_neg)))
 
 
 def _fields(df: DataFrame, group: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in group]
 
 
-def _pair_sums(parts: DataFrame, group: list[str], value: str, n_boot: int,
-               seed: int) -> DataFrame:
+def _pair_sums(parts: DataFrame, group: list[str], value: str, draws: Draws) -> DataFrame:
     """Per partition and replicate: class weights and the within-partition pair count.
 
     Rows with a non-NULL ``_edge`` repeat the class weights of the partition's smallest and
@@ -113,7 +113,7 @@ def _pair_sums(parts: DataFrame, group: list[str], value: str, n_boot: int,
                 if mine != head:
                     if sums is not None:
                         yield sums.rows(head, schema)
-                    head, sums = mine, _PairSums(n_boot, seed)
+                    head, sums = mine, _PairSums(draws)
                 sums.add(piece, value)
         if sums is not None:
             yield sums.rows(head, schema)
@@ -124,16 +124,17 @@ def _pair_sums(parts: DataFrame, group: list[str], value: str, n_boot: int,
 class _PairSums:
     """Running class weights and pair counts of values that come in ascending order."""
 
-    def __init__(self, n_boot: int, seed: int) -> None:
-        self.n_boot, self.seed = n_boot, seed
+    def __init__(self, draws: Draws) -> None:
+        self.draws, self.n_boot = draws, draws.n_boot
+        n_boot = draws.n_boot
         self.pos, self.neg, self.pairs = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
         self.first: list | None = None      # value, weights of the smallest value
         self.tie: list | None = None        # the same of the value at hand
 
     def add(self, piece: pa.RecordBatch, value: str) -> None:
-        frame = piece.select([value, "_key", "n", "n_pos"]).to_pandas()
+        frame = piece.select([value, *self.draws.columns]).to_pandas()
         for block in _blocks(frame, self.n_boot):
-            pos, neg = _draw(block, self.n_boot, self.seed)
+            pos, neg = self.draws(block)
             v = block[value].to_numpy()
             starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
             pos, neg, v = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts), v[starts]
@@ -171,24 +172,27 @@ def _per_replicate(df: DataFrame, group: list[str], names: Sequence[str]) -> Dat
 
 
 def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int, seed: int = 0,
-                key: str | None = None, with_ap: bool = False, dealt: bool = False) -> DataFrame:
+                stratified: bool = True, given: str | None = None, with_ap: bool = False,
+                dealt: bool = False) -> DataFrame:
     """One row per group and replicate with ``auroc`` (and ``aupr`` when asked).
 
-    ``cells`` has ``n`` and ``n_pos`` per row. Without ``key`` the cells are distinct values.
-    With ``key`` rows are single observations whose weight follows that key, so two scorers of
-    the same images get the same resample; equal values may then span partitions, which the
-    edge rows put right. ``dealt`` says that the cells are as ``ranking.ranged`` stored them.
+    ``cells`` has ``n`` and ``n_pos`` per row, one row per distinct value. With ``given`` rows are
+    single observations with their weights in ``_w``, so two scorers of the same images get the same
+    resample; ``given`` tells rows of one value apart, which may then span partitions, and the
+    edge rows put that right. ``dealt`` says that the cells are as ``ranking.ranged`` stored them.
     """
     group = list(group)
-    keyed = cells.withColumn("_key", F.xxhash64(key) if key else F.xxhash64(*group, value))
-    columns = [*group, value, "_key", "n", "n_pos"]
-    if dealt:
-        parts = keyed.select(*columns, PID)
+    if given:
+        if with_ap:
+            raise ValueError("average precision needs one cell per value")
+        parts = ranged(cells.select(*dict.fromkeys([*group, value, given]), "n", "n_pos", "_w"), group, [value, given])
+        draws = Draws("given", n_boot, seed)
     else:
-        parts = ranged(keyed.select(*columns), group, [value] if key is None else [value, "_key"])
-    long = _per_replicate(_pair_sums(parts, group, value, n_boot, seed), group,
-                          ["_p", "_n", "_u"])
-    if with_ap or key is not None:
+        parts = cells if dealt else ranged(cells.select(*group, value, "n", "n_pos"), group, [value])
+        parts = placed(parts, group, value)
+        draws = Draws("stratified" if stratified else "poisson", n_boot, seed)
+    long = _per_replicate(_pair_sums(parts, group, value, draws), group, ["_p", "_n", "_u"])
+    if with_ap or given:
         long = materialise(long)
     before = (Window.partitionBy(*group, "rep").orderBy(PID)
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -197,7 +201,7 @@ def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int,
     totals = body.groupBy(*group, "rep").agg(
         F.sum(F.col("_u") + F.col("_p") * F.col("_below")).alias("_u"),
         F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
-    if key is not None:
+    if given:
         same = Window.partitionBy(*group, "rep", "_edge")
         earlier = same.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
         edges = long.where(F.col("_edge").isNotNull()).withColumns({
@@ -209,19 +213,22 @@ def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int,
         totals = totals.join(fix, [*group, "rep"], "left").withColumn(
             "_u", F.col("_u") + F.coalesce("_fix", F.lit(0.0)))
     valid = (F.col("_pos") > 0) & (F.col("_neg") > 0)
-    draws = totals.select(*group, "rep", "_pos", F.when(
+    out = totals.select(*group, "rep", "_pos", F.when(
         valid, F.col("_u") / (F.col("_pos") * F.col("_neg"))).alias("auroc"))
     if not with_ap:
-        return draws.drop("_pos")
-    ap = _precision_sums(parts, body, group, value, n_boot, seed)
-    return draws.join(ap, [*group, "rep"]).select(
+        return out.drop("_pos")
+    ap = _precision_sums(parts, body, group, value, draws)
+    return out.join(ap, [*group, "rep"]).select(
         *group, "rep", "auroc",
         F.when(F.col("auroc").isNotNull(), F.col("_ap") / F.col("_pos")).alias("aupr"))
 
 
-def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value: str,
-                    n_boot: int, seed: int) -> DataFrame:
-    """Average-precision numerators: a second pass that knows the classes above each range."""
+def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value: str, draws: Draws) -> DataFrame:
+    """Average-precision numerators: a second pass that knows the classes above each range.
+
+    Cells of a range pass in descending order, and what stands above the range comes as the first
+    row of its stream, so no range is ever held whole.
+    """
     after = (Window.partitionBy(*group, "rep").orderBy(F.col(PID).desc())
              .rowsBetween(Window.unboundedPreceding, -1))
     above = body.select(
@@ -229,32 +236,55 @@ def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value:
         F.coalesce(F.sum("_p").over(after), F.lit(0.0)).alias("_pa"),
         F.coalesce(F.sum("_n").over(after), F.lit(0.0)).alias("_na"))
     above = above.groupBy(*group, PID).agg(
-        F.array_sort(F.collect_list(F.struct("rep", "_pa", "_na"))).alias("_s")).select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*group, PID])],
-        F.col("_s._pa").alias("_pa"), F.col("_s._na").alias("_na"))
-    schema = T.StructType([*_fields(parts, group),
-                           T.StructField("_a", T.ArrayType(T.DoubleType()))])
-
-    def sums(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(value, ascending=False, kind="stable")
-        tp = np.array(start["_pa"].iloc[0], dtype=float)
-        fp = np.array(start["_na"].iloc[0], dtype=float)
-        total = np.zeros(n_boot)
-        for block in _blocks(frame, n_boot):
-            pos, neg = _draw(block, n_boot, seed)
-            hits = tp + np.cumsum(pos, axis=0)
-            seen = hits + fp + np.cumsum(neg, axis=0)
-            total += (pos * hits / np.maximum(seen, 1.0)).sum(axis=0)
-            tp, fp = tp + pos.sum(axis=0), fp + neg.sum(axis=0)
-        head = [frame[c].iloc[0] for c in group]
-        return pd.DataFrame([[*head, total]], columns=[*group, "_a"])
-
-    sums_by_part = parts.groupBy(*group, PID).cogroup(
-        above.groupBy(*[f"_k{i}" for i in range(len(group) + 1)])).applyInPandas(sums, schema)
-    return (sums_by_part.select(*group, F.posexplode("_a").alias("rep", "_v"))
+        F.sort_array(F.collect_list(F.struct("rep", "_pa", "_na"))).alias("_s")).select(
+        *group, PID, F.array("_s._pa", "_s._na").alias("_start"))
+    keys = [*group, PID]
+    stream = (parts.withColumn("_start", F.lit(None).cast("array<array<double>>"))
+              .unionByName(above, allowMissingColumns=True).repartition(*keys)
+              .sortWithinPartitions(*keys, F.col("_start").isNull(), F.col(value).desc()))
+    schema = T.StructType([*_fields(parts, group), T.StructField("_a", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, walk = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = group_starts(batch, keys)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if batch.column("_start")[a].is_valid:
+                    if walk is not None:
+                        yield walk.row(head, schema)
+                    head, walk = [batch.column(c)[a].as_py() for c in group], _Precision(batch.column("_start")[a].as_py(), draws)
+                    a += 1
+                if a < b:
+                    walk.add(batch.slice(a, b - a))
+        if walk is not None:
+            yield walk.row(head, schema)
+
+    return (stream.mapInArrow(run, schema).select(*group, F.posexplode("_a").alias("rep", "_v"))
             .groupBy(*group, "rep").agg(F.sum("_v").alias("_ap")))
 
 
+class _Precision:
+    """Running average-precision numerators of cells that come in descending order."""
+
+    def __init__(self, start: list[list[float]], draws: Draws) -> None:
+        self.tp, self.fp = (np.array(s) for s in start)
+        self.total, self.draws = np.zeros(draws.n_boot), draws
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        for block in _blocks(piece.select(self.draws.columns).to_pandas(), self.draws.n_boot):
+            pos, neg = self.draws(block)
+            hits = self.tp + np.cumsum(pos, axis=0)
+            seen = hits + self.fp + np.cumsum(neg, axis=0)
+            self.total += (pos * hits / np.maximum(seen, 1.0)).sum(axis=0)
+            self.tp, self.fp = self.tp + pos.sum(axis=0), self.fp + neg.sum(axis=0)
+
+    def row(self, head: list, schema: T.StructType) -> pa.RecordBatch:
+        kinds = to_arrow_schema(schema)
+        return pa.RecordBatch.from_arrays([pa.array([v], kinds.field(i).type) for i, v in enumerate([*head, self.total])], names=kinds.names)
+
+
 def percentile_interval(draws: DataFrame, group: Sequence[str], column: str,
                         alpha: float = 0.05) -> DataFrame:
     """Percentile interval over the valid replicates (``n_boot`` values per group)."""

@@ -9,7 +9,7 @@ from surety.functions.columns import uniform
 from surety.plans.joins import attach_cells
 from surety.plans.ranking import (prefix_sums, quantiles, ranged, ranked_cells,
                                    ranked_parts, running_sums)
-from surety.plans.resample import auroc_draws, poisson_weights
+from surety.plans.replicates import poisson_weights
 from surety.plans.sketch import first_rows
 from surety.operators.inference import holm, paired_bootstrap, spearman
 from surety.operators.metrics import calibration_errors, rank_metrics
@@ -162,39 +162,6 @@ def test_poisson_weights_have_the_right_law():
     assert (again == poisson_weights(keys, np.full(2000, 7), 50, 3)[5:9]).all()
 
 
-def draw_tables(spark, data, key):
-    df = frame(spark, data).select("category", "image_id", F.col("s").alias("value"),
-                                   F.lit(1).alias("n"), F.col("label").alias("n_pos"))
-    if key is None:
-        df = df.groupBy("category", "value").agg(F.sum("n").alias("n"),
-                                                 F.sum("n_pos").alias("n_pos"))
-    return df
-
-
-@pytest.mark.parametrize("key", [None, "image_id"])
-def test_bootstrap_draws_equal_a_direct_computation(spark, key):
-    data = rows(300, levels=6)
-    cells = draw_tables(spark, data, key)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = auroc_draws(cells, ["category"], "value", 20, 5, key=key).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    keyed = cells.withColumn("k", F.xxhash64(key) if key else F.xxhash64("category", "value"))
-    pdf = keyed.toPandas()
-    for group, g in pdf.groupby("category"):
-        pos = poisson_weights(g["k"].to_numpy(), g["n_pos"].to_numpy(), 20, 5)
-        neg = poisson_weights(g["k"].to_numpy() ^ np.int64(0x5851F42D4C957F2D),
-                              (g["n"] - g["n_pos"]).to_numpy(), 20, 5)
-        v = g["value"].to_numpy()
-        wins = (v[:, None] > v[None, :]) + 0.5 * (v[:, None] == v[None, :])
-        for b in range(20):
-            total = pos[:, b].sum() * neg[:, b].sum()
-            want = pos[:, b] @ wins @ neg[:, b] / total if total else None
-            mine = [r["auroc"] for r in got if r["category"] == group and r["rep"] == b][0]
-            assert (mine is None and want is None) or mine == pytest.approx(want)
-
-
 def test_identical_scorers_do_not_differ(spark):
     df = frame(spark, rows(200)).select("image_id", "category", "label",
                                         F.col("s").alias("score_a"), F.col("s").alias("score_b"))
