@@ -64,7 +64,36 @@ def _(v):
     return r9(out.select("image_id", "trust_weighted_geometric"), "trust_weighted_geometric")
 
 
-@query("f4_logistic_trust")
+def newton_parts(source: str, xs: list[str], y: str, steps: int) -> dict[str, str]:
+    """Views ``nw0`` to ``nw<steps>`` (``b0``, the intercept, to ``b<n>``): Newton steps from 0, solved by Cholesky factors."""
+    xs = ["1.0::DOUBLE", *xs]
+    n = len(xs)
+    out = {"nw0": "SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(n))}
+    sums = ", ".join([f"sum((p - {y}) * {x}) + max({'0.0' if i == 0 else f'b{i}'}) AS g{i}" for i, x in enumerate(xs)]
+                     + [f"sum(p * (1.0::DOUBLE - p) * {xs[i]} * {xs[j]}) + {int(i == j and i > 0)} AS h{i}{j}" for i in range(n) for j in range(i + 1)]
+                     + [f"max(b{i}) AS b{i}" for i in range(n)])
+    solve = []
+    for j in range(n):
+        solve.append(f"sqrt(h{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + f") AS l{j}{j}")
+        solve += [f"(h{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} AS l{i}{j}" for i in range(j + 1, n)]
+    solve += [f"(g{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i}" for i in range(n)]
+    solve += [f"(y{i}" + "".join(f" - l{k}{i} * d{k}" for k in range(i + 1, n)) + f") / l{i}{i} AS d{i}" for i in reversed(range(n))]
+    for t in range(steps):
+        z = " + ".join(f"b{i} * {x}" for i, x in enumerate(xs))
+        out[f"ns{t}"] = f"SELECT {sums} FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))) AS p FROM {source}, {{nw{t}}}) q"
+        solved = f"{{ns{t}}}"
+        for k, column in enumerate(solve):  # one column a level, so that no expression is written out twice
+            solved = f"(SELECT *, {column} FROM {solved}) q{k}"
+        out[f"nw{t + 1}"] = f"SELECT {', '.join(f'b{i} - d{i} AS b{i}' for i in range(n))} FROM {solved}"
+    return out
+
+
+_FACTORS = ["fm", "fh", "fa", "fc"]
+_NEWTON = {**FU, **newton_parts("{ff}", _FACTORS, "label", 8),
+           "trusted": "SELECT f.*, 1.0::DOUBLE / (1.0::DOUBLE + exp(b0 + " + " + ".join(f"b{i + 1} * {x}" for i, x in enumerate(_FACTORS)) + ")) AS trust FROM {ff} f, {nw8}"}
+
+
+@query("f4_logistic_trust", "SELECT image_id, round(trust, 6) AS trust FROM {trusted}", _NEWTON)
 def _(v):
     rows = fusion_rows(v)
     fitted = fusion.fit_logistic(rows, CONFIG, label="label")
@@ -92,11 +121,18 @@ def _(v):
                       F.round(F.col("`acc@cov0.8`"), 6).alias("acc@cov0.8"))
 
 
-@query("f5_combiner_comparison_logistic")
+_WITH_LOGISTIC = {**_NEWTON, **_COMBINE, "flog": _COMBINE["fl"] + " UNION ALL SELECT t.image_id, t.correct, t.parse_ok, 'logistic(synthetic)' AS grp, round(1.0::DOUBLE - t.trust, 12) AS u FROM {trusted} t",
+                  "flcurve": sql_curve("{flog}", "grp", "u")}
+
+
+@query("f5_combiner_comparison_logistic", """SELECT grp AS combiner, round(avg(risk), 6) AS aurc, round(avg(risk) - avg(oracle), 6) AS eaurc, false AS uses_labels,
+  round(1.0::DOUBLE - min_by(risk, k) FILTER (coverage >= 0.8::DOUBLE), 6) AS "acc@cov0.8", round(coalesce(max(coverage) FILTER (risk <= 0.05::DOUBLE), 0), 6) AS "cov@risk0.05"
+  FROM {flcurve} GROUP BY grp""", _WITH_LOGISTIC)
 def _(v):
     rows = fusion_rows(v)
-    return fusion.compare_combiners(rows, CONFIG, rows.withColumn("synthetic_anomaly",
-                                                                  F.col("label")))
+    out = fusion.compare_combiners(rows, CONFIG, rows.withColumn("synthetic_anomaly", F.col("label")))
+    return out.select("combiner", F.round("aurc", 6).alias("aurc"), F.round("eaurc", 6).alias("eaurc"), "uses_labels",
+                      *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("acc@cov0.8", "cov@risk0.05")])
 
 
 _DROP = {**FU, "fl": _curves({

@@ -10,10 +10,13 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surety.functions.columns import dot
 from surety.functions.text import canonical_defect
-from surety.plans.joins import attach_groups
+from surety.plans.joins import attach_groups, bounded
+from surety.plans.ranking import prefix_sums
+from surety.plans.sketch import first_rows
 from surety.session import materialise
 
 #: Groups with more samples than this are clustered in rounds instead of in one task.
@@ -110,42 +113,87 @@ def greedy_clusters(samples: DataFrame, threshold: float = 0.85, key: str = "ima
             *columns, "vector", (F.col("_base") + F.col("_n")).alias("_base"))
 
 
+#: Samples of a key that one task decides one after another in a round of entailment clustering.
+PREFIX = 512
+
+
+def _mutual(pairs: DataFrame, threshold: float, key: str) -> DataFrame:
+    """``key, a, b, m``: pairs of samples, the earlier first, that entail each other enough."""
+    low, high = F.least("premise", "hypothesis"), F.greatest("premise", "hypothesis")
+    forth = F.max(F.when(F.col("premise") == F.col("a"), F.col("entail")))
+    back = F.max(F.when(F.col("premise") == F.col("b"), F.col("entail")))
+    both = (pairs.where(F.col("premise") != F.col("hypothesis")).select(key, low.alias("a"), high.alias("b"), "premise", "entail")
+            .groupBy(key, "a", "b").agg(forth.alias("f"), back.alias("g")))
+    return both.where((F.col("f") >= threshold) & (F.col("g") >= threshold)).select(key, "a", "b", F.least("f", "g").alias("m"))
+
+
+def _followers(links: DataFrame, key: str, prefix: int) -> DataFrame:
+    """``key, b``: samples that link to an earlier leader, in rounds over the links that are still open.
+
+    A sample leads if no earlier leader links to it. In a round one task a key decides its first
+    ``prefix`` open samples in their order, samples without an open earlier neighbour lead as well,
+    and all that link to a new leader follow; links of decided samples are closed.
+    """
+    spark = links.sparkSession
+    schema = T.StructType([links.schema[key], links.schema["a"]])
+    ids = T.StructType([links.schema[key], T.StructField("b", links.schema["b"].dataType)])
+    done: DataFrame = spark.createDataFrame([], ids)
+    open_links = materialise(links.select(key, "a", "b"))
+
+    def leaders(frame: pd.DataFrame) -> pd.DataFrame:
+        earlier: dict = {}
+        for a, b in zip(frame["a"], frame["b"]):
+            earlier.setdefault(b, []).append(a)
+        leads: set = set()
+        for sample in sorted({*frame["a"], *frame["b"]}):
+            if not any(a in leads for a in earlier.get(sample, ())):
+                leads.add(sample)
+        return pd.DataFrame({key: [frame[key].iloc[0]] * len(leads), "a": sorted(leads)})
+
+    while not open_links.isEmpty():
+        samples = open_links.select(key, F.col("a").alias("s")).union(open_links.select(key, "b")).distinct()
+        first = first_rows(samples, [key], ["s"], prefix)
+        last = bounded(first.groupBy(key).agg(F.max("s").alias("_last")))
+        near = open_links.join(last, key).where(F.col("b") <= F.col("_last")).drop("_last")
+        free = open_links.select(key, "a").distinct().join(open_links.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_anti")
+        leading = near.groupBy(key).applyInPandas(leaders, schema).union(free.select(key, "a")).distinct()
+        found = materialise(open_links.join(leading, [key, "a"]).select(key, "b").distinct())
+        done = done.union(found)
+        left = open_links.join(leading, [key, "a"], "left_anti").join(found, [key, "b"], "left_anti")
+        open_links = materialise(left.join(found.withColumnRenamed("b", "a"), [key, "a"], "left_anti").select(key, "a", "b"))
+    return done
+
+
 def entailment_clusters(samples: DataFrame, pairs: DataFrame, threshold: float = 0.5,
                         key: str = "image_id", order: str = "sample_idx",
-                        keep: Sequence[str] = ("vote",)) -> DataFrame:
+                        keep: Sequence[str] = ("vote",), prefix: int = PREFIX) -> DataFrame:
     """Assign each sample to the leader it mutually entails most, if that is enough.
 
-    ``pairs`` holds ``(key, premise, hypothesis, entail)`` for the sample numbers of a key; it
-    is quadratic in the samples of a key, which keeps the groups small by construction.
+    ``pairs`` holds ``(key, premise, hypothesis, entail)`` for the sample numbers of a key; what is not
+    in it does not entail, and of repeated pairs the largest counts. A sample leads a cluster of
+    its own if no earlier leader reaches ``threshold`` (above 0) both ways; else it joins the one
+    with the largest mutual score, the earliest of equals. Work follows the pairs that reach the
+    threshold; no task holds the samples or the pairs of a key.
     """
+    if threshold <= 0:
+        raise ValueError(f"threshold must be above 0, got {threshold}")
     columns = [key, order, *keep]
-    schema = samples.select(*columns).schema.add("cluster", "long")
-
-    def assign(frame: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        place = pd.Index(frame[order])
-        # The pair table as a square array; what is not in it does not entail.
-        entail = np.zeros((len(place), len(place)))
-        at = place.get_indexer(scores["premise"]), place.get_indexer(scores["hypothesis"])
-        known = (at[0] >= 0) & (at[1] >= 0)
-        entail[at[0][known], at[1][known]] = scores["entail"].to_numpy(dtype=float)[known]
-        mutual = np.minimum(entail, entail.T)
-        number = np.full(len(place), -1)        # cluster that a sample leads
-        cluster = np.empty(len(place), dtype=np.int64)
-        for i in range(len(place)):
-            support = np.where(number[:i] >= 0, mutual[:i, i], -1.0)
-            best = int(support.argmax()) if i else -1
-            if i and support[best] >= threshold:
-                cluster[i] = number[best]
-            else:
-                cluster[i] = number[i] = number.max() + 1
-        return frame.assign(cluster=cluster)[[f.name for f in schema]]
-
-    # Renamed, because the pairs usually come from the samples themselves.
-    scores = pairs.select(F.col(key).alias("_key"), *[
-        F.col(c).alias(c) for c in ("premise", "hypothesis", "entail")])
-    return samples.select(*columns).groupBy(key).cogroup(
-        scores.groupBy("_key")).applyInPandas(assign, schema)
+    known = samples.select(key, F.col(order).alias("s"))
+    links = _mutual(pairs.select(key, "premise", "hypothesis", "entail"), threshold, key)
+    # Pairs of samples that are not there do not count.
+    for end in "ab":
+        links = links.join(known.withColumnRenamed("s", end).distinct(), [key, end], "left_semi")
+    links = materialise(links)
+    follows = materialise(_followers(links, key, prefix))
+    leads = known.join(follows.withColumnRenamed("b", "s"), [key, "s"], "left_anti").distinct()
+    numbered = prefix_sums(leads.withColumn("_one", F.lit(1)), [key], ["s"], ["_one"]).select(
+        key, F.col("s").alias("_leader"), F.col("_one_before").cast("bigint").alias("cluster"))
+    numbered = materialise(numbered)
+    joins = (links.join(follows, [key, "b"]).join(numbered.select(key, F.col("_leader").alias("a")), [key, "a"], "left_semi")
+             .groupBy(key, "b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("best"))
+             .select(key, F.col("b").alias(order), F.col("best.a").alias("_joins")))
+    out = samples.select(*columns).join(joins, [key, order], "left").withColumn("_leader", F.coalesce("_joins", F.col(order)))
+    return out.join(numbered, [key, "_leader"]).select(*columns, "cluster")
 
 
 def label_entropy(df: DataFrame, key: str, labels: Sequence[str], name: str = "entropy",

@@ -430,3 +430,66 @@ def test_rows_without_embedding_raise_when_scored(spark):
         scoring.score_index(index_, emb, text, 0.1).collect()
     with pytest.raises(ValueError, match="no text"):
         scoring.score_index(index_.withColumn("category", F.lit("x")), emb, text, 0.1)
+
+
+def greedy_entailment(n, scores, threshold):
+    """Clusters of samples 0 .. n - 1 in plain Python."""
+    number, out = {}, []
+    for i in range(n):
+        fit = [(-min(scores.get((j, i), 0.0), scores.get((i, j), 0.0)), j) for j in number]
+        best = min(fit, default=(0.0, None))
+        if -best[0] >= threshold:
+            out.append(number[best[1]])
+        else:
+            number[i] = len(number)
+            out.append(number[i])
+    return out
+
+
+@pytest.mark.parametrize("prefix", [3, 512])
+def test_entailment_in_rounds_matches_the_greedy_order(spark, prefix):
+    rng = random.Random(4)
+    samples, pairs, want = [], [], {}
+    for key, n in (("a", 60), ("b", 1), ("c", 25), ("none", 4)):
+        scores = {(i, j): rng.choice([0.2, 0.5, 0.7, 0.9]) for i in range(n) for j in range(n) if rng.random() < (0.0 if key == "none" else 0.5)}
+        samples += [(key, i, i % 2) for i in range(n)]
+        pairs += [(key, i, j, e) for (i, j), e in scores.items()] + [(key, 0, n + 5, 1.0), (key, n + 5, 0, 1.0)]
+        want |= {(key, i): c for i, c in enumerate(greedy_entailment(n, scores, 0.5))}
+    rows = spark.createDataFrame(samples, "image_id string, sample_idx int, vote int")
+    table = spark.createDataFrame(pairs, "image_id string, premise int, hypothesis int, entail double")
+    got = {(r["image_id"], r["sample_idx"]): r["cluster"] for r in semantic.entailment_clusters(rows, table, prefix=prefix).collect()}
+    assert got == want
+
+
+def test_entailment_of_a_large_group(spark):
+    """20,000 samples of one key whose links form long chains and stars."""
+    n = 20_000
+    samples = spark.range(n).selectExpr("'k' as image_id", "cast(id as int) as sample_idx", "1 as vote")
+    # Multiples of 100 are stars, the samples between them a chain.
+    links = [(i, i - 1) for i in range(1, n) if i % 100 > 1] + [(i - i % 100, i) for i in range(n) if i % 100 and i % 7 == 0]
+    pairs = spark.createDataFrame([("k", a, b, 0.8) for a, b in links] + [("k", b, a, 0.9) for a, b in links],
+                                  "image_id string, premise int, hypothesis int, entail double")
+    got = [r["cluster"] for r in semantic.entailment_clusters(samples, pairs).orderBy("sample_idx").collect()]
+    near = {}
+    for a, b in links:
+        near.setdefault(max(a, b), []).append(min(a, b))
+    number, want = {}, []
+    for i in range(n):
+        led = sorted(j for j in near.get(i, []) if j in number)
+        number.setdefault(i, len(number)) if not led else None
+        want.append(number[led[0] if led else i])
+    assert got == want
+
+
+def test_logistic_trust_is_at_its_optimum(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i}", "g", float(rng.random()), float(rng.random()), bool(rng.random() < 0.3), int(rng.random() < 0.4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "image_id string, category string, u_conformal double, cmcs double, halluc boolean, label int")
+    config = fusion.FusionConfig()
+    one = fusion.fit_logistic(df, config, "label", c=0.7)
+    again = fusion.fit_logistic(df.repartition(7), config, "label", c=0.7)
+    assert one.names == again.names and np.allclose([*one.weights, one.intercept], [*again.weights, again.intercept], atol=1e-9)
+    table = fusion.factors(df, config)[0].select("label", *[fusion.factor(n) for n in one.names]).toPandas()
+    x, y, w = table.iloc[:, 1:].to_numpy(float), table["label"].to_numpy(), np.array(one.weights)
+    p = 1 / (1 + np.exp(-(x @ w + one.intercept)))
+    assert np.abs(0.7 * (p - y) @ x + w).max() < 1e-7 and abs((p - y).sum()) < 1e-7
