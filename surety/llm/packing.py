@@ -241,7 +241,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
                 yield from part.append_column("offset", pa.array(offsets)).to_batches()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
-    placed = (narrow.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
+    placed = (narrow.withColumn("_shard", F.pmod(F.xxhash64("_row", "doc_id", "piece", "ids_crc32", "length"), F.lit(shards)))
               .repartition(min(shards, MOST_TASKS), "_shard").sortWithinPartitions("_shard", "length", "doc_id", "piece", "ids_crc32")
               .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
     if not wide:
