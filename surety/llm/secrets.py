@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surety.functions.columns import let
 from surety.llm.common import whole_text
 
 # The base patterns.
@@ -43,6 +44,8 @@ SMOOTHING = 0.5
 KINDS = ("assign", "access", "hex", "random")
 
 _MARK, _OTHER = "\ue000", "\ue001"
+#: Parts of a text, an even number, whose spans are listed together.
+RUN_PARTS = 512
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
@@ -50,19 +53,37 @@ def matches(text: Column, pattern: str, kind: int, accept) -> Column:
     """Spans of the leftmost non-overlapping matches that ``accept`` keeps, in code points.
 
     A separator inside the text is first replaced by a character as long that no pattern uses.
+    The parts between separators are walked in runs of ``RUN_PARTS``, so that lists of spans grow by
+    runs and not by single spans.
     """
     parts = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        spans = F.when(acc["inside"] & accept(part), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), spans.alias("spans"))
+    def walk(run: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.lit(False).alias("inside"), none.alias("spans"))
 
-    # The parts alternate between text and match; texts without a match keep an empty list.
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(
-        F.array().cast(f"array<{SPAN}>"))
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+            spans = F.when(acc["inside"] & accept(part), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+            return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), spans.alias("spans"))
+        return F.aggregate(run, zero, step, lambda acc: acc["spans"])
+
+    # Parts alternate between text and match, so a run of an even number of parts begins with text.
+    def runs(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN_PARTS).cast("int")),
+                           lambda i: F.slice(parts, i * RUN_PARTS + 1, F.lit(RUN_PARTS)))
+
+    def lengths(runs: Column) -> Column:
+        return F.transform(runs, lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda n, part: n + F.length(part)))
+
+    def starts(sizes: Column) -> Column:
+        return F.aggregate(sizes, F.array(F.lit(0).cast("bigint")), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+
+    found = let(parts, lambda p: let(runs(p), lambda r: let(starts(lengths(r)), lambda at: F.flatten(
+        F.transform(r, lambda run, i: walk(run, F.get(at, i)))))))
+    # Texts without a match keep an empty list.
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -107,8 +128,8 @@ def train(docs: DataFrame) -> list[float]:
 def log_ratio(word: Column, ratios: list[float]) -> Column:
     """Log-likelihood ratio of a run of at least one character."""
     table, n = F.array(*[F.lit(x) for x in ratios]), len(ALPHABET)
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)),
-                        lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1))) - 1)
+    # Split once: taking single characters by their place would walk from the start each time.
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     return F.aggregate(
         codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
         lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(

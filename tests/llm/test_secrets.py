@@ -90,3 +90,18 @@ def test_log_ratio(spark, word):
     place = secrets.ALPHABET.index
     want = sum(ratios[place(a) * n + place(b)] for a, b in zip(word, word[1:]))
     assert spark.range(1).select(secrets.log_ratio(F.lit(word), ratios)).first()[0] == want
+
+
+def test_one_text_of_a_megabyte_takes_seconds(spark):
+    """One run of a million characters, and thousands of short runs: time is linear in both."""
+    import time
+    rng = random.Random(9)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=30)) for _ in range(6000))
+    docs = spark.createDataFrame([(1, blob), (2, many), (3, "token = Ab12Cd34Ef")], "doc_id bigint, text string")
+    ratios = secrets.train(docs)
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secrets.find(docs, ratios).collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in rows[2]["base"]] == [(31 * i, 31 * i + 30) for i in range(6000)]
+    assert len(rows[3]["base"]) == 1 and all(s["end"] - s["start"] == 1_000_000 for s in rows[1]["spans"])
