@@ -128,6 +128,7 @@ def tokens_of(texts: list[str], raw: np.ndarray, offsets: np.ndarray, spans: lis
     sure: dict = {}
     known: list[set] = []
     previous = (-1, 0)
+    walked, waiting, near = -1, [], []
     for owner, begin in zip(text_of[at].tolist(), (point[at] - base[text_of[at]]).tolist()):
         text = texts[owner]
         stop = begin
@@ -145,7 +146,13 @@ def tokens_of(texts: list[str], raw: np.ndarray, offsets: np.ndarray, spans: lis
         row = np.zeros(SHAPES)
         row[:9] = shape
         row[9 + min(len(digits), _DIGITS_UP_TO)] = 1
-        label, a, b = next((x for x in spans[owner] if x[1] < stop and begin < x[2]), (-1, 0, 0))
+        if owner != walked:
+            walked, waiting, near = owner, sorted(enumerate(spans[owner]), key=lambda x: -x[1][1]), []
+        # Tokens and spans both ascend: a span comes near once and is left behind once.
+        while waiting and waiting[-1][1][1] < stop:
+            near.append(waiting.pop())
+        near = [x for x in near if x[1][2] > begin]
+        label, a, b = min(near)[1] if near else (-1, 0, 0)
         node = len(starts)
         if previous[0] == owner and begin - previous[1] <= NEAR:
             edges.append((node - 1, node, 0))
