@@ -266,6 +266,15 @@ def fit_field(shape: np.ndarray, label: np.ndarray, count: np.ndarray, joint: np
     return SkipChainField(weights, pairs)
 
 
+def unobserved(t: Tokens) -> np.ndarray:
+    """Tokens that repeat a token in a base span but are in none: the rules do not tell their label."""
+    out = np.zeros(len(t.text), bool)
+    a, b = t.edges[t.edges[:, 2] > 0, :2].T
+    for one, other in ((a, b), (b, a)):
+        out[one[(t.given[one] < 0) & (t.given[other] >= 0)]] = True
+    return out
+
+
 def train(docs: DataFrame) -> SkipChainField:
     """Fit the field on the tokens of all documents; only counts are collected.
 
@@ -277,9 +286,10 @@ def train(docs: DataFrame) -> SkipChainField:
             texts = batch.column(0).slice(first, end - first).to_pylist()
             t = tokens_of(texts, raw, offsets, [base_spans(x) for x in texts])
             label = t.given + 1
+            known = ~unobserved(t)
             # Edges to base spans only serve labelling; the others are those of the text itself.
-            edges = t.edges[t.edges[:, 2] < 2]
-            for rows in (np.column_stack([t.shape, label]), np.column_stack([edges[:, 2], label[edges[:, 0]], label[edges[:, 1]]])):
+            edges = t.edges[(t.edges[:, 2] < 2) & known[t.edges[:, 0]] & known[t.edges[:, 1]]]
+            for rows in (np.column_stack([t.shape[known], label[known]]), np.column_stack([edges[:, 2], label[edges[:, 0]], label[edges[:, 1]]])):
                 if len(rows):
                     found, n = np.unique(rows.astype(np.int8), axis=0, return_counts=True)
                     keys += [r.tobytes() for r in found]
