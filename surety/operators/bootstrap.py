@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surety.functions.columns import finite
-from surety.plans.ranking import PID, group_starts, ranged
+from surety.plans.ranking import PID, group_starts, ranged, spread
 from surety.plans.replicates import weights_of, with_weights
 from surety.plans.resample import percentile_interval
 from surety.session import materialise
@@ -152,7 +152,7 @@ def _ordered(rows: DataFrame, group: list[str], metric: Ordered, row: str, n_boo
     """
     wanted = rows if metric.where is None else rows.where(metric.where)
     parts = ranged(wanted.select(*group, metric.order.cast("double").alias("_u"), F.col(row).alias("_row"),
-                                 metric.x.cast("double").alias("_x"), "_w"), group, ["_u", "_row"])
+                                 metric.x.cast("double").alias("_x"), "_w"), group, ["_u", "_row"], costly=True)
     keys = [*group, PID]
     totals = _range_sums(parts, keys, n_boot)
     earlier = Window.partitionBy(*group, "rep").orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +161,7 @@ def _ordered(rows: DataFrame, group: list[str], metric: Ordered, row: str, n_boo
         *keys, F.array("_s.n", "_s.x").alias("_start"))
     stream = (parts.withColumn("_start", F.lit(None).cast("array<array<double>>"))
               .unionByName(start, allowMissingColumns=True)
-              .repartition(*keys).sortWithinPartitions(*keys, F.col("_start").isNull(), "_u", "_row"))
+              .repartition(spread(parts), *keys).sortWithinPartitions(*keys, F.col("_start").isNull(), "_u", "_row"))
     schema = T.StructType([*[parts.schema[c] for c in group], T.StructField("_g", T.ArrayType(T.DoubleType()))])
     step, limit = metric.step, max((1 << 21) // (n_boot + 1), 1)
 

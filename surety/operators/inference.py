@@ -28,7 +28,7 @@ def bootstrap_auroc(df: DataFrame, group: Sequence[str], score: str = "anomaly_s
         return bootstrap_auroc(df.withColumn("_all", F.lit(0)), ["_all"], score, label, n_boot,
                                seed, alpha, with_ap, stratified).drop("_all")
     group = list(group)
-    ranking, parts = ranked_parts(df, group, score, class_sums(F.col(label)))
+    ranking, parts = ranked_parts(df, group, score, class_sums(F.col(label)), costly=True)
     out = rank_metrics_of(ranking, group)
     names = ["auroc", "aupr"] if with_ap else ["auroc"]
     draws = auroc_draws(parts, group, score, n_boot, seed, stratified, with_ap=with_ap, dealt=True)

@@ -183,7 +183,7 @@ def detection_table(records: DataFrame, n_boot: int = 1000, seed: int = 0,
     rows = fanned.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col(label) == 1, 1)).alias("n_anomalous"))
-    ranking, parts = ranked_parts(fanned, ["group"], score, class_sums(F.col(label)))
+    ranking, parts = ranked_parts(fanned, ["group"], score, class_sums(F.col(label)), costly=n_boot > 0)
     table = rows.join(rank_metrics_of(ranking, ["group"]).drop("n", "n_pos"), "group", "left")
     table = _with_intervals(table, parts, ["group"], score, ["auroc", "aupr"], n_boot, seed)
     columns = ["group", "n", "n_anomalous", "auroc", "auroc_ci_lo", "auroc_ci_hi",
@@ -273,7 +273,7 @@ def error_prediction_table(records: DataFrame, signals: Sequence[str],
         ~(baseline & (F.col("scope") == F.col("_group"))))
     keys = [*by, "signal", "scope"]
     ranking, parts = ranked_parts(fanned, keys, "value",
-                                  {"n": F.col("n"), "n_pos": F.col("n_pos")})
+                                  {"n": F.col("n"), "n_pos": F.col("n_pos")}, costly=n_boot > 0)
     # A few rows, read for the table and for the baseline level.
     points = materialise(rank_metrics_of(ranking, keys).select(*keys, "auroc"))
     # A signal without a single finite value still gets its rows, with an unknown AUROC.

@@ -26,16 +26,22 @@ PID = "_pid"
 POOLED = "POOLED"
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for rows that are small but costly: all shuffle partitions, however few bytes each gets."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str],
-           descending: bool = False) -> DataFrame:
+           descending: bool = False, costly: bool = False) -> DataFrame:
     """Range-partition and sort on ``(group, order)``; the partition number is in ``_pid``.
 
     The result is materialised: the boundaries are sampled, so the partition number must be
     read back rather than computed a second time. The stored partitions keep their order.
+    ``costly`` rows are not gathered into fewer partitions where they are few bytes.
     """
     keys = [F.col(c).asc() for c in group]
     keys += [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    dealt = df.repartitionByRange(*keys).withColumn(PID, F.spark_partition_id())
+    dealt = df.repartitionByRange(*([spread(df)] if costly else []), *keys).withColumn(PID, F.spark_partition_id())
     return materialise(dealt.sortWithinPartitions(*keys))
 
 
@@ -56,12 +62,12 @@ def partition_offsets(parts: DataFrame, group: Sequence[str], sums: Sequence[str
 
 
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str],
-                descending: bool = False) -> DataFrame:
+                descending: bool = False, costly: bool = False) -> DataFrame:
     """Add ``<s>_before`` (sum over strictly earlier rows of the group) and ``<s>_total``.
 
     ``order`` must identify a row within its group. A NULL in ``group`` is a value like others.
     """
-    return prefix_of(ranged(df, group, order, descending), group, sums)
+    return prefix_of(ranged(df, group, order, descending, costly), group, sums)
 
 
 def group_starts(batch: pa.RecordBatch, group: Sequence[str]) -> np.ndarray:
@@ -147,9 +153,9 @@ def ranked_cells(df: DataFrame, group: Sequence[str], value: str,
 
 
 def ranked_parts(df: DataFrame, group: Sequence[str], value: str,
-                 sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+                 sums: Mapping[str, Column], costly: bool = False) -> tuple[DataFrame, DataFrame]:
     """:func:`ranked_cells` together with the materialised cells it was computed from."""
-    parts = ranged(cells(df, group, value, sums), group, [value])
+    parts = ranged(cells(df, group, value, sums), group, [value], costly=costly)
     return prefix_of(parts, group, list(sums)), parts
 
 

@@ -188,7 +188,7 @@ def with_weights(rows: DataFrame, strata: Sequence[str], row: str, n_boot: int,
 
     if not stratified:
         return rows.withColumn("_key", text_key(row)).mapInArrow(poisson, schema)
-    numbered = prefix_sums(rows.withColumns({"_one": F.lit(1), "_key": text_key(*strata)}), list(strata), [row], ["_one"])
+    numbered = prefix_sums(rows.withColumns({"_one": F.lit(1), "_key": text_key(*strata)}), list(strata), [row], ["_one"], costly=True)
     return numbered.sortWithinPartitions("_key", "_one_before").mapInArrow(drawn, schema)
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from surety.plans.ranking import PID, group_starts, partition_offsets, ranged, running_sums
+from surety.plans.joins import bounded
+from surety.plans.ranking import PID, group_starts, partition_offsets, ranged, running_sums, spread
 from surety.plans.replicates import GOLD, NEGATIVE, Multinomial, poisson_weights, text_key, weights_of
 from surety.session import materialise
 
@@ -34,7 +35,7 @@ PLACES = ["_at", "_pos_at", "_pos_of", "_neg_at", "_neg_of"]
 def placed(parts: DataFrame, group: list[str], value: str) -> DataFrame:
     """Cells as ``ranking.ranged`` stored them, with their group's key and :data:`PLACES`."""
     sums = ["n", "n_pos"]
-    offsets = partition_offsets(parts, group, sums)
+    offsets = bounded(partition_offsets(parts, group, sums))
     keys = [*group, PID]
     offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = F.lit(True)
@@ -185,10 +186,10 @@ def auroc_draws(cells: DataFrame, group: Sequence[str], value: str, n_boot: int,
     if given:
         if with_ap:
             raise ValueError("average precision needs one cell per value")
-        parts = ranged(cells.select(*dict.fromkeys([*group, value, given]), "n", "n_pos", "_w"), group, [value, given])
+        parts = ranged(cells.select(*dict.fromkeys([*group, value, given]), "n", "n_pos", "_w"), group, [value, given], costly=True)
         draws = Draws("given", n_boot, seed)
     else:
-        parts = cells if dealt else ranged(cells.select(*group, value, "n", "n_pos"), group, [value])
+        parts = cells if dealt else ranged(cells.select(*group, value, "n", "n_pos"), group, [value], costly=True)
         parts = placed(parts, group, value)
         draws = Draws("stratified" if stratified else "poisson", n_boot, seed)
     long = _per_replicate(_pair_sums(parts, group, value, draws), group, ["_p", "_n", "_u"])
@@ -240,7 +241,7 @@ def _precision_sums(parts: DataFrame, body: DataFrame, group: list[str], value:
         *group, PID, F.array("_s._pa", "_s._na").alias("_start"))
     keys = [*group, PID]
     stream = (parts.withColumn("_start", F.lit(None).cast("array<array<double>>"))
-              .unionByName(above, allowMissingColumns=True).repartition(*keys)
+              .unionByName(above, allowMissingColumns=True).repartition(spread(parts), *keys)
               .sortWithinPartitions(*keys, F.col("_start").isNull(), F.col(value).desc()))
     schema = T.StructType([*_fields(parts, group), T.StructField("_a", T.ArrayType(T.DoubleType()))])
 
