@@ -330,7 +330,7 @@ PX = {"kinds": "SELECT image_id, category, label, vec_id, i, m, 'bank' AS map_ki
 
 
 def pixel_rows(v):
-    rows = pixel.with_masks(v("maps"), v("masks"))
+    rows = pixel.regions(pixel.with_masks(v("maps"), v("masks")))
     return with_pooled(rows)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,9 +123,45 @@ def region_sizes(masks: DataFrame, row: str = "image_id") -> DataFrame:
         F.min("_i").alias("anchor"), F.count(F.lit(1)).alias("n_pixels"))
 
 
-def _threshold(i: Column, steps: int) -> Column:
-    return F.when(i >= steps, F.col("_lo")).otherwise(
-        F.col("_hi") + i * ((F.col("_lo") - F.col("_hi")) / F.lit(float(steps))))
+def _buckets(v: np.ndarray, high: float, low: float, steps: int) -> np.ndarray:
+    """First of the falling thresholds from ``high`` to ``low`` that each value reaches."""
+    thresholds = high + np.arange(steps + 2) * ((low - high) / float(steps))
+    thresholds[steps:] = low
+    near = np.ceil((high - v) / (high - low) * steps).astype(np.int64)
+    # The estimate can be one off in floating point: settle it on the thresholds themselves.
+    return np.where((near >= 1) & (v >= thresholds[np.maximum(near - 1, 0)]), near - 1,
+                    np.where(v >= thresholds[near], near, near + 1))
+
+
+def _bucket_counts(rows: DataFrame, group: list[str], row: str, steps: int) -> DataFrame:
+    """``group, row, region, _b, _c``: pixels of each region that reach each threshold first.
+
+    Counted map by map from its arrays, so pixels are never rows; missing pixels do not count.
+    """
+    keys = [*group, row]
+    schema = T.StructType([*[rows.schema[c] for c in keys], *T._parse_datatype_string("region int, _b int, _c bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], [], []]
+            owner = []
+            for i, (high, low, values, labels) in enumerate(zip(*(batch.column(c) for c in ("_hi", "_lo", "values", "labels")))):
+                if not (values.is_valid and labels.is_valid):
+                    continue
+                v = values.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                region = labels.values.to_numpy(zero_copy_only=False)
+                known = ~np.isnan(v)
+                bucket = _buckets(v[known], high.as_py(), low.as_py(), steps)
+                cell, count = np.unique(region[known].astype(np.int64) * (steps + 2) + bucket, return_counts=True)
+                for store, column in zip(found, (cell // (steps + 2), cell % (steps + 2), count)):
+                    store.append(column)
+                owner.append(np.full(len(cell), i))
+            if owner:
+                heads = batch.select(keys).take(pa.array(np.concatenate(owner)))
+                kinds = (pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*heads.columns, *[pa.array(np.concatenate(c), k) for c, k in zip(found, kinds)]], names=schema.names)
+
+    return rows.select(*keys, "_hi", "_lo", "values", "labels").mapInArrow(run, schema)
 
 
 def pro_curve(maps: DataFrame, group: Sequence[str], n_thresholds: int = 200,
@@ -144,16 +181,7 @@ def pro_curve(maps: DataFrame, group: Sequence[str], n_thresholds: int = 200,
     if "labels" not in maps.columns:
         maps = regions(maps)
     rows = attach_groups(maps, ranges, group, "inner")
-    pixels = rows.select(*group, row, "_hi", "_lo", F.explode(F.arrays_zip(
-        F.col("values").alias("v"), F.col("labels").alias("region"))).alias("_p")).select(
-        *group, row, "_hi", "_lo", F.col("_p.v").cast("double").alias("v"), "_p.region")
-    near = F.ceil((F.col("_hi") - F.col("v")) / (F.col("_hi") - F.col("_lo")) * steps).cast("int")
-    v = F.col("v")
-    # The estimate can be one off in floating point: settle it on the thresholds themselves.
-    bucket = (F.when((near >= 1) & (v >= _threshold(near - 1, steps)), near - 1)
-              .when(v >= _threshold(near, steps), near).otherwise(near + 1))
-    counts = pixels.withColumn("_b", bucket).groupBy(*group, row, "region", "_b").agg(
-        F.count(F.lit(1)).alias("_c"))
+    counts = _bucket_counts(rows, group, row, steps)
     whole = Window.partitionBy(*group, row, "region")   # at most one row per threshold
     shares = counts.withColumn("_share", F.when(
         F.col("region") > 0, F.col("_c") / F.sum("_c").over(whole)))
@@ -194,7 +222,8 @@ def pixel_table(maps: DataFrame, masks: DataFrame, group: str = "category",
                 row: str = "image_id") -> DataFrame:
     """Pixel AUROC and PRO per map kind, for each group and pooled."""
     keys = ["map_kind", "group"]
-    maps = with_masks(maps, masks, row)
+    # Regions are labelled before the maps are fanned out.
+    maps = regions(with_masks(maps, masks, row))
     rows = with_pooled(maps, group)
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return (n.join(pixel_auroc(maps, ["map_kind"], group).drop("n_pixels"), keys, "left")
