@@ -402,6 +402,5 @@ def _(v):
 SELECT category, count(*) AS n FROM {evt} WHERE split = 'test' AND category IN (SELECT category FROM {cal} WHERE anomaly_score > 0.55)
 GROUP BY category""", P)
 def _(v):
-    calibrated = pool(v).where(F.col("anomaly_score") > 0.55).select("category").distinct()
-    return test(v).join(calibrated, "category", "left_semi").groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"))
+    calibrated = conformal.calibration_pool(pool(v).where(F.col("anomaly_score") > 0.55))
+    return conformal.shared_groups(test(v), calibrated).groupBy("category").agg(F.count(F.lit(1)).alias("n"))

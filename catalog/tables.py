@@ -11,7 +11,7 @@ from catalog.parts import P, sql_auroc, sql_u01
 from catalog.registry import query
 from surety.functions.columns import CONFIDENCE, raw_logit
 from surety.functions.text import canonical_defect, class_name
-from surety.operators import browse, signals
+from surety.operators import browse, grounding, signals
 from surety.session import checkpoint_dir
 from surety.sources import index, records, stores
 
@@ -360,10 +360,4 @@ SELECT c.image_id, CASE WHEN c.label = 0 THEN 'unverifiable' ELSE 'mask' END AS
   CASE WHEN c.vec_id % 4 = 0 THEN 'missing_map' ELSE 'map' END AS map_status FROM {claims} c""")
 def _(v):
     maps = v("maps").where((F.col("map_kind") == "bank") & (F.col("vec_id") % 4 != 0))
-    joined = v("claims").join(maps.select("image_id", F.lit(True).alias("has_map")), "image_id",
-                              "left").join(
-        v("masks").select("image_id", F.lit(True).alias("has_mask")), "image_id", "left")
-    return joined.select(
-        "image_id",
-        F.when(F.col("has_mask"), "mask").otherwise("unverifiable").alias("status"),
-        F.when(F.col("has_map"), "map").otherwise("missing_map").alias("map_status"))
+    return grounding.with_evidence(v("claims"), maps, v("masks")).select("image_id", F.col("mask_status").alias("status"), "map_status")

@@ -213,14 +213,29 @@ def _(v):
     return r9(out.select("image_id", "u_tta_var"), "u_tta_var")
 
 
-@query("j3_records_vs_models", """SELECT e.image_id, count(m.anomaly_score) AS n_scores, round(sum(m.anomaly_score), 9) AS total
-FROM {evt} e LEFT JOIN {models} m ON m.image_id = e.image_id GROUP BY e.image_id""")
-def _(v):
-    per_row = v("models").groupBy("image_id").agg(F.count("anomaly_score").alias("n_scores"),
-                                                  F.sum("anomaly_score").alias("total"))
-    return v("evt").select("image_id").join(per_row, "image_id", "left").select(
-        "image_id", F.coalesce("n_scores", F.lit(0)).alias("n_scores"),
-        F.round("total", 9).alias("total"))
+J3 = """SELECT e.image_id, count(m.anomaly_score) AS n_scores, round(sum(m.anomaly_score), 9) AS total
+FROM {evt} e LEFT JOIN {models} m ON m.image_id = e.image_id GROUP BY e.image_id"""
+
+
+def per_record(long):
+    """Number and sum of the scores of each record, added up in the order of the models."""
+    scores = F.array_sort(F.collect_list(F.when(F.col("model_score").isNotNull(), F.struct("model_tag", "model_score"))))
+    total = F.when(F.count("model_score") > 0, F.aggregate(scores, F.lit(0.0), lambda s, x: s + x["model_score"]))
+    return long.groupBy("image_id").agg(F.count("model_score").alias("n_scores"), F.round(total, 9).alias("total"))
+
+
+@query("j3_records_vs_models", J3)
+def _(v):
+    return per_record(signals.model_scores(v("evt"), v("models"), []))
+
+
+@query("j3_copartitioned_scores", J3)
+def _(v):
+    """The same join of two stored tables that share their buckets."""
+    store = stores.CoPartitioned(v.spark, f"{checkpoint_dir(v.spark)}/surety-{uuid.uuid4().hex}", buckets=8)
+    store.save("records", v("evt"))
+    store.save("scores", v("models"))
+    return per_record(signals.model_scores(store.load("records"), store.load("scores"), []))
 
 
 @query("u5_manifold_knn", f"""SELECT image_id, round({_rank('round(distance, 9)', 'category')}, 9) AS u_manifold_knn FROM {{knn}}""", K)

@@ -341,6 +341,11 @@ def n_cal_sensitivity(cal: DataFrame, test: DataFrame, deltas: Sequence[float] =
                  F.count(F.lit(1)).alias("n_repeats")))
 
 
+def shared_groups(rows: DataFrame, pool: DataFrame, group: str = GROUP) -> DataFrame:
+    """Rows of the groups that ``pool`` has too."""
+    return rows.join(bounded(pool.select(group).distinct()), group, "left_semi")
+
+
 def cross_dataset_coverage(source_cal: DataFrame, source_test: DataFrame,
                            target_test: DataFrame, deltas: Sequence[float],
                            score: str = SCORE, group: str = GROUP, pool_groups: bool = False,
@@ -355,7 +360,7 @@ def cross_dataset_coverage(source_cal: DataFrame, source_test: DataFrame,
         source_cal = source_cal.withColumn(group, F.lit("POOL"))
         target_test = target_test.withColumn(group, F.lit("POOL"))
     pool = calibration_pool(source_cal, score, group)
-    shared = target_test.join(bounded(pool.select(group).distinct()), group, "left_semi")
+    shared = shared_groups(target_test, pool, group)
     if not shared.limit(1).count():
         raise ValueError("no target group shares a name with a source group; pool the groups")
 

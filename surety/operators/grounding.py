@@ -99,13 +99,27 @@ def claim_grounding(df: DataFrame, location: str = "predicted_location",
     return df.withColumn("claim_contrast", contrast).drop("_claim", "_mask", "_seen")
 
 
+def with_evidence(records: DataFrame, maps: DataFrame | None = None, masks: DataFrame | None = None,
+                  row: str = "image_id", columns: Sequence[str] = ()) -> DataFrame:
+    """Attach ``columns`` of the maps and say what a row can be held against.
+
+    ``map_status`` is ``map`` or ``missing_map``, ``mask_status`` is ``mask`` or ``unverifiable``; rows
+    without a map or mask stay.
+    """
+    out = records
+    for table, name, there, lost, kept in ((maps, "map_status", "map", "missing_map", columns), (masks, "mask_status", "mask", "unverifiable", ())):
+        if table is not None:
+            out = out.join(table.select(row, *kept, F.lit(there).alias(name)), row, "left").withColumn(name, F.coalesce(name, F.lit(lost)))
+    return out
+
+
 def cmcs(records: DataFrame, maps: DataFrame, arm: str = "language_grounding",
          group: str = "category", row: str = "image_id", quantile: float = 0.99,
          top_frac: float = 0.05, edge_width: float = 0.18) -> DataFrame:
     """Cross-modal consistency of the score with the map, and with the stated location."""
     if arm not in ARMS:
         raise KeyError(f"unknown arm {arm!r}; one of {ARMS}")
-    out = records.join(maps.select(row, "h", "values"), row, "left")
+    out = with_evidence(records, maps, row=row, columns=["h", "values"]).drop("map_status")
     out = out.withColumn("spatial_score", spatial_evidence(F.col("values"), quantile))
     if arm == "language_grounding":
         out = claim_grounding(out, top_frac=top_frac, edge_width=edge_width)

@@ -493,3 +493,24 @@ def test_logistic_trust_is_at_its_optimum(spark):
     x, y, w = table.iloc[:, 1:].to_numpy(float), table["label"].to_numpy(), np.array(one.weights)
     p = 1 / (1 + np.exp(-(x @ w + one.intercept)))
     assert np.abs(0.7 * (p - y) @ x + w).max() < 1e-7 and abs((p - y).sum()) < 1e-7
+
+
+def test_copartitioned_tables_join_without_a_shuffle(spark, tmp_path):
+    store = stores.CoPartitioned(spark, str(tmp_path), buckets=4)
+    records = spark.createDataFrame([(f"r{i}", i) for i in range(50)] + [(None, -1)], "image_id string, n int")
+    scores = spark.createDataFrame([(f"r{i % 40}", f"m{i % 3}", float(i)) for i in range(120)], "image_id string, model_tag string, anomaly_score double")
+    store.save("records", records)
+    store.save("scores", scores)
+    again = stores.CoPartitioned(spark, str(tmp_path), buckets=4)
+    spark.sql(f"DROP TABLE {again._place('scores')[1]}")       # another session knows only the path
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = signals.model_scores(again.load("records"), again.load("scores"), ["n"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        got = sorted(map(str, joined.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(map(str, signals.model_scores(records, scores, ["n"]).collect())) and len(got) == 131
+    store.save("records", records.limit(5))
+    assert store.load("records").count() == 5
