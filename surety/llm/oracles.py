@@ -108,7 +108,7 @@ def merkle_proofs() -> str:
         {name}_runs AS (SELECT tree, lvl, i // {k} AS r, list(h ORDER BY i) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
 
     def beside(runs: str, i: str) -> str:
-        at = f"({i} // {k} ** {runs}.lvl::INT)::BIGINT"
+        at = f"({i} // ({k} ** {runs}.lvl)::BIGINT)"
         return f"array_to_string(hs[1:{at} % {k}], '') || '@' || array_to_string(hs[{at} % {k} + 2:], '')"
 
     return f"""
@@ -119,9 +119,9 @@ def merkle_proofs() -> str:
     {levels("low", "name", "leaves")},
     subroots AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree <> '-', tree) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
     {levels("high", "0", "subroots")},
-    steps AS (SELECT rid, low_runs.lvl AS o, {beside("low_runs", "i")} AS s FROM leaves JOIN low_runs ON tree = name AND r = i // {k} ** (lvl + 1)
+    steps AS (SELECT rid, low_runs.lvl AS o, {beside("low_runs", "i")} AS s FROM leaves JOIN low_runs ON tree = name AND r = i // ({k} ** (lvl + 1))::BIGINT
       UNION ALL SELECT rid, 1000 + high_runs.lvl, {beside("high_runs", "b.i")}
-        FROM leaves a JOIN subroots b ON b.name = a.name JOIN high_runs ON r = b.i // {k} ** (lvl + 1)),
+        FROM leaves a JOIN subroots b ON b.name = a.name JOIN high_runs ON r = b.i // ({k} ** (lvl + 1))::BIGINT),
     paths AS (SELECT rid, list(s ORDER BY o) AS p FROM steps GROUP BY rid),
     folded AS (SELECT a.rid, a.doc_id, a.h AS leaf, b.h AS subroot, (SELECT max(h) FROM high WHERE n = 1) AS root,
       sha256(replace(array_to_string(coalesce(p, []), ''), '@', '')) AS proof_sha256,
