@@ -44,7 +44,7 @@ def test_run_packs_what_is_left(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries_run(spark, name):
     df = QUERIES[name](spark, SF)
-    source = {"op1": "pages", "op7": "embeddings"}.get(name.split("_")[0], "documents")
+    source = {"op1": "pages", "op7": "embeddings", "op13": "embeddings"}.get(name.split("_")[0], "documents")
     n = spark.read.parquet(f"{SF}/{source}.parquet").count()
     assert df.count() == n or name.startswith("op3") and df.count() >= n
     assert set(ORACLES) <= set(QUERIES)
