@@ -2,15 +2,15 @@
 
 Unit vectors are cut into two halves. Each half has its own codebook (k-means, fitted in the driver
 on at most ``TRAIN_VECTORS`` vectors chosen by hash), and a pair of codes is a cell of a product
-grid. Every vector is indexed in its cell. Every vector is also a query: its cells are taken in
-increasing order of a lower bound of the squared distance to anything inside them (the
-multi-sequence order over both halves), up to the squared distance that the cosine threshold allows.
-The bound of one half is how far the query is from the code's side of the planes between codes, so
-the cells left out hold no link: the recall that is aimed at is 1. What is found is verified in
-double precision.
+grid. Every vector is indexed in its cell. Every vector is also a query: the codes of each half are
+sorted by a lower bound of the squared distance to anything on their side, and the multi-sequence
+traversal takes pairs of codes by the sum of both bounds, nearest first, until the next cell is
+farther than the cosine threshold allows. The bound of one half is how far the query is from the
+code's side of the planes between codes, so the cells left out hold no link: the recall that is
+aimed at is 1. Only vectors of visited cells are compared, in double precision.
 
 Runs of ``PART_CELLS`` neighbouring cells are kept together, so a query that visits several of them
-is sent once; what is kept with a visited cell is verified along with it.
+is sent once, with the list of the cells it visits there.
 
 Only vectors of one label are compared. Equal vectors are collapsed first and count with their
 number. A cell's vectors are cut into blocks and its queries into shares, each of bounded size, and
@@ -41,11 +41,11 @@ from surety.session import materialise
 COSINE = 0.98
 TRAIN_VECTORS = 20_000
 #: Vectors that a cell of the grid should hold on average.
-CELL_VECTORS = 64
+CELL_VECTORS = 16
 MOST_CODES = 1024
-#: Neighbouring cells that are kept together, about a block of vectors.
-PART_CELLS = 32
 BLOCK, SHARE = 2048, 4096
+#: Neighbouring cells that are kept together, about a block of vectors.
+PART_CELLS = BLOCK // CELL_VECTORS
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -91,16 +91,46 @@ class MultiIndex:
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, cell)`` of every cell that a link of the row can lie in, nearest first."""
         limit = 2 * (1 - self.cosine) + 1e-9
-        rows, found = [], []
-        step = max(1, 4_000_000 // (len(self.left) ** 2 + len(self.right) ** 2 + len(self.left) * len(self.right)))
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, 4_000_000 // (len(self.left) ** 2 + len(self.right) ** 2))
         for first in range(0, len(x), step):
-            a, b = (self.bounds(h, c) for h, c in self.halves(x[first:first + step]))
-            total = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-            row, cell = np.nonzero(total <= limit)
-            order = np.lexsort((total[row, cell], row))
-            rows.append(first + row[order])
-            found.append(cell[order])
-        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *found])
+            (near_a, a), (near_b, b) = (_sorted_rows(self.bounds(h, c)) for h, c in self.halves(x[first:first + step]))
+            row, i, j = multi_sequence(a, b, limit)
+            rows.append(first + row)
+            found.append(near_a[row, i] * len(self.right) + near_b[row, j])
+        row, cell = np.concatenate(rows), np.concatenate(found)
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
+
+
+def _sorted_rows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = bounds.argsort(1, kind="stable")
+    return order, np.take_along_axis(bounds, order, 1)
+
+
+def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, i, j)`` with ``a[row, i] + b[row, j] <= limit``, for each row in increasing order of the sum.
+
+    Both inputs are sorted along their rows. Each row keeps, for every ``i``, the first ``j`` not yet
+    taken; all rows take their nearest pair in one step and leave once it lies beyond the limit.
+    """
+    rows = np.arange(len(a))
+    # One infinite column more: behind the last code of the other half nothing is left.
+    b = np.concatenate([b, np.full((len(b), 1), np.inf)], 1)
+    upto = np.zeros(a.shape, np.int64)
+    total = a + b[:, :1]
+    taken: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+    while len(rows):
+        i = total.argmin(1)
+        at = np.arange(len(rows))
+        go_on = total[at, i] <= limit
+        if not go_on.all():
+            rows, a, b, upto, total, i = (v[go_on] for v in (rows, a, b, upto, total, i))
+            at = np.arange(len(rows))
+        taken.append((rows, i, upto[at, i]))
+        upto[at, i] += 1
+        total[at, i] = a[at, i] + b[at, upto[at, i]]
+    return tuple(map(np.concatenate, zip(*taken)))
 
 
 def _unit(flat: np.ndarray, size: int) -> np.ndarray:
@@ -132,7 +162,7 @@ def fit(vectors: DataFrame, cosine: float = COSINE, most: int = TRAIN_VECTORS) -
 
 
 def _placed(index: MultiIndex, query: bool):
-    """Rows of the index (own cell) or of the queries (all cells visited)."""
+    """Rows of the index (``cells``: their own) or of the queries (those visited), by runs of cells."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vectors = batch.column("vector")
         sizes = np.diff(vectors.offsets.to_numpy())
@@ -140,36 +170,58 @@ def _placed(index: MultiIndex, query: bool):
         odd = np.flatnonzero(sizes != index.size)
         x = _unit(vectors.take(pa.array(fit_size)).flatten().to_numpy(), index.size) if len(fit_size) else np.zeros((0, index.size))
         at, cell = index.visits(x) if query else (np.arange(len(x)), index.cells(x))
-        if query:
-            # Cells that are kept together are visited together: one copy of the query for all.
-            together = np.unique(at * (1 << 32) + cell // PART_CELLS)
-            at, cell = together >> 32, together & 0xFFFFFFFF
-        else:
-            cell = cell // PART_CELLS
         row = np.concatenate([fit_size[at], odd])
-        cells = np.concatenate([cell, -sizes[odd]]).astype(np.int64)
-        picked = batch.take(pa.array(row))
-        return pa.RecordBatch.from_arrays([*picked.columns, pa.array(cells)], names=[*picked.schema.names, "cell"])
+        cell = np.concatenate([cell, -sizes[odd]]).astype(np.int64)
+        area = np.where(cell < 0, cell, cell // PART_CELLS)
+        order = np.lexsort((area, row))                     # stable: cells of a run stay nearest first
+        row, cell, area = row[order], cell[order], area[order]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (area[1:] != area[:-1]))[:len(row)])
+        cells = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(cell))
+        picked = batch.take(pa.array(row[new]))
+        return pa.RecordBatch.from_arrays([*picked.columns, pa.array(area[new]), cells], names=[*picked.schema.names, "area", "cells"])
     return run
 
 
+def _links(x: np.ndarray, cell: np.ndarray, visitor: np.ndarray, visited: np.ndarray, cosine: float):
+    """``(query, stored)`` rows of ``x`` with links: each query against the stored rows of cells it visits."""
+    stored = np.argsort(cell, kind="stable")
+    order = np.argsort(visited, kind="stable")
+    visitor, visited = visitor[order], visited[order]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = sorted_runs(cell[stored])
+    for a, b in zip(starts[:-1], starts[1:]):
+        inside = stored[a:b]
+        lo, hi = np.searchsorted(visited, [cell[inside[0]], cell[inside[0]] + 1])
+        if lo < hi:
+            q, s = np.nonzero(x[visitor[lo:hi]] @ x[inside].T >= cosine)
+            left.append(visitor[lo:hi][q])
+            right.append(inside[s])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, values)`` of a list column."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+
 def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in stream_groups(batches, "part"):
             part, query = table.column("part").to_numpy(), table.column("query").to_numpy()
-            vectors = table.column("vector").combine_chunks()
-            vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
-            offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            offsets, flat = _lists(table.column("vector"))
+            cell_at, cells = _lists(table.column("cells"))
             node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(3)]
             starts = sorted_runs(part)
             for a, b in zip(starts[:-1], starts[1:]):
                 border = a + int((query[a:b] == 0).sum())
                 if border in (a, b):
                     continue
                 x = _unit(flat[offsets[a]:offsets[b]], offsets[a + 1] - offsets[a])
-                left, right = np.nonzero(x[border - a:] @ x[:border - a].T >= cosine)
-                left += border - a
+                visitor = np.repeat(np.arange(border - a, b - a), np.diff(cell_at[border:b + 1]))
+                left, right = _links(x, cells[cell_at[a:border]], visitor, cells[cell_at[border]:cell_at[b]], cosine)
                 real = node[a + left] != node[a + right]
                 left, right = left[real], right[real]
                 if not len(left):
@@ -179,23 +231,23 @@ def _compare(cosine: float):
                 names, who = np.unique(node[a:b], return_inverse=True)
                 roots = local_roots(len(names), who[left], who[right])
                 linked = np.flatnonzero(links)
-                for column, value in zip(out, (node[a:b][linked], links[linked], names[roots[who[linked]]], np.zeros(len(linked), np.int64))):
+                for column, value in zip(out, (node[a:b][linked], links[linked], names[roots[who[linked]]])):
                     column.append(value)
                 tied = np.unique(who[right])
-                for column, value in zip(out, (names[tied], np.zeros(len(tied), np.int64), names[roots[tied]], np.ones(len(tied), np.int64))):
+                for column, value in zip(out, (names[tied], np.zeros(len(tied), np.int64), names[roots[tied]])):
                     column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out[:3]], names=["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["node", "links", "root"])
     return run
 
 
 def link_counts(vectors: DataFrame, index: MultiIndex, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """``(node, links, root)``: rows to add up per node, and links from node to root."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    stored = arrow_map(vectors, _placed(index, False), f"{fields}, cell bigint")
-    asking = arrow_map(vectors, _placed(index, True), f"{fields}, cell bigint")
-    in_cell = stored.groupBy("label", "cell").agg(F.count("*").alias("held"))
-    sizes = materialise(in_cell.join(asking.groupBy("label", "cell").agg(F.count("*").alias("asked")), ["label", "cell"]))
+    stored = arrow_map(vectors, _placed(index, False), f"{fields}, area bigint, cells array<bigint>")
+    asking = arrow_map(vectors, _placed(index, True), f"{fields}, area bigint, cells array<bigint>")
+    in_area = stored.groupBy("label", "area").agg(F.count("*").alias("held"))
+    sizes = materialise(in_area.join(asking.groupBy("label", "area").agg(F.count("*").alias("asked")), ["label", "area"]))
     blocks = F.ceil(F.col("held") / block).cast("int")
     shares = F.ceil(F.col("asked") / share).cast("int")
     own = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
@@ -204,9 +256,9 @@ def link_counts(vectors: DataFrame, index: MultiIndex, block: int = BLOCK, share
         """A vector goes to its block for every share, a query to its share for every block."""
         mine, others = (F.pmod(own, shares), blocks) if query else (F.pmod(own, blocks), shares)
         part = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.xxhash64(
-            "label", "cell", *((o, mine.cast("int")) if query else (mine.cast("int"), o))))
-        return rows.join(sizes, ["label", "cell"]).select(
-            "node", "vector", "n", F.lit(query).alias("query"), F.explode(part).alias("part"))
+            "label", "area", *((o, mine.cast("int")) if query else (mine.cast("int"), o))))
+        return rows.join(sizes, ["label", "area"]).select(
+            "node", "vector", "n", "cells", F.lit(query).alias("query"), F.explode(part).alias("part"))
 
     return (dealt(stored, 0).unionByName(dealt(asking, 1)).repartition("part").sortWithinPartitions("part", "query")
             .mapInArrow(_compare(index.cosine), "node bigint, links bigint, root bigint"))

@@ -101,3 +101,30 @@ def test_visited_cells_hold_every_link():
     links = np.argwhere(x @ x.T >= m.COSINE)
     assert all((i, own[j]) in visited for i, j in links.tolist())
     assert len(visited) < 0.9 * 800 * 144
+
+
+def test_traversal_takes_cells_by_their_bound():
+    rng = np.random.default_rng(5)
+    a, b = np.sort(rng.integers(0, 9, (50, 7)), 1) / 10, np.sort(rng.integers(0, 9, (50, 4)), 1) / 10
+    row, i, j = m.multi_sequence(a, b, 0.6)
+    total = a[:, :, None] + b[:, None, :]
+    assert sorted(zip(row, i, j)) == list(zip(*np.nonzero(total <= 0.6)))
+    for r in range(50):
+        assert (np.diff(total[r][i[row == r], j[row == r]]) >= 0).all()
+    assert [len(x) for x in m.multi_sequence(a, b, -1.0)] == [0, 0, 0]
+
+
+def test_comparisons_and_recall_at_ten_thousand_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 64))
+    x = centres[rng.integers(0, 100, 10_000)] + 0.3 * rng.normal(size=(10_000, 64))
+    x[8000:] = x[:2000] + 0.05 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int").repartition(8)
+    index = m.fit(m.distinct_vectors(df.selectExpr("*", "xxhash64(label, embedding) as node")))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    _, cell = index.visits(unit)
+    held = np.bincount(index.cells(unit), minlength=len(index.left) * len(index.right))
+    assert held[cell].sum() < 0.15 * 10_000 ** 2
+    got = {r["vec_id"]: r["n_links"] for r in m.near_duplicates(df).collect()}
+    want = (unit @ unit.T >= m.COSINE).sum(1) - 1
+    assert [got[i] for i in range(10_000)] == want.tolist() and want.sum() >= 4000
