@@ -150,6 +150,37 @@ def _(v):
     return r9(metrics.detection_table(v("evt"), n_boot=200), "auroc", "aupr", *_CI)
 
 
+_SIDES = {
+    "sides": " UNION ALL ".join(f"SELECT '{side}' AS side, grp, anomaly_score, label FROM {sql_fan(view)} f WHERE split = 'test'"
+                                for side, view in (("source", "{evt}"), ("target", "{evt_b}"))),
+    "sided": "SELECT *, concat(side, ':', grp) AS k FROM {sides}",
+    "side_auc": sql_auroc("{sided}", "k", "anomaly_score", "label"),
+    **stratified_parts("{sides}", ["side", "grp"], "anomaly_score", "label", 100, "side"),
+    "side_change": """SELECT split_part(k, ':', 2) AS grp, quantile_cont(da, 0.025) AS a_lo, quantile_cont(da, 0.975) AS a_hi,
+        quantile_cont(dp, 0.025) AS p_lo, quantile_cont(dp, 0.975) AS p_hi FROM (
+      SELECT t.k, t.auroc - s.auroc AS da, t.aupr - s.aupr AS dp FROM {side_draws} t
+      JOIN {side_draws} s ON s.rep = t.rep AND s.k = replace(t.k, 'target:', 'source:') WHERE t.k LIKE 'target:%') q GROUP BY ALL""",
+    "side_table": """SELECT c.side, c.grp, c.n, c.n_anomalous, a.auroc, a.aupr, i.auroc_ci_lo, i.auroc_ci_hi, i.aupr_ci_lo, i.aupr_ci_hi FROM
+      (SELECT side, grp, k, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_anomalous FROM {sided} GROUP BY ALL) c
+      LEFT JOIN {side_auc} a ON a.k = c.k LEFT JOIN {side_ci} i ON i.k = c.k""",
+}
+_SIDE_VALUES = ["auroc", "aupr", *_CI]
+_SIDE_ROUNDED = ", ".join(f"round({x}.{c}, 9) AS {side}_{c}" for x, side in (("s", "source"), ("t", "target")) for c in _SIDE_VALUES)
+
+
+@query("c17_cross_dataset_detection", f"""
+SELECT coalesce(s.grp, t.grp) AS "group", s.n AS source_n, t.n AS target_n, s.n_anomalous AS source_n_anomalous,
+  t.n_anomalous AS target_n_anomalous, {_SIDE_ROUNDED},
+  round(t.auroc - s.auroc, 9) AS delta_auroc, round(t.aupr - s.aupr, 9) AS delta_aupr,
+  round(d.a_lo, 9) AS delta_auroc_ci_lo, round(d.a_hi, 9) AS delta_auroc_ci_hi, round(d.p_lo, 9) AS delta_aupr_ci_lo, round(d.p_hi, 9) AS delta_aupr_ci_hi
+FROM (SELECT * FROM {{side_table}} WHERE side = 'source') s FULL JOIN (SELECT * FROM {{side_table}} WHERE side = 'target') t ON s.grp = t.grp
+LEFT JOIN {{side_change}} d ON d.grp = coalesce(s.grp, t.grp)""", {**P, **_SIDES})
+def _(v):
+    out = metrics.cross_dataset_detection(test(v), test(v, "evt_b"), n_boot=100)
+    return r9(out, *[f"{side}_{c}" for side in ("source", "target") for c in _SIDE_VALUES],
+              *[f"delta_{c}" for c in _SIDE_VALUES])
+
+
 @query("m10_calibration_table", f"""
 SELECT r."group", r.n, a.ece_adaptive, b.ece_equalwidth, a.mce, p.brier, p.nll FROM
  (SELECT grp AS "group", count(*) AS n FROM {{fan}} GROUP BY grp) r

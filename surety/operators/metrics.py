@@ -197,6 +197,48 @@ def detection_table(records: DataFrame, n_boot: int = 1000, seed: int = 0,
     return table.select(*columns).unionByName(mean.select(*columns))
 
 
+def cross_dataset_detection(source: DataFrame, target: DataFrame, n_boot: int = 1000,
+                            seed: int = 0, group: str = "category", score: str = SCORE,
+                            label: str = LABEL) -> DataFrame:
+    """AUROC and AUPR on two datasets per group and pooled, and target minus source.
+
+    Both datasets are ranked in one pass. Their resamples are independent of each other, and the
+    interval of a difference holds the differences replicate by replicate. A group that one
+    dataset lacks, or in which it has one class only, has NULL there and in the differences.
+    """
+    keys, both = ["side", "group"], ["auroc", "aupr"]
+    rows = source.select(group, score, label).withColumn("side", F.lit("source")).unionByName(
+        target.select(group, score, label).withColumn("side", F.lit("target")))
+    fanned = with_pooled(rows, group)
+    counts = fanned.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col(label) == 1, 1)).alias("n_anomalous"))
+    ranking, parts = ranked_parts(fanned, keys, score, class_sums(F.col(label)), costly=n_boot > 0)
+    table = counts.join(rank_metrics_of(ranking, keys).drop("n", "n_pos"), keys, "left")
+    ends = [f"{m}_ci_{end}" for m in both for end in ("lo", "hi")]
+    if n_boot > 0:
+        # Few rows, which are read for either side and for the differences.
+        draws = materialise(auroc_draws(parts, keys, score, n_boot, seed, with_ap=True, dealt=True))
+        for m in both:
+            table = table.join(percentile_interval(draws, keys, m), keys, "left")
+    else:
+        table = table.withColumns({end: F.lit(None).cast("double") for end in ends})
+
+    def of_sides(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+        wide = df.groupBy(*by).agg(*[
+            F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}")
+            for side in ("source", "target") for c in names])
+        return wide.withColumns({f"delta_{m}": F.col(f"target_{m}") - F.col(f"source_{m}") for m in both})
+
+    out = of_sides(table, ["group"], ["n", "n_anomalous", *both, *ends])
+    if n_boot > 0:
+        changes = of_sides(draws, ["group", "rep"], both)
+        for m in both:
+            out = out.join(percentile_interval(changes, ["group"], f"delta_{m}"), "group", "left")
+        return out
+    return out.withColumns({f"delta_{end}": F.lit(None).cast("double") for end in ends})
+
+
 def _with_intervals(table: DataFrame, parts: DataFrame, group: list[str], value: str,
                     names: list[str], n_boot: int, seed: int) -> DataFrame:
     """Attach ``<name>_ci_lo/hi``; NULL when ``n_boot`` is 0."""

@@ -209,3 +209,38 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bootstrap.bootstrap(df, ["category"], all_metrics(), n_boot=3).collect() == []
     assert bootstrap_auroc(df, ["category"], n_boot=3).collect() == []
+
+
+def test_cross_dataset_detection(spark):
+    from surety.operators.metrics import cross_dataset_detection, detection_table
+    rng = np.random.default_rng(8)
+
+    def side(n, shift, groups):
+        label = rng.integers(0, 2, n)
+        score = np.round(rng.normal(size=n) + shift * label, 1)
+        rows = [(groups[i % len(groups)], float(s), int(y)) for i, (s, y) in enumerate(zip(score, label))]
+        return rows + [(groups[0], None, 1), ("one class", 0.5, 0)]
+
+    def auroc(rows):
+        pos, neg = ([s for _, s, y in rows if y == k and s is not None] for k in (1, 0))
+        return np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])
+    source, target = side(300, 2.0, ["a", "b"]), side(260, 0.5, ["b", "c"])
+    schema = "category string, anomaly_score double, label int"
+    s, t = spark.createDataFrame(source, schema), spark.createDataFrame(target, schema)
+    out = {r["group"]: r for r in cross_dataset_detection(s, t, n_boot=200).collect()}
+    assert set(out) == {"a", "b", "c", "one class", "POOLED"}
+    for g in ("b", "POOLED"):
+        mine = [[r for r in rows if g in ("POOLED", r[0])] for rows in (source, target)]
+        a, b = map(auroc, mine)
+        assert out[g]["source_auroc"] == pytest.approx(a) and out[g]["target_auroc"] == pytest.approx(b)
+        assert out[g]["delta_auroc"] == pytest.approx(b - a)
+        assert out[g]["delta_auroc_ci_lo"] < b - a < out[g]["delta_auroc_ci_hi"] < 0
+        assert (out[g]["source_n"], out[g]["target_n"]) == tuple(map(len, mine))
+    assert out["a"]["target_auroc"] is None and out["a"]["target_n"] is None and out["a"]["delta_auroc_ci_lo"] is None
+    assert out["one class"]["source_auroc"] is None and out["one class"]["target_n"] == 1
+    points = {r["group"]: r for r in cross_dataset_detection(s, t, n_boot=0).collect()}
+    assert points["b"]["delta_aupr"] == pytest.approx(out["b"]["delta_aupr"]) and points["b"]["delta_aupr_ci_lo"] is None
+    alone = {r["group"]: r for r in detection_table(s, n_boot=0).collect()}
+    assert alone["POOLED"]["auroc"] == pytest.approx(out["POOLED"]["source_auroc"])
+    empty = cross_dataset_detection(s.limit(0), t, n_boot=20).where("group = 'POOLED'").first()
+    assert empty["source_auroc"] is None and empty["target_auroc"] == pytest.approx(auroc(target))
