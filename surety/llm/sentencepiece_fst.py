@@ -1,27 +1,35 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into one transducer with three layers. The *normaliser* puts the dummy
-prefix before a text and writes blanks as the blank sign. The *pieces* are arcs that read their
-characters and write their id. *Byte fallback* arcs read a character that no piece has and write
-the ids of its UTF-8 bytes. The model at hand is a merge (BPE) model, so not every way through the
-pieces is an encoding: a state remembers the piece that was written last, and an arc is only there
-if merging the two pieces' characters by rank gives these two pieces again. That test needs the
-right halves of the first piece and the left halves of the second only, with the merge ranks as
-weights: whichever of the pending merges has the smallest weight comes first.
-
-A text is composed with the transducer and the shortest path in the tropical semiring (one for
-each piece) is taken position by position. Up to each position one state survives, because a
-prefix has one encoding. Composition runs over many strings at once: all substrings are looked up
-in the piece table by hash, then ends are relaxed from left to right. As no piece holds a blank
-sign after another character and none holds a line feed, words are composed once and remembered.
+The model file is compiled into one transducer with three layers. The *normaliser* is a machine of
+two or three states that puts the dummy prefix before a text, writes blanks as the blank sign and,
+where the model says so, leaves out extra blanks. The *pieces* are arcs that read their characters
+and write their id. *Byte fallback* arcs read a character that no piece has and write the ids of its
+UTF-8 bytes.
+
+Arcs have tropical weights. In a unigram model the weight of a piece is its score with the sign
+turned, that of a character without a piece the worst score's and a penalty. In a merge (BPE) model
+pieces weigh nothing, but not every way through them is an encoding: a state remembers the piece
+that was written last, and an arc from it weighs zero if merging the two pieces' characters by rank
+gives these two pieces again, else infinity. That test needs the right halves of the first piece
+and the left halves of the second only: whichever of the pending merges comes first decides.
+
+A text is composed with the transducer and the shortest path in the tropical semiring is found
+position by position: of all arcs that reach a position the one of least total weight survives, of
+equal ones that with the longest piece. One state for each position is enough: unigram arcs do not
+look back, and in a merge model a prefix has one way of finite weight. Composition runs over many
+strings at once: all substrings are looked up in the piece table by hash, then ends are relaxed
+from left to right. As no piece holds a blank sign after another character and none holds a line
+feed (other models are refused), words are composed once and remembered.
 
 Decoding is the inverse: ids to characters, byte ids to bytes, blank signs to blanks, and the
 dummy prefix taken off. It gives the text back, but for blank signs of the text itself, which
-become blanks (the normaliser cannot tell them apart).
+become blanks (the normaliser cannot tell them apart), and for extra blanks that the model leaves out.
 
 Defined results: NULL and empty texts have no ids; a NULL ``doc_id`` is kept; repeated rows are
 encoded alike; bytes that are not UTF-8 decode to replacement characters; an empty table gives no
-rows.
+rows. Models with a table of character replacements, with user-defined or unused pieces, or of other
+kinds raise ``ValueError``. Weights are added in double precision word by word, so a unigram model's
+near-ties, which the library decides in single precision, can come out otherwise.
 """
 
 from __future__ import annotations
@@ -45,8 +53,10 @@ CACHE_WORDS = 600_000
 WORDS = 20_000
 _FAR = np.int64(1) << 60
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-# Piece kinds of the model format.
+# Piece and model kinds of the model format, and what a character without a piece costs.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, MERGE = 1, 2
+UNKNOWN_PENALTY = 10.0
 
 
 def _hash_points(points: np.ndarray) -> int:
@@ -56,8 +66,33 @@ def _hash_points(points: np.ndarray) -> int:
     return h
 
 
+class Normaliser:
+    """The first layer: an arc reads a blank or another character and leads to the next state."""
+
+    START, INSIDE, HELD = range(3)
+
+    def __init__(self, prefix: str, squeeze: bool) -> None:
+        self.squeeze = squeeze
+        # For each state: what is written for a blank, and before any other character; and then where to.
+        if squeeze:
+            self.arcs = {self.START: (("", self.START), (prefix, self.INSIDE)),
+                         self.INSIDE: (("", self.HELD), ("", self.INSIDE)),
+                         self.HELD: (("", self.HELD), (BLANK, self.INSIDE))}
+        else:
+            self.arcs = {self.START: ((prefix + BLANK, self.INSIDE), (prefix, self.INSIDE)),
+                         self.INSIDE: ((BLANK, self.INSIDE), ("", self.INSIDE))}
+
+    def run(self, text: str, state: int = START) -> str:
+        """What the machine writes for a text; characters that are not blank are written as they are."""
+        out = []
+        for run in re.findall(" |[^ ]+", text):
+            written, state = self.arcs[state][run != " "]
+            out += [written, run] if run != " " else [written]
+        return "".join(out).rstrip(BLANK) if self.squeeze else "".join(out)
+
+
 class Transducer:
-    """The compiled transducer of a SentencePiece merge model with identity normalisation."""
+    """The compiled transducer of a SentencePiece merge or unigram model."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -65,24 +100,36 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         n = model.normalizer_spec
-        if model.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
-            raise ValueError("the transducer takes merge models with identity normalisation that keep blanks")
+        trained = model.trainer_spec
+        if (trained.model_type not in (UNIGRAM, MERGE) or n.precompiled_charsmap or not n.escape_whitespaces
+                or trained.treat_whitespace_as_suffix):
+            raise ValueError("the transducer takes merge and unigram models without a table of character replacements")
+        if any(p.type in (USER, UNUSED) or p.type == NORMAL and ("\n" in p.piece or BLANK in p.piece.lstrip(BLANK)) for p in model.pieces):
+            raise ValueError("a piece is user-defined, unused, or goes on behind a blank or line feed")
+        self.merges = trained.model_type == MERGE
         self.prefix = BLANK if n.add_dummy_prefix else ""
+        self.normaliser = Normaliser(self.prefix, n.remove_extra_whitespaces)
         self.surface = [p.piece for p in model.pieces]
         self.kind = np.array([p.type for p in model.pieces])
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN)
                          else p.piece.replace(BLANK, " ").encode() for p in model.pieces]
         self.byte_id = {self.bytes_of[i]: i for i in np.flatnonzero(self.kind == BYTE).tolist()}
-        if model.trainer_spec.byte_fallback and len(self.byte_id) != 256:
+        if trained.byte_fallback and len(self.byte_id) != 256:
             raise ValueError("byte pieces are missing")
         self.unknown = int(np.flatnonzero(self.kind == UNKNOWN)[0])
         score = np.array([p.score for p in model.pieces])
-        usable = np.flatnonzero(np.isin(self.kind, (NORMAL, USER)))
+        usable = np.flatnonzero(self.kind == NORMAL)
         self.id_of = {self.surface[i]: i for i in usable.tolist()}
         # Merge weights: the better the score, the earlier the merge; equal scores merge alike.
         self.weight = np.full(len(score), _FAR)
         _, self.weight[usable] = np.unique(-score[usable], return_inverse=True)
-        self._compile_halves()
+        self.alive = self.kind == NORMAL
+        self.cost, self.unknown_cost = np.zeros(len(score)), 0.0
+        if self.merges:
+            self._compile_halves()
+        else:
+            self.cost[usable] = -score[usable]
+            self.unknown_cost = UNKNOWN_PENALTY - float(score[usable].min())
         self._compile_arcs()
         self.forget()
 
@@ -157,6 +204,16 @@ class Transducer:
             x[kx] = self.right[x[kx]]
         return good
 
+    def border(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Weight of writing ``piece`` behind ``before``; negative ids stand for no piece."""
+        out = np.zeros(len(piece))
+        ask = np.flatnonzero((before >= 0) & (piece >= 0)) if self.merges else ()
+        if len(ask):
+            size = len(self.surface)
+            pair, back = np.unique(before[ask] * size + piece[ask], return_inverse=True)
+            out[ask] = np.where(self.follows(pair // size, pair % size), 0.0, np.inf)[back]
+        return out
+
     # --- composition -----------------------------------------------------------------------------
 
     def compose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,18 +252,21 @@ class Transducer:
         order = np.argsort(depth, kind="stable")
         head, tail, piece, depth = head[order], tail[order], piece[order], depth[order]
         borders = np.searchsorted(depth, np.arange(int(lengths.max(initial=0)) + 2))
-        last, came = np.full(total + 1, -2), np.zeros(total + 1, np.int64)      # of the prefix that ends before
+        # Of the prefix that ends before a position: least weight, last piece, and where that began.
+        least, last, came = np.full(total + 1, np.inf), np.full(total + 1, -1), np.zeros(total + 1, np.int64)
         for d in range(1, len(borders) - 1):
             a, b = borders[d], borders[d + 1]
             h, t, p = head[a:b], tail[a:b], piece[a:b]
             begins = h == start[h]
-            before = np.where(begins, -1, last[h])
-            good = before != -2
-            ask = np.flatnonzero(good & (before >= 0) & (p >= 0))
-            if len(ask):
-                pair, back = np.unique(before[ask] * len(self.surface) + p[ask], return_inverse=True)
-                good[ask] = self.follows(pair // len(self.surface), pair % len(self.surface))[back]
-            last[t[good]], came[t[good]] = p[good], h[good]
+            weight = np.where(begins, 0.0, least[h]) + np.where(p < 0, self.unknown_cost, self.cost[p])
+            open_ = np.flatnonzero(weight < np.inf)
+            weight[open_] += self.border(np.where(begins[open_], -1, last[h[open_]]), p[open_])
+            open_ = open_[weight[open_] < np.inf]
+            # The least weight that reaches each position; of equal ones the earliest beginning.
+            open_ = open_[np.lexsort((h[open_], weight[open_], t[open_]))]
+            open_ = open_[np.append(True, np.diff(t[open_]) > 0)[:len(open_)]]
+            at = t[open_]
+            least[at], last[at], came[at] = weight[open_], p[open_], h[open_]
         # Read every path back from its end; negative values stand for characters without a piece.
         counts = np.zeros(len(words), np.int64)
         now, word = ends.copy(), np.flatnonzero(lengths)
@@ -268,8 +328,8 @@ class Transducer:
         blank sign has a blank sign before it."""
         if not text:
             return []
-        if "  " in text or text[0] == " " or BLANK in text or not self.prefix:
-            parts = re.findall(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n", self.prefix + text.replace(" ", BLANK))
+        if self.normaliser.squeeze or "  " in text or text[0] == " " or BLANK in text or not self.prefix:
+            parts = re.findall(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n", self.normaliser.run(text))
             # Marked with a line feed in front where no blank sign is to be added.
             return ["\n\n" if p == "\n" else "\n\n" + p for p in parts]
         return text.replace("\n", " \n").split(" ")
@@ -280,7 +340,7 @@ class Transducer:
             return [chunk[2:] or "\n"]
         if chunk[:1] == "\n":
             return ["\n", chunk[1:]]
-        return [BLANK + chunk]
+        return [self.normaliser.run(" " + chunk, Normaliser.INSIDE)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""

@@ -58,12 +58,79 @@ def test_queries_and_decoding(spark):
     assert fst.encode(df.limit(0), PATH).count() == 0
 
 
-def test_other_models_are_refused(tmp_path):
+def changed(tmp_path, change):
+    """The public model's vocabulary under other settings."""
     from sentencepiece import sentencepiece_model_pb2 as proto
     model = proto.ModelProto()
     with open(PATH, "rb") as f:
         model.ParseFromString(f.read())
+    change(model)
+    path = tmp_path / "m.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def unigram(model):
     model.trainer_spec.model_type = 1
-    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    for p in model.pieces:
+        # Sums stay exact, also in the library's single precision: no piece is as good as forbidden.
+        p.score = max(p.score, -32000.0) / 64 - 3 * (len(p.piece) < 3) if p.type == 1 else p.score
+
+
+def squeezing(model):
+    model.normalizer_spec.remove_extra_whitespaces = True
+
+
+def bare(model):
+    model.normalizer_spec.add_dummy_prefix = False
+
+
+@pytest.mark.parametrize("change", [[unigram], [squeezing], [unigram, squeezing], [bare], [unigram, bare, squeezing]])
+def test_other_settings_equal_the_library(tmp_path, change):
+    path = changed(tmp_path, lambda model: [c(model) for c in change])
+    machine, library = fst.Transducer(path), SentencePieceProcessor(model_file=path)
+    probe = texts()
+    differ = 0
+    for text, ids, want in zip(probe, machine.encode(probe), library.encode(probe)):
+        assert ids.tolist() == want, text
+        differ += want != SAME.encode(text)
+    assert differ > 20
+
+
+SAME = SentencePieceProcessor(model_file=PATH)
+
+
+def test_the_path_of_least_weight_is_taken(tmp_path):
+    """Against the least weight of all ways through a word."""
+    machine = fst.Transducer(changed(tmp_path, unigram))
+    rng = random.Random(3)
+    for _ in range(60):
+        word = "".join(rng.choices("aeinrst", k=rng.randint(1, 9)))
+
+        def least(rest):
+            return min((machine.cost[machine.id_of[rest[:k]]] + least(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in machine.id_of),
+                       default=0.0)
+        ids, _ = machine.compose([word])
+        assert machine.cost[ids].sum() == least(word)
+
+
+def user_piece(model):
+    model.pieces[300].type = fst.USER
+
+
+def charsmap(model):
+    model.normalizer_spec.precompiled_charsmap = b"x"
+
+
+def word_model(model):
+    model.trainer_spec.model_type = 3
+
+
+def crossing(model):
+    model.pieces[300].piece = "a▁b"
+
+
+@pytest.mark.parametrize("change", [user_piece, charsmap, word_model, crossing])
+def test_other_models_are_refused(tmp_path, change):
     with pytest.raises(ValueError):
-        fst.Transducer(str(tmp_path / "m.model"))
+        fst.Transducer(changed(tmp_path, change))
