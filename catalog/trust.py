@@ -297,6 +297,42 @@ def _(v):
     return r9(out, "select_auroc", "report_auroc", "selection_optimism")
 
 
+_FLOW_SIGNALS = [("u_conformal",) * 2, ("u_conformal_log",) * 2, ("u_abstention",) * 2,
+                 ("BASELINE:score", "anomaly_score"), ("BASELINE:1-score", "-anomaly_score")]
+_FLOW = {
+    **_HALF,
+    "flow_halves": "SELECT *, unnest([bakeoff_half, 'all']) AS half FROM {halves}",
+    "flow_long": " UNION ALL ".join(
+        f"""SELECT half, '{name}' AS signal, sc.scope, {expr} AS value, 1 - CAST(correct AS INT) AS wrong, concat_ws(':', half, '{name}', sc.scope) AS k
+        FROM {{flow_halves}} s, LATERAL (SELECT unnest({"['POOLED', concat('pred=', conformal_pred)" + ("" if name.startswith("BASELINE") else ", category") + "]"}) AS scope) sc"""
+        for name, expr in _FLOW_SIGNALS),
+    "flow_auc": sql_auroc("{flow_long}", "k", "value", "wrong"),
+    **stratified_parts("{flow_long}", ["half", "signal", "scope"], "value", "wrong", 100, "flow"),
+    "flow_size": "SELECT half, signal, scope, k, count(*) AS n, CAST(sum(wrong) AS BIGINT) AS n_errors FROM {flow_long} GROUP BY ALL",
+    "flow_table": """SELECT z.half, z.signal, z.scope, z.n, z.n_errors, a.auroc, c.auroc_ci_lo AS lo, c.auroc_ci_hi AS hi FROM {flow_size} z
+      LEFT JOIN {flow_auc} a ON a.k = z.k LEFT JOIN {flow_ci} c ON c.k = z.k WHERE z.scope = 'POOLED' OR (z.n_errors > 0 AND z.n_errors < z.n)""",
+}
+
+
+def flow(v):
+    return report.bakeoff_of_records(v("evt"), ["abstention"], ["log"], n_boot=100)
+
+
+@query("w7_bakeoff_flow", """SELECT half, signal, scope, n, n_errors, round(auroc, 9) AS err_auroc, round(lo, 9) AS ci_lo, round(hi, 9) AS ci_hi
+FROM {flow_table}""", _FLOW)
+def _(v):
+    out = flow(v).table.select("half", "signal", "scope", "n", "n_errors", "err_auroc", "ci_lo", "ci_hi")
+    return r9(out, "err_auroc", "ci_lo", "ci_hi")
+
+
+@query("w7_bakeoff_flow_winner", """SELECT s.signal AS selected_signal, round(s.auroc, 9) AS select_auroc, round(r.auroc, 9) AS report_auroc,
+  round(r.lo, 9) AS report_ci_lo, round(r.hi, 9) AS report_ci_hi, round(s.auroc - r.auroc, 9) AS selection_optimism
+FROM (SELECT * FROM {flow_table} WHERE half = 'select' AND scope = 'pred=0' AND signal NOT LIKE 'BASELINE:%' AND auroc IS NOT NULL
+      ORDER BY auroc DESC, signal DESC LIMIT 1) s JOIN {flow_table} r ON r.signal = s.signal AND r.half = 'report' AND r.scope = 'pred=0'""", _FLOW)
+def _(v):
+    return r9(flow(v).winner, "select_auroc", "report_auroc", "report_ci_lo", "report_ci_hi", "selection_optimism")
+
+
 _FAN = "(SELECT category AS key, * FROM {signals} UNION ALL SELECT 'POOLED', * FROM {signals}) f GROUP BY key"
 
 

@@ -514,3 +514,19 @@ def test_copartitioned_tables_join_without_a_shuffle(spark, tmp_path):
     assert got == sorted(map(str, signals.model_scores(records, scores, ["n"]).collect())) and len(got) == 131
     store.save("records", records.limit(5))
     assert store.load("records").count() == 5
+
+
+def test_bakeoff_of_records_picks_the_planted_signal(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"r{i}", "ab"[i % 2], "train", 0, float(rng.normal()), 0.0, True) for i in range(200)]
+    for i in range(400):
+        label = int(rng.integers(0, 2))
+        rows.append((f"t{i}", "ab"[i % 2], "test", label, float(rng.normal() + label), float(label + rng.normal() / 4), True))
+    records = spark.createDataFrame(rows, "image_id string, category string, split string, label int, anomaly_score double, u_planted double, parse_ok boolean")
+    out = report.bakeoff_of_records(records, ["abstention"], ["log"], n_boot=100)
+    best = out.winner.first()
+    assert best["selected_signal"] == "u_planted" and best["select_auroc"] > 0.95
+    assert best["report_ci_lo"] <= best["report_auroc"] <= best["report_ci_hi"]
+    assert {r["signal"] for r in out.table.select("signal").distinct().collect()} == {
+        "u_conformal", "u_conformal_log", "u_planted", "u_abstention", "BASELINE:score", "BASELINE:1-score"}
+    assert out.records.count() == 400
